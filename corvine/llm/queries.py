@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import dedup, packing, simhash, tokens, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,26 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query("op3_simhash_near_duplicates")
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_three_phase_top_k", topk.ORACLE)
+def three_phase_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
+
+
+@query("op8_content_addressed_warc", warc.ORACLE)
+def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), warc.new_archive_path(spark), least_bytes=0)
+    records = warc.read_records(spark, archive)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_exact_duplicates", dedup.ORACLE)
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
