@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, packing, simhash, tokens, topk, warc
+from . import dedup, licenses, packing, simhash, tokens, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_duplicates", dedup.ORACLE)
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_signatures")
+def license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
