@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, licenses, packing, simhash, tokens, topk, warc
+from . import dedup, licenses, packing, simhash, tokens, topk, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_signatures")
 def license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op4_toxic_spans")
+def toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.tag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")

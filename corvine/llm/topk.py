@@ -112,6 +112,9 @@ def top_k(
         "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
     keys = ["slice", "group", "part"]
+    # both sides come from one table: new column identities keep them apart in the cogroup
+    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
     schema = "query bigint, candidate bigint, slice int, part bigint"
     vectors = rows.select(F.col("row").alias("candidate"), F.col("id"), F.col("v").alias("cv"))
     asks = rows.where("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
