@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,3 +99,8 @@ def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]
             yield made(kept)
 
     return df.mapInArrow(run, kinds)
+
+
+def carried(df: DataFrame, columns: Sequence[str]) -> str:
+    """The part of a schema for columns of ``df`` that ``map_rows`` hands through, named ``in_*``."""
+    return "".join(f", `in_{c}` {df.schema[c].dataType.simpleString()}" for c in columns)

@@ -18,13 +18,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import carried, map_rows, materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 
@@ -190,29 +190,38 @@ def train(sample: list[tuple[str, str, int]], likely: dict[str, float], l2: floa
     return list(map(float, w))
 
 
-def find_personal_data(df: DataFrame, *, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def find_personal_data(
+    df: DataFrame,
+    *,
+    threshold: float = 0.5,
+    sample: int = SAMPLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_text: bool = False,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Spans of personal data in every whole text: ``(id, base, spans)``.
 
     Both are arrays of (kind, start, stop), in code points, stop exclusive, by start, then
     kind; ``spans`` holds the base spans and the candidates that the classifier accepts.
     ``keep_text`` adds ``redacted``: the text with every span replaced by its kind in angle
     brackets, overlapping spans by the first.  Null texts count as empty; every row gives one
-    row, whatever its id.  The vote counts cover all candidates; the classifier is fitted on
+    row, whatever its id; columns named in ``carry`` come along as ``in_*``.  The vote counts cover all candidates; the classifier is fitted on
     at most ``sample`` of them.
     """
     kind = df.schema[id_col].dataType.simpleString()
     span = "array<struct<kind:string,start:int,stop:int>>"
 
     def scan(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text in rows:
+        for key, text, *rest in rows:
             text = text or ""
             base = base_spans(text)
             found = candidates(text, base)
             as_rows = lambda names, items: [dict(zip(names, x, strict=True)) for x in items]
-            yield (key, as_rows(("kind", "start", "stop"), base), as_rows(("kind", "start", "stop", "votes"), found)) + ((text,) if keep_text else ())
+            yield (key, as_rows(("kind", "start", "stop"), base), as_rows(("kind", "start", "stop", "votes"), found)) + ((text,) if keep_text else ()) + tuple(rest)
 
-    schema = f"`{id_col}` {kind}, base {span}, found array<struct<kind:string,start:int,stop:int,votes:string>>" + ", body string" * keep_text
-    seen = materialize(map_rows(df.select(id_col, text_col), scan, schema), "personal")
+    schema = f"`{id_col}` {kind}, base {span}, found array<struct<kind:string,start:int,stop:int,votes:string>>" + ", body string" * keep_text + carried(df, carry)
+    seen = materialize(map_rows(df.select(id_col, text_col, *[F.col(c).alias(f"in_{c}") for c in carry]), scan, schema), "personal")
     each = seen.select(F.explode("found").alias("c")).select("c.kind", "c.votes", (F.col("c.stop") - F.col("c.start")).alias("size"))
     counts = {r.votes: r.n for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     # equal rows of the sample are counted, so it is bounded by its distinct forms too
@@ -223,12 +232,12 @@ def find_personal_data(df: DataFrame, *, threshold: float = 0.5, sample: int = S
 
     def decide(rows: Iterator[tuple]) -> Iterator[tuple]:
         w = shared.value
-        for key, base, found, *body in rows:
+        for key, base, found, *rest in rows:
             kept = [c for c in found if np.dot(w, _features(c["kind"], c["votes"], c["stop"] - c["start"])) > math.log(threshold / (1 - threshold))]
             spans = sorted([*base, *({k: c[k] for k in ("kind", "start", "stop")} for c in kept)], key=lambda s: (s["start"], KINDS.index(s["kind"])))
-            yield (key, base, spans) + ((redact(body[0], spans),) if keep_text else ())
+            yield (key, base, spans) + ((redact(rest[0], spans), *rest[1:]) if keep_text else tuple(rest))
 
-    return map_rows(seen, decide, f"`{id_col}` {kind}, base {span}, spans {span}" + ", redacted string" * keep_text)
+    return map_rows(seen, decide, f"`{id_col}` {kind}, base {span}, spans {span}" + ", redacted string" * keep_text + carried(df, carry))
 
 
 def redact(text: str, spans: list[dict]) -> str:

@@ -78,5 +78,6 @@ def toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    counts = [number(kind) for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Cache
-from .common import map_rows
+from .common import carried, map_rows
 
 WORD = re.compile(r"\w+")
 
@@ -273,7 +273,15 @@ def _train_chain(ids: list, tags: list, n_features: int, training: Training) ->
 
 
 def tag_documents(
-    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, training: Training = Training(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    threshold: float = 0.3,
+    training: Training = Training(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(id, score, predicted, spans)`` of every whole text.
 
@@ -282,12 +290,13 @@ def tag_documents(
     is trained on ``labels`` of rows that are not held out and sees nothing but
     texts.  Null texts are scored as empty, rows with a null id are scored, repeated rows
     give repeated results, and with no labels of both kinds every score is that of the kind seen.
+    Columns named in ``carry`` come along as ``in_*``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, training, id_col, text_col, label_col), training))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         tagger = Tagger(shared.value)
-        for key, text in rows:
+        for key, text, *rest in rows:
             low = (text or "").lower()
             score, near = tagger.document(WORD.findall(low))
             spans: list[int] = []
@@ -298,7 +307,8 @@ def tag_documents(
                 for i, found in enumerate(WORD.finditer(source)):
                     if i in toxic:
                         spans += found.span()
-            yield key, score, int(score >= threshold), spans
+            yield key, score, int(score >= threshold), spans, *rest
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, predicted int, spans array<int>")
+    schema = f"`{id_col}` {kind}, score double, predicted int, spans array<int>" + carried(docs, carry)
+    return map_rows(docs.select(id_col, text_col, *[F.col(c).alias(f"in_{c}") for c in carry]), run, schema)
