@@ -1 +1,84 @@
-"""Queries."""
+"""Queries of records and tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import records
+from ..registry import query
+
+
+@query("p01_flatten_record", "SELECT event_id, 'k' AS path, props ->> '$.k' AS value FROM {events}", "events")
+def p01(events: DataFrame) -> DataFrame:
+    return records.flatten_json(events, "event_id", "props")
+
+
+@query("p01_flatten_nested", "SELECT event_id, unnest(['a.b', 'a.c', 'd[0].e']) AS path, unnest([event_type, '1, 2', CAST(user_id AS VARCHAR)]) AS value FROM {events} WHERE event_id % 20 = 0", "events")
+def p01_nested(events: DataFrame) -> DataFrame:
+    body = F.concat(F.lit('{"a": {"b": "'), "event_type", F.lit('", "c": [1, 2], "n": null}, "d": [{"e": '), F.col("user_id").cast("string"), F.lit("}]}"))
+    return records.flatten_json(events.where("event_id % 20 = 0").select("event_id", body.alias("j")), "event_id", "j")
+
+
+@query("p02_timestamp_by_shape", """SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM {events}""", "events")
+def p02(events: DataFrame) -> DataFrame:
+    ts, i = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    text = (
+        F.when(i == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 1, F.unix_timestamp(ts).cast("string")).otherwise(F.unix_millis(ts).cast("string"))
+    )
+    return events.select("event_id", F.unix_timestamp(records.timestamp_by_shape(text)).alias("seconds"))
+
+
+@query("p03_source_profile", """SELECT 'k' AS path, count(*) FILTER (WHERE props ->> '$.k' IS NOT NULL) AS present, count(*) AS records, min(ts) AS first_at, max(ts) AS last_at FROM {events}""", "events")
+def p03(events: DataFrame) -> DataFrame:
+    return records.source_profile(records.flatten_json(events, "event_id", "props"), events, "ts")
+
+
+@query("p04_render_record", """SELECT event_id, '[unit_ordinal=' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || ' occurred_at=' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] fields: type=' || event_type || '; k=' || (props ->> '$.k') AS line FROM {events}""", "events")
+def p04(events: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    fields = F.array(F.concat(F.lit("type="), "event_type"), F.concat(F.lit("k="), F.get_json_object("props", "$.k")))
+    return events.select("event_id", records.record_line(n, F.col("ts").cast("timestamp"), fields).alias("line"))
+
+
+@query("p06_temporal_bounds", """SELECT user_id, epoch(date_trunc('second', min(ts)))::BIGINT AS low, epoch(date_trunc('second', max(ts)))::BIGINT AS high FROM {events} GROUP BY user_id""", "events")
+def p06(events: DataFrame) -> DataFrame:
+    mark = F.concat(F.lit("[unit occurred_at="), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("] x"))
+    chunk = events.groupBy("user_id").agg(F.array_join(F.collect_list(mark), "\n").alias("text"))
+    bounds = chunk.select("user_id", records.temporal_bounds(F.col("text")).alias("b"))
+    return bounds.select("user_id", F.unix_timestamp("b.low").alias("low"), F.unix_timestamp("b.high").alias("high"))
+
+
+@query("p07_values_only", "SELECT event_id, event_type || ' ' || (props ->> '$.k') AS text FROM {events}", "events")
+def p07(events: DataFrame) -> DataFrame:
+    fields = F.array(F.concat(F.lit("type="), "event_type"), F.concat(F.lit("at="), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.concat(F.lit("k="), F.get_json_object("props", "$.k")))
+    line = records.record_line(F.col("event_id"), F.col("ts").cast("timestamp"), fields)
+    return events.select("event_id", records.values_only(line).alias("text"))
+
+
+@query("p11_semantic_row", "SELECT p_partkey, 'Sheet: parts | Row ' || p_partkey || ' | p_name: ' || p_name || ' | p_brand: ' || p_brand AS line FROM {part}", "part")
+def p11(part: DataFrame) -> DataFrame:
+    return part.select("p_partkey", records.semantic_row("parts", F.col("p_partkey"), ["p_name", "p_brand"]).alias("line"))
+
+
+@query("p10_header_canonical", "SELECT n_nationkey, regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '_', 'g') AS header FROM {nation}", "nation")
+def p10(nation: DataFrame) -> DataFrame:
+    return nation.select("n_nationkey", F.regexp_replace(F.lower(F.trim("n_name")), "[^a-z0-9]+", "_").alias("header"))
+
+
+@query("p24_document_status", """SELECT d.document_id, CASE WHEN d.document_state = 'deleted' THEN 'deleted' WHEN r.revision_id IS NULL THEN 'empty' WHEN r.text_state = 'failed' THEN 'failed' WHEN r.vector_state = 'pending' THEN 'processing'
+   WHEN r.graph_state = 'failed' THEN 'degraded' ELSE 'ready' END AS status FROM {document} d LEFT JOIN {revision} r ON r.revision_id = d.readable_revision_id""", "document", "revision")
+def p24(document: DataFrame, revision: DataFrame) -> DataFrame:
+    r = revision.select(F.col("revision_id").alias("readable_revision_id"), "text_state", "vector_state", "graph_state")
+    status = (
+        F.when(F.col("document_state") == "deleted", "deleted").when(F.col("text_state").isNull(), "empty").when(F.col("text_state") == "failed", "failed")
+        .when(F.col("vector_state") == "pending", "processing").when(F.col("graph_state") == "failed", "degraded").otherwise("ready")
+    )
+    return document.join(r, "readable_revision_id", "left").select("document_id", status.alias("status"))
+
+
+@query("p23_revision_validation", """SELECT l_orderkey, count(*) AS n, max(l_linenumber)::BIGINT AS last, count(DISTINCT l_linenumber) = count(*) AND max(l_linenumber) - min(l_linenumber) + 1 = count(*) AS contiguous FROM {lineitem} GROUP BY 1""", "lineitem")
+def p23(lineitem: DataFrame) -> DataFrame:
+    n = F.count("*")
+    whole = (F.count_distinct("l_linenumber") == n) & (F.max("l_linenumber") - F.min("l_linenumber") + 1 == n)
+    return lineitem.groupBy("l_orderkey").agg(n.alias("n"), F.max("l_linenumber").cast("bigint").alias("last"), whole.alias("contiguous"))

@@ -37,11 +37,11 @@ def x02(events: DataFrame) -> DataFrame:
 
 @query(
     "x03_all_terms_match",
-    "SELECT doc_id FROM {documents} WHERE contains(lower(text), 'the') AND contains(lower(text), 'con') AND contains(' ' || lower(text) || ' ', ' 2 ')",
+    "SELECT doc_id FROM {documents} WHERE contains(lower(text), 'the') AND contains(lower(text), 'con') AND contains(lower(text), 'en')",
     "documents",
 )
 def x03(documents: DataFrame) -> DataFrame:
-    return documents.where(filters.all_terms(F.col("text"), ["the", "con", "2"])).select("doc_id")
+    return documents.where(filters.all_terms(F.col("text"), ["the", "con", "en"])).select("doc_id")
 
 
 @query("x04_any_term", "SELECT doc_id FROM {documents} WHERE contains(lower(text), 'license') OR contains(lower(text), 'token')", "documents")
@@ -67,12 +67,12 @@ def x05(part: DataFrame) -> DataFrame:
 
 @query(
     "x08_regex_shape",
-    r"SELECT doc_id, regexp_matches(text, '(?i)[a-z_]+ ?= ?""?[a-z0-9]+') AS assignment, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS numeric_map FROM {documents}".replace('""', '"'),
+    r"""SELECT doc_id, regexp_matches(text, '[A-Za-z_]+ ?= ?["]?[A-Za-z0-9]+') AS assignment, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS numeric_map FROM {documents}""",
     "documents",
 )
 def x08(documents: DataFrame) -> DataFrame:
     text = F.col("text")
-    return documents.select("doc_id", text.rlike(r'(?i)[a-z_]+ ?= ?"?[a-z0-9]+').alias("assignment"), text.rlike("[0-9]{3}-[0-9]{4}").alias("numeric_map"))
+    return documents.select("doc_id", text.rlike('[A-Za-z_]+ ?= ?["]?[A-Za-z0-9]+').alias("assignment"), text.rlike("[0-9]{3}-[0-9]{4}").alias("numeric_map"))
 
 
 @query("x09_keyset_predicate", "SELECT event_id FROM {events} WHERE (ts, event_id) < (TIMESTAMP '2024-01-10 00:00:00', 5000)", "events")

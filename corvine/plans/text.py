@@ -1 +1,165 @@
-"""Queries."""
+"""Queries of text preparation: blocks, chunks, quality and near duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..operators import blocks, records
+from ..registry import query
+
+_LINES = """l AS (SELECT doc_id, i AS chunk_index, content_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {documents})
+  WHERE trim(content_text, ' ') <> '')"""
+_LOWER_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= {1})"
+
+
+@query("p14_structured_blocks", None, "documents")
+def p14(documents: DataFrame) -> DataFrame:
+    return blocks.blocks(documents)
+
+
+@query("p15_outline", None, "documents")
+def p15(documents: DataFrame) -> DataFrame:
+    heads = blocks.blocks(documents).where("kind = 'heading'")
+    return heads.select("doc_id", "ordinal", "level", F.array_join("heading_trail", " / ").alias("path"), F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).alias("place"))
+
+
+@query("p13_repeated_boilerplate", f"""WITH {_LINES}, k AS (SELECT chunk_index % 6 AS page, doc_id, trim(regexp_replace(content_text, '[ \\t]+', ' ', 'g')) AS line FROM l),
+   r AS (SELECT doc_id, line, count(DISTINCT page) AS pages, count(*) AS n FROM k WHERE length(line) BETWEEN 1 AND 160 GROUP BY 1, 2)
+   SELECT doc_id, line, pages, n FROM r WHERE pages >= 5""", "documents")
+def p13(documents: DataFrame) -> DataFrame:
+    lines = blocks.line_chunks(documents).select("doc_id", (F.col("chunk_index") % 6).alias("page"), F.trim(F.regexp_replace("content_text", r"[ \t]+", " ")).alias("line"))
+    return records.repeated_lines(lines, ["doc_id"], "line", "page", least=5, longest=160)
+
+
+@query("p17_document_summary", f"""WITH {_LINES}, s AS (SELECT *, sum(length(content_text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS used FROM l WHERE length(content_text) >= 10)
+   SELECT doc_id, string_agg(content_text, chr(10) ORDER BY chunk_index) AS summary FROM s WHERE used <= 2001 GROUP BY doc_id""", "documents")
+def p17(documents: DataFrame) -> DataFrame:
+    lines = blocks.line_chunks(documents).where(F.length("content_text") >= 10)
+    used = F.sum(F.length("content_text") + 1).over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    kept = lines.withColumn("used", used).where("used <= 2001").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content_text"))).alias("x"))
+    return kept.select("doc_id", F.array_join(F.transform("x", lambda r: r["content_text"]), "\n").alias("summary"))
+
+
+@query("c01_chunk_windows", None, "documents")
+def c01(documents: DataFrame) -> DataFrame:
+    return blocks.chunks(documents)
+
+
+@query("c06_chunk_digest", f"""WITH {_LINES} SELECT doc_id, chunk_index, 'sha256:' || sha256(content_text) AS literal_digest, length(content_text) AS n_chars,
+   len(list_filter(string_split(content_text, ' '), lambda w: w <> '')) AS token_count FROM l""", "documents")
+def c06(documents: DataFrame) -> DataFrame:
+    words = F.filter(F.split("content_text", " "), lambda w: w != "")
+    return blocks.line_chunks(documents).select(
+        "doc_id", "chunk_index", F.concat(F.lit("sha256:"), F.sha2("content_text", 256)).alias("literal_digest"), F.length("content_text").alias("n_chars"), F.size(words).alias("token_count")
+    )
+
+
+@query("c08_sentence_windows", None, "documents")
+def c08(documents: DataFrame) -> DataFrame:
+    return blocks.chunks(documents).select("doc_id", "chunk_index", "window_text")
+
+
+@query("c09_quality_gate", None, "documents")
+def c09(documents: DataFrame) -> DataFrame:
+    return blocks.chunks(documents).where(F.coalesce("quality_score", F.lit(1.0)) >= 0.35).select("doc_id", "chunk_index", "quality_score")
+
+
+@query("c09_quality_parts", f"""WITH {_LINES} SELECT doc_id, chunk_index, round(greatest(0, least(1, 1.0 - CASE WHEN octet_length(encode(content_text)) < 100 THEN 0.2 ELSE 0 END
+   - CASE WHEN len(list_distinct(w)) / len(w) < 0.3 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS quality FROM (SELECT *, list_filter(string_split(content_text, ' '), lambda x: x <> '') AS w FROM l)""", "documents")
+def c09_parts(documents: DataFrame) -> DataFrame:
+    rows = blocks.line_chunks(documents).withColumn("w", F.filter(F.split("content_text", " "), lambda x: x != ""))
+    short = F.when(F.octet_length("content_text") < 100, 0.2).otherwise(0.0)
+    dull = F.when(F.size(F.array_distinct("w")) / F.size("w") < 0.3, 0.1).otherwise(0.0)
+    return rows.select("doc_id", "chunk_index", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - short - dull)), 6).alias("quality"))
+
+
+@query("c10_simhash", None, "documents")
+def c10(documents: DataFrame) -> DataFrame:
+    return blocks.line_chunks(documents.where(F.length("text") < 4000)).select("doc_id", "chunk_index", fn.simhash(F.col("content_text")).alias("simhash"))
+
+
+@query("c11_near_duplicate_flag", f"""WITH {_LINES}, f AS (SELECT *, lower(regexp_replace(content_text, '[^A-Za-z]+', '', 'g')) AS fp, sha256(content_text) AS d FROM l)
+   SELECT doc_id, chunk_index, first_value(d) OVER (PARTITION BY doc_id, fp ORDER BY chunk_index) <> d AS is_near_duplicate FROM f""", "documents")
+def c11(documents: DataFrame) -> DataFrame:
+    rows = blocks.line_chunks(documents).withColumns({"fp": F.lower(F.regexp_replace("content_text", "[^A-Za-z]+", "")), "d": F.sha2("content_text", 256)})
+    return rows.select("doc_id", "chunk_index", fn.near_duplicate_flag(F.col("fp"), F.col("d"), ["doc_id"], "chunk_index").alias("is_near_duplicate"))
+
+
+@query("c13_text_quality_ratios", r"""SELECT doc_id, round(len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1), 9) AS digit_ratio,
+   round(len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) / greatest(length(text), 1), 9) AS symbol_ratio FROM {documents}""", "documents")
+def c13(documents: DataFrame) -> DataFrame:
+    n = F.greatest(F.length("text"), F.lit(1))
+    ratio = lambda p: F.round(F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))) / n, 9)
+    return documents.select("doc_id", ratio("[0-9]").alias("digit_ratio"), ratio(r"[^\p{L}\p{N}\s]").alias("symbol_ratio"))
+
+
+@query("c14_tokens", "SELECT doc_id, len(list_distinct(" + _LOWER_TOKENS.format("text", 3) + ")) AS n_tokens, len(" + _LOWER_TOKENS.format("text", 1) + ") AS n_words FROM {documents}", "documents")
+def c14(documents: DataFrame) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 1)
+    return documents.select("doc_id", F.size(fn.tokens(F.col("text"), 3)).alias("n_tokens"), F.size(words).alias("n_words"))
+
+
+@query("c14_nfkc_tokens", None, "documents")
+def c14_nfkc(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.size(fn.tokens(fn.nfkc(F.col("text")))).alias("n_tokens"))
+
+
+@query("s14_code_language_guess", """SELECT doc_id, CASE WHEN contains(text, 'def ') AND contains(text, ':') THEN 'python' WHEN contains(text, 'fn ') THEN 'rust' WHEN contains(text, 'token =') THEN 'config'
+   WHEN contains(text, 'SELECT ') THEN 'sql' ELSE 'text' END AS code_language FROM {documents}""", "documents")
+def s14(documents: DataFrame) -> DataFrame:
+    has = lambda t: F.contains("text", F.lit(t))
+    guess = F.when(has("def ") & has(":"), "python").when(has("fn "), "rust").when(has("token ="), "config").when(has("SELECT "), "sql").otherwise("text")
+    return documents.select("doc_id", guess.alias("code_language"))
+
+
+@query("sf_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {documents}", "documents")
+def sf_slug(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", fn.slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query("sf_unaccent", "SELECT doc_id, strip_accents(text) = text AS plain, md5(strip_accents(text)) AS digest FROM {documents}", "documents")
+def sf_unaccent(documents: DataFrame) -> DataFrame:
+    flat = documents.select("doc_id", "text", fn.unaccent(F.col("text")).alias("u"))
+    return flat.select("doc_id", (F.col("u") == F.col("text")).alias("plain"), F.md5("u").alias("digest"))
+
+
+@query("p22_mojibake_repair", "SELECT doc_id, md5(text) AS digest FROM {documents}", "documents")
+def p22(documents: DataFrame) -> DataFrame:
+    # what was damaged by reading UTF-8 as Latin-1 comes back as it was
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return documents.select("doc_id", F.md5(fn.repair_mojibake(broken)).alias("digest"))
+
+
+@query("sf_hashes", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, sha1(text) AS sha1 FROM {documents}", "documents")
+def sf_hashes(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"))
+
+
+@query("sf_math_dates", """SELECT event_id, round(ln(1 + value), 9) AS log_value, least(value, 10.0) AS low, greatest(value, 10.0) AS high, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down,
+   floor(epoch(ts))::BIGINT AS epoch_s, ts + INTERVAL 90 SECOND AS later FROM {events}""", "events")
+def sf_math(events: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return events.select(
+        "event_id", F.round(F.log1p(v), 9).alias("log_value"), F.least(v, F.lit(10.0)).alias("low"), F.greatest(v, F.lit(10.0)).alias("high"), F.ceil(v).alias("up"),
+        F.floor(v).alias("down"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch_s"), (F.col("ts") + F.expr("INTERVAL 90 SECOND")).alias("later"),
+    )
+
+
+@query("sf_month_prefixes", """SELECT o_orderkey, string_agg(strftime(m, '%Y-%m'), ',' ORDER BY m) AS prefixes FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 3 MONTH, INTERVAL 1 MONTH)) AS m
+   FROM {orders}) GROUP BY 1""", "orders")
+def sf_months(orders: DataFrame) -> DataFrame:
+    start = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    months = F.sequence(start, F.add_months(start, 3), F.expr("INTERVAL 1 MONTH"))
+    return orders.select("o_orderkey", F.array_join(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")), ",").alias("prefixes"))
+
+
+@query("f15_version_order", """SELECT v, row_number() OVER (ORDER BY a DESC, b DESC, c DESC, v) AS place FROM (SELECT DISTINCT v, CAST(split_part(v, '.', 1) AS BIGINT) AS a, CAST(split_part(v, '.', 2) AS BIGINT) AS b,
+   CASE WHEN split_part(v, '.', 3) = '' THEN 0 ELSE CAST(split_part(v, '.', 3) AS BIGINT) END AS c FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN (p_size % 4) || '.' || (p_partkey % 13) ELSE (p_size % 4) || '.' || (p_partkey % 13) || '.' || (p_size % 11) END AS v FROM {part}))""", "part")
+def f15(part: DataFrame) -> DataFrame:
+    s = lambda e: (e).cast("string")
+    a, b, c = F.col("p_size") % 4, F.col("p_partkey") % 13, F.col("p_size") % 11
+    v = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(".", s(a), s(b))).otherwise(F.concat_ws(".", s(a), s(b), s(c)))
+    versions = part.select(v.alias("v")).distinct().withColumn("k", fn.version_parts(F.col("v")))
+    return versions.select("v", F.row_number().over(Window.orderBy(F.desc("k"), "v")).cast("bigint").alias("place"))
