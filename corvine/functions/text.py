@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -62,16 +62,22 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def simhash(text: Column, words: int = 3) -> Column:
-    """A 60-bit SimHash over word shingles by MD5, for equality only (not for distances)."""
+def simhash(df: DataFrame, keys: list[str], text: str, words: int = 3) -> DataFrame:
+    """``keys`` and a 64-bit ``simhash`` over word shingles, for equality (not for distances).
+
+    Bits are voted in sums per key, which Spark adds up before it shuffles.
+    """
     parts = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    n = F.size(parts)
-    shingles = F.when(n < words, F.array(F.array_join(parts, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.lit(words)), " "))
+    n = F.greatest(F.size("_w") - words + 1, F.lit(1))
+    rows = df.select(*keys, parts.alias("_w")).select(*keys, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("_w", i, F.lit(words)), " "))).alias("_s"))
+    votes = rows.select(*keys, F.xxhash64("_s").alias("_h")).groupBy(*keys).agg(
+        F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"_b{b}") for b in range(64)]
     )
-    hashes = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint"))
-    bit = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, b).bitwiseAND(F.lit(1).cast("bigint")) == 1, 1).otherwise(-1)) > 0
-    return F.aggregate(F.sequence(F.lit(0), F.lit(59)), F.lit(0).cast("bigint"), lambda a, b: a + F.when(bit(b), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    bits = [F.when(2 * F.col(f"_b{b}") > F.col("_n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return votes.select(*keys, out.alias("simhash"))
 
 
 def near_duplicate_flag(fingerprint: Column, digest: Column, scope: list[str], order: str) -> Column:

@@ -1 +1,249 @@
-"""Queries."""
+"""Queries of search, fusion, reranking and verification."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import filters, ranking, search
+from ..registry import query
+from ..tables import load
+
+_W = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
+_POST = f"""p AS (SELECT doc_id, token, count(*) AS tf, min(i) AS first_at FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i
+  FROM (SELECT doc_id, list_filter({_W}, lambda x: x <> '') AS w FROM {{documents}})) GROUP BY 1, 2)"""
+_TERMS = """q AS (SELECT * FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)[1:1]) AS token FROM {benchmark})
+  UNION SELECT 1000, 'license' UNION SELECT 1000, 'under' UNION SELECT 1001, 'the' UNION SELECT 1001, 'and' UNION SELECT 1001, 'token')"""
+_HITS = f"""{_POST}, {_TERMS}, n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+  h AS (SELECT query_id, doc_id, count(*) AS matched, max(n.n) AS n, max(first_at) - min(first_at) AS span, sum(tf) AS tf FROM p JOIN q USING (token) JOIN n USING (query_id) GROUP BY 1, 2)"""
+
+
+def _postings(documents: DataFrame) -> DataFrame:
+    return search.postings(documents, "doc_id", F.col("text"))
+
+
+def _questions(benchmark: DataFrame) -> DataFrame:
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 3))
+    own = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.slice(words, 1, 1)).alias("token"))
+    fixed = benchmark.sparkSession.createDataFrame([(1000, "license"), (1000, "under"), (1001, "the"), (1001, "and"), (1001, "token")], "query_id bigint, token string")
+    return own.unionByName(fixed)
+
+
+@query("l01_lexical_lane", f"WITH {_HITS} SELECT query_id, doc_id, matched, round(matched / n * (1 + 1 / (1 + span / 100.0)) * ln(1 + tf), 6) AS score FROM h WHERE matched = n", "documents", "benchmark")
+def l01(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    hits = search.lexical_lane(_postings(documents), _questions(benchmark), "doc_id")
+    return hits.select("query_id", "doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query("x06_token_match", f"WITH {_HITS} SELECT query_id, doc_id FROM h WHERE matched = n", "documents", "benchmark")
+def x06(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return search.lexical_lane(_postings(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
+
+
+_CUT = "CASE WHEN length({0}) >= 4 THEN substr({0}, 1, 5) ELSE {0} END"
+
+
+@query("x07_prefix_match", f"""WITH {_POST}, {_TERMS}, c AS (SELECT DISTINCT query_id, {_CUT.format('token')} AS token FROM q), n AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
+  d AS (SELECT DISTINCT doc_id, {_CUT.format('token')} AS token FROM p) SELECT query_id, doc_id FROM d JOIN c USING (token) JOIN n USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = max(n)""", "documents", "benchmark")
+def x07(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return search.prefix_lane(_postings(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
+
+
+@query("l02_relaxation_ladder", f"""WITH {_HITS}, a AS (SELECT query_id, doc_id, 0 AS pass FROM h WHERE matched = n UNION ALL SELECT query_id, doc_id, 1 FROM h),
+  f AS (SELECT query_id, doc_id, min(pass) AS pass FROM a GROUP BY 1, 2), k AS (SELECT query_id, pass, count(*) AS n FROM f GROUP BY 1, 2),
+  b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k)
+  SELECT query_id, doc_id, pass FROM f JOIN b USING (query_id, pass) WHERE prior < 8""", "documents", "benchmark")
+def l02(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    post, terms = _postings(documents), _questions(benchmark)
+    passes = [search.lexical_lane(post, terms, "doc_id", m).select("query_id", "doc_id") for m in ("all", "any")]
+    return search.ladder(passes, "doc_id").select("query_id", "doc_id", "pass")
+
+
+@query("l06_exact_fact_boost", """SELECT p_partkey, CASE WHEN p_name = 'red widget' THEN 1000000.0 ELSE 0 END + (CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'widget') THEN 1 ELSE 0 END)::DOUBLE AS score
+  FROM {part} WHERE contains(p_name, 'red') OR contains(p_name, 'widget') ORDER BY score DESC, p_partkey LIMIT 50""", "part")
+def l06(part: DataFrame) -> DataFrame:
+    hits = F.contains("p_name", F.lit("red")).cast("int") + F.contains("p_name", F.lit("widget")).cast("int")
+    score = F.when(F.col("p_name") == "red widget", 1_000_000.0).otherwise(0.0) + hits.cast("double")
+    return part.where(hits > 0).select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(50)
+
+
+@query("l09_entity_ladder", """SELECT node_id, min(step) AS step FROM (SELECT node_id, 0 AS step FROM {node} WHERE lower(label) = 'red widget' UNION ALL SELECT node_id, 2 FROM {node} WHERE starts_with(lower(label), 'red')
+  UNION ALL SELECT node_id, 4 FROM {node} WHERE contains(' ' || lower(label) || ' ', ' widget ') UNION ALL SELECT node_id, 6 FROM {node} WHERE contains(lower(label), 'wid') OR contains(lower(label), 'red')) GROUP BY 1""", "node")
+def l09(node: DataFrame) -> DataFrame:
+    low = F.lower("label")
+    step = (
+        F.when(low == "red widget", 0).when(F.startswith(low, F.lit("red")), 2).when(F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.lit(" widget ")), 4)
+        .when(filters.any_term(F.col("label"), ["wid", "red"]), 6)
+    )
+    return node.withColumn("step", step).where("step IS NOT NULL").select("node_id", "step")
+
+
+@query("l10_wildcard_prefix", "SELECT node_id FROM {node} WHERE starts_with(lower(label), 'hot')", "node")
+def l10(node: DataFrame) -> DataFrame:
+    return node.where(F.startswith(F.lower("label"), F.lit("hot"))).select("node_id")
+
+
+@query("l13_term_positions", """SELECT doc_id, score, place FROM (SELECT doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, source,
+  10000 * (CASE WHEN instr(lower(text), 'the') > 0 THEN 1 ELSE 0 END + CASE WHEN instr(lower(text), 'license') > 0 THEN 1 ELSE 0 END)
+  - least(CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') ELSE 9999 END, CASE WHEN instr(lower(text), 'license') > 0 THEN instr(lower(text), 'license') ELSE 9999 END) AS score FROM {documents}) WHERE score > 0) WHERE place <= 3""", "documents")
+def l13(documents: DataFrame) -> DataFrame:
+    at = [F.instr(F.lower("text"), t) for t in ("the", "license")]
+    score = 10_000 * sum(((a > 0).cast("int") for a in at), F.lit(0)) - F.least(*[F.when(a > 0, a).otherwise(9999) for a in at])
+    scored = documents.select("doc_id", "source", score.alias("score")).where("score > 0")
+    return ranking.top_per_group(scored, ["source"], [F.desc("score"), F.col("doc_id")], 3, rank="place").select("doc_id", "score", "place")
+
+
+@query("l14_pattern_search", r"""SELECT doc_id, score FROM (SELECT doc_id, 3000 * (regexp_matches(text, 'license')::INT + regexp_matches(text, 'token')::INT) + 5000 * regexp_matches(text, '[A-Za-z_]+ ?= ?["][0-9a-f]+')::INT + 3500 * regexp_matches(text, '[0-9]{3}-[0-9]{4}')::INT
+  + 800 * regexp_matches(text, '###')::INT AS score FROM {documents}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 60""", "documents")
+def l14(documents: DataFrame) -> DataFrame:
+    flag = lambda p: F.col("text").rlike(p).cast("int")
+    score = 3000 * (flag("license") + flag("token")) + 5000 * flag('[A-Za-z_]+ ?= ?["][0-9a-f]+') + 3500 * flag("[0-9]{3}-[0-9]{4}") + 800 * flag("###")
+    return documents.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(60)
+
+
+@query("l18_excerpt", """SELECT doc_id, substr(text, greatest(greatest(instr(lower(text), 'license'), 1) - 80, 1), 280) AS excerpt FROM {documents} WHERE contains(lower(text), 'license')""", "documents")
+def l18(documents: DataFrame) -> DataFrame:
+    return documents.where(filters.any_term(F.col("text"), ["license"])).select("doc_id", search.excerpt(F.col("text"), F.lit("license")).alias("excerpt"))
+
+
+@query("l12_evidence_dedupe", """SELECT digest, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS digest FROM {documents} WHERE contains(lower(text), 'the')) GROUP BY digest""", "documents")
+def l12(documents: DataFrame) -> DataFrame:
+    digest = F.md5(F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " "))))
+    return documents.where(F.contains(F.lower("text"), F.lit("the"))).groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+_COS = """round(list_aggregate(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE), 'sum') / (sqrt(list_aggregate(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE), 'sum')) * sqrt(list_aggregate(list_transform({1}, lambda x: x::DOUBLE * x::DOUBLE), 'sum'))), 6)"""
+
+
+@query("v01_cosine", f"SELECT a.vec_id, {_COS.format('a.embedding', 'b.embedding')} AS similarity FROM {{embeddings}} a JOIN {{embeddings}} b ON b.vec_id = a.vec_id - a.vec_id % 100", "embeddings")
+def v01(embeddings: DataFrame) -> DataFrame:
+    base = embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("e"))
+    pairs = embeddings.join(base, F.col("b") == F.col("vec_id") - F.col("vec_id") % 100)
+    return pairs.select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("e")), 6).alias("similarity"))
+
+
+@query("v02_exact_top_k", f"""SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM
+  (SELECT q.vec_id AS query_id, v.vec_id, {_COS.format('q.embedding', 'v.embedding')} AS s FROM {{embeddings}} q JOIN {{embeddings}} v ON q.vec_id IN (7, 77, 177) AND v.label = q.label)) WHERE rank <= 10""", "embeddings")
+def v02(embeddings: DataFrame) -> DataFrame:
+    q = embeddings.where(F.col("vec_id").isin(7, 77, 177)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    scored = embeddings.join(q, "label").withColumn("s", F.round(search.cosine(F.col("q"), F.col("embedding")), 6))
+    return ranking.top_per_group(scored, ["query_id"], [F.desc("s"), F.col("vec_id")], 10, rank="rank").select("query_id", "vec_id", "rank")
+
+
+@query("v06_dimension_groups", "SELECT len(embedding) AS dimensions, count(*) AS n, CASE WHEN len(embedding) <= 2000 THEN 'vector' ELSE 'halfvec' END AS storage FROM {embeddings} GROUP BY 1, 3", "embeddings")
+def v06(embeddings: DataFrame) -> DataFrame:
+    d = F.size("embedding")
+    return embeddings.groupBy(d.alias("dimensions")).agg(F.count("*").alias("n")).withColumn("storage", F.when(F.col("dimensions") <= 2000, "vector").otherwise("halfvec"))
+
+
+@query("v07_vector_coverage", "SELECT source, count(*) AS chunks, count(*) FILTER (WHERE vec_id IS NULL) AS missing FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id GROUP BY source", "documents", "embeddings")
+def v07(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
+    known = documents.join(embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has")), "doc_id", "left")
+    return known.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(F.col("has").isNull()).alias("missing"))
+
+
+@query("v08_reuse_by_checksum", """SELECT a.doc_id, max(b.doc_id) AS reused_from FROM {documents} a JOIN {documents} b ON md5(a.text) = md5(b.text) AND b.doc_id < a.doc_id GROUP BY 1""", "documents")
+def v08(documents: DataFrame) -> DataFrame:
+    rows = documents.select("doc_id", F.md5("text").alias("h"))
+    earlier = F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id"))
+    return rows.withColumn("reused_from", earlier).where("reused_from IS NOT NULL").select("doc_id", "reused_from")
+
+
+_LANES = """a AS (SELECT event_id AS id, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM {events} WHERE event_type = 'click'), b AS (SELECT event_id AS id, row_number() OVER (ORDER BY user_id, event_id) AS rank FROM {events} WHERE value > 20)"""
+
+
+def _lanes(events: DataFrame) -> dict[str, DataFrame]:
+    click, big = events.where("event_type = 'click'"), events.where("value > 20")
+    a = ranking.global_position(click, [F.desc("value"), F.col("event_id")], -F.floor("value"), "rank")
+    b = ranking.global_position(big, [F.col("user_id"), F.col("event_id")], F.col("user_id"), "rank")
+    return {n: df.select(F.col("event_id").alias("id"), "rank", F.lit(0).alias("query_id")) for n, df in (("lexical", a), ("vector", b))}
+
+
+@query("r01_rank_fusion", f"WITH {_LANES} SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id", "events")
+def r01(events: DataFrame) -> DataFrame:
+    return search.reciprocal_rank_fusion(_lanes(events), "id").select("id", F.round("score", 9).alias("score"), "best_rank")
+
+
+@query("r02_document_fusion", f"""WITH {_LANES}, d AS (SELECT user_id, 'a' AS lane, min(rank) AS rank FROM a JOIN {{events}} ON event_id = id GROUP BY 1 UNION ALL SELECT user_id, 'b', min(rank) FROM b JOIN {{events}} ON event_id = id GROUP BY 1)
+  SELECT user_id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lanes FROM d GROUP BY 1""", "events")
+def r02(events: DataFrame) -> DataFrame:
+    owner = events.select(F.col("event_id").alias("id"), "user_id")
+    lanes = {n: df.join(owner, "id") for n, df in _lanes(events).items()}
+    return search.reciprocal_rank_fusion(lanes, "user_id").select("user_id", F.round("score", 9).alias("score"), "lanes")
+
+
+@query("r04_keyword_rerank", """WITH s AS (SELECT p_partkey, p_name, (p_partkey % 100) / 100.0::DOUBLE AS score FROM {part}) SELECT p_partkey, round(0.35 * score + 0.65 * (contains(p_name, 'blue')::INT + contains(p_name, 'gear')::INT) / 2.0, 9)::DOUBLE AS reranked
+  FROM s ORDER BY reranked DESC, p_partkey LIMIT 30""", "part")
+def r04(part: DataFrame) -> DataFrame:
+    scored = part.select("p_partkey", "p_name", (F.col("p_partkey") % 100 / 100.0).alias("score"), F.col("p_partkey").alias("place"))
+    hit = F.contains("p_name", F.lit("blue")).cast("int") + F.contains("p_name", F.lit("gear")).cast("int")
+    ranked = scored.withColumn("reranked", F.round(0.35 * F.col("score") + 0.65 * hit / 2.0, 9))
+    return ranked.orderBy(F.desc("reranked"), "place").limit(30).select("p_partkey", "reranked")
+
+
+@query("r04_keyword_rerank_groups", None, "part")
+def r04_groups(part: DataFrame) -> DataFrame:
+    scored = part.select("p_brand", "p_partkey", "p_name", (F.col("p_partkey") % 100 / 100.0).alias("score"), F.col("p_partkey").alias("place"))
+    return search.keyword_rerank(scored, F.col("p_name"), ["blue", "gear"], 5, group=["p_brand"]).select("p_brand", "p_partkey", "reranked")
+
+
+@query("r07_identity_floor", "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'identity' ELSE 'relevance' END AS score_kind FROM {orders}", "orders")
+def r07(orders: DataFrame) -> DataFrame:
+    return search.with_identity(orders, "o_totalprice").select("o_orderkey", "score_kind")
+
+
+@query("r13_bounded_context", """SELECT source, doc_id FROM (SELECT source, doc_id, sum(octet_length(encode(text)) + 11) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM {documents}) WHERE used <= 22000""", "documents")
+def r13(documents: DataFrame) -> DataFrame:
+    return search.within_budget(documents, F.col("text"), ["doc_id"], group=["source"]).select("source", "doc_id")
+
+
+@query("r15_table_rows_lane", """SELECT p_partkey, round(0.5 + 0.08 * (len(regexp_extract_all(p_name, 'red|ring'))) - 0.0001 * (p_partkey % 500), 9)::DOUBLE AS score FROM {part} WHERE regexp_matches(p_name, 'red|ring')""", "part")
+def r15(part: DataFrame) -> DataFrame:
+    score = 0.5 + 0.08 * F.regexp_count("p_name", F.lit("red|ring")) - 0.0001 * (F.col("p_partkey") % 500)
+    return part.where(F.col("p_name").rlike("red|ring")).select("p_partkey", F.round(score, 9).alias("score"))
+
+
+@query("r16_section_siblings", """SELECT DISTINCT b.l_orderkey, b.l_linenumber FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity >= 50 AND b.l_linenumber BETWEEN a.l_linenumber - 3 AND a.l_linenumber + 64""", "lineitem")
+def r16(lineitem: DataFrame) -> DataFrame:
+    anchors = lineitem.where("l_quantity >= 50").select("l_orderkey", (F.col("l_linenumber") - 3).alias("low"), (F.col("l_linenumber") + 64).alias("high"))
+    from ..operators.joins import within_ranges
+
+    return within_ranges(lineitem, anchors, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber").distinct()
+
+
+@query("r25_context_balance", """SELECT c_nationkey, CASE WHEN g = 0 OR d = 0 OR abs(g - d) > 2 THEN 'skewed' ELSE 'balanced' END AS status FROM (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 5000) AS g, count(*) FILTER (WHERE c_acctbal <= 5000) AS d FROM {customer} GROUP BY 1)""", "customer")
+def r25(customer: DataFrame) -> DataFrame:
+    g, d = F.count_if(F.col("c_acctbal") > 5000), F.count_if(F.col("c_acctbal") <= 5000)
+    both = customer.groupBy("c_nationkey").agg(g.alias("g"), d.alias("d"))
+    return both.select("c_nationkey", F.when((F.col("g") == 0) | (F.col("d") == 0) | (F.abs(F.col("g") - F.col("d")) > 2), "skewed").otherwise("balanced").alias("status"))
+
+
+@query("r28_answer_verification", """WITH l AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4])) AS literal FROM {benchmark}), e AS (SELECT doc_id % 40 AS query_id, text AS evidence FROM {documents} WHERE doc_id < 200),
+  c AS (SELECT l.query_id, literal, coalesce(bool_or(contains(lower(evidence), literal)), false) AS ok FROM l LEFT JOIN e USING (query_id) GROUP BY 1, 2)
+  SELECT query_id, count(*) AS literals, count(*) FILTER (WHERE ok) AS supported, CASE WHEN count(*) FILTER (WHERE ok) = count(*) THEN 'verified' WHEN count(*) FILTER (WHERE ok) > 0 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS state FROM c GROUP BY 1""", "benchmark", "documents")
+def r28(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
+    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 4))
+    literals = benchmark.select(F.col("item_id").alias("query_id"), F.explode(words).alias("literal"))
+    evidence = documents.where("doc_id < 200").select((F.col("doc_id") % 40).alias("query_id"), F.col("text").alias("evidence"))
+    return search.verification_state(search.grounded(literals, evidence))
+
+
+@query("r32_best_score_per_chunk", "SELECT l_partkey, max(l_extendedprice) AS score, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS l_orderkey FROM {lineitem} GROUP BY 1", "lineitem")
+def r32(lineitem: DataFrame) -> DataFrame:
+    return lineitem.groupBy("l_partkey").agg(F.max("l_extendedprice").alias("score"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("l_orderkey"))
+
+
+@query("r02_hybrid_document_search")
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector lanes over all documents, fused, cut to ten documents per question with excerpts."""
+    documents, embeddings, benchmark = (load(spark, sf_dir, n) for n in ("documents", "embeddings", "benchmark"))
+    terms = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))), 1, 6)).alias("token"))
+    lexical = search.lexical_lane(_postings(documents), terms, "doc_id", "any")
+    lexical = ranking.top_per_group(lexical, ["query_id"], [F.desc("score"), F.col("doc_id")], 96, rank="rank")
+    asked = embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    vector = search.nearest(embeddings, asked, "vec_id", "embedding", 96).withColumnRenamed("vec_id", "doc_id")
+    fused = search.reciprocal_rank_fusion({"lexical": lexical, "vector": vector}, "doc_id")
+    best = ranking.top_per_group(fused, ["query_id"], [F.desc("score"), F.col("doc_id")], 10, rank="place")
+    first = terms.groupBy("query_id").agg(F.min("token").alias("term"))
+    shown = best.join(documents.select("doc_id", "text"), "doc_id").join(first, "query_id", "left")
+    return shown.select("query_id", "place", "doc_id", F.round("score", 9).alias("score"), "lanes", search.excerpt(F.col("text"), F.coalesce("term", F.lit(""))).alias("excerpt"))

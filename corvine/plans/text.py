@@ -77,7 +77,7 @@ def c09_parts(documents: DataFrame) -> DataFrame:
 
 @query("c10_simhash", None, "documents")
 def c10(documents: DataFrame) -> DataFrame:
-    return blocks.line_chunks(documents.where(F.length("text") < 4000)).select("doc_id", "chunk_index", fn.simhash(F.col("content_text")).alias("simhash"))
+    return fn.simhash(blocks.line_chunks(documents), ["doc_id", "chunk_index"], "content_text")
 
 
 @query("c11_near_duplicate_flag", f"""WITH {_LINES}, f AS (SELECT *, lower(regexp_replace(content_text, '[^A-Za-z]+', '', 'g')) AS fp, sha256(content_text) AS d FROM l)
