@@ -1 +1,141 @@
-"""Queries."""
+"""Queries of the knowledge graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import graph
+from ..registry import query
+
+_NB = "nb AS (SELECT from_node_id AS a, to_node_id AS b FROM {edge} UNION SELECT to_node_id, from_node_id FROM {edge})"
+_SMALL = "nb AS (SELECT from_node_id AS a, to_node_id AS b FROM {edge} WHERE relation_type = 'lives_in' UNION SELECT to_node_id, from_node_id FROM {edge} WHERE relation_type = 'lives_in')"
+
+
+@query("g02_node_keys", """SELECT node_id, node_type || ':' || trim(regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS canonical_key FROM {node}""", "node")
+def g02(node: DataFrame) -> DataFrame:
+    return node.select("node_id", graph.node_key(F.col("node_type"), F.col("label")).alias("canonical_key"))
+
+
+@query("g02_edge_keys", "SELECT from_node_id || '--' || relation_type || '--' || to_node_id AS canonical_key FROM {edge}", "edge")
+def g02_edges(edge: DataFrame) -> DataFrame:
+    return edge.select(graph.edge_key(F.col("from_node_id"), F.col("relation_type"), F.col("to_node_id")).alias("canonical_key"))
+
+
+@query("x14_graph_admission", """SELECT node_id FROM {node} WHERE node_id IN (SELECT from_node_id FROM {edge} WHERE from_node_id <> to_node_id UNION SELECT to_node_id FROM {edge} WHERE from_node_id <> to_node_id)""", "node", "edge")
+def x14(node: DataFrame, edge: DataFrame) -> DataFrame:
+    return graph.admitted_nodes(node, edge).select("node_id")
+
+
+@query("g03_label_types", """SELECT label, node_type FROM (SELECT lower(label) AS label, node_type, row_number() OVER (PARTITION BY lower(label) ORDER BY CASE node_type WHEN 'document' THEN 0 WHEN 'concept' THEN 1 ELSE 2 END DESC, node_id) AS r FROM {node}) WHERE r = 1""", "node")
+def g03(node: DataFrame) -> DataFrame:
+    return graph.label_types(node)
+
+
+_CANON = """m AS (SELECT node_id, label, node_type, support_count, first_value(node_id) OVER (PARTITION BY regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', '_', 'g') ORDER BY support_count DESC, label, node_id) AS cid FROM {node})"""
+
+
+@query("g05_canonical_nodes", f"WITH {_CANON} SELECT node_id, label FROM m WHERE node_id = cid", "node", "edge")
+def g05(node: DataFrame, edge: DataFrame) -> DataFrame:
+    return graph.canonical(node, edge)[0].select("node_id", "label")
+
+
+@query("g06_canonical_edges", f"WITH {_CANON} SELECT a.cid AS from_node_id, relation_type, b.cid AS to_node_id, count(*) AS support_count FROM {{edge}} JOIN m a ON a.node_id = from_node_id JOIN m b ON b.node_id = to_node_id WHERE a.cid <> b.cid GROUP BY 1, 2, 3", "node", "edge")
+def g06(node: DataFrame, edge: DataFrame) -> DataFrame:
+    return graph.canonical(node, edge)[1]
+
+
+@query("g08_support_recount", "SELECT n.node_id, count(e.to_node_id) AS support FROM {node} n JOIN {edge} e ON e.to_node_id = n.node_id GROUP BY 1", "node", "edge")
+def g08(node: DataFrame, edge: DataFrame) -> DataFrame:
+    counts = edge.groupBy(F.col("to_node_id").alias("node_id")).agg(F.count("*").alias("support"))
+    return node.select("node_id").join(counts, "node_id")
+
+
+@query("g09_unsupported_nodes", "SELECT node_id FROM {node} WHERE NOT EXISTS (SELECT 1 FROM {edge} WHERE from_node_id = node_id OR to_node_id = node_id)", "node", "edge")
+def g09(node: DataFrame, edge: DataFrame) -> DataFrame:
+    return node.join(graph.endpoints(edge), "node_id", "left_anti").select("node_id")
+
+
+@query("g10_traversal", f"""WITH {_NB}, d0 AS (SELECT 'person:3' AS node_id), d1 AS (SELECT DISTINCT b AS node_id FROM nb JOIN d0 ON a = node_id), d2 AS (SELECT DISTINCT b AS node_id FROM nb JOIN d1 ON a = node_id)
+  SELECT node_id, min(depth)::INTEGER AS depth FROM (SELECT node_id, 0 AS depth FROM d0 UNION ALL SELECT node_id, 1 FROM d1 UNION ALL SELECT node_id, 2 FROM d2) GROUP BY 1""", "edge")
+def g10(edge: DataFrame) -> DataFrame:
+    return graph.traverse(edge, ["person:3"], 2)
+
+
+def _round(i: int) -> str:
+    return f"""v{i} AS (SELECT a AS node_id, community, count(*) AS n FROM nb JOIN l{i - 1} ON b = l{i - 1}.node_id GROUP BY 1, 2),
+      l{i} AS (SELECT node_id, community FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, community) AS r FROM v{i}) WHERE r = 1)"""
+
+
+@query("g11_label_propagation", f"WITH {_NB}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT node_id, community FROM l2", "edge")
+def g11(edge: DataFrame) -> DataFrame:
+    return graph.label_propagation(edge, rounds=2)
+
+
+@query("g12_community_sizes", f"WITH {_SMALL}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT community, count(*) AS size, min(node_id) AS first_member FROM l2 GROUP BY community HAVING count(*) >= 10", "edge")
+def g12(edge: DataFrame) -> DataFrame:
+    found = graph.label_propagation(edge.where("relation_type = 'lives_in'"), rounds=2)
+    return found.groupBy("community").agg(F.count("*").alias("size"), F.min("node_id").alias("first_member")).where("size >= 10")
+
+
+@query("g14_associative_expansion", """WITH e AS (SELECT *, length(to_node_id) AS support_count FROM {edge}), b AS (SELECT from_node_id AS node_id, to_node_id AS other, relation_type, support_count FROM e UNION ALL SELECT to_node_id, from_node_id, relation_type, support_count FROM e)
+  SELECT node_id, other FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY support_count DESC, other, relation_type) AS r FROM b WHERE node_id IN ('location:1', 'person:5', 'artifact:9')) WHERE r <= 8""", "edge")
+def g14(edge: DataFrame) -> DataFrame:
+    seeds = edge.sparkSession.createDataFrame([("location:1",), ("person:5",), ("artifact:9",)], "node_id string")
+    return graph.expand(edge.withColumn("support_count", F.length("to_node_id")), seeds, 8).select("node_id", "other")
+
+
+def _walk(i: int) -> str:
+    return f"""m{i} AS (SELECT b AS node_id, sum(p{i - 1}.score / d.d) AS m FROM nb JOIN d ON d.a = nb.a JOIN p{i - 1} ON p{i - 1}.node_id = nb.a GROUP BY 1),
+      p{i} AS (SELECT n.node_id, n.t, 0.85 * coalesce(m, 0) + 0.15 * n.t AS score FROM n LEFT JOIN m{i} ON m{i}.node_id = n.node_id)"""
+
+
+@query("g15_personalised_pagerank", f"""WITH {_SMALL}, d AS (SELECT a, count(*) AS d FROM nb GROUP BY a), n AS (SELECT a AS node_id, CASE a WHEN 'person:5' THEN 2.0::DOUBLE / 3.5 WHEN 'location:1' THEN 1.5::DOUBLE / 3.5 ELSE 0 END AS t FROM d),
+  p0 AS (SELECT node_id, t, t AS score FROM n), {_walk(1)}, {_walk(2)}, {_walk(3)} SELECT node_id, round(score, 8) AS score FROM p3""", "edge")
+def g15(edge: DataFrame) -> DataFrame:
+    ranks = graph.personalised_pagerank(edge.where("relation_type = 'lives_in'"), ["person:5", "location:1"], rounds=3)
+    return ranks.select("node_id", F.round("score", 8).alias("score"))
+
+
+@query("g16_edge_relevance", """SELECT from_node_id, to_node_id, round(greatest(a.support_count, b.support_count) + 0.5 * least(a.support_count, b.support_count) + 0.015 * ln(1 + greatest(a.support_count, 1)), 9)::DOUBLE AS relevance FROM {edge} JOIN {node} a ON a.node_id = from_node_id JOIN {node} b ON b.node_id = to_node_id""", "edge", "node")
+def g16(edge: DataFrame, node: DataFrame) -> DataFrame:
+    side = lambda s: node.select(F.col("node_id").alias(f"{s}_node_id"), F.col("support_count").alias(s))
+    both = edge.join(side("from"), "from_node_id").join(side("to"), "to_node_id")
+    a, b = F.col("from"), F.col("to")
+    score = F.greatest(a, b) + 0.5 * F.least(a, b) + 0.015 * F.log1p(F.greatest(a, F.lit(1)))
+    return both.select("from_node_id", "to_node_id", F.round(score, 9).alias("relevance"))
+
+
+@query("g18_sense_dominance", "SELECT node_id FROM (SELECT *, max(support_count) OVER (PARTITION BY node_type) AS m FROM {node}) WHERE support_count >= greatest(m // 2, 1)", "node")
+def g18(node: DataFrame) -> DataFrame:
+    return graph.sense_dominance(node, ["node_type"], floor=2).select("node_id")
+
+
+@query("g24_missing_nodes", "SELECT d.document_id FROM {document} d WHERE NOT EXISTS (SELECT 1 FROM {node} n WHERE n.node_id = 'person:' || d.document_id) AND d.document_state = 'active'", "document", "node")
+def g24(document: DataFrame, node: DataFrame) -> DataFrame:
+    known = node.select(F.expr("try_cast(split_part(node_id, ':', 2) AS bigint)").alias("document_id"), "node_type").where("node_type = 'person'")
+    return document.where("document_state = 'active'").join(known, "document_id", "left_anti").select("document_id")
+
+
+@query("g26_top_entities", "SELECT node_id, support_count FROM {node} ORDER BY support_count DESC, label, node_id LIMIT 40", "node")
+def g26(node: DataFrame) -> DataFrame:
+    return node.orderBy(F.desc("support_count"), "label", "node_id").limit(40).select("node_id", "support_count")
+
+
+@query("t06_ranked_subgraph", """WITH t AS (SELECT node_id FROM {node} ORDER BY support_count DESC, label, node_id LIMIT 300) SELECT DISTINCT from_node_id, relation_type, to_node_id FROM {edge} WHERE from_node_id IN (SELECT node_id FROM t) AND to_node_id IN (SELECT node_id FROM t)
+  ORDER BY 1, 2, 3 LIMIT 750""", "node", "edge")
+def t06(node: DataFrame, edge: DataFrame) -> DataFrame:
+    return graph.ranked_subgraph(node, edge, 300)[1]
+
+
+@query("g29_stale_evidence", """SELECT r.revision_id FROM {revision} r WHERE NOT EXISTS (SELECT 1 FROM {document} d WHERE d.document_id = r.document_id AND (d.readable_revision_id = r.revision_id OR d.active_revision_id = r.revision_id))""", "revision", "document")
+def g29(revision: DataFrame, document: DataFrame) -> DataFrame:
+    heads = document.select("document_id", F.explode(F.array("readable_revision_id", "active_revision_id")).alias("revision_id")).where("revision_id IS NOT NULL")
+    return revision.join(heads, ["document_id", "revision_id"], "left_anti").select("revision_id")
+
+
+@query("g13_community_summary", """SELECT c_nationkey, string_agg(c_name, ', ' ORDER BY r) AS summary FROM (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) WHERE r <= 3 GROUP BY 1""", "customer")
+def g13(customer: DataFrame) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    top = customer.withColumn("r", F.row_number().over(w)).where("r <= 3")
+    return top.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c_name"))), lambda x: x["c_name"]), ", ").alias("summary"))
