@@ -1 +1,75 @@
-"""Queries."""
+"""Queries of technical facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..operators import blocks, facts
+from ..registry import query
+
+_KEYS = r"""f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|\s)([a-z][a-z0-9_.-]{2,40}) ?= ?\S', 1)) AS v FROM {documents})"""
+
+
+def _facts(documents: DataFrame) -> DataFrame:
+    return facts.extract(blocks.line_chunks(documents), ["doc_id", "chunk_index"], "content_text")
+
+
+@query("f01_technical_facts", None, "documents")
+def f01(documents: DataFrame) -> DataFrame:
+    return _facts(documents)
+
+
+@query(
+    "f02_urls_in_pages",
+    r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^ <>")]+'))) AS n_urls FROM {pages}""",
+    "pages",
+)
+def f02(pages: DataFrame) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('https?://[^ <>")]+'), F.lit(0))
+    return pages.select("page_id", F.size(F.array_distinct(found)).alias("n_urls"))
+
+
+@query("f07_query_parameters", r"SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[?&]([A-Za-z0-9_]+)=', 1))) AS parameter FROM {pages}", "pages")
+def f07(pages: DataFrame) -> DataFrame:
+    names = F.array_distinct(F.regexp_extract_all("url", F.lit(r"[?&]([A-Za-z0-9_]+)="), F.lit(1)))
+    return pages.select("page_id", F.explode(names).alias("parameter"))
+
+
+@query("f09_configuration_keys", f"WITH {_KEYS} SELECT doc_id, lower(v) AS canonical_value, count(*) AS n FROM f GROUP BY 1, 2", "documents")
+def f09(documents: DataFrame) -> DataFrame:
+    found = facts.extract(documents, ["doc_id"], "text").where("fact_kind = 'configuration_key'")
+    return found.groupBy("doc_id", "canonical_value").agg(F.count("*").alias("n"))
+
+
+@query("f10_normal_values", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size * 3000 BETWEEN 1 AND 65535 THEN CAST(p_size * 3000 AS VARCHAR) END WHEN 1 THEN CASE WHEN p_size * 20 BETWEEN 100 AND 599 THEN CAST(p_size * 20 AS VARCHAR) END ELSE upper(p_type) END AS value FROM {part}""", "part")
+def f10(part: DataFrame) -> DataFrame:
+    i = F.col("p_partkey") % 3
+    kind = F.when(i == 0, "port").when(i == 1, "status_code").otherwise("error_code")
+    value = F.when(i == 0, (F.col("p_size") * 3000).cast("string")).when(i == 1, (F.col("p_size") * 20).cast("string")).otherwise(F.concat("p_type", F.lit(".")))
+    return part.select("p_partkey", facts.normal_value(kind, value).alias("value"))
+
+
+@query("f11_fact_aggregate", None, "documents")
+def f11(documents: DataFrame) -> DataFrame:
+    return facts.aggregate(_facts(documents), ["doc_id"], "chunk_index")
+
+
+@query("f12_fact_conflicts", """SELECT p_brand, p_type, n AS alternatives FROM (SELECT p_brand, p_type, count(DISTINCT p_type) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_type FROM {part} WHERE p_size > 45)) WHERE n > 1""", "part")
+def f12(part: DataFrame) -> DataFrame:
+    rows = part.where("p_size > 45").select("p_brand", F.lit("type").alias("fact_kind"), F.col("p_type").alias("canonical_value")).distinct()
+    return facts.conflicts(rows, ["p_brand"]).select("p_brand", F.col("canonical_value").alias("p_type"), "alternatives")
+
+
+@query("f13_dotted_versions", r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'))) AS term FROM {documents}", "documents")
+def f13(documents: DataFrame) -> DataFrame:
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"), F.lit(0)))
+    return documents.select("doc_id", F.explode(terms).alias("term"))
+
+
+@query("f14_version_parts", "SELECT p_partkey, p_size % 9 AS major, p_partkey % 20 AS minor FROM {part}", "part")
+def f14(part: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("release v"), (F.col("p_size") % 9).cast("string"), F.lit("."), (F.col("p_partkey") % 20).cast("string"), F.lit(" of 2024"))
+    parts = fn.version_parts(text)
+    return part.select("p_partkey", F.get(parts, F.lit(0)).alias("major"), F.get(parts, F.lit(1)).alias("minor"))

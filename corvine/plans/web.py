@@ -1 +1,85 @@
-"""Queries."""
+"""Queries of pages, URLs and crawls."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import crawl, filters
+from ..registry import query
+from ..sources import html
+
+_URL = r"""u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1) || '://' || lower(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 2)) ||
+  CASE WHEN regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) = '' THEN '/' ELSE regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) END || regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 4) AS normal_url,
+  lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM {pages})"""
+
+
+@query("s10_html_main_content", None, "pages")
+def s10(pages: DataFrame) -> DataFrame:
+    return html.extract_pages(pages).select("page_id", "title", "text", F.size("links").alias("n_links"))
+
+
+@query("p20_html_title", r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM {pages}", "pages")
+def p20_title(pages: DataFrame) -> DataFrame:
+    return html.extract_pages(pages).select("page_id", "title")
+
+
+@query("p20_outbound_links", None, "pages")
+def p20(pages: DataFrame) -> DataFrame:
+    return html.extract_pages(pages).select("page_id", F.explode("links").alias("target"))
+
+
+@query("sf_url_normalise", f"WITH {_URL} SELECT page_id, normal_url, host FROM u", "pages")
+def url_normalise(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", html.normal_url_column(F.col("url")).alias("normal_url"), html.url_host(F.col("url")).alias("host"))
+
+
+@query("q04_duplicate_urls", f"WITH {_URL} SELECT normal_url, min(page_id) AS page_id, count(*) AS copies FROM u GROUP BY normal_url", "pages")
+def q04(pages: DataFrame) -> DataFrame:
+    return pages.groupBy(html.normal_url_column(F.col("url")).alias("normal_url")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
+
+
+@query("x16_host_relation", f"WITH {_URL} SELECT page_id, CASE WHEN host = 'example.com' THEN 'same' WHEN host LIKE '%.example.com' THEN 'subdomain' ELSE 'external' END AS relation FROM u", "pages")
+def x16(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", html.host_relation(html.url_host(F.col("url")), F.lit("example.com")).alias("relation"))
+
+
+@query("x15_url_filters", r"""SELECT page_id, CASE WHEN starts_with(url, 'http://blog.') OR regexp_matches(url, '^.*ref=.$') THEN 'blocked' WHEN starts_with(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/en/') OR regexp_matches(url, '^https.*\.net/.*$') THEN 'allowed' ELSE 'not_allowed' END AS decision FROM {pages}""", "pages")
+def x15(pages: DataFrame) -> DataFrame:
+    url, path = F.col("url"), F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    decision = filters.url_allowed(url, path, [("path_prefix", "/en/"), ("glob", "https*.net/*")], [("url_prefix", "http://blog."), ("glob", "*ref=?")])
+    return pages.select("page_id", decision.alias("decision"))
+
+
+_NEXT = "k AS (SELECT p_partkey AS source, (p_partkey * 7 + 3) % 500 AS target FROM {part} WHERE p_partkey < 500 UNION SELECT p_partkey, (p_partkey * 3 + 11) % 500 FROM {part} WHERE p_partkey < 500)"
+
+
+@query("q01_crawl_waves", f"""WITH {_NEXT}, w0 AS (SELECT '1' AS url), w1 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w0 ON source::VARCHAR = url), w2 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w1 ON source::VARCHAR = url),
+  w3 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w2 ON source::VARCHAR = url), a AS (SELECT url, min(depth)::INTEGER AS depth FROM (SELECT url, 0 AS depth FROM w0 UNION ALL SELECT url, 1 FROM w1 UNION ALL SELECT url, 2 FROM w2 UNION ALL SELECT url, 3 FROM w3) GROUP BY 1)
+  SELECT url, depth FROM a ORDER BY depth, url LIMIT 10""", "part")
+def q01(part: DataFrame) -> DataFrame:
+    p = part.where("p_partkey < 500")
+    s = lambda e: F.expr(e).cast("string")
+    links = p.select(s("p_partkey").alias("source"), F.explode(F.array(s("(p_partkey * 7 + 3) % 500"), s("(p_partkey * 3 + 11) % 500"))).alias("target"))
+    return crawl.waves(links, part.sparkSession.createDataFrame([("1",)], "url string"), 3, 10)
+
+
+@query("q02_link_decisions", f"""WITH {_URL} SELECT page_id, CASE WHEN page_id % 5 > 3 THEN 'exceeded_depth' WHEN NOT (host = 'example.com' OR host LIKE '%.example.com') THEN 'outside_boundary' WHEN contains(url, 'page=') THEN 'url_filtered' ELSE 'queued' END AS decision FROM u""", "pages")
+def q02(pages: DataFrame) -> DataFrame:
+    relation = html.host_relation(html.url_host(F.col("url")), F.lit("example.com"))
+    filtered = filters.url_allowed(F.col("url"), F.lit("/"), [], [("glob", "*page=*")])
+    return pages.select("page_id", crawl.decision(F.col("page_id") % 5, relation, filtered, 3, "subdomains").alias("decision"))
+
+
+@query("q03_run_state", """SELECT user_id, CASE WHEN v > 0 AND e + s + p + c > 0 THEN 'completed_partial' WHEN e + s > 0 THEN 'failed' WHEN p > 0 THEN 'completed_partial' WHEN c > 0 THEN 'canceled' ELSE 'completed' END AS state FROM
+  (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS v, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS p,
+  count(*) FILTER (WHERE event_type = 'click') AS c FROM {events} WHERE value < 2 GROUP BY 1)""", "events")
+def q03(events: DataFrame) -> DataFrame:
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    return events.where("value < 2").groupBy("user_id").agg(crawl.terminal_state(n("view"), n("error"), n("signup"), n("purchase"), n("click")).alias("state"))
+
+
+@query("q04_first_of_canonical", f"WITH {_URL} SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM u) WHERE r = 1", "pages")
+def q04_first(pages: DataFrame) -> DataFrame:
+    w = Window.partitionBy(html.url_host(F.col("url"))).orderBy("page_id")
+    return pages.select("page_id", F.row_number().over(w).alias("r")).where("r = 1").select("page_id")
