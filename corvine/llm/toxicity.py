@@ -102,12 +102,11 @@ class Tagger:
         return 1.0 / (1.0 + math.exp(-x)) if x > -700 else 0.0
 
     def marginals(self, words: list[str]) -> tuple[float, dict[int, float]]:
-        """Sum of all tokens' marginals, and those of the tokens near a known one."""
+        """Sum of all tokens' marginals, and those of the tokens near a known one or an end."""
         known = {i: x for i, x in enumerate(map(self._known.__getitem__, words)) if x is not False}
         out: dict[int, float] = {}
-        if not known:
-            return len(words) * self._idle, out
-        places, bias, reach = sorted(known), self.model.bias, self.reach
+        # a text's ends are no fixed points either
+        places, bias, reach = sorted({*known, 0, len(words) - 1} if words else ()), self.model.bias, self.reach
         i = 0
         while i < len(places):
             j = i
