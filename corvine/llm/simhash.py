@@ -17,6 +17,7 @@ so no link is lost, and a point has at most 65 nodes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -145,3 +146,81 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = components(link(nodes.where(F.col("node").isNotNull())))
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return done.join(labels, "fp").select(id_col, "fp", "component_id")
+
+
+# ---- near copies of lower similarity: several fingerprints of one text
+
+#: Fingerprints of a text, and the constants that make them from one hash (splitmix64). Fixed values.
+SKETCHES = 8
+_STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+
+
+def sketch(text: str, words_per_shingle: int = 5, sketches: int = SKETCHES) -> list[int]:
+    """So many independent 64-bit SimHashes of a text's shingles, signed; zeros without words."""
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return [0] * sketches
+    data = b" ".join(words)
+    first = [0, *accumulate(len(w) + 1 for w in words)]
+    span = min(words_per_shingle, len(words))
+    total, votes = len(words) - span + 1, np.zeros((sketches, 64), dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, total, BLOCK):
+        stop = min(at + BLOCK, total)
+        h = np.array([digest(data[s : e - 1], SEED) for s, e in zip(first[at:stop], first[at + span : stop + span])], dtype=np.uint64)
+        for k in range(sketches):
+            z = h + np.uint64(_STEP * k & (1 << 64) - 1)
+            for shift, factor in _MIX:
+                z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+            votes[k] += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > total, axis=1).view(">i8").ravel().astype(int).tolist()
+
+
+def most_bits(similarity: float, sketches: int = SKETCHES) -> int:
+    """Bits in which texts of that Jaccard similarity differ, and one standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * sketches
+    return round(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, component_id)`` of texts linked by an estimated similarity of their shingles.
+
+    Two bits in 64 are reached by few texts of 0.8 or 0.9.  So a text has several independent
+    fingerprints; texts meet on any pair of bands of any of them, and the distance over all
+    decides, which estimates the similarity.  Those that meet on a key are compared with the
+    least of them, those that differ from it once more among themselves, and so on: the
+    pairs of a round are no more than the rows, whatever a key's crowd.  Pairs of 0.95 meet in
+    over 95 of 100 cases, of 0.9 in 70; copies of one text also meet through each other.
+    Nulls, empty texts and repeated rows as in ``near_duplicates``.
+    """
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, text in rows:
+            yield key, sketch(text or "", words_per_shingle)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    done = materialize(map_rows(df.select(id_col, text_col), run, f"`{id_col}` {kind}, fps array<bigint>"), "sketches")
+    nodes = materialize(done.groupBy("fps").agg(F.min(id_col).alias("node")), "nodes")
+    keys = []
+    for k in range(SKETCHES):
+        keys += [F.xxhash64(F.lit(k), c) for c in _band_keys(F.get("fps", F.lit(k)))]
+    keyed = nodes.where("node IS NOT NULL").select("node", F.explode(F.array(*keys)).alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_ = materialize(keyed.join(crowded, "key"), "met")
+    a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}")) for n in "ab")
+    apart = sum((F.bit_count(F.get("fa", F.lit(k)).bitwiseXOR(F.get("fb", F.lit(k)))) for k in range(SKETCHES)), F.lit(0))
+    links = None
+    while not open_.isEmpty():
+        hubs = open_.groupBy("key").agg(F.min("node").alias("hub"))
+        paired = open_.join(hubs, "key").where("node <> hub")
+        pairs = paired.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        close = materialize(pairs.join(a, "a").join(b, "b").where(apart <= most_bits(similarity)).select("a", "b"), "close")
+        links = close if links is None else links.unionByName(close)
+        far = paired.join(close, (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("key", "node")
+        again = far.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        open_ = materialize(far.join(again, "key"), "met")
+    if links is None:
+        links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    labels = nodes.join(components(links), "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    return done.join(labels, "fps").select(id_col, "component_id")
