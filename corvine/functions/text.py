@@ -7,23 +7,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC-normalised, lower-cased text; Spark has no normalisation of its own."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unaccent(text: pd.Series) -> pd.Series:
     """Text without combining marks."""
     strip = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", strip(t)))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
     """UTF-8 that was read as Latin-1, span by span; what doesn't decode stays."""
 

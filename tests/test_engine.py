@@ -23,3 +23,13 @@ def test_engine_graph(spark):
     assert {(r.node_id, r.depth) for r in engine.neighbourhood(["a"], 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert abs(sum(r.score for r in engine.related(["a"]).collect()) - 1) < 1e-9
     assert [r.node_id for r in engine.entities("be").collect()] == ["b"]
+
+
+def test_entry_points_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
