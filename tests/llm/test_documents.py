@@ -268,3 +268,41 @@ def test_archive(spark):
         assert found[i].payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode() == fields[b"WARC-Payload-Digest"].decode()[5:]
     assert archive.payloads(spark).count() == 4
     assert warc.read_records(spark, warc.write_archive(pages.limit(0), warc.new_archive_path(spark))).count() == 0
+
+
+# ---- near copies of the pipeline
+
+
+def test_near_copies(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, truth = [], {}
+    for group in range(40):
+        base = [word() for _ in range(300)]
+        for copy in range(3):
+            words = list(base)
+            for i in rng.sample(range(300), copy):  # one or two words changed: similarity of 0.93 or more
+                words[i] = word()
+            docs.append((10 * group + copy, " ".join(words)))
+            truth[10 * group + copy] = 10 * group
+    docs += [(1000 + i, " ".join(word() for _ in range(80))) for i in range(60)]
+    docs += [(2000, None), (2001, ""), (None, "alone here"), (1000, docs[120][1])]
+    found = simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(found) == len(docs)
+    by_id = {r.doc_id: r.component_id for r in found}
+    caught = sum(by_id[i] == g for i, g in truth.items())
+    assert caught >= 0.9 * len(truth) and all(by_id[1000 + i] == 1000 + i for i in range(60)) and by_id[2001] == 2000
+    assert simhash.near_copies(spark.createDataFrame(docs[:0], "doc_id bigint, text string")).count() == 0
+
+
+def test_near_copies_of_a_crowd(spark):
+    """Many copies that all meet: every round compares with one hub per key, and all are found."""
+    rng = random.Random(5)
+    base = [str(rng.random()) for _ in range(200)]
+    docs = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(200)] = str(rng.random())
+        docs.append((i, " ".join(words)))
+    found = simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sum(r.component_id == 0 for r in found) >= 147
