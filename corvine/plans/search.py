@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, ranking, search
+from ..operators import filters, joins, ranking, search
 from ..registry import query
 from ..tables import load
 
@@ -206,9 +206,7 @@ def r15(part: DataFrame) -> DataFrame:
 @query("r16_section_siblings", """SELECT DISTINCT b.l_orderkey, b.l_linenumber FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_quantity >= 50 AND b.l_linenumber BETWEEN a.l_linenumber - 3 AND a.l_linenumber + 64""", "lineitem")
 def r16(lineitem: DataFrame) -> DataFrame:
     anchors = lineitem.where("l_quantity >= 50").select("l_orderkey", (F.col("l_linenumber") - 3).alias("low"), (F.col("l_linenumber") + 64).alias("high"))
-    from ..operators.joins import within_ranges
-
-    return within_ranges(lineitem, anchors, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber").distinct()
+    return joins.within_ranges(lineitem, anchors, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber").distinct()
 
 
 @query("r25_context_balance", """SELECT c_nationkey, CASE WHEN g = 0 OR d = 0 OR abs(g - d) > 2 THEN 'skewed' ELSE 'balanced' END AS status FROM (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 5000) AS g, count(*) FILTER (WHERE c_acctbal <= 5000) AS d FROM {customer} GROUP BY 1)""", "customer")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ranking import first_per_group
 
@@ -28,9 +30,6 @@ def export(tables: dict[str, DataFrame], path: str) -> None:
 
 def import_(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a snapshot; an unknown version or a wrong row count is an error."""
-    from pyspark.sql.types import StructType
-    import json
-
     out = {}
     for row in spark.read.schema("table_name string, schema_version int, schema string, row_count bigint").json(f"{path}/manifest").collect():
         if row.schema_version not in ACCEPTED:
