@@ -179,7 +179,8 @@ def _lexicon(docs: list[tuple[list[str], int]], training: Training) -> dict[str,
 
 def fit(texts: list[tuple[str, int]], training: Training = Training()) -> Model:
     """Train tagger and document function on labelled texts; without both labels, an idle model."""
-    docs = [(WORD.findall(t.lower()), y) for t, y in texts]
+    once: dict[str, str] = {}  # equal words are one object, so the sample stays small on the driver
+    docs = [([once.setdefault(w, w) for w in WORD.findall(t.lower())], y) for t, y in texts]
     if len({y for _, y in docs}) < 2:
         return Model(document=(-8.0, 0.0, 0.0) if not any(y for _, y in docs) else (0.0, 0.0, 0.0))
     odds = _lexicon(docs, training)
