@@ -153,23 +153,30 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 # ---- near copies of lower similarity: several fingerprints of one text
 
-#: Fingerprints of a text, and the bands of each that texts meet on: three of six with ten bits.
+#: Fingerprints of a text.
 SKETCHES = 8
-MEETING = (6, 10, 3)
-#: Constants that make fingerprints from one hash (splitmix64). Fixed values.
+#: Keys that texts meet on, and least hashes (MinHash) that a key is made of.  A key is equal for
+#: texts of similarity s with probability s**6: of pairs at 0.8 all 24 differ in 7 of 10,000.
+KEYS, LEAST = 24, 6
+#: Constants that make fingerprints from one hash (splitmix64), and orders of hashes. Fixed values.
 _STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+_ORDERS = np.array([[xxhash.xxh64_intdigest(b"order %d" % i, SEED), xxhash.xxh64_intdigest(b"factor %d" % i, SEED) | 1] for i in range(KEYS * LEAST)], dtype=np.uint64)
 
 
-def sketch(text: str, words_per_shingle: int = 5, sketches: int = SKETCHES) -> list[int]:
-    """So many independent 64-bit SimHashes of a text's distinct shingles, signed; zeros without words."""
+def shingle_hashes(text: str, words_per_shingle: int = 5) -> np.ndarray:
+    """XXH64 hashes of a text's distinct shingles, in order; none without words."""
     words = text.encode("utf-8").lower().split()
     if not words:
-        return [0] * sketches
+        return np.empty(0, dtype=np.uint64)
     data = b" ".join(words)
     first = [0, *accumulate(len(w) + 1 for w in words)]
     span = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(data[s : e - 1], SEED) for s, e in zip(first, first[span:])], dtype=np.uint64))
+    return np.unique(np.array([digest(data[s : e - 1], SEED) for s, e in zip(first, first[span:])], dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> list[int]:
+    """So many independent 64-bit SimHashes of distinct shingles, signed; zeros without any."""
     votes = np.zeros((sketches, 64), dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
         for k in range(sketches):
@@ -180,6 +187,17 @@ def sketch(text: str, words_per_shingle: int = 5, sketches: int = SKETCHES) -> l
     return np.packbits(2 * votes > len(hashes), axis=1).view(">i8").ravel().astype(int).tolist()
 
 
+def meeting_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of distinct shingles, signed; none without any."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_ORDERS), (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), BLOCK >> 5):
+        np.minimum(least, ((hashes[at : at + (BLOCK >> 5), None] ^ _ORDERS[:, 0]) * _ORDERS[:, 1]).min(axis=0), out=least)
+    found = [xxhash.xxh64_intdigest(least[LEAST * i : LEAST * (i + 1)].tobytes(), i) for i in range(KEYS)]
+    return [x - (x >> 63 << 64) for x in found]
+
+
 def most_bits(similarity: float, sketches: int = SKETCHES) -> int:
     """Bits in which texts of that Jaccard similarity differ, and one standard deviation more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -191,25 +209,23 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     """``(id, component_id)`` of texts linked by an estimated similarity of their shingles.
 
     Two bits in 64 are reached by few texts of 0.8 or 0.9.  So a text has several independent
-    fingerprints; texts meet on any three bands of any of them, and the distance over all
-    decides, which estimates the similarity.  Those that meet on a key are compared with the
-    least of them, those that differ from it once more among themselves, and so on: the
-    pairs of a round are no more than the rows, whatever a key's crowd.  Of
-    pairs of 0.95, 0.9, 0.85 and 0.8 similarity about 84, 79, 56 and 34 of 100 are linked
-    directly; copies of one text also meet through each other.
+    fingerprints, and the distance over all decides, which estimates the similarity.  Texts
+    meet on keys of least hashes, sized for the similarity (``KEYS``).  Those that meet on a
+    key are compared with the least of them, those that differ from it once more among
+    themselves, and so on: the pairs of a round are no more than the rows, whatever a key's
+    crowd.
     Nulls, empty texts and repeated rows as in ``near_duplicates``.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
-            yield key, sketch(text or "", words_per_shingle)
+            hashes = shingle_hashes(text or "", words_per_shingle)
+            yield key, sketch(hashes), meeting_keys(hashes)
 
     kind = df.schema[id_col].dataType.simpleString()
-    done = materialize(map_rows(df.select(id_col, text_col), run, f"`{id_col}` {kind}, fps array<bigint>"), "sketches")
-    nodes = materialize(done.groupBy("fps").agg(F.min(id_col).alias("node")), "nodes")
-    # a key is the bands' 30 bits, their choice (20) and the fingerprint (8)
-    keys = [F.lit(k << 40).cast("bigint").bitwiseOR(c) for k in range(SKETCHES) for c in _band_keys(F.get("fps", F.lit(k)), *MEETING)]
-    keyed = nodes.where("node IS NOT NULL").select("node", F.explode(F.array(*keys)).alias("key"))
+    done = materialize(map_rows(df.select(id_col, text_col), run, f"`{id_col}` {kind}, fps array<bigint>, keys array<bigint>"), "sketches")
+    nodes = materialize(done.groupBy("fps").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     at_key = Window.partitionBy("key")
     open_ = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
     a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}")) for n in "ab")

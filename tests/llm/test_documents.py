@@ -306,3 +306,27 @@ def test_near_copies_of_a_crowd(spark):
         docs.append((i, " ".join(words)))
     found = simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sum(r.component_id == 0 for r in found) >= 147
+
+
+def pairs_at(similarity, n, seed, words=200):
+    """Texts in pairs (2i, 2i + 1), as dissimilar as words exchanged one by one leave at least that similarity."""
+    rng, docs = random.Random(seed), []
+    sets = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(n):
+        a = [f"w{rng.getrandbits(40):x}" for _ in range(words)]
+        b = list(a)
+        while True:
+            c = list(b)
+            c[rng.randrange(words)] = f"w{rng.getrandbits(40):x}"
+            if len(sets(a) & sets(c)) < similarity * len(sets(a) | sets(c)):
+                break
+            b = c
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return docs
+
+
+def test_near_pairs_meet():
+    """Groups of two, which have no third text to meet through: nearly all share a key."""
+    for similarity in (0.8, 0.85, 0.9, 0.95):
+        docs = [set(simhash.meeting_keys(simhash.shingle_hashes(t))) for _, t in pairs_at(similarity, 100, 6)]
+        assert sum(bool(a & b) for a, b in zip(docs[::2], docs[1::2])) >= 99
