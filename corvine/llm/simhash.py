@@ -211,9 +211,10 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     Two bits in 64 are reached by few texts of 0.8 or 0.9.  So a text has several independent
     fingerprints, and the distance over all decides, which estimates the similarity.  Texts
     meet on keys of least hashes, sized for the similarity (``KEYS``).  Those that meet on a
-    key are compared with the least of them, those that differ from it once more among
-    themselves, and so on: the pairs of a round are no more than the rows, whatever a key's
-    crowd.
+    key are first all compared with the least of them, the hub: that links a crowd of copies by as
+    many pairs as it has rows.  Then every pair at a key that links don't connect yet is compared,
+    so each pair that meets is decided or connected.  For these the distances to the hub are a
+    pivot table: a pair whose distances to it differ by more than the reach is discarded.
     Nulls, empty texts and repeated rows as in ``near_duplicates``.
     """
 
@@ -227,19 +228,21 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     nodes = materialize(done.groupBy("fps").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     at_key = Window.partitionBy("key")
-    open_ = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
+    met = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
     a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}")) for n in "ab")
     apart = sum((F.bit_count(F.get("fa", F.lit(k)).bitwiseXOR(F.get("fb", F.lit(k)))) for k in range(SKETCHES)), F.lit(0))
-    links = None
-    while not open_.isEmpty():
-        paired = open_.where("node <> hub")
-        pairs = paired.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        close = materialize(pairs.join(a, "a").join(b, "b").where(apart <= most_bits(similarity)).select("a", "b"), "close")
-        links = close if links is None else links.unionByName(close)
-        far = paired.join(close, (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("key", "node")
-        again = far.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
-        open_ = materialize(far.join(again, "key"), "met")
-    if links is None:
-        links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    reach = most_bits(similarity)
+    pairs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    tables = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", apart.alias("bits")), "tables")
+    links = tables.where(F.col("bits") <= reach).select("a", "b")
+    # what the hubs left apart: pairs at a key that no links connect
+    known = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+    known = known.join(split, "key").join(tables.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"]).select("key", "node", "part", "bits")
+    left = materialize(known, "left")
+    x, y = left.alias("x"), left.alias("y")
+    others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (F.abs(F.col("x.bits") - F.col("y.bits")) <= reach))
+    others = others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = materialize(links.unionByName(others.join(a, "a").join(b, "b").where(apart <= reach).select("a", "b")), "close")
     labels = nodes.join(components(links), "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
     return done.join(labels, "fps").select(id_col, "component_id")

@@ -330,3 +330,23 @@ def test_near_pairs_meet():
     for similarity in (0.8, 0.85, 0.9, 0.95):
         docs = [set(simhash.meeting_keys(simhash.shingle_hashes(t))) for _, t in pairs_at(similarity, 100, 6)]
         assert sum(bool(a & b) for a, b in zip(docs[::2], docs[1::2])) >= 99
+
+
+def chain(versions, seed, words=200, step=3):
+    """Versions of a text, each with a few more words exchanged: neighbours are alike, others are not."""
+    rng = random.Random(seed)
+    now = [f"w{rng.getrandbits(40):x}" for _ in range(words)]
+    out = [" ".join(now)]
+    for i in range(1, versions):
+        for k in range(step):
+            now[words // step * k + 5 * i] = f"w{rng.getrandbits(40):x}"
+        out.append(" ".join(now))
+    return out
+
+
+def test_near_copies_of_a_chain_at_one_key(spark, monkeypatch):
+    """Every pair that meets is decided, though the hub is close to one version only."""
+    monkeypatch.setattr(simhash, "meeting_keys", lambda hashes: [1] * bool(len(hashes)))
+    docs = [*enumerate(chain(12, 7)), *[(100 + i, t) for i, t in enumerate(chain(8, 8))], (200, "quite another text of a few words")]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == {i: i // 100 * 100 for i, _ in docs}
