@@ -31,7 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id.
 
-    Shingles of five words, an estimated similarity of 0.8 or more.
+    Sets of five-word shingles with a Jaccard similarity of 0.8 or more.
     """
     found = simhash.near_copies(docs, similarity=0.8, words_per_shingle=5)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()

@@ -198,43 +198,69 @@ def meeting_keys(hashes: np.ndarray) -> list[int]:
     return [x - (x >> 63 << 64) for x in found]
 
 
-def most_bits(similarity: float, sketches: int = SKETCHES) -> int:
-    """Bits in which texts of that Jaccard similarity differ, and one standard deviation more."""
+def most_bits(similarity: float, sketches: int = SKETCHES, deviations: float = 6) -> int:
+    """Bits in which texts of that Jaccard similarity differ, and so many standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * sketches
-    return round(n * p + math.sqrt(n * p * (1 - p)))
+    return round(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
 def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component_id)`` of texts linked by an estimated similarity of their shingles.
+    """``(id, component_id)`` of texts linked by the Jaccard similarity of their sets of shingles.
 
-    Two bits in 64 are reached by few texts of 0.8 or 0.9.  So a text has several independent
-    fingerprints, and the distance over all decides, which estimates the similarity.  Texts
-    meet on keys of least hashes, sized for the similarity (``KEYS``).  Those that meet on a
+    Texts meet on keys of least hashes, sized for 0.8 (``KEYS``).  Those that meet on a
     key are first all compared with the least of them, the hub: that links a crowd of copies by as
     many pairs as it has rows.  Then every pair at a key that links don't connect yet is compared,
     so each pair that meets is decided or connected.  For these the distances to the hub are a
     pivot table: a pair whose distances to it differ by more than the reach is discarded.
+    Distances are those of several independent fingerprints and only discard pairs, six
+    standard deviations beyond the similarity; the sets of shingles (as 64-bit hashes) of
+    the others are compared, and nothing is linked on an estimate.
     Nulls, empty texts and repeated rows as in ``near_duplicates``.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
             hashes = shingle_hashes(text or "", words_per_shingle)
-            yield key, sketch(hashes), meeting_keys(hashes)
+            data = hashes.tobytes()
+            yield key, xxhash.xxh3_128_digest(data), len(hashes), sketch(hashes), meeting_keys(hashes), data
+
+    def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for a, b, one, two in rows:
+            x, y = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both):
+                yield a, b
 
     kind = df.schema[id_col].dataType.simpleString()
-    done = materialize(map_rows(df.select(id_col, text_col), run, f"`{id_col}` {kind}, fps array<bigint>, keys array<bigint>"), "sketches")
-    nodes = materialize(done.groupBy("fps").agg(F.min(id_col).alias("node"), F.first("keys").alias("keys")), "nodes")
+    schema = f"`{id_col}` {kind}, digest binary, size int, fps array<bigint>, keys array<bigint>, shingles binary"
+    done = materialize(map_rows(df.select(id_col, text_col), run, schema), "sketches")
+    # equal sets of shingles are one node
+    nodes = materialize(done.groupBy("digest").agg(F.min(id_col).alias("node"), *[F.first(c).alias(c) for c in ("size", "fps", "keys")]), "nodes")
     keyed = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    at_key = Window.partitionBy("key")
-    met = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
-    a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}")) for n in "ab")
+    a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}"), F.col("size").alias(f"n{n}")) for n in "ab")
     apart = sum((F.bit_count(F.get("fa", F.lit(k)).bitwiseXOR(F.get("fb", F.lit(k)))) for k in range(SKETCHES)), F.lit(0))
     reach = most_bits(similarity)
-    pairs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    tables = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", apart.alias("bits")), "tables")
-    links = tables.where(F.col("bits") <= reach).select("a", "b")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Their distances, and whether these and the sizes of the sets allow the similarity."""
+        near = (F.col("bits") <= reach) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+        return pairs.join(a, "a").join(b, "b").withColumn("bits", apart).select("a", "b", "bits", near.alias("near"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those whose sets of shingles have the similarity."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(asked, "node", "left_semi").select("node", "digest")
+        sets = done.join(wanted, (done.digest == wanted.digest) & (done[id_col] == wanted.node)).select("node", wanted.digest, "shingles")
+        sets = materialize(sets.dropDuplicates(["node", "digest"]).select("node", "shingles"), "sets")
+        one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+        return materialize(map_rows(both, verify, f"a {kind}, b {kind}"), "close")
+
+    at_key = Window.partitionBy("key")
+    met = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
+    tables = materialize(measured(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "tables")
+    links = alike(tables.where("near").select("a", "b"))
     # what the hubs left apart: pairs at a key that no links connect
     known = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
@@ -242,7 +268,7 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     left = materialize(known, "left")
     x, y = left.alias("x"), left.alias("y")
     others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (F.abs(F.col("x.bits") - F.col("y.bits")) <= reach))
-    others = others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = materialize(links.unionByName(others.join(a, "a").join(b, "b").where(apart <= reach).select("a", "b")), "close")
-    labels = nodes.join(components(links), "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
-    return done.join(labels, "fps").select(id_col, "component_id")
+    others = measured(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()).where("near").select("a", "b")
+    links = links.unionByName(alike(materialize(others, "others")))
+    labels = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return done.join(labels, "digest").select(id_col, "component_id")

@@ -350,3 +350,18 @@ def test_near_copies_of_a_chain_at_one_key(spark, monkeypatch):
     docs = [*enumerate(chain(12, 7)), *[(100 + i, t) for i, t in enumerate(chain(8, 8))], (200, "quite another text of a few words")]
     found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert found == {i: i // 100 * 100 for i, _ in docs}
+
+
+def test_near_copies_are_verified(spark):
+    """Pairs of the similarities around 0.8: those below stay apart, nearly all others are linked, as by brute force."""
+    docs, sets = [], {}
+    for k, similarity in enumerate((0.7, 0.75, 0.8, 0.85, 0.9, 0.95)):
+        docs += [(1000 * k + i, t) for i, t in pairs_at(similarity, 60, k)]
+    for i, t in docs:
+        w = t.split()
+        sets[i] = {" ".join(w[j : j + 5]) for j in range(len(w) - 4)}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    alike = {i: len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in sets if i % 2 == 0}
+    assert set(alike.values()) == {True, False}
+    assert all(found[i + 1] == i + 1 for i, yes in alike.items() if not yes)
+    assert sum(found[i + 1] == i for i, yes in alike.items() if yes) >= 0.99 * sum(alike.values())
