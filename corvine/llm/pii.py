@@ -37,11 +37,12 @@ BASE = {
 }
 
 #: Loose patterns of candidates: kind, and an expression whose group 1 is the span. Fixed values.
+#: Names and tokens have any length; possessive quantifiers keep the scan linear.
 LOOSE = [
-    ("secret", re.compile(r"\b\w{2,20}\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.~-]{6,200})")),
-    ("secret", re.compile(r"\b([A-Z]{3,5}[A-Z0-9]{13,40})\b")),
-    ("secret", re.compile(r"\b([0-9a-f]{16,128})\b")),
-    ("secret", re.compile(r"\b([a-z]{2,4}[_-][A-Za-z0-9]{16,100})\b")),
+    ("secret", re.compile(r"\b\w{2,}+\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.~-]{6,}+)")),
+    ("secret", re.compile(r"\b([A-Z]{3}[A-Z0-9]{13,}+)\b")),
+    ("secret", re.compile(r"\b([0-9a-f]{16,}+)\b")),
+    ("secret", re.compile(r"\b([a-z]{2,4}[_-][A-Za-z0-9]{16,}+)\b")),
     ("number", re.compile(r"(?<![\w+.-])(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])")),
     ("number", re.compile(r"(?<![\w+.-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])")),
     ("number", re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b")),
@@ -96,7 +97,7 @@ def _votes(kind: str, text: str, start: int, stop: int) -> str:
     letters = sum(c.isalpha() for c in value)
     say = lambda yes, no=False: "+" if yes else "-" if no else "0"
     if kind == "secret":
-        form = re.fullmatch(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,128}|[a-z]{2,4}[_-][A-Za-z0-9]{16,}", value) is not None
+        form = re.fullmatch(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,}|[a-z]{2,4}[_-][A-Za-z0-9]{16,}", value) is not None
         mixed = say(digits >= 3 and letters >= 3, digits == 0 or letters == 0)
     else:
         form = re.fullmatch(r"\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}.*", value) is not None

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -365,3 +366,28 @@ def test_near_copies_are_verified(spark):
     assert set(alike.values()) == {True, False}
     assert all(found[i + 1] == i + 1 for i, yes in alike.items() if not yes)
     assert sum(found[i + 1] == i for i, yes in alike.items() if yes) >= 0.99 * sum(alike.values())
+
+
+def test_secrets_of_any_length(spark):
+    """A candidate is the whole token, whatever its length and its name's."""
+    rng = random.Random(9)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHabcdefgh0123456789"
+    values = {
+        "token={}": ".".join(some(mixed, n) for n in (60, 700, 90)),
+        "AWS_SECRET_ACCESS_KEY={}": some(mixed, 40),
+        "THE_VERY_LONG_NAME_OF_A_SECRET_THAT_SOMEONE_SET: {}": some(mixed, 64),
+        "seen {} here": "ABC" + some("ABCDEF0123456789", 80),
+        "and {} here": some("abcdef0123456789", 300),
+        "or {} here": "sk_" + some(mixed, 400),
+    }
+    for form, value in values.items():
+        text = form.format(value)
+        assert [text[s:e] for _, s, e, _ in pii.candidates(text, pii.base_spans(text))] == [value]
+    docs = [(i, form.format(value)) for i, (form, value) in enumerate(values.items())]
+    found = pii.find_personal_data(spark.createDataFrame(docs, "doc_id bigint, text string"), keep_text=True).collect()
+    assert {r.doc_id: r.redacted for r in found} == {i: form.format("<secret>") for i, form in enumerate(values)}
+    began = time.process_time()
+    for text in ("a" * 10**6, "a1" * 10**6, "A1" * 10**6, "x_" * 10**6 + "=", "abc_" + "a" * 10**6 + "_"):
+        pii.candidates("1 " + text, [])
+    assert time.process_time() - began < 20
