@@ -235,10 +235,10 @@ def r32(lineitem: DataFrame) -> DataFrame:
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector lanes over all documents, fused, cut to ten documents per question with excerpts."""
     documents, embeddings, benchmark = (load(spark, sf_dir, n) for n in ("documents", "embeddings", "benchmark"))
-    terms = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))), 1, 6)).alias("token"))
+    terms = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("token"))
     lexical = search.lexical_lane(_postings(documents), terms, "doc_id", "any")
     lexical = ranking.top_per_group(lexical, ["query_id"], [F.desc("score"), F.col("doc_id")], 96, rank="rank")
-    asked = embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = embeddings.join(benchmark.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     vector = search.nearest(embeddings, asked, "vec_id", "embedding", 96).withColumnRenamed("vec_id", "doc_id")
     fused = search.reciprocal_rank_fusion({"lexical": lexical, "vector": vector}, "doc_id")
     best = ranking.top_per_group(fused, ["query_id"], [F.desc("score"), F.col("doc_id")], 10, rank="place")

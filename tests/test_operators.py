@@ -131,3 +131,14 @@ def test_glob_and_trigrams(spark):
     assert filters.glob_pattern("a*b?.c") == r"^a.*b.\.c$"
     row = spark.range(1).select(filters.trigram_similarity(F.lit("word"), F.lit("words")), filters.trigram_similarity(F.lit(""), F.lit("x"))).first()
     assert row[0] == pytest.approx(4 / 7) and row[1] == 0.0
+
+
+def test_hybrid_search_takes_whole_questions(spark, tmp_path):
+    """A question's late words count, and questions of any id have both lanes."""
+    from corvine import registry
+
+    spark.createDataFrame([(5, "zebra stripes"), (60, "nothing of it")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, [1.0, 0.0]), (60, [0.0, 1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(60, "one two three four five six zebra")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.query_id, r.doc_id): r.lanes for r in registry.QUERIES["r02_hybrid_document_search"](spark, str(tmp_path)).collect()}
+    assert found == {(60, 5): 2, (60, 60): 1}
