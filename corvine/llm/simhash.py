@@ -158,8 +158,13 @@ SKETCHES = 8
 #: Keys that texts meet on, and least hashes (MinHash) that a key is made of.  A key is equal for
 #: texts of similarity s with probability s**6: of pairs at 0.8 all 24 differ in 7 of 10,000.
 KEYS, LEAST = 24, 6
+#: Texts at a key that links leave apart are compared pair by pair up to this number; more go by prefixes.
+FEW = 32
+#: Shingles whose frequency orders the prefixes (8 bytes each, broadcast); the order changes no result.
+COMMON = 1 << 16
 #: Constants that make fingerprints from one hash (splitmix64), and orders of hashes. Fixed values.
 _STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+_STEPS = np.array([[_STEP * k & (1 << 64) - 1] for k in range(SKETCHES)], dtype=np.uint64)
 _ORDERS = np.array([[xxhash.xxh64_intdigest(b"order %d" % i, SEED), xxhash.xxh64_intdigest(b"factor %d" % i, SEED) | 1] for i in range(KEYS * LEAST)], dtype=np.uint64)
 
 
@@ -175,15 +180,15 @@ def shingle_hashes(text: str, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(data[s : e - 1], SEED) for s, e in zip(first, first[span:])], dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> list[int]:
-    """So many independent 64-bit SimHashes of distinct shingles, signed; zeros without any."""
-    votes = np.zeros((sketches, 64), dtype=np.int64)
+def sketch(hashes: np.ndarray) -> list[int]:
+    """``SKETCHES`` independent 64-bit SimHashes of distinct shingles, signed; zeros without any."""
+    votes = np.zeros((SKETCHES, 64), dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
-        for k in range(sketches):
-            z = hashes[at : at + BLOCK] + np.uint64(_STEP * k & (1 << 64) - 1)
-            for shift, factor in _MIX:
-                z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
-            votes[k] += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        z = hashes[None, at : at + BLOCK] + _STEPS
+        for shift, factor in _MIX:
+            z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+        for k in range(SKETCHES):
+            votes[k] += np.unpackbits(z[k].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * votes > len(hashes), axis=1).view(">i8").ravel().astype(int).tolist()
 
 
@@ -193,7 +198,7 @@ def meeting_keys(hashes: np.ndarray) -> list[int]:
         return []
     least = np.full(len(_ORDERS), (1 << 64) - 1, dtype=np.uint64)
     for at in range(0, len(hashes), BLOCK >> 5):
-        np.minimum(least, ((hashes[at : at + (BLOCK >> 5), None] ^ _ORDERS[:, 0]) * _ORDERS[:, 1]).min(axis=0), out=least)
+        np.minimum(least, ((hashes[None, at : at + (BLOCK >> 5)] ^ _ORDERS[:, :1]) * _ORDERS[:, 1:]).min(axis=1), out=least)
     found = [xxhash.xxh64_intdigest(least[LEAST * i : LEAST * (i + 1)].tobytes(), i) for i in range(KEYS)]
     return [x - (x >> 63 << 64) for x in found]
 
@@ -205,25 +210,42 @@ def most_bits(similarity: float, sketches: int = SKETCHES, deviations: float = 6
     return round(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The shingles one of which any set of that similarity must hold among its own such shingles.
+
+    Sets are ordered alike: shingles that aren't in ``common`` first, by hash, then those of
+    ``common``, seldom ones first.  Two sets of the similarity share all but so few shingles that
+    the first of those they share lies in both prefixes.
+    """
+    n = len(hashes) - math.ceil(similarity * len(hashes)) + 1
+    if not len(common):
+        return hashes[:n]
+    by_hash = np.argsort(common)
+    at = by_hash[np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)]
+    rank = np.where(common[at] == hashes, at, -1)
+    return hashes[np.argsort(rank, kind="stable")[:n]]
+
+
 def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component_id)`` of texts linked by the Jaccard similarity of their sets of shingles.
 
     Texts meet on keys of least hashes, sized for 0.8 (``KEYS``).  Those that meet on a
     key are first all compared with the least of them, the hub: that links a crowd of copies by as
-    many pairs as it has rows.  Then every pair at a key that links don't connect yet is compared,
-    so each pair that meets is decided or connected.  For these the distances to the hub are a
-    pivot table: a pair whose distances to it differ by more than the reach is discarded.
-    Distances are those of several independent fingerprints and only discard pairs, six
-    standard deviations beyond the similarity; the sets of shingles (as 64-bit hashes) of
-    the others are compared, and nothing is linked on an estimate.
-    Nulls, empty texts and repeated rows as in ``near_duplicates``.
+    many pairs as it has rows.  What that leaves apart at a key is then decided: every pair, where
+    at most ``FEW`` are left; texts of fuller keys meet anew, and exactly, on the seldom shingles of
+    their prefixes, so that a passage which many share makes no pairs.
+    Distances of several independent fingerprints (a table: each text's distance to its hubs, then
+    the pair's) only discard pairs, six standard deviations beyond the similarity; the sets of
+    shingles (as 64-bit hashes) of the others are compared, and nothing is linked on an estimate.
+    Sets are made from the texts when they are asked for, and never stored for all.
+    Ids must be whole numbers.  Null texts count as empty; texts without words are copies of each
+    other; a row with a null id keeps what its text gives; repeated rows give repeated results.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
             hashes = shingle_hashes(text or "", words_per_shingle)
-            data = hashes.tobytes()
-            yield key, xxhash.xxh3_128_digest(data), len(hashes), sketch(hashes), meeting_keys(hashes), data
+            yield key, xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), sketch(hashes), meeting_keys(hashes)
 
     def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, one, two in rows:
@@ -233,11 +255,11 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
                 yield a, b
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, digest binary, size int, fps array<bigint>, keys array<bigint>, shingles binary"
-    done = materialize(map_rows(df.select(id_col, text_col), run, schema), "sketches")
+    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    done = materialize(map_rows(texts, run, f"`{id_col}` {kind}, digest binary, size int, fps array<bigint>, keys array<bigint>"), "sketches")
     # equal sets of shingles are one node
     nodes = materialize(done.groupBy("digest").agg(F.min(id_col).alias("node"), *[F.first(c).alias(c) for c in ("size", "fps", "keys")]), "nodes")
-    keyed = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
+    keyed = nodes.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}"), F.col("size").alias(f"n{n}")) for n in "ab")
     apart = sum((F.bit_count(F.get("fa", F.lit(k)).bitwiseXOR(F.get("fb", F.lit(k)))) for k in range(SKETCHES)), F.lit(0))
     reach = most_bits(similarity)
@@ -247,28 +269,58 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
         near = (F.col("bits") <= reach) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
         return pairs.join(a, "a").join(b, "b").withColumn("bits", apart).select("a", "b", "bits", near.alias("near"))
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(node, shingles) of nodes, from their texts; other texts that repeat a node's id are left out."""
+        # a written table has a known size: Spark moves the texts only where it is too large to broadcast
+        known = materialize(nodes.select("node", "digest").join(asked, "node", "left_semi"), "asked")
+        digest = lambda hashes: xxhash.xxh3_128_digest(hashes.tobytes())
+
+        def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for node, wanted, text in rows:
+                hashes = shingle_hashes(text or "", words_per_shingle)
+                if digest(hashes) == wanted:
+                    yield node, hashes.tobytes()
+
+        return map_rows(known.join(texts, "node").select("node", "digest", "text"), make, f"node {kind}, shingles binary")
+
     def alike(pairs: DataFrame) -> DataFrame:
         """Those whose sets of shingles have the similarity."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(asked, "node", "left_semi").select("node", "digest")
-        sets = done.join(wanted, (done.digest == wanted.digest) & (done[id_col] == wanted.node)).select("node", wanted.digest, "shingles")
-        sets = materialize(sets.dropDuplicates(["node", "digest"]).select("node", "shingles"), "sets")
+        sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "sets")
         one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        return materialize(map_rows(both, verify, f"a {kind}, b {kind}"), "close")
+        return materialize(map_rows(both, verify, f"a {kind}, b {kind}").distinct(), "close")
 
-    at_key = Window.partitionBy("key")
-    met = materialize(keyed.withColumns({"n": F.count("*").over(at_key), "hub": F.min("node").over(at_key)}).where("n > 1").select("key", "node", "hub"), "met")
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
+    met = materialize(keyed.join(hubs, "key").select("key", "node", "hub"), "met")
     tables = materialize(measured(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "tables")
     links = alike(tables.where("near").select("a", "b"))
     # what the hubs left apart: pairs at a key that no links connect
     known = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
-    known = known.join(split, "key").join(tables.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"]).select("key", "node", "part", "bits")
-    left = materialize(known, "left")
-    x, y = left.alias("x"), left.alias("y")
-    others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (F.abs(F.col("x.bits") - F.col("y.bits")) <= reach))
-    others = measured(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()).where("near").select("a", "b")
+    split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
+    left = materialize(known.join(split, "key").join(tables.select(F.col("a").alias("node"), F.col("b").alias("hub"), "bits"), ["node", "hub"], "left").select("key", "node", "part", F.coalesce("bits", F.lit(0)).alias("bits"), "n"), "left")
+
+    def pairs_at(table: DataFrame, key: str, more: Column) -> DataFrame:
+        x, y = table.alias("x"), table.alias("y")
+        on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & more
+        return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    others = pairs_at(left.where(F.col("n") <= FEW), "key", F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
+    crowd = materialize(left.where(F.col("n") > FEW).select("node", "part").distinct(), "crowd")
+    if not crowd.isEmpty():
+        sets = materialize(sets_of(crowd.select("node")).dropDuplicates(["node"]), "crowd_sets")
+        spread = lambda rows: ((x,) for _, data in rows for x in np.frombuffer(data, dtype=np.int64).tolist())
+        counted = map_rows(sets.select("node", "shingles"), spread, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+        order = [r.shingle for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()]
+        shared = df.sparkSession.sparkContext.broadcast(np.array(order[::-1], dtype=np.int64).view(np.uint64))
+
+        def prefixes(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for node, data in rows:
+                for x in prefix(np.frombuffer(data, dtype=np.uint64), similarity, shared.value).view(np.int64).tolist():
+                    yield node, x
+
+        posted = materialize(map_rows(sets.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint").join(crowd, "node"), "posted")
+        others = others.unionByName(pairs_at(posted, "shingle", F.lit(True))).distinct()
+    others = measured(others).where("near").select("a", "b")
     links = links.unionByName(alike(materialize(others, "others")))
     labels = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return done.join(labels, "digest").select(id_col, "component_id")

@@ -6,8 +6,11 @@ import re
 import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvine.llm import components, dedup, licenses, pii, queries, simhash, topk, toxicity, warc
@@ -297,7 +300,7 @@ def test_near_copies(spark):
 
 
 def test_near_copies_of_a_crowd(spark):
-    """Many copies that all meet: every round compares with one hub per key, and all are found."""
+    """Many copies that all meet at the hub of a key."""
     rng = random.Random(5)
     base = [str(rng.random()) for _ in range(200)]
     docs = []
@@ -353,6 +356,42 @@ def test_near_copies_of_a_chain_at_one_key(spark, monkeypatch):
     assert found == {i: i // 100 * 100 for i, _ in docs}
 
 
+@pytest.mark.parametrize("common", [1 << 16, 5])
+def test_crowded_keys_go_by_prefixes(spark, monkeypatch, common):
+    """Texts that share a passage meet at one key, far more than are compared pair by pair: the links are those of brute force."""
+    monkeypatch.setattr(simhash, "meeting_keys", lambda hashes: [1] * bool(len(hashes)))
+    monkeypatch.setattr(simhash, "FEW", 4)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(10 * i, " ".join(passage + [f"w{rng.getrandbits(40):x}" for _ in range(60)])) for i in range(40)]
+    docs += [(10 * i + k, " ".join(t.split()[: 118 - k])) for i, (_, t) in enumerate(docs[::3]) for k in (1, 2)]
+    docs += [(1000 + i, t) for i, t in enumerate(chain(8, 13, words=120))]
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in docs for w in [t.split()]}
+    expected = linked(sets)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == expected and len(set(expected.values())) < len(expected)
+
+
+def linked(sets, similarity=0.8):
+    """Least id reachable by pairs of sets of that similarity."""
+    root = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1), st.sets(st.integers(0, 400), max_size=30), st.lists(st.integers(0, 400), unique=True, max_size=60))
+def test_prefixes_of_alike_sets_meet(one, changed, common):
+    other = {*one} ^ {*changed}
+    alike = len(one & other) >= 0.8 * len(one | other)
+    a, b = (simhash.prefix(np.array(sorted(s), dtype=np.uint64), 0.8, np.array(common, dtype=np.uint64)) for s in (one, other))
+    assert not alike or set(a.tolist()) & set(b.tolist())
+
+
 def test_near_copies_are_verified(spark):
     """Pairs of the similarities around 0.8: those below stay apart, nearly all others are linked, as by brute force."""
     docs, sets = [], {}

@@ -42,6 +42,16 @@ def test_stages_take_nulls(spark, sf):
     assert docs.count() > 0
 
 
+def test_one_of_repeated_rows_stays(spark, sf):
+    rows = [(1, "One Text here"), (1, "One Text here"), (2, "one text here"), (2, "one text here"), (None, "one text here"), (3, None), (4, ""), (5, "another text of some words"), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("clash"))
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, sf)
+    assert exact.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == [(0, "alone"), (2, "one text here"), (4, ""), (5, "another text of some words")]
+    near = corpus_pipeline.drop_near_copies(spark, docs.where("doc_id IS NOT NULL"), sf)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == [(1, "One Text here"), (3, None), (5, "another text of some words")]
+
+
 def test_fingerprint_function():
     for text in ("", "one", "One two", "a b c d e f", "A\tb\n\nc  d"):
         assert simhash.fingerprint(text) == brute_fingerprint(text)
