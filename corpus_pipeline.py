@@ -15,38 +15,71 @@ from corvine.llm import dedup, packing, pii, simhash, toxicity
 from corvine.llm.common import ascii_lower, materialize, table
 
 
+def _less(docs: DataFrame, gone: DataFrame, twice: DataFrame, keys: dict) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names, and one row for each name in ``twice``.
+
+    ``keys``: columns of the two and what they equal in ``docs``, nulls included.  Both are few
+    rows of ids and are written first, so that Spark moves the texts only where
+    they are too many to broadcast.
+    """
+    settled = materialize(gone.withColumn("again", F.lit(False)).unionByName(twice.withColumn("again", F.lit(True))), "settled")
+    on = [value.eqNullSafe(settled[name]) for name, value in keys.items()]
+    found = docs.join(settled.where("again"), on, "left_semi")
+    return docs.join(settled, on, "left_anti").unionByName(found.dropDuplicates(["doc_id", "text"]))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity tagger doesn't reject."""
+    """Documents that the toxicity tagger doesn't reject.
+
+    Null texts are scored as empty, repeated rows alike, and rows with a null id are scored; a score of
+    the threshold itself rejects.  Without documents nothing is left; without labels of
+    both kinds the tagger rejects what the only kind says.
+    """
     tagged = toxicity.tag_documents(docs, table(spark, sf_dir, "labels"), threshold=0.3, carry=docs.columns)
     return tagged.where("predicted = 0").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the largest id."""
-    kept = dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
+    """Of documents with equal text, the one with the largest id.
+
+    Null and empty texts are equal; null ids lose to all others; of rows that repeat the id and the text
+    that stay, one stays.  Nothing comes of nothing.
+    """
+    found = materialize(dedup.exact_duplicates(docs), "exact").select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    named = found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id) & (digest == kept.text_sha256), "left_semi")
+    gone, twice = named.where("NOT kept"), named.where("kept AND n > 1")
+    return _less(docs, gone.select("doc_id", "digest"), twice.select("doc_id", "digest"), {"doc_id": docs.doc_id, "digest": digest})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id.
 
-    Sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+    Sets of five-word shingles with a Jaccard similarity of 0.8 or more.  Texts without words
+    (null and empty ones too) are one group.  A group of null ids only stays as one row per text; of rows
+    that repeat an id and a text one stays, and an id stays if any of its rows does.
     """
-    found = simhash.near_copies(docs, similarity=0.8, words_per_shingle=5)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    found = materialize(simhash.near_copies(docs, similarity=0.8, words_per_shingle=5), "near")
+    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")
+    named = found.groupBy("doc_id").agg(kept, F.count("*").alias("n"))
+    return _less(docs, named.where("NOT kept").select("doc_id"), named.where("kept AND n > 1").select("doc_id"), {"doc_id": docs.doc_id})
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew.
+
+    Null texts become empty ones; every row stays, repeated ones and those without an id too.
+    """
     found = pii.find_personal_data(docs, keep_text=True, carry=[c for c in docs.columns if c != "text"])
     new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}
     return found.select(*[new.get(c, F.col(f"in_{c}") if c != "text" else None).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: a row per piece."""
+    """Sequences of at most 4096 tokens: a row per piece.
+
+    Null and empty texts are a piece of the end token alone; repeated rows are packed each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
