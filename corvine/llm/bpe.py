@@ -2,10 +2,10 @@
 
 A word is turned into symbols (one per byte, the last one marked where the vocabulary
 uses an end-of-word suffix).  An Aho-Corasick automaton gives the longest vocabulary
-string at a position.  The encoder then takes the longest one that may stand after
-the token before it, then the longest that is a start of that, and steps back where none fits.  Two tokens may be neighbours when
+string at a position.  The encoder then takes the longest start of it that may stand after
+the token before it, and steps back where none fits.  Two tokens may be neighbours when
 the merges, run on the two strings joined, give exactly these two; the answers are kept
-in a pair table.  A chain of tokens is the merge result exactly when all its neighbours
+in a pair table, and so is the first start that fits, for a token and the longest string after it.  A chain of tokens is the merge result exactly when all its neighbours
 are compatible, so the outcome equals that of the merges while each position is
 given up at most once.
 
@@ -54,6 +54,8 @@ class Vocabulary:
     specials: dict[str, int]
     lowercase: bool
     pattern: str
+    #: Strings proved to encode alone as one token, where that was done (``Encoder.prove``).
+    proved: frozenset[str] | None = None
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -118,20 +120,21 @@ class Encoder:
         self._ranks = {(fold(a), fold(b)): i for i, (a, b) in reversed(list(enumerate(vocabulary.merges)))}
         self._id = {fold(t): i for t, i in vocabulary.ids.items()}
         self._string = {i: t for t, i in self._id.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._fits: dict[int, int] = {}
         self._words = _Cache(lambda word: array("I", self.word_ids(word)).tobytes(), WORD_CACHE)
-        self._chunks = _Cache(lambda chunk: b"".join(map(self._words.__getitem__, self._pieces(chunk))), CHUNK_CACHE)
+        self._chunks = _Cache(self._chunk_ids, CHUNK_CACHE)
         self._chunk_counts = _Cache(lambda chunk: sum(map(self._counts.__getitem__, self._pieces(chunk))), CHUNK_CACHE)
         self._split = regex.compile(vocabulary.pattern).findall
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.specials, key=len, reverse=True)) + ")") if vocabulary.specials else None
 
     @functools.cached_property
     def whole(self) -> frozenset[str]:
-        """Vocabulary strings proved to encode alone as one token.
+        """Vocabulary strings proved to encode alone as one token."""
+        return self.vocabulary.proved if self.vocabulary.proved is not None else self.prove()
 
-        Such a string is its own merge result; all others (strings that merges cannot
-        reach, or reach differently) are left out.
-        """
+    def prove(self) -> frozenset[str]:
+        """Strings that are their own merge result; those that merges cannot reach, or reach differently, are left out."""
         return frozenset(t for t in self._id if merge_word(t, self._ranks) == [t])
 
     @functools.cached_property
@@ -166,8 +169,21 @@ class Encoder:
             known = self._pairs[left << 20 | right] = merge_word([*a, *b], self._ranks) == [a, b]
         return known
 
+    def first_fit(self, left: int, token: int) -> int:
+        """The longest start of ``token``, itself included, that may stand after ``left``; -1 if none may."""
+        known = self._fits.get(left << 20 | token)
+        if known is None:
+            if len(self._fits) >= PAIR_CACHE:
+                self._fits.clear()
+            known = token
+            while known >= 0 and not self.compatible(left, known):
+                known = self._shorter[known]
+            self._fits[left << 20 | token] = known
+        return known
+
     def symbols(self, word: str) -> str:
-        out = word.encode("utf-8").decode("latin-1").translate(self._table)
+        # ASCII letters stand for themselves
+        out = word if word.isascii() and word.isalpha() else word.encode("utf-8").decode("latin-1").translate(self._table)
         return out[:-1] + chr(ord(out[-1]) + _LAST) if self.vocabulary.suffix else out
 
     def word_ids(self, word: str) -> list[int]:
@@ -175,39 +191,55 @@ class Encoder:
         text = self.symbols(word)
         if text in self.whole:
             return [self._id[text]]
-        size, shorter, pairs, longest = self._size, self._shorter, self._pairs, self._automaton.iter_long
-        n = len(text)
-        dead = bytearray(n + 1)
-        chain: list[int] = []
-        at, last = 0, -1
+        size, fits, longest = self._size, self._fits, self._automaton.iter_long
         ahead = longest(text)
-        top = token = next(ahead)[1]
-        while True:
-            while token >= 0:
+        last = next(ahead)[1]
+        chain, at, n = [last], size[last], len(text)
+        while at < n:
+            top = next(ahead)[1]
+            fit = fits.get(last << 20 | top)
+            if fit is None:
+                fit = self.first_fit(last, top)
+            if fit < 0:
+                return self._step_back(text, chain, at)
+            chain.append(fit)
+            at += size[fit]
+            if fit != top:
+                ahead = longest(text, at)
+            last = fit
+        return chain
+
+    def _step_back(self, text: str, chain: list[int], at: int) -> list[int]:
+        """Go on from a chain after which nothing fits: each position is given up at most once."""
+        size, shorter, n = self._size, self._shorter, len(text)
+        dead = bytearray(n + 1)
+        while chain:
+            dead[at] = 1
+            token = shorter[last := chain.pop()]
+            at -= size[last]
+            while True:
+                if token >= 0 and chain:
+                    token = self.first_fit(chain[-1], token)
+                if token < 0:
+                    break
                 end = at + size[token]
-                if not dead[end]:
-                    fits = last < 0 or pairs.get(last << 20 | token)
-                    if fits is None:
-                        fits = self.compatible(last, token)
-                    if fits:
-                        break
-                token = shorter[token]
-            if token >= 0:
+                if dead[end]:
+                    token = shorter[token]
+                    continue
                 chain.append(token)
                 if end == n:
                     return chain
-                at, last = end, token
-                if token != top:
-                    ahead = longest(text, at)
-                top = token = next(ahead)[1]
-            elif chain:
-                dead[at] = 1
-                token = chain.pop()
-                at -= size[token]
-                last = chain[-1] if chain else -1
-                token, top = shorter[token], -2  # what the automaton runs ahead on is off the path
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
+                at = end
+                token = next(self._automaton.iter_long(text, at))[1]
+        raise ValueError("a byte is missing from the vocabulary")
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        if self.vocabulary.lowercase:  # words are kept once, bare, whatever stands after them
+            if chunk.isalpha():
+                return array("I", self.word_ids(chunk)).tobytes()
+            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+                return self._chunks[chunk[:-1]] + self._chunks[chunk[-1]]
+        return b"".join(map(self._words.__getitem__, self._pieces(chunk)))
 
     def _pieces(self, chunk: str) -> list[str]:
         """Pre-tokens; the usual chunk, letters and at most a stop or comma, needs no pattern."""

@@ -62,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of strings after which a task hands a batch of results back to Spark.
+#: Bytes of values after which a task hands a batch of results back to Spark.
 BATCH_BYTES = 4 << 20
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE_ROWS = 256
@@ -91,12 +91,13 @@ def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]
         kept, size = [], 0
         for row in rows_fn(rows()):
             kept.append(row)
-            size += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
+            size += 64 + sum(getattr(x, "nbytes", 0) or len(x) * (64 if isinstance(x, list) else 1) for x in row if hasattr(x, "__len__"))
             if size >= BATCH_BYTES:
                 yield made(kept)
                 kept, size = [], 0
         if kept:
             yield made(kept)
+        pa.default_memory_pool().release_unused()  # the process serves further tasks
 
     return df.mapInArrow(run, kinds)
 

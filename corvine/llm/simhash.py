@@ -189,7 +189,7 @@ def sketch(hashes: np.ndarray) -> list[int]:
             z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
         for k in range(SKETCHES):
             votes[k] += np.unpackbits(z[k].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes), axis=1).view(">i8").ravel().astype(int).tolist()
+    return np.packbits(2 * votes > len(hashes), axis=1).view(">i8").ravel().astype(np.int64).tolist()
 
 
 def meeting_keys(hashes: np.ndarray) -> list[int]:
@@ -247,13 +247,6 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
             hashes = shingle_hashes(text or "", words_per_shingle)
             yield key, xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), sketch(hashes), meeting_keys(hashes)
 
-    def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, one, two in rows:
-            x, y = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (len(x) + len(y) - both):
-                yield a, b
-
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     done = materialize(map_rows(texts, run, f"`{id_col}` {kind}, digest binary, size int, fps array<bigint>, keys array<bigint>"), "sketches")
@@ -279,16 +272,18 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
             for node, wanted, text in rows:
                 hashes = shingle_hashes(text or "", words_per_shingle)
                 if digest(hashes) == wanted:
-                    yield node, hashes.tobytes()
+                    yield node, hashes.view(np.int64)
 
-        return map_rows(known.join(texts, "node").select("node", "digest", "text"), make, f"node {kind}, shingles binary")
+        made = map_rows(known.join(texts, "node").select("node", "digest", "text"), make, f"node {kind}, shingles array<bigint>")
+        return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those whose sets of shingles have the similarity."""
-        sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "sets")
+        sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
         one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        return materialize(map_rows(both, verify, f"a {kind}, b {kind}").distinct(), "close")
+        both = F.size(F.array_intersect("sa", "sb"))
+        close = both >= similarity * (F.size("sa") + F.size("sb") - both)
+        return materialize(pairs.join(one, "a").join(two, "b").where(close).select("a", "b").distinct(), "close")
 
     hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
     met = materialize(keyed.join(hubs, "key").select("key", "node", "hub"), "met")
@@ -307,15 +302,14 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     others = pairs_at(left.where(F.col("n") <= FEW), "key", F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
     crowd = materialize(left.where(F.col("n") > FEW).select("node", "part").distinct(), "crowd")
     if not crowd.isEmpty():
-        sets = materialize(sets_of(crowd.select("node")).dropDuplicates(["node"]), "crowd_sets")
-        spread = lambda rows: ((x,) for _, data in rows for x in np.frombuffer(data, dtype=np.int64).tolist())
-        counted = map_rows(sets.select("node", "shingles"), spread, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+        sets = materialize(sets_of(crowd.select("node")), "crowd_sets")
+        counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
         order = [r.shingle for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()]
         shared = df.sparkSession.sparkContext.broadcast(np.array(order[::-1], dtype=np.int64).view(np.uint64))
 
         def prefixes(rows: Iterator[tuple]) -> Iterator[tuple]:
-            for node, data in rows:
-                for x in prefix(np.frombuffer(data, dtype=np.uint64), similarity, shared.value).view(np.int64).tolist():
+            for node, shingles in rows:
+                for x in prefix(np.array(shingles, dtype=np.int64).view(np.uint64), similarity, shared.value).view(np.int64).tolist():
                     yield node, x
 
         posted = materialize(map_rows(sets.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint").join(crowd, "node"), "posted")

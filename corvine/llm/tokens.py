@@ -20,8 +20,10 @@ _DECODERS: dict[str, bpe.Decoder] = {}
 
 
 def share(df: DataFrame, path: str) -> Broadcast:
-    """Broadcast the vocabulary at ``path`` to the workers of ``df``'s session."""
-    return df.sparkSession.sparkContext.broadcast((path, bpe.Vocabulary.load(path)))
+    """Broadcast the vocabulary at ``path``, its whole tokens proved, to the workers of ``df``'s session."""
+    vocabulary = bpe.Vocabulary.load(path)
+    vocabulary.proved = bpe.Encoder(vocabulary).prove()
+    return df.sparkSession.sparkContext.broadcast((path, vocabulary))
 
 
 def encoder(shared: Broadcast) -> bpe.Encoder:

@@ -81,7 +81,7 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self.back = tuple(zip(*model.transitions, strict=True))
-        self._known = _Cache(lambda w: model.emission(w) or False, 200_000)
+        self._known = _Cache(lambda w: model.emission(w) or False, 100_000)
         # fixed points of both messages over unknown tokens, and how far they need to settle
         self._rest = [0.0, 0.0]
         reach = 1
