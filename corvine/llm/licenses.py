@@ -1,14 +1,14 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 Rules are built from tables of licenses and of wordings.  A rule is a regular expression
-over the text's words (lower case, one blank between), a keyword that must occur before the
+over the text's words (lower case, one blank between), keywords of which one must occur before the
 expression is tried, a label and a priority (its place in the table).  Detections that
 overlap are settled in order of their start: one that lies within another goes, of
 two equal ones the rule of better priority stays, and of two that overlap in part the one of
 better priority stays.
 
 One narrow pass, no shuffle: the expressions run only on texts that hold one of
-the few gate words, and there only those whose keyword occurs.
+the few gate words, and there only those with a keyword that occurs.  Time grows with the text and its matches.
 """
 
 from __future__ import annotations
@@ -106,74 +106,113 @@ TAGS = {
     "0bsd": "bsd-0-clause", "bsl 1 0": "bsl-1.0", "unlicense": "unlicense", "cc0 1 0": "cc0-1.0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "ofl 1 1": "ofl-1.1",
 }
 
+#: Sentences of the licenses themselves: label, keyword, expression. Fixed values.
+SENTENCES = [
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "sublicense", r"rights to use copy modify merge publish distribute sublicense"),
+    ("isc", "with or without fee", r"permission to use copy modify (?:and or|and) distribute this software for any purpose with or without fee"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
+    ("bsd-3-clause", "contributors may be used", r"neither the name of .{1,80} nor the names of its contributors may be used"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software"),
+    ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the license"),
+    ("gpl", "free software", r"this program is free software you can redistribute it (?:and or|and) modify it"),
+    ("lgpl", "free software", r"this library is free software you can redistribute it (?:and or|and) modify it"),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("bsl-1.0", "obtaining a copy of the software", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("wtfpl", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim or modified copies"),
+    ("public-domain", "public domain", r"(?:released into|placed in|dedicated to) the public domain"),
+    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution) of this (?:file|software) .{0,60}is strictly prohibited"),
+]
+
 #: A text without any of these goes through no rule; every rule's and phrase's match holds one. Fixed values.
-GATE = ["licen", "clause", "cc0", "0bsd", "freebsd", "bsd", "creative", "cc", "attribution", "rights reserved"]
+GATE = ["licen", "clause", "cc0", "bsd", "creative", "cc", "attribution", "reserved", "hereby", "without", "redistribution", "contributors", "advertising", "free", "implied", "software", "altered", "form", "permitted", "domain", "proprietary", "unauthorized"]
 
 
 @dataclass(frozen=True)
 class Rule:
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     score: float
 
 
-#: Keyword of a license whose expression has no single word that all its forms hold.
-_KEYWORDS = {"bsd-4-clause": "bsd", "bsd-3-clause": "bsd", "bsd-2-clause": "bsd", "bsd-0-clause": "", "mit": "licen", "mit-0": "attribution", "cc0-1.0": "", "proprietary": "rights reserved", "unlicense": "unlicense"}
+#: Words one of which every form of a license's name holds; by label or its part before the first hyphen. Fixed values.
+_KEYWORDS = {
+    "agpl": ("affero",), "lgpl": ("lesser general", "library general"), "gpl": ("general public",), "apache": ("apache",), "bsd": ("bsd",),
+    "bsd-0-clause": ("bsd", "free public"), "mit-0": ("no attribution",), "mpl": ("mozilla",), "epl": ("eclipse",), "edl": ("eclipse",), "cddl": ("common development",),
+    "cpl": ("common public",), "isc": ("isc",), "zlib": ("zlib",), "bsl": ("boost",), "busl": ("business source",), "unlicense": ("unlicense",), "wtfpl": ("do what the",),
+    "artistic": ("artistic",), "psf": ("python",), "php": ("php",), "ofl": ("font",), "eupl": ("european",), "osl": ("open software",), "afl": ("academic",),
+    "ms": ("microsoft",), "ncsa": ("illinois",), "openssl": ("openssl",), "postgresql": ("postgresql",), "vim": ("vim",), "ruby": ("ruby",), "odbl": ("database",),
+    "odc": ("commons attribution",), "gfdl": ("documentation",), "cc0": ("cc0", "creative commons zero"), "cc": ("cc by", "cc attribution", "creative commons"),
+    "mit": ("mit", "expat", "x11"), "proprietary": ("rights reserved",),
+}
 
 
-def _keyword(label: str) -> str:
-    if label in _KEYWORDS:
-        return _KEYWORDS[label]
-    if label.startswith("cc-"):
-        return "c"
-    return {"agpl": "affero", "lgpl": "general public", "gpl": "general public", "apache": "apache", "mpl": "mozilla", "epl": "eclipse", "edl": "eclipse"}.get(label.split("-")[0], "licen")
+def _keywords(label: str) -> tuple[str, ...]:
+    return _KEYWORDS.get(label) or _KEYWORDS[label.split("-")[0]]
 
 
 def rules() -> list[Rule]:
-    """All rules in order of priority: wordings by how telling they are, then names."""
-    found = [(0.98, label, "spdx license identifier", rf"spdx license identifier {tag}") for tag, label in TAGS.items()]
-    found += [(0.7, label, "license", rf"license(?:s)? {tag}") for tag, label in TAGS.items()]
-    found += [(score, label, _keyword(label), wording.format(name)) for score, wording in WORDINGS for label, name in NAMES]
-    return [Rule(i, label, keyword, rf"(?<![^ ]){pattern}(?![^ ])", score) for i, (score, label, keyword, pattern) in enumerate(found)]
-
-
-_FOUND = "array<struct<start:int,stop:int,priority:int,label:string,score:double>>"
+    """All rules in order of priority: tags, the licenses' own sentences, then wordings by how telling they are, then names."""
+    found = [(0.98, label, ("spdx license identifier",), rf"spdx license identifier {tag}") for tag, label in TAGS.items()]
+    found += [(0.9, label, (keyword,), pattern) for label, keyword, pattern in SENTENCES]
+    found += [(0.7, label, ("license",), rf"license(?:s)? {tag}") for tag, label in TAGS.items()]
+    found += [(score, label, _keywords(label), wording.format(name)) for score, wording in WORDINGS for label, name in NAMES]
+    return [Rule(i, label, keywords, rf"(?<![^ ]){pattern}(?![^ ])", score) for i, (score, label, keywords, pattern) in enumerate(found)]
 
 
+_DETECTION = "struct<start:int,stop:int,priority:int,label:string,score:double>"
+_FOUND = f"array<{_DETECTION}>"
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _detections(text: str) -> Column:
     """Every match of every rule in a column of words joined by blanks, as places of characters."""
-    table = ",".join(f"named_struct('p',{r.priority},'l',{_sql(r.label)},'k',{_sql(r.keyword)},'x',{_sql(r.pattern)},'s',{r.score}D)" for r in rules())
-    between = f"transform(split({text}, r.x, -1), g -> length(g))"
-    lengths = f"transform(regexp_extract_all({text}, r.x, 0), m -> length(m))"
-    # the matches start where the text between them, and those before, end
-    starts = (
-        f"transform({lengths}, (m, i) -> named_struct('n', m, 'at', aggregate(slice({between}, 1, i + 1), 0, (a, g) -> a + g)"
-        f" + aggregate(slice({lengths}, 1, i), 0, (a, g) -> a + g)))"
+    table = ",".join(
+        f"named_struct('p',{r.priority},'l',{_sql(r.label)},'k',array({','.join(map(_sql, r.keywords))}),'x',{_sql(r.pattern)},'s',{r.score}D)" for r in rules()
     )
+    # a match starts where the text between matches, and the matches, before it end: one running sum
+    gaps, sizes = f"transform(split({text}, r.x, -1), g -> length(g))", f"transform(regexp_extract_all({text}, r.x, 0), m -> length(m))"
+    cut = f"zip_with({gaps}, {sizes}, (g, n) -> named_struct('gap', g, 'n', n))"
+    # a fold's state is copied at each step, so it holds numbers only
+    starts = f"aggregate({cut}, named_struct('at', 0, 'all', CAST(array() AS array<int>)), (acc, e) -> named_struct('at', acc.at + e.gap + coalesce(e.n, 0), 'all', concat(acc.all, array(acc.at + e.gap))), acc -> acc.all)"
+    placed = f"zip_with({starts}, {sizes}, (s, n) -> named_struct('start', s, 'n', n))"
     return F.expr(
-        f"flatten(transform(filter(array({table}), r -> contains({text}, r.k) AND {text} RLIKE r.x), r -> transform({starts}, m -> "
-        "named_struct('start', m.at, 'stop', m.at + m.n, 'priority', r.p, 'label', r.l, 'score', r.s))))"
+        f"flatten(transform(filter(array({table}), r -> exists(r.k, k -> contains({text}, k)) AND {text} RLIKE r.x), r -> "
+        f"transform(filter({placed}, d -> d.n IS NOT NULL), d -> "
+        "named_struct('start', d.start, 'stop', d.start + d.n, 'priority', r.p, 'label', r.l, 'score', r.s))))"
     ).cast(_FOUND)
 
 
+def _sorted(found: str) -> Column:
+    """By start, longer ones first, then by priority."""
+    order = f"array_sort(transform({found}, d -> named_struct('start', d.start, 'back', -d.stop, 'priority', d.priority, 'label', d.label, 'score', d.score)))"
+    return F.expr(f"transform({order}, d -> named_struct('start', d.start, 'stop', -d.back, 'priority', d.priority, 'label', d.label, 'score', d.score))").cast(_FOUND)
+
+
 def _settled(found: str) -> Column:
-    """Suppress detections that lie within others or lose an overlap."""
-    kept = "element_at(kept, -1)"
+    """Suppress detections of a sorted list that lie within others or lose an overlap: one walk that compares with the last one kept.
+
+    The walk's state is the last one's place, end and priority, and the places of those before it that stay.
+    """
+    last = "named_struct('at', i.at, 'stop', i.stop, 'priority', i.priority, 'kept', {})"
     return F.expr(
-        f"""aggregate(
-          array_sort({found}, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.stop <> b.stop THEN b.stop - a.stop ELSE a.priority - b.priority END),
-          CAST(array() AS {_FOUND}),
-          (kept, d) -> CASE
-            WHEN size(kept) = 0 OR d.start >= {kept}.stop THEN concat(kept, array(d))
-            WHEN d.stop <= {kept}.stop OR {kept}.priority < d.priority THEN kept
-            ELSE concat(slice(kept, 1, size(kept) - 1), array(d)) END)"""
-    )
+        f"""transform(aggregate(transform({found}, (d, at) -> named_struct('at', at, 'start', d.start, 'stop', d.stop, 'priority', d.priority)),
+          named_struct('at', -1, 'stop', 0, 'priority', 0, 'kept', CAST(array() AS array<int>)),
+          (acc, i) -> CASE
+            WHEN acc.at < 0 THEN {last.format('acc.kept')}
+            WHEN i.start >= acc.stop THEN {last.format('concat(acc.kept, array(acc.at))')}
+            WHEN i.stop <= acc.stop OR acc.priority < i.priority THEN acc
+            ELSE {last.format('acc.kept')} END,
+          acc -> CASE WHEN acc.at < 0 THEN acc.kept ELSE concat(acc.kept, array(acc.at)) END), at -> element_at({found}, at + 1))"""
+    ).cast(_FOUND)
 
 
 def _places(phrase: str) -> Column:
@@ -211,6 +250,7 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         *[F.when(F.col("line") != "", _places(p)).otherwise(F.expr("CAST(array() AS array<int>)")).alias(f"at{i}") for i, (p, _) in enumerate(PHRASES)],
         F.when(F.col("line") != "", _detections("line")).otherwise(nothing).alias("found"),
     )
+    seen = seen.withColumn("found", F.when(F.size("found") > 0, _sorted("found")).otherwise(nothing))
     kept = seen.withColumn("detections", F.when(F.size("found") > 0, _settled("found")).otherwise(nothing))
     at = F.concat(*[F.col(f"at{i}") for i in range(len(PHRASES))])
     base = F.filter(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())

@@ -41,7 +41,7 @@ BASE = {
 LOOSE = [
     ("secret", re.compile(r"\b\w{2,}+\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.~-]{6,}+)")),
     ("secret", re.compile(r"\b([A-Z]{3}[A-Z0-9]{13,}+)\b")),
-    ("secret", re.compile(r"\b([0-9a-f]{16,}+)\b")),
+    ("secret", re.compile(r"\b(?=[0-9]*+[a-f])([0-9a-f]{16,}+)\b")),
     ("secret", re.compile(r"\b([a-z]{2,4}[_-][A-Za-z0-9]{16,}+)\b")),
     ("number", re.compile(r"(?<![\w+.-])(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])")),
     ("number", re.compile(r"(?<![\w+.-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])")),
@@ -52,7 +52,12 @@ LOOSE = [
 SECRET_NAMES = frozenset("token password passwd pwd secret key apikey api_key access_key secret_key auth authorization bearer credential credentials private".split())
 NUMBER_NAMES = frozenset("phone tel telephone mobile cell call fax ssn iban account passport insurance id telefon telefono móvil téléphone konto".split())
 
-#: Rows of the classifier's training sample.
+#: Names of usual settings, whose values are no secrets. Fixed values.
+SETTING_NAMES = frozenset("color colour width height size version date time name class style lang language type mode path file url port host rate count level title src href alt rel content charset order item page sku build release".split())
+#: Values that say what they are: dates and times, dotted or plain numbers, lower-case words. Fixed values.
+PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?|[0-9]{1,2}:[0-9]{2}.*|v?[0-9]+(?:[._~/+-][0-9]+)*|[A-Za-z]+(?:[._~/+-][A-Za-z]+)*[0-9]?")
+
+#: Forms (kind, votes, length) of the classifier's training sample, the most frequent ones.
 SAMPLE = 20_000
 
 
@@ -72,13 +77,35 @@ def _holds(kind: str, text: str) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the base pattern, in time linear in the text: from each @ to both sides."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        low = found.end() if found else at + 1
+        if found:
+            yield start, low
+        at = text.find("@", low)
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    if kind == "email":
+        return _emails(text)
+    # a match can't start within a run of digits: only at its first one
+    return (m.span() for m in (_IP if kind == "ip" else BASE[kind]).finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans (kind, start, stop in code points), by start, then kind as listed."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in BASE["email"].finditer(text)]
-    for kind in ("ip", "card", "phone"):
-        out += [(kind, *m.span()) for m in BASE[kind].finditer(text) if _holds(kind, m.group())]
+    out = [(kind, s, e) for kind in BASE for s, e in _matches(kind, text) if _holds(kind, text[s:e])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -104,34 +131,41 @@ def _votes(kind: str, text: str, start: int, stop: int) -> str:
         mixed = say(False, len(set(value) - set(" .-()")) < 3)
     return "".join((
         say(form, not re.search(r"[0-9]", value)),  # regex: a usual form
-        say(last[-1:] and last[-1] in names),  # gazetteer: the word before
+        say(False, kind == "secret" and PLAIN.fullmatch(value)),  # regex: a date, number, version or word
+        say(last[-1:] and last[-1] in names, last[-1:] and last[-1] in SETTING_NAMES),  # gazetteer: the word before
         say(near & names),  # gazetteer: a word near by
         say(re.search(r"[=:]\s*[\"']?$", before)),  # context: it is assigned
+        say(False, before[-1:] in tuple("/@#.\\") or after[:1] in tuple("@/(")),  # context: part of an address, path or call
         say(entropy(value) >= 2.8, entropy(value) < 2.2),  # context: variety of characters
         mixed,  # context: digits among letters
         say(len(value) >= 16, len(value) < 8),  # context: length
     ))
 
 
-LABELERS = 7
+LABELERS = 9
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
     """Candidate spans with their votes, none overlapping a base span or one another."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
+    out: list[tuple[str, int, int, str]] = []
     if not re.search(r"[0-9=:]", text):
         return out
+    taken = bytearray(len(text))
+    for _, s, e in base:
+        taken[s:e] = b"\1" * (e - s)
     for kind, pattern in LOOSE:
         for m in pattern.finditer(text):
             s, e = m.span(1)
-            if not any(a < e and s < b for a, b in taken if a < e):
-                taken.append((s, e))
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
                 out.append((kind, s, e, _votes(kind, text, s, e)))
     return sorted(out, key=lambda c: c[1])
 
 
 #: Votes that a labeler is taken to have cast before the data: right ones, wrong ones.
 PRIOR = (8.0, 2.0)
+#: Votes for, beyond those against, from which a candidate is first taken to be true.
+MARGIN = 2
 
 
 def reliabilities(patterns: dict[str, float], rounds: int = 100) -> tuple[float, np.ndarray, dict[str, float]]:
@@ -139,7 +173,7 @@ def reliabilities(patterns: dict[str, float], rounds: int = 100) -> tuple[float,
 
     Gives the share of true candidates, per labeler how often its votes are right on true
     and on false candidates, and how likely each pattern is true.  A labeler that doesn't
-    vote says nothing.  It starts from the majority of votes.
+    vote says nothing.  It starts from the votes for beyond those against and ``MARGIN``.
     """
     keys = sorted(patterns)
     right = np.full((LABELERS, 2), PRIOR[0] / sum(PRIOR))
@@ -147,7 +181,7 @@ def reliabilities(patterns: dict[str, float], rounds: int = 100) -> tuple[float,
         return 0.0, right, {}
     n = np.array([patterns[k] for k in keys], dtype=float)
     votes = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in k] for k in keys])
-    q = 1 / (1 + np.exp(-1.0 * votes.sum(axis=1)))
+    q = 1 / (1 + np.exp(MARGIN - 1.0 * votes.sum(axis=1)))
     share = 0.5
     for _ in range(rounds):
         share = float(np.clip(((n * q).sum() + 1) / (n.sum() + 2), 0.05, 0.95))
@@ -170,14 +204,13 @@ def _features(kind: str, votes: str, size: int) -> list[float]:
     return [1.0, float(kind == "number"), math.log(size), *[float(v == "+") for v in votes], *[float(v == "-") for v in votes]]
 
 
-def train(sample: list[tuple[str, str, int]], likely: dict[str, float], l2: float = 1e-2) -> list[float]:
-    """A logistic span classifier on soft labels: (kind, votes, length) and the patterns' likelihoods."""
+def train(sample: dict[tuple[str, str, int], float], likely: dict[str, float], l2: float = 1e-2) -> list[float]:
+    """A logistic span classifier on soft labels: counted (kind, votes, length) and the patterns' likelihoods."""
     if not sample:
         return []
-    counted = Counter(sample)
-    rows = sorted(counted)
+    rows = sorted(sample)
     x = np.array([_features(*r) for r in rows])
-    n = np.array([counted[r] for r in rows], dtype=float)
+    n = np.array([sample[r] for r in rows], dtype=float)
     y = np.array([likely.get(r[1], 0.5) for r in rows])
     w = np.zeros(x.shape[1])
     for _ in range(60):
@@ -207,8 +240,9 @@ def find_personal_data(
     kind; ``spans`` holds the base spans and the candidates that the classifier accepts.
     ``keep_text`` adds ``redacted``: the text with every span replaced by its kind in angle
     brackets, overlapping spans by the first.  Null texts count as empty; every row gives one
-    row, whatever its id; columns named in ``carry`` come along as ``in_*``.  The vote counts cover all candidates; the classifier is fitted on
-    at most ``sample`` of them.
+    row, whatever its id, and repeated rows give repeated results; columns named in ``carry`` come along as ``in_*``.
+    The vote counts cover all candidates; the classifier is fitted on the ``sample`` most frequent
+    forms of them, each weighted by its count.
     """
     kind = df.schema[id_col].dataType.simpleString()
     span = "array<struct<kind:string,start:int,stop:int>>"
@@ -225,10 +259,9 @@ def find_personal_data(
     seen = materialize(map_rows(df.select(id_col, text_col, *[F.col(c).alias(f"in_{c}") for c in carry]), scan, schema), "personal")
     each = seen.select(F.explode("found").alias("c")).select("c.kind", "c.votes", (F.col("c.stop") - F.col("c.start")).alias("size"))
     counts = {r.votes: r.n for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    # equal rows of the sample are counted, so it is bounded by its distinct forms too
     likely = reliabilities(counts)[2]
     picked = each.groupBy("kind", "votes", "size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "votes", "size").limit(sample).collect()
-    weights = train([(r.kind, r.votes, r.size) for r in picked for _ in range(min(r.n, 50))], likely)
+    weights = train({(r.kind, r.votes, r.size): r.n for r in picked}, likely)
     shared = df.sparkSession.sparkContext.broadcast(np.array(weights))
 
     def decide(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -56,7 +56,8 @@ def three_phase_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), warc.new_archive_path(spark), least_bytes=0)
     records = warc.read_records(spark, archive)
-    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rebuilt = F.sha2("record", 256).alias("record_sha256")
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", rebuilt)
 
 
 @query("op10_exact_duplicates", dedup.ORACLE)
@@ -78,6 +79,6 @@ def toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    counts = [number(kind) for kind in ("email", "ip", "card", "phone")]
+    number = lambda kind, spans: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    counts = [number(kind, "base" if kind in pii.BASE else "spans") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))

@@ -124,13 +124,23 @@ def new_archive_path(spark: SparkSession) -> str:
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY sha256(payload)) AS first_id FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), lambda i:
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-      ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM d
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT *, octet_length(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY sha256(payload)) AS first_id FROM p),
+e AS (
+  SELECT *, page_id <> first_id AS again,
+    list_aggregate(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS digest
+  FROM d
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to,
+  sha256('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END
+    || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || regexp_replace(url, '[\\r\\n]+', ' ', 'g') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha1:' || digest
+    || CASE WHEN again THEN chr(13) || chr(10) || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest'
+       || chr(13) || chr(10) || 'WARC-Refers-To: <urn:page:' || first_id || '>' ELSE '' END
+    || chr(13) || chr(10) || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || chr(13) || chr(10) || chr(13) || chr(10)
+    || CASE WHEN again THEN '' ELSE html END || chr(13) || chr(10) || chr(13) || chr(10)) AS record_sha256
+FROM e
 """
