@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -87,6 +88,39 @@ def near_duplicate_flag(fingerprint: Column, digest: Column, scope: list[str], o
     return first != digest
 
 
+#: Languages in the order they are tried: each needs all of the groups, a group any of its texts; the last list must be absent. Fixed values.
+_CLASS = [["class "], ["{"], ["public ", "private "]]
+LANGUAGES = [
+    ("rust", [["fn "], ["-> ", "pub ", "let "]], []), ("python", [["def "], [":"]], ["{"]), ("go", [["func "], ["package "]], []),
+    ("typescript", [["function ", "const ", "=> {"], [": string", ": number", "interface "]], []), ("javascript", [["function ", "const ", "=> {"]], []),
+    ("java", [*_CLASS, ["package "], ["import java"]], []), ("cpp", [*_CLASS, ["#include", "std::"]], []), ("csharp", [*_CLASS, ["using "], ["namespace "]], []),
+    ("php", [["<?php"]], []), ("php", [["function "], ["$"]], []), ("ruby", [["require "], ["end\n"]], []), ("swift", [["import Swift"]], []), ("swift", [["func "], ["->"]], ["pub "]),
+    ("kotlin", [["fun "], ["val "]], []), ("elixir", [["defmodule "]], []), ("elixir", [["def "], ["do\n"]], []), ("dockerfile", [["FROM "], ["RUN "]], []), ("yaml", [["---"], [": "]], ["{"]),
+    ("json", [["\":\n"]], []), ("terraform", [["resource "], ["provider "]], []), ("sql", [["CREATE TABLE", "SELECT "]], []),
+]
+
+
+def code_language(text: Column, lines: int = 50) -> Column:
+    """The first language whose marks the text's first lines hold; empty if none."""
+    sample = F.substring_index(text, "\n", lines)
+    has = lambda t: F.contains(sample, F.lit(t))
+    some = lambda texts: functools.reduce(Column.__or__, map(has, texts))
+    out = F.lit("")
+    for name, groups, absent in reversed(LANGUAGES):
+        holds = functools.reduce(Column.__and__, [*map(some, groups), *(~has(t) for t in absent)])
+        out = F.when(holds | F.startswith(sample, F.lit("{")) if name == "json" else holds, name).otherwise(out)
+    return out
+
+
+def version_terms(text: Column) -> Column:
+    """Dotted numbers of two to four parts that are no day.month.year dates, each once, in order."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)+"), F.lit(0)))
+    part = lambda v, i: F.get(F.split(v, r"\."), F.lit(i)).try_cast("bigint")
+    date = lambda v: part(v, 0).between(1, 31) & part(v, 1).between(1, 12) & (part(v, 2) >= 1900)
+    kept = lambda v: F.size(F.filter(F.split(v, r"\."), lambda p: p.try_cast("bigint") < 1 << 32)).between(2, 4) & ~F.coalesce(date(v), F.lit(False))
+    return F.filter(found, kept)
+
+
 def version_parts(text: Column, pad: int = 4) -> Column:
     """The first dotted number of 2 to 4 parts as numbers, filled with zeros, so that versions sort."""
     found = F.regexp_extract(text, r"(?<![0-9.])([0-9]+(?:\.[0-9]+){1,3})(?![0-9.])", 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds, the expressions that find them (group 1 is the value), and confidence. Fixed values.
@@ -58,5 +58,6 @@ def aggregate(facts: DataFrame, scope: list[str], support: str) -> DataFrame:
 
 def conflicts(facts: DataFrame, scope: list[str]) -> DataFrame:
     """Facts whose kind has more than one value in their scope, with that number."""
-    distinct = F.size(F.collect_set("canonical_value").over(Window.partitionBy(*scope, "fact_kind")))
-    return facts.withColumn("alternatives", distinct).where("alternatives > 1")
+    keys = [*scope, "fact_kind"]
+    several = facts.groupBy(*keys).agg(F.count_distinct("canonical_value").cast("int").alias("alternatives")).where("alternatives > 1")
+    return facts.join(several, keys)

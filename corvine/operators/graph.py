@@ -20,20 +20,25 @@ RELATION = r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into reliable storage; a local session without a folder gets one."""
+    """``df`` computed once into reliable storage; a local session without a folder (tests) gets one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         known = sc.getConf().get("spark.checkpoint.dir")
-        if not known and not sc.master.startswith("local"):
+        if not known and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="corvine-"))
     return df.checkpoint()
 
 
-def node_key(node_type: Column, label: Column) -> Column:
-    """Type and label in lower case, other characters as single underscores; a digest if none is left."""
+def label_key(label: Column) -> Column:
+    """Lower case, other characters as single underscores, none at the ends; a digest if nothing is left."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
-    return F.concat(node_type, F.lit(":"), F.when(plain != "", plain).otherwise(F.concat(F.lit("u"), F.substring(F.sha2(label, 256), 1, 16))))
+    return F.when(plain != "", plain).otherwise(F.concat(F.lit("u"), F.substring(F.sha2(label, 256), 1, 16)))
+
+
+def node_key(node_type: Column, label: Column) -> Column:
+    """Type and the label's key."""
+    return F.concat(node_type, F.lit(":"), label_key(label))
 
 
 def edge_key(a: Column, relation: Column, b: Column) -> Column:
@@ -59,13 +64,14 @@ def admitted_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One node per normalised label across types, and the edges between the nodes that stay.
 
-    The best supported node stays, then the smaller label and id; edges follow, become one
+    The best supported node stays, then that of the more specific type, the smaller label and id; edges follow, become one
     per (from, relation, to) with supports added, and self-loops go.
     """
-    identity = F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", "_")
-    keyed = nodes.withColumn("_key", F.when(F.col("node_type") == "document", F.col("node_id")).otherwise(identity))
-    w = Window.partitionBy("_key").orderBy(F.desc("support_count"), "label", "node_id")
-    mapped = keyed.withColumn("canonical_id", F.first("node_id").over(w))
+    kind = F.col("node_type")
+    keyed = nodes.withColumn("_key", F.when(kind == "document", F.concat(F.lit("document:"), F.col("node_id"))).otherwise(label_key(F.col("label"))))
+    rank = F.when(kind == "document", 0).when(kind == "concept", 1).when(kind == "entity", 2).otherwise(3)
+    best = keyed.groupBy("_key").agg(F.min(F.struct((-F.col("support_count")).alias("s"), (-rank).alias("t"), "label", "node_id")).alias("x"))
+    mapped = keyed.join(best.select("_key", F.col("x.node_id").alias("canonical_id")), "_key")
     kept = mapped.where("node_id = canonical_id").drop("_key", "canonical_id")
     to = mapped.select("node_id", "canonical_id")
     moved = edges
@@ -88,7 +94,7 @@ def traverse(edges: DataFrame, starts: Sequence[str], hops: int) -> DataFrame:
     A frontier joins the edges once per hop; nodes already seen are left out.
     """
     spark = edges.sparkSession
-    links = neighbours(edges)
+    links = cut(neighbours(edges))
     seen = spark.createDataFrame([(s, 0) for s in starts], "node_id string, depth int")
     frontier = seen
     for depth in range(1, hops + 1):
@@ -102,13 +108,15 @@ def traverse(edges: DataFrame, starts: Sequence[str], hops: int) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``(node_id, community)`` after synchronous rounds; a tie goes to the smaller label.
 
-    Votes are summed per (node, label) before they are compared, so a hub's neighbours never
-    meet in one task.
+    A neighbour votes for its label with its edge's support (1 where edges have none).  Votes are summed
+    per (node, label) before they are compared, so a hub's neighbours never meet in one task.
     """
-    links = cut(neighbours(edges))
+    weight = F.col("support_count") if "support_count" in edges.columns else F.lit(1)
+    ab = edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b"), weight.cast("bigint").alias("w"))
+    links = cut(ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
     labels = links.select(F.col("a").alias("node_id"), F.col("a").alias("community")).distinct()
     for _ in range(rounds):
-        votes = links.join(labels.withColumnsRenamed({"node_id": "b"}), "b").groupBy(F.col("a").alias("node_id"), "community").agg(F.count("*").alias("n"))
+        votes = links.join(labels.withColumnsRenamed({"node_id": "b"}), "b").groupBy(F.col("a").alias("node_id"), "community").agg(F.sum("w").alias("n"))
         best = votes.groupBy("node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("x"))
         labels = cut(best.select("node_id", F.col("x.community").alias("community")))
     return labels

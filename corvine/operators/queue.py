@@ -10,10 +10,10 @@ STAGES = [("extract_content", 20), ("prepare_structure", 10), ("chunk_content",
 
 
 def claimable(jobs: DataFrame, total: int, per_workspace: int, per_library: int) -> DataFrame:
-    """Queued jobs that may be claimed now, best first: ``place`` 1 is claimed next.
+    """The queued job that may be claimed next; none while no slot is free.
 
-    Caps hold for leased jobs overall, per workspace and per library; among the rest the
-    workspace with fewest leased jobs goes first, then priority, age and id.
+    Leased jobs count against caps overall, per workspace and per library.  Priority (low first), the
+    library's running jobs, age and id decide; claiming is the caller's update, one job at a time.
     """
     leased = jobs.where("queue_state = 'leased'")
     by_workspace = leased.groupBy("workspace_id").agg(F.count("*").alias("_w"))
@@ -21,9 +21,7 @@ def claimable(jobs: DataFrame, total: int, per_workspace: int, per_library: int)
     free = leased.agg((F.lit(total) - F.count("*")).alias("_free"))
     waiting = jobs.where("queue_state = 'queued'").join(by_workspace, "workspace_id", "left").join(by_library, "library_id", "left").join(F.broadcast(free))
     open_ = waiting.na.fill(0, ["_w", "_l"]).where((F.col("_free") > 0) & (F.col("_w") < per_workspace) & (F.col("_l") < per_library))
-    order = [F.col("_w"), F.desc("priority"), F.col("queued_at"), F.col("job_id")]
-    best = open_.orderBy(*order).limit(per_workspace)
-    return best.select("job_id", "workspace_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return open_.orderBy("priority", "_l", "queued_at", "job_id").limit(1).select("job_id", "workspace_id")
 
 
 def stale_leases(jobs: DataFrame, now: Column, timeout_s: int) -> DataFrame:

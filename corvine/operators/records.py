@@ -91,6 +91,19 @@ def semantic_row(sheet: str, number: Column, headers: Sequence[str]) -> Column:
     return F.concat_ws(" | ", F.lit(f"Sheet: {sheet}"), F.concat(F.lit("Row "), number.cast("string")), *cells)
 
 
+def document_status(mutation: Column, job: Column, readable: Column) -> Column:
+    """Status of a document from its newest mutation's and job's states and its readable revision; the first that holds counts.
+
+    What failed or runs now shows whatever else there is; then a readable revision; then what waits.
+    A job that completed without a readable revision is a failure.
+    """
+    return (
+        F.when(mutation.isin("failed", "conflicted") | (job == "failed"), "failed").when(job == "leased", "processing").when(readable.isNotNull(), "ready")
+        .when((job == "canceled") | (mutation == "canceled"), "canceled").when(job == "queued", "queued")
+        .when(mutation.isin("accepted", "running"), "processing").when(job == "completed", "failed").otherwise("queued")
+    )
+
+
 def infer_header(rows: list[list[str]]) -> tuple[list[str], int]:
     """Column names and the number of rows before the data, from a table's first rows.
 

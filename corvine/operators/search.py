@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ RRF_K, IDENTITY_SCORE = 60, 100_000.0
 
 
 def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(id, token, tf, first_at)``: tokens of every text, their number and first place."""
+    """``(id, at, token)``: every token of every text and its place; lanes join terms before anything is grouped."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(id_col, F.posexplode(words).alias("at", "token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+    return df.select(id_col, F.posexplode(words).alias("at", "token"))
 
 
 def lexical_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
@@ -29,10 +31,11 @@ def lexical_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str
 
     ``terms``: (query_id, token).  ``all`` keeps rows that hold every term (AND), ``any`` those
     with one.  The score is the share of terms matched, times what their nearness adds: one over
-    one plus the span between the first places of the terms, in words of 100.
+    one plus the span between the first places of the terms, in words of 100.  Only hits are shuffled.
     """
     wanted = terms.distinct().withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    hits = postings_.join(F.broadcast(wanted), "token").groupBy("query_id", id_col).agg(
+    each = postings_.join(wanted, "token").groupBy("query_id", id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"), F.max("_n").alias("_n"))
+    hits = each.groupBy("query_id", id_col).agg(
         F.count("*").alias("matched"), F.max("_n").alias("_n"), (F.max("first_at") - F.min("first_at")).alias("_span"), F.sum("tf").alias("_tf")
     )
     score = F.col("matched") / F.col("_n") * (1 + 1 / (1 + F.col("_span") / 100.0)) * F.log1p("_tf")
@@ -43,8 +46,7 @@ def lexical_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str
 def prefix_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str = "all", cut: int = 5) -> DataFrame:
     """As ``lexical_lane`` with terms of four characters or more cut to a prefix; shorter ones exact."""
     key = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, cut)).otherwise(F.col(c))
-    left = postings_.withColumn("token", key("token")).groupBy(id_col, "token").agg(F.sum("tf").alias("tf"), F.min("first_at").alias("first_at"))
-    return lexical_lane(left, terms.withColumn("token", key("token")), id_col, mode)
+    return lexical_lane(postings_.withColumn("token", key("token")), terms.withColumn("token", key("token")), id_col, mode)
 
 
 def ladder(passes: Sequence[DataFrame], id_col: str, enough: int = 8) -> DataFrame:
@@ -71,13 +73,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
+#: Rows of a block of vectors and of a block of questions.
+VECTORS, QUESTIONS = 8192, 512
+
+
+def _block_best(k: int, names: tuple[str, str]):
+    """The best ``k`` of one block of vectors for each question of one block, by one matrix product per length."""
+
+    def units(rows: pd.Series) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        sizes = np.array([0 if v is None else len(v) for v in rows])
+        out = {}
+        for n in set(sizes.tolist()) - {0}:
+            at = np.flatnonzero(sizes == n)
+            m = np.array([rows.iloc[i] for i in at], dtype=float)
+            norm = np.sqrt((m * m).sum(axis=1))
+            out[n] = (at[norm > 0], m[norm > 0] / norm[norm > 0, None])
+        return sizes, out
+
+    def run(questions: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        asked, held = units(questions["q"])[1], units(vectors["v"])[1]
+        ids, names_ = vectors["id"].to_numpy(), questions["query_id"].to_numpy()
+        for n in asked.keys() & held.keys():
+            (at, left), (place, right) = asked[n], held[n]
+            for i, scores in zip(at, left @ right.T, strict=True):
+                keep = np.arange(len(scores))
+                if len(keep) > k:
+                    keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12)
+                best = keep[np.lexsort((ids[place[keep]], -scores[keep]))[: k + 16]]
+                found += [(names_[i], ids[place[j]], float(scores[j])) for j in best]
+        return pd.DataFrame(found, columns=list(names))
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Exact top ``k`` by cosine: ``(query_id, id, score, rank)``, ties to the smaller id.
+    """Exact top ``k`` by cosine: ``(query_id, id, score, rank)``, ties (to nine decimals) to the smaller id.
 
-    ``queries`` (query_id, q) is a small table of questions; it is broadcast if Spark finds it small.
+    ``queries``: (query_id, q).  Questions and vectors meet in a grid of blocks of bounded size; each
+    block gives its best rows only.  Empty, null and zero vectors and those of another length score nothing.
     """
-    scored = vectors.join(queries).withColumn("score", cosine(F.col("q"), F.col(vector_col))).where("score IS NOT NULL")
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col(id_col)], k, rank="rank").select("query_id", id_col, "score", "rank")
+    parts, groups = max(1, -(-vectors.count() // VECTORS)), max(1, -(-queries.count() // QUESTIONS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")).withColumn("part", every(parts))
+    right = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part")).withColumn("group", every(groups))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    run = _block_best(k, ("query_id", id_col, "score"))
+    both = left.groupBy("group", "part").cogroup(right.groupBy("group", "part"))
+    scored = both.applyInPandas(run, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double")
+    return top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k, rank="rank").select("query_id", id_col, "score", "rank")
 
 
 def reciprocal_rank_fusion(lanes: dict[str, DataFrame], key: str, group: Sequence[str] = ("query_id",), first: int = 1) -> DataFrame:

@@ -192,7 +192,7 @@ def a17(part: DataFrame) -> DataFrame:
 
 @query(
     "a18_value_shape",
-    """WITH l AS (SELECT 'url' AS column_name, url AS value FROM {pages} UNION ALL SELECT 'page_id', CAST(page_id AS VARCHAR) FROM {pages} UNION ALL SELECT 'title', substr(html, 90, 200) FROM {pages}),
+    """WITH l AS (SELECT 'url' AS column_name, url AS value FROM {pages} UNION ALL SELECT 'page_id', CAST(page_id AS VARCHAR) FROM {pages} UNION ALL SELECT 'title', regexp_extract(html, '<title>([^<]*)</title>', 1) FROM {pages}),
        r AS (SELECT column_name, avg(CAST(regexp_matches(trim(value), '^https?://') AS INT)) AS u,
                avg(CAST(len(regexp_split_to_array(trim(value), '[ \\t\\n\\r]+')) = 1 AND regexp_matches(value, '[0-9]') AS INT)) AS i,
                avg(CAST(len(regexp_split_to_array(trim(value), '[ \\t\\n\\r]+')) >= 6 OR length(trim(value)) >= 48 AS INT)) AS n FROM l GROUP BY 1)
@@ -201,7 +201,7 @@ def a17(part: DataFrame) -> DataFrame:
     "pages",
 )
 def a18(pages: DataFrame) -> DataFrame:
-    return aggregates.value_shapes(pages.select("url", "page_id", F.substring("html", 90, 200).alias("title")), ["url", "page_id", "title"])
+    return aggregates.value_shapes(pages.select("url", "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")), ["url", "page_id", "title"])
 
 
 @query(
@@ -324,12 +324,12 @@ def a26(lineitem: DataFrame) -> DataFrame:
 @query(
     "a28_execution_rollup",
     """SELECT e.execution_id, coalesce(c.currency_code, 'USD') AS currency_code, coalesce(sum(c.cost_cents), 0)::BIGINT AS cost_cents, count(DISTINCT c.call_id) AS calls
-       FROM {execution} e LEFT JOIN {provider_call} c ON c.execution_id = e.execution_id AND c.call_state = 'failed' GROUP BY 1, 2""",
+       FROM {execution} e LEFT JOIN {provider_call} c ON c.execution_id = e.execution_id GROUP BY 1, 2""",
     "execution",
     "provider_call",
 )
 def a28(execution: DataFrame, provider_call: DataFrame) -> DataFrame:
-    rolled = provider_call.where("call_state = 'failed'").groupBy("execution_id", "currency_code").agg(F.sum("cost_cents").alias("c"), F.count_distinct("call_id").alias("n"))
+    rolled = provider_call.groupBy("execution_id", "currency_code").agg(F.sum("cost_cents").alias("c"), F.count_distinct("call_id").alias("n"))
     return execution.select("execution_id").join(rolled, "execution_id", "left").select(
         "execution_id", F.coalesce("currency_code", F.lit("USD")).alias("currency_code"), F.coalesce("c", F.lit(0)).alias("cost_cents"), F.coalesce("n", F.lit(0)).alias("calls")
     )

@@ -56,16 +56,17 @@ def f11(documents: DataFrame) -> DataFrame:
     return facts.aggregate(_facts(documents), ["doc_id"], "chunk_index")
 
 
-@query("f12_fact_conflicts", """SELECT p_brand, p_type, n AS alternatives FROM (SELECT p_brand, p_type, count(DISTINCT p_type) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_type FROM {part} WHERE p_size > 45)) WHERE n > 1""", "part")
+@query("f12_fact_conflicts", """SELECT p_brand, p_type, n AS alternatives FROM (SELECT p_brand, p_type, count(DISTINCT p_type) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_type FROM {part})) WHERE n > 1""", "part")
 def f12(part: DataFrame) -> DataFrame:
-    rows = part.where("p_size > 45").select("p_brand", F.lit("type").alias("fact_kind"), F.col("p_type").alias("canonical_value")).distinct()
+    rows = part.select("p_brand", F.lit("type").alias("fact_kind"), F.col("p_type").alias("canonical_value")).distinct()
     return facts.conflicts(rows, ["p_brand"]).select("p_brand", F.col("canonical_value").alias("p_type"), "alternatives")
 
 
-@query("f13_dotted_versions", r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'))) AS term FROM {documents}", "documents")
+@query("f13_dotted_versions", r"""WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+'))) AS term FROM {documents}),
+   p AS (SELECT *, list_filter(list_transform(string_split(term, '.'), lambda x: TRY_CAST(x AS UBIGINT)), lambda x: x <= 4294967295) AS n FROM v)
+   SELECT doc_id, term FROM p WHERE len(n) BETWEEN 2 AND 4 AND NOT (len(n) >= 3 AND n[1] BETWEEN 1 AND 31 AND n[2] BETWEEN 1 AND 12 AND n[3] >= 1900)""", "documents")
 def f13(documents: DataFrame) -> DataFrame:
-    terms = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"), F.lit(0)))
-    return documents.select("doc_id", F.explode(terms).alias("term"))
+    return documents.select("doc_id", F.explode(fn.version_terms(F.col("text"))).alias("term"))
 
 
 @query("f14_version_parts", "SELECT p_partkey, p_size % 9 AS major, p_partkey % 20 AS minor FROM {part}", "part")

@@ -9,7 +9,13 @@ from ..operators import graph
 from ..registry import query
 
 _NB = "nb AS (SELECT from_node_id AS a, to_node_id AS b FROM {edge} UNION SELECT to_node_id, from_node_id FROM {edge})"
-_SMALL = "nb AS (SELECT from_node_id AS a, to_node_id AS b FROM {edge} WHERE relation_type = 'lives_in' UNION SELECT to_node_id, from_node_id FROM {edge} WHERE relation_type = 'lives_in')"
+#: Edges with a support, and both directions of them with supports added.
+_SUPPORT = "(length(to_node_id) * 7 + length(from_node_id)) % 5 + 1"
+_WEIGHED = f"e AS (SELECT from_node_id AS a, to_node_id AS b, {_SUPPORT} AS w FROM {{edge}}), nb AS (SELECT a, b, sum(w) AS w FROM (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY 1, 2)"
+
+
+def _supported(edge: DataFrame) -> DataFrame:
+    return edge.withColumn("support_count", F.expr(_SUPPORT))
 
 
 @query("g02_node_keys", """SELECT node_id, node_type || ':' || trim(regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS canonical_key FROM {node}""", "node")
@@ -32,7 +38,7 @@ def g03(node: DataFrame) -> DataFrame:
     return graph.label_types(node)
 
 
-_CANON = """m AS (SELECT node_id, label, node_type, support_count, first_value(node_id) OVER (PARTITION BY regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', '_', 'g') ORDER BY support_count DESC, label, node_id) AS cid FROM {node})"""
+_CANON = """m AS (SELECT node_id, label, node_type, support_count, first_value(node_id) OVER (PARTITION BY trim(regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') ORDER BY support_count DESC, label, node_id) AS cid FROM {node})"""
 
 
 @query("g05_canonical_nodes", f"WITH {_CANON} SELECT node_id, label FROM m WHERE node_id = cid", "node", "edge")
@@ -63,18 +69,18 @@ def g10(edge: DataFrame) -> DataFrame:
 
 
 def _round(i: int) -> str:
-    return f"""v{i} AS (SELECT a AS node_id, community, count(*) AS n FROM nb JOIN l{i - 1} ON b = l{i - 1}.node_id GROUP BY 1, 2),
+    return f"""v{i} AS (SELECT a AS node_id, community, sum(w) AS n FROM nb JOIN l{i - 1} ON b = l{i - 1}.node_id GROUP BY 1, 2),
       l{i} AS (SELECT node_id, community FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, community) AS r FROM v{i}) WHERE r = 1)"""
 
 
-@query("g11_label_propagation", f"WITH {_NB}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT node_id, community FROM l2", "edge")
+@query("g11_label_propagation", f"WITH {_WEIGHED}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT node_id, community FROM l2", "edge")
 def g11(edge: DataFrame) -> DataFrame:
-    return graph.label_propagation(edge, rounds=2)
+    return graph.label_propagation(_supported(edge), rounds=2)
 
 
-@query("g12_community_sizes", f"WITH {_SMALL}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT community, count(*) AS size, min(node_id) AS first_member FROM l2 GROUP BY community HAVING count(*) >= 10", "edge")
+@query("g12_community_sizes", f"WITH {_WEIGHED}, l0 AS (SELECT DISTINCT a AS node_id, a AS community FROM nb), {_round(1)}, {_round(2)} SELECT community, count(*) AS size, min(node_id) AS first_member FROM l2 GROUP BY community HAVING count(*) >= 10", "edge")
 def g12(edge: DataFrame) -> DataFrame:
-    found = graph.label_propagation(edge.where("relation_type = 'lives_in'"), rounds=2)
+    found = graph.label_propagation(_supported(edge), rounds=2)
     return found.groupBy("community").agg(F.count("*").alias("size"), F.min("node_id").alias("first_member")).where("size >= 10")
 
 
@@ -90,10 +96,10 @@ def _walk(i: int) -> str:
       p{i} AS (SELECT n.node_id, n.t, 0.85 * coalesce(m, 0) + 0.15 * n.t AS score FROM n LEFT JOIN m{i} ON m{i}.node_id = n.node_id)"""
 
 
-@query("g15_personalised_pagerank", f"""WITH {_SMALL}, d AS (SELECT a, count(*) AS d FROM nb GROUP BY a), n AS (SELECT a AS node_id, CASE a WHEN 'person:5' THEN 2.0::DOUBLE / 3.5 WHEN 'location:1' THEN 1.5::DOUBLE / 3.5 ELSE 0 END AS t FROM d),
-  p0 AS (SELECT node_id, t, t AS score FROM n), {_walk(1)}, {_walk(2)}, {_walk(3)} SELECT node_id, round(score, 8) AS score FROM p3""", "edge")
+@query("g15_personalised_pagerank", f"""WITH {_NB}, d AS (SELECT a, count(*) AS d FROM nb GROUP BY a), n AS (SELECT a AS node_id, CASE a WHEN 'person:5' THEN 2.0::DOUBLE / 3.5 WHEN 'location:1' THEN 1.5::DOUBLE / 3.5 ELSE 0 END AS t FROM d),
+  p0 AS (SELECT node_id, t, t AS score FROM n), {', '.join(map(_walk, range(1, 9)))} SELECT node_id, round(score, 8) AS score FROM p8""", "edge")
 def g15(edge: DataFrame) -> DataFrame:
-    ranks = graph.personalised_pagerank(edge.where("relation_type = 'lives_in'"), ["person:5", "location:1"], rounds=3)
+    ranks = graph.personalised_pagerank(edge, ["person:5", "location:1"])
     return ranks.select("node_id", F.round("score", 8).alias("score"))
 
 
@@ -122,10 +128,10 @@ def g26(node: DataFrame) -> DataFrame:
     return node.orderBy(F.desc("support_count"), "label", "node_id").limit(40).select("node_id", "support_count")
 
 
-@query("t06_ranked_subgraph", """WITH t AS (SELECT node_id FROM {node} ORDER BY support_count DESC, label, node_id LIMIT 300) SELECT DISTINCT from_node_id, relation_type, to_node_id FROM {edge} WHERE from_node_id IN (SELECT node_id FROM t) AND to_node_id IN (SELECT node_id FROM t)
-  ORDER BY 1, 2, 3 LIMIT 750""", "node", "edge")
+@query("t06_ranked_subgraph", """WITH t AS (SELECT node_id FROM {node} ORDER BY support_count DESC, label, node_id LIMIT 2000) SELECT DISTINCT from_node_id, relation_type, to_node_id FROM {edge} WHERE from_node_id IN (SELECT node_id FROM t) AND to_node_id IN (SELECT node_id FROM t)
+  ORDER BY 1, 2, 3 LIMIT 5000""", "node", "edge")
 def t06(node: DataFrame, edge: DataFrame) -> DataFrame:
-    return graph.ranked_subgraph(node, edge, 300)[1]
+    return graph.ranked_subgraph(node, edge, 2000)[1]
 
 
 @query("g29_stale_evidence", """SELECT r.revision_id FROM {revision} r WHERE NOT EXISTS (SELECT 1 FROM {document} d WHERE d.document_id = r.document_id AND (d.readable_revision_id = r.revision_id OR d.active_revision_id = r.revision_id))""", "revision", "document")

@@ -10,9 +10,9 @@ from ..operators import ranking
 from ..registry import query
 
 
-@query("q05_queue_claim", """WITH l AS (SELECT * FROM {job} WHERE queue_state = 'leased'), w AS (SELECT workspace_id, count(*) AS w FROM l GROUP BY 1), b AS (SELECT library_id, count(*) AS l FROM l GROUP BY 1)
-  SELECT job_id, workspace_id, (row_number() OVER (ORDER BY w0, priority DESC, queued_at, job_id))::INTEGER AS place FROM (SELECT j.*, coalesce(w.w, 0) AS w0 FROM {job} j LEFT JOIN w USING (workspace_id) LEFT JOIN b USING (library_id)
-  WHERE j.queue_state = 'queued' AND coalesce(w.w, 0) < 100 AND coalesce(b.l, 0) < 20 AND 100000 - (SELECT count(*) FROM l) > 0 ORDER BY w0, priority DESC, queued_at, job_id LIMIT 100)""", "job")
+@query("q05_queue_claim", """WITH l AS (SELECT * FROM {job} WHERE queue_state = 'leased') SELECT job_id, workspace_id FROM {job} j WHERE queue_state = 'queued' AND (SELECT count(*) FROM l) < 100000
+  AND (SELECT count(*) FROM l WHERE l.workspace_id = j.workspace_id) < 100 AND (SELECT count(*) FROM l WHERE l.library_id = j.library_id) < 20
+  ORDER BY priority, (SELECT count(*) FROM l WHERE l.library_id = j.library_id), queued_at, job_id LIMIT 1""", "job")
 def q05(job: DataFrame) -> DataFrame:
     return q.claimable(job, 100_000, 100, 20)
 

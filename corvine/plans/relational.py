@@ -245,12 +245,12 @@ def j11(events: DataFrame) -> DataFrame:
 @query(
     "j12_graph_self_join",
     """SELECT e.from_node_id, e.to_node_id, a.label AS from_label, b.label AS to_label FROM {edge} e
-       JOIN {node} a ON a.node_id = e.from_node_id JOIN {node} b ON b.node_id = e.to_node_id WHERE e.relation_type = 'lives_in'""",
+       JOIN {node} a ON a.node_id = e.from_node_id JOIN {node} b ON b.node_id = e.to_node_id""",
     "edge",
     "node",
 )
 def j12(edge: DataFrame, node: DataFrame) -> DataFrame:
-    return joins.with_endpoints(edge.where("relation_type = 'lives_in'"), node).select("from_node_id", "to_node_id", "from_label", "to_label")
+    return joins.with_endpoints(edge, node).select("from_node_id", "to_node_id", "from_label", "to_label")
 
 
 @query(
@@ -482,12 +482,12 @@ def u04(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 @query(
     "u05_append_distinct",
-    """WITH a AS (SELECT doc_id, doc_id AS place FROM {documents} WHERE doc_id % 50 = 3), b AS (SELECT doc_id, 10000000 - doc_id AS place FROM {documents} WHERE doc_id % 25 = 3)
+    """WITH a AS (SELECT doc_id, doc_id AS place FROM {documents} WHERE contains(text, 'license')), b AS (SELECT doc_id, 10000000 - doc_id AS place FROM {documents})
        SELECT doc_id, pass FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pass, place) AS r FROM (SELECT *, 0 AS pass FROM a UNION ALL SELECT *, 1 FROM b)) WHERE r = 1""",
     "documents",
 )
 def u05(documents: DataFrame) -> DataFrame:
-    a = documents.where("doc_id % 50 = 3").select("doc_id", F.col("doc_id").alias("place"))
-    b = documents.where("doc_id % 25 = 3").select("doc_id", (10_000_000 - F.col("doc_id")).alias("place"))
+    a = documents.where(F.contains("text", F.lit("license"))).select("doc_id", F.col("doc_id").alias("place"))
+    b = documents.select("doc_id", (10_000_000 - F.col("doc_id")).alias("place"))
     return ranking.append_distinct(a, b, "doc_id").select("doc_id", "pass")
 

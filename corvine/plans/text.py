@@ -80,11 +80,11 @@ def c10(documents: DataFrame) -> DataFrame:
     return fn.simhash(blocks.line_chunks(documents), ["doc_id", "chunk_index"], "content_text")
 
 
-@query("c11_near_duplicate_flag", f"""WITH {_LINES}, f AS (SELECT *, lower(regexp_replace(content_text, '[^A-Za-z]+', '', 'g')) AS fp, sha256(content_text) AS d FROM l)
-   SELECT doc_id, chunk_index, first_value(d) OVER (PARTITION BY doc_id, fp ORDER BY chunk_index) <> d AS is_near_duplicate FROM f""", "documents")
+@query("c11_near_duplicate_flag", None, "documents")
 def c11(documents: DataFrame) -> DataFrame:
-    rows = blocks.line_chunks(documents).withColumns({"fp": F.lower(F.regexp_replace("content_text", "[^A-Za-z]+", "")), "d": F.sha2("content_text", 256)})
-    return rows.select("doc_id", "chunk_index", fn.near_duplicate_flag(F.col("fp"), F.col("d"), ["doc_id"], "chunk_index").alias("is_near_duplicate"))
+    lines = blocks.line_chunks(documents)
+    rows = lines.select("doc_id", "chunk_index", F.sha2("content_text", 256).alias("d")).join(fn.simhash(lines, ["doc_id", "chunk_index"], "content_text"), ["doc_id", "chunk_index"])
+    return rows.select("doc_id", "chunk_index", fn.near_duplicate_flag(F.col("simhash"), F.col("d"), ["doc_id"], "chunk_index").alias("is_near_duplicate"))
 
 
 @query("c13_text_quality_ratios", r"""SELECT doc_id, round(len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1), 9) AS digit_ratio,
@@ -106,17 +106,26 @@ def c14_nfkc(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.size(fn.tokens(fn.nfkc(F.col("text")))).alias("n_tokens"))
 
 
-@query("s14_code_language_guess", """SELECT doc_id, CASE WHEN contains(text, 'def ') AND contains(text, ':') THEN 'python' WHEN contains(text, 'fn ') THEN 'rust' WHEN contains(text, 'token =') THEN 'config'
-   WHEN contains(text, 'SELECT ') THEN 'sql' ELSE 'text' END AS code_language FROM {documents}""", "documents")
+_HAS = "contains(t, '{0}')".format
+
+
+@query("s14_code_language_guess", f"""WITH s AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:50], chr(10)) AS t FROM {{documents}})
+   SELECT doc_id, CASE WHEN {_HAS('fn ')} AND ({_HAS('-> ')} OR {_HAS('pub ')} OR {_HAS('let ')}) THEN 'rust' WHEN {_HAS('def ')} AND {_HAS(':')} AND NOT contains(t, chr(123)) THEN 'python' WHEN {_HAS('func ')} AND {_HAS('package ')} THEN 'go'
+   WHEN {_HAS('function ')} OR {_HAS('const ')} OR contains(t, '=> ' || chr(123)) THEN CASE WHEN {_HAS(': string')} OR {_HAS(': number')} OR {_HAS('interface ')} THEN 'typescript' ELSE 'javascript' END
+   WHEN {_HAS('class ')} AND contains(t, chr(123)) AND ({_HAS('public ')} OR {_HAS('private ')}) AND {_HAS('package ')} AND {_HAS('import java')} THEN 'java'
+   WHEN {_HAS('class ')} AND contains(t, chr(123)) AND ({_HAS('public ')} OR {_HAS('private ')}) AND ({_HAS('#include')} OR {_HAS('std::')}) THEN 'cpp'
+   WHEN {_HAS('class ')} AND contains(t, chr(123)) AND ({_HAS('public ')} OR {_HAS('private ')}) AND {_HAS('using ')} AND {_HAS('namespace ')} THEN 'csharp'
+   WHEN {_HAS('<?php')} OR {_HAS('function ')} AND {_HAS('$')} THEN 'php' WHEN {_HAS('require ')} AND contains(t, 'end' || chr(10)) THEN 'ruby'
+   WHEN {_HAS('import Swift')} OR {_HAS('func ')} AND {_HAS('->')} AND NOT {_HAS('pub ')} THEN 'swift' WHEN {_HAS('fun ')} AND {_HAS('val ')} THEN 'kotlin'
+   WHEN {_HAS('defmodule ')} OR {_HAS('def ')} AND contains(t, 'do' || chr(10)) THEN 'elixir' WHEN {_HAS('FROM ')} AND {_HAS('RUN ')} THEN 'dockerfile' WHEN {_HAS('---')} AND {_HAS(': ')} AND NOT contains(t, chr(123)) THEN 'yaml'
+   WHEN starts_with(t, chr(123)) OR contains(t, '":' || chr(10)) THEN 'json' WHEN {_HAS('resource ')} AND {_HAS('provider ')} THEN 'terraform' WHEN {_HAS('CREATE TABLE')} OR {_HAS('SELECT ')} THEN 'sql' ELSE '' END AS code_language FROM s""", "documents")
 def s14(documents: DataFrame) -> DataFrame:
-    has = lambda t: F.contains("text", F.lit(t))
-    guess = F.when(has("def ") & has(":"), "python").when(has("fn "), "rust").when(has("token ="), "config").when(has("SELECT "), "sql").otherwise("text")
-    return documents.select("doc_id", guess.alias("code_language"))
+    return documents.select("doc_id", fn.code_language(F.col("text")).alias("code_language"))
 
 
-@query("sf_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {documents}", "documents")
+@query("sf_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {documents}", "documents")
 def sf_slug(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", fn.slug(F.substring("text", 1, 80)).alias("slug"))
+    return documents.select("doc_id", fn.slug(F.col("text")).alias("slug"))
 
 
 @query("sf_unaccent", "SELECT doc_id, strip_accents(text) = text AS plain, md5(strip_accents(text)) AS digest FROM {documents}", "documents")

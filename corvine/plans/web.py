@@ -9,7 +9,7 @@ from ..operators import crawl, filters
 from ..registry import query
 from ..sources import html
 
-_URL = r"""u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1) || '://' || lower(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 2)) ||
+_URL = r"""u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 1) || '://' || regexp_replace(lower(regexp_extract(url, '^(https?)://([^/?#]+)', 2)), CASE WHEN starts_with(url, 'https:') THEN ':443$' ELSE ':80$' END, '') ||
   CASE WHEN regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) = '' THEN '/' ELSE regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 3) END || regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?', 4) AS normal_url,
   lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM {pages})"""
 
@@ -51,17 +51,16 @@ def x15(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", decision.alias("decision"))
 
 
-_NEXT = "k AS (SELECT p_partkey AS source, (p_partkey * 7 + 3) % 500 AS target FROM {part} WHERE p_partkey < 500 UNION SELECT p_partkey, (p_partkey * 3 + 11) % 500 FROM {part} WHERE p_partkey < 500)"
+_NEXT = "k AS (SELECT p_partkey AS source, (p_partkey * 7 + 3) % 5003 AS target FROM {part} UNION SELECT p_partkey, (p_partkey * 3 + 11) % 5003 FROM {part})"
 
 
 @query("q01_crawl_waves", f"""WITH {_NEXT}, w0 AS (SELECT '1' AS url), w1 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w0 ON source::VARCHAR = url), w2 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w1 ON source::VARCHAR = url),
   w3 AS (SELECT DISTINCT target::VARCHAR AS url FROM k JOIN w2 ON source::VARCHAR = url), a AS (SELECT url, min(depth)::INTEGER AS depth FROM (SELECT url, 0 AS depth FROM w0 UNION ALL SELECT url, 1 FROM w1 UNION ALL SELECT url, 2 FROM w2 UNION ALL SELECT url, 3 FROM w3) GROUP BY 1)
-  SELECT url, depth FROM a ORDER BY depth, url LIMIT 10""", "part")
+  SELECT url, depth FROM a ORDER BY depth, url LIMIT 200""", "part")
 def q01(part: DataFrame) -> DataFrame:
-    p = part.where("p_partkey < 500")
     s = lambda e: F.expr(e).cast("string")
-    links = p.select(s("p_partkey").alias("source"), F.explode(F.array(s("(p_partkey * 7 + 3) % 500"), s("(p_partkey * 3 + 11) % 500"))).alias("target"))
-    return crawl.waves(links, part.sparkSession.createDataFrame([("1",)], "url string"), 3, 10)
+    links = part.select(s("p_partkey").alias("source"), F.explode(F.array(s("(p_partkey * 7 + 3) % 5003"), s("(p_partkey * 3 + 11) % 5003"))).alias("target"))
+    return crawl.waves(links, part.sparkSession.createDataFrame([("1",)], "url string"), 3, 200)
 
 
 @query("q02_link_decisions", f"""WITH {_URL} SELECT page_id, CASE WHEN page_id % 5 > 3 THEN 'exceeded_depth' WHEN NOT (host = 'example.com' OR host LIKE '%.example.com') THEN 'outside_boundary' WHEN contains(url, 'page=') THEN 'url_filtered' ELSE 'queued' END AS decision FROM u""", "pages")
@@ -73,10 +72,10 @@ def q02(pages: DataFrame) -> DataFrame:
 
 @query("q03_run_state", """SELECT user_id, CASE WHEN v > 0 AND e + s + p + c > 0 THEN 'completed_partial' WHEN e + s > 0 THEN 'failed' WHEN p > 0 THEN 'completed_partial' WHEN c > 0 THEN 'canceled' ELSE 'completed' END AS state FROM
   (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS v, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS p,
-  count(*) FILTER (WHERE event_type = 'click') AS c FROM {events} WHERE value < 2 GROUP BY 1)""", "events")
+  count(*) FILTER (WHERE event_type = 'click') AS c FROM {events} GROUP BY 1)""", "events")
 def q03(events: DataFrame) -> DataFrame:
     n = lambda t: F.count_if(F.col("event_type") == t)
-    return events.where("value < 2").groupBy("user_id").agg(crawl.terminal_state(n("view"), n("error"), n("signup"), n("purchase"), n("click")).alias("state"))
+    return events.groupBy("user_id").agg(crawl.terminal_state(n("view"), n("error"), n("signup"), n("purchase"), n("click")).alias("state"))
 
 
 @query("q04_first_of_canonical", f"WITH {_URL} SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM u) WHERE r = 1", "pages")

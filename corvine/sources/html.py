@@ -124,7 +124,7 @@ def url_host(url: Column) -> Column:
 def normal_url_column(url: Column) -> Column:
     """As ``normal_url`` for absolute URLs, in expressions."""
     parts = lambda i: F.regexp_extract(url, r"^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?", i)
-    host = F.regexp_replace(F.lower(parts(2)), r":(80|443)$", "")
+    host = F.when(parts(1) == "https", F.regexp_replace(F.lower(parts(2)), ":443$", "")).otherwise(F.regexp_replace(F.lower(parts(2)), ":80$", ""))
     path = F.when(parts(3) == "", "/").otherwise(parts(3))
     return F.concat(parts(1), F.lit("://"), host, path, parts(4))
 

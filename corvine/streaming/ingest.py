@@ -18,7 +18,7 @@ from ..sources import snapshot
 def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not known and not sc.master.startswith("local"):
+    if not known and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(known or tempfile.mkdtemp(prefix='corvine-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 

@@ -29,6 +29,12 @@ CANONICAL = {
                CASE WHEN doc_id % 4 = 3 THEN 'pending' ELSE 'ready' END AS vector_state,
                CASE WHEN doc_id % 7 = 2 THEN 'failed' ELSE 'ready' END AS graph_state
         FROM {documents} CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r) AS x""",
+    # the newest mutation of each document and its job; some documents have neither
+    "mutation": """
+        SELECT doc_id AS document_id,
+               CASE doc_id % 8 WHEN 0 THEN 'failed' WHEN 1 THEN 'conflicted' WHEN 2 THEN 'canceled' WHEN 3 THEN 'accepted' WHEN 4 THEN 'running' ELSE 'applied' END AS mutation_state,
+               CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'leased' WHEN 2 THEN 'canceled' WHEN 3 THEN 'queued' WHEN 4 THEN 'completed' ELSE NULL END AS queue_state
+        FROM {documents} WHERE doc_id % 10 <> 9""",
     # provider calls: an order is an execution of a customer's document, a line one call of it
     "provider_call": """
         SELECT l_orderkey * 10 + l_linenumber AS call_id, l_orderkey AS execution_id, l_suppkey AS provider_id, l_partkey AS model_id,
