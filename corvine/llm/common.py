@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="corvine-")
     sc.setCheckpointDir(own)
