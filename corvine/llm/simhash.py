@@ -160,6 +160,8 @@ SKETCHES = 8
 KEYS, LEAST = 24, 6
 #: Texts at a key that links leave apart are compared pair by pair up to this number; more go by prefixes.
 FEW = 32
+#: Hubs more that texts of a fuller key are compared with.
+HUBS = 8
 #: Shingles whose frequency orders the prefixes (8 bytes each, broadcast); the order changes no result.
 COMMON = 1 << 16
 #: Constants that make fingerprints from one hash (splitmix64), and orders of hashes. Fixed values.
@@ -203,7 +205,7 @@ def meeting_keys(hashes: np.ndarray) -> list[int]:
     return [x - (x >> 63 << 64) for x in found]
 
 
-def most_bits(similarity: float, sketches: int = SKETCHES, deviations: float = 6) -> int:
+def most_bits(similarity: float, sketches: int = SKETCHES, deviations: float = 4) -> int:
     """Bits in which texts of that Jaccard similarity differ, and so many standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * sketches
@@ -231,13 +233,13 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
 
     Texts meet on keys of least hashes, sized for 0.8 (``KEYS``).  Those that meet on a
     key are first all compared with the least of them, the hub: that links a crowd of copies by as
-    many pairs as it has rows.  What that leaves apart at a key is then decided: every pair, where
+    many pairs as it has rows; at keys with more than ``FEW`` texts, ``HUBS`` more of them are hubs.  What that leaves apart at a key is then decided: every pair, where
     at most ``FEW`` are left; texts of fuller keys meet anew, and exactly, on the seldom shingles of
     their prefixes, so that a passage which many share makes no pairs.
     Distances of several independent fingerprints (a table: each text's distance to its hubs, then
-    the pair's) only discard pairs, six standard deviations beyond the similarity; the sets of
+    the pair's) only discard pairs, four standard deviations beyond the similarity; the sets of
     shingles (as 64-bit hashes) of the others are compared, and nothing is linked on an estimate.
-    Sets are made from the texts when they are asked for, and never stored for all.
+    Sets are made only for texts that meet another one.
     Ids must be whole numbers.  Null texts count as empty; texts without words are copies of each
     other; a row with a null id keeps what its text gives; repeated rows give repeated results.
     """
@@ -264,8 +266,7 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(node, shingles) of nodes, from their texts; other texts that repeat a node's id are left out."""
-        # a written table has a known size: Spark moves the texts only where it is too large to broadcast
-        known = materialize(nodes.select("node", "digest").join(asked, "node", "left_semi"), "asked")
+        known = materialize(nodes.select("node", "digest").join(asked, "node", "left_semi"), "asked").hint("merge")
         digest = lambda hashes: xxhash.xxh3_128_digest(hashes.tobytes())
 
         def make(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -279,7 +280,6 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those whose sets of shingles have the similarity."""
-        sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
         one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
         close = both >= similarity * (F.size("sa") + F.size("sb") - both)
@@ -288,7 +288,16 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
     met = materialize(keyed.join(hubs, "key").select("key", "node", "hub"), "met")
     tables = materialize(measured(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "tables")
+    # texts that meet no other need no set; the texts are read and moved once
+    sets = materialize(sets_of(tables.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     links = alike(tables.where("near").select("a", "b"))
+    # fuller keys: so many hubs more, each compared with all that links don't connect to it yet
+    parts = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    chosen = [F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in range(HUBS)]
+    full = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), *chosen).where((F.col("n") > FEW) & (F.col("least") < F.col("most")))
+    asked = parts.join(full.select("key", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")), "key").where("part <> h.part")
+    again = measured(asked.select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct())
+    links = materialize(links.unionByName(alike(materialize(again.where("near").select("a", "b"), "again"))), "links")
     # what the hubs left apart: pairs at a key that no links connect
     known = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
@@ -302,8 +311,8 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     others = pairs_at(left.where(F.col("n") <= FEW), "key", F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
     crowd = materialize(left.where(F.col("n") > FEW).select("node", "part").distinct(), "crowd")
     if not crowd.isEmpty():
-        sets = materialize(sets_of(crowd.select("node")), "crowd_sets")
-        counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+        few = sets.join(crowd.select("node"), "node", "left_semi")
+        counted = few.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
         order = [r.shingle for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()]
         shared = df.sparkSession.sparkContext.broadcast(np.array(order[::-1], dtype=np.int64).view(np.uint64))
 
@@ -312,7 +321,7 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
                 for x in prefix(np.array(shingles, dtype=np.int64).view(np.uint64), similarity, shared.value).view(np.int64).tolist():
                     yield node, x
 
-        posted = materialize(map_rows(sets.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint").join(crowd, "node"), "posted")
+        posted = materialize(map_rows(few.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint").join(crowd, "node"), "posted")
         others = others.unionByName(pairs_at(posted, "shingle", F.lit(True))).distinct()
     others = measured(others).where("near").select("a", "b")
     links = links.unionByName(alike(materialize(others, "others")))
