@@ -18,11 +18,10 @@ from corvine.llm.common import ascii_lower, materialize, table
 def _less(docs: DataFrame, gone: DataFrame, twice: DataFrame, keys: dict) -> DataFrame:
     """``docs`` without the rows that ``gone`` names, and one row for each name in ``twice``.
 
-    ``keys``: columns of the two and what they equal in ``docs``, nulls included.  Both are few
-    rows of ids and are written first, so that Spark moves the texts only where
-    they are too many to broadcast.
+    ``keys``: columns of the two and what they equal in ``docs``, nulls included.  The join is the same at
+    every size: both grow with the corpus, so neither is broadcast.
     """
-    settled = materialize(gone.withColumn("again", F.lit(False)).unionByName(twice.withColumn("again", F.lit(True))), "settled")
+    settled = materialize(gone.withColumn("again", F.lit(False)).unionByName(twice.withColumn("again", F.lit(True))), "settled").hint("merge")
     on = [value.eqNullSafe(settled[name]) for name, value in keys.items()]
     found = docs.join(settled.where("again"), on, "left_semi")
     return docs.join(settled, on, "left_anti").unionByName(found.dropDuplicates(["doc_id", "text"]))
