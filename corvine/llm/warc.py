@@ -4,7 +4,8 @@ The archive is two tables in shared storage.  ``payloads`` holds every distinct
 once, under its SHA-256 digest; ``headers`` holds the exact header bytes of every record
 and the digest of its payload.  Records are rebuilt by joining the two.  Copies of a payload
 are combined before its one shuffle, so a page that fills a third of a crawl moves once per
-task; only ids, digests and headers meet per digest.
+task; only ids, digests and headers meet per digest.  Payloads are written in buckets of the
+digest, so the join moves the headers of responses to them and no payload again.
 """
 
 from __future__ import annotations
@@ -35,12 +36,20 @@ def base32_sha1(payload: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where an archive's two tables are."""
+    """Where an archive's two tables are.
+
+    ``bucketed`` is the name by which the session that wrote the archive knows the payloads' buckets;
+    without it the files are read by their path, and a join shuffles them.
+    """
 
     path: str
+    bucketed: str | None = None
 
     def payloads(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/payloads")
+        return spark.table(self.bucketed) if self.bucketed else self.unbucketed(spark)
+
+    def unbucketed(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("digest binary, payload binary, response_id bigint").parquet(f"{self.path}/payloads")
 
     def headers(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/headers")
@@ -58,12 +67,14 @@ def write_archive(pages: DataFrame, path: str, *, least_bytes: int = 0, id_col:
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("bigint").alias("record_id"), F.coalesce(F.col(url_col), F.lit("")).alias("uri"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    # as many buckets as a shuffle has partitions: the task of a partition writes its own bucket alone
+    name, buckets = f"payloads_{uuid.uuid4().hex}", int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.groupBy("digest")
         .agg(F.max("payload").alias("payload"), F.max("record_id").alias("response_id"))
-        .write.parquet(f"{path}/payloads")
+        .write.bucketBy(buckets, "digest").option("path", f"{path}/payloads").format("parquet").saveAsTable(name)
     )
-    stored = pages.sparkSession.read.parquet(f"{path}/payloads").select(
+    stored = Archive(path).unbucketed(pages.sparkSession).select(
         "digest", "response_id", F.octet_length("payload").cast("bigint").alias("size"), base32_sha1(F.col("payload")).alias("sha1")
     )
     first = F.col("size") < least_bytes
@@ -88,7 +99,7 @@ def write_archive(pages: DataFrame, path: str, *, least_bytes: int = 0, id_col:
         .select("record_id", "digest", F.encode(header, "UTF-8").alias("header"))
         .write.parquet(f"{path}/headers")
     )
-    return Archive(path)
+    return Archive(path, name)
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
@@ -99,11 +110,10 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     stored payload, and a stored payload that doesn't match its address is an error.  A
     revisit's ``record`` has no body, yet its ``payload`` is the full one it refers to.
     """
-    address = F.unhex(F.sha2("payload", 256))
-    stored = archive.payloads(spark).select(
-        F.when(address == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("binary")).alias("digest"),
-        "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-    )
+    sound = F.unhex(F.sha2("payload", 256)) == F.col("digest")
+    checked = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("binary"))
+    facts = F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
+    stored = archive.payloads(spark).select("digest", checked.alias("payload")).select("digest", "payload", *facts)
     text = F.decode("header", "UTF-8")
     field = lambda name, value: F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1)
     heads = archive.headers(spark).select(
@@ -112,11 +122,15 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
         field("WARC-Type", r"(\w+)").alias("record_type"),
         F.nullif(field("WARC-Refers-To", r"<urn:page:(-?\d+)>"), F.lit("")).cast("bigint").alias("refers_to"),
     )
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return heads.join(stored, "digest").select(
-        "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload",
-        F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"),
-    )
+    fields = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    end = F.lit(b"\r\n\r\n")
+    first = heads.where("record_type = 'response'").join(stored.hint("merge"), "digest")
+    # a page that many revisits name: a shuffled join, which AQE may split; payloads take part only if they are asked for
+    known = archive.unbucketed(spark).select("digest", checked.alias("payload")).select("digest", "payload", *facts)
+    again = heads.where("record_type <> 'response'").join(known, "digest")
+    return first.select(*fields, "payload", F.concat("header", "payload", end).alias("record")).unionByName(
+        again.select(*fields, "payload", F.concat("header", end).alias("record"))
+    )
 
 
 def new_archive_path(spark: SparkSession) -> str:
