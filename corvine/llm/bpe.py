@@ -7,7 +7,7 @@ the token before it, and steps back where none fits.  Two tokens may be neighbou
 the merges, run on the two strings joined, give exactly these two; the answers are kept
 in a pair table, and so is the first start that fits, for a token and the longest string after it.  A chain of tokens is the merge result exactly when all its neighbours
 are compatible, so the outcome equals that of the merges while each position is
-given up at most once.
+given up at most once.  The answer for a pair comes from the last merges of both strings (``compatible``).
 
 Everything here is plain Python over one word or one text; ``operators`` in
 ``tokens.py`` run it inside Spark tasks.
@@ -30,7 +30,7 @@ import regex
 _LAST = 0x400
 #: Entries that a worker keeps of words, of blank-separated chunks and of token pairs before it starts afresh.
 WORD_CACHE = 250_000
-CHUNK_CACHE = 150_000
+CHUNK_CACHE = 400_000
 PAIR_CACHE = 500_000
 #: What the tokenizers' regex engine takes as white space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -54,8 +54,8 @@ class Vocabulary:
     specials: dict[str, int]
     lowercase: bool
     pattern: str
-    #: Strings proved to encode alone as one token, where that was done (``Encoder.prove``).
-    proved: frozenset[str] | None = None
+    #: Strings proved to encode alone as one token, where that was done (``Encoder.prove``), and their last merges.
+    proved: dict[str, tuple[str, str] | None] | None = None
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -93,8 +93,8 @@ class Vocabulary:
         return out
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges by rank, leftmost first: the definition that the encoder must equal."""
+def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int], seen: list[tuple[str, str]] | None = None) -> list[str]:
+    """Apply merges by rank, leftmost first: the definition that the encoder must equal.  ``seen`` takes them down."""
     parts = list(symbols)
     while len(parts) > 1:
         least = at = -1
@@ -104,6 +104,8 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
                 least, at = rank, i
         if at < 0:
             break
+        if seen is not None:
+            seen.append((parts[at], parts[at + 1]))
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
@@ -129,13 +131,18 @@ class Encoder:
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.specials, key=len, reverse=True)) + ")") if vocabulary.specials else None
 
     @functools.cached_property
-    def whole(self) -> frozenset[str]:
-        """Vocabulary strings proved to encode alone as one token."""
+    def whole(self) -> dict[str, tuple[str, str] | None]:
+        """Vocabulary strings proved to encode alone as one token, and the last merge of each."""
         return self.vocabulary.proved if self.vocabulary.proved is not None else self.prove()
 
-    def prove(self) -> frozenset[str]:
+    def prove(self) -> dict[str, tuple[str, str] | None]:
         """Strings that are their own merge result; those that merges cannot reach, or reach differently, are left out."""
-        return frozenset(t for t in self._id if merge_word(t, self._ranks) == [t])
+        out = {}
+        for t in self._id:
+            seen: list[tuple[str, str]] = []
+            if merge_word(t, self._ranks, seen) == [t]:
+                out[t] = seen[-1] if seen else None
+        return out
 
     @functools.cached_property
     def _automaton(self) -> ahocorasick.Automaton:
@@ -160,15 +167,36 @@ class Encoder:
         return out
 
     def compatible(self, left: int, right: int) -> bool:
-        """Do the merges of both strings joined give just these two tokens?"""
+        """Do the merges of both strings joined give just these two tokens?
+
+        Only a merge across the border can prevent it.  The parts that stand at the border are the ends of
+        ``left`` and the starts of ``right`` through their last merges; two of them stand there together until
+        the earlier of the merges that take them up.  They join if their own merge comes before that one; of
+        equal merges the leftmost goes first, so the right part's waits and the left part's doesn't.
+        """
         known = self._pairs.get(left << 20 | right)
         if known is None:
             if len(self._pairs) >= PAIR_CACHE:
                 self._pairs.clear()
-            a, b = self._string[left], self._string[right]
-            known = self._pairs[left << 20 | right] = merge_word([*a, *b], self._ranks) == [a, b]
+            known = self._pairs[left << 20 | right] = self._apart(self._string[left], self._string[right])
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        ranks, last = self._ranks, self.whole
+        until_a = until_b = len(ranks) + len(self.vocabulary.merges)
+        while True:
+            rank = ranks.get((a, b), -1)
+            if 0 <= rank < until_a and rank <= until_b:
+                return False
+            # back to the state before the later of the two last merges
+            of_a, of_b = last[a], last[b]
+            if of_a is None and of_b is None:
+                return True
+            if of_b is None or (of_a is not None and ranks[of_a] > ranks[of_b]):
+                until_a, a = ranks[of_a], of_a[1]
+            else:
+                until_b, b = ranks[of_b], of_b[0]
+
     def first_fit(self, left: int, token: int) -> int:
         """The longest start of ``token``, itself included, that may stand after ``left``; -1 if none may."""
         known = self._fits.get(left << 20 | token)
