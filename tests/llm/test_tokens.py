@@ -1,6 +1,7 @@
 """BPE operators against the tokenizers library, and packing against its rules."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -129,3 +130,15 @@ def test_fill_respects_every_capacity(lengths, fit):
         assert sum(lengths[i] for i in b) <= 100 and len(b) <= 4 and sum(lengths[i] ** 2 for i in b) <= 10_000
     # no two sequences could be one
     assert not any(sum(lengths[i] for i in a + b) <= 50 and len(a + b) <= 2 for a in bins for b in bins if a is not b)
+
+
+def test_pairs_decided_by_last_merges(both):
+    enc = both[1]
+    known = list(enc.whole)
+    draw = random.Random(7)
+    alike = [t for t in known if len(set(t)) <= 2]  # runs of one character, where equal merges compete
+    for pool in (known, alike):
+        for _ in range(3000):
+            a, b = draw.choice(pool), draw.choice(pool)
+            if ord(a[-1]) < 0x400:  # a marked symbol ends its word
+                assert enc.compatible(enc._id[a], enc._id[b]) == (bpe.merge_word([*a, *b], enc._ranks) == [a, b])
