@@ -228,6 +228,25 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
     return hashes[np.argsort(rank, kind="stable")[:n]]
 
 
+def pairs_of_prefixes(posted: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: nodes of different parts that a shingle of both prefixes allows the similarity.
+
+    ``posted``: (node, part, shingle, at, size), a row per shingle of a prefix, ``at`` its place in the order
+    of the set and ``size`` that of the set.  Sets whose first common shingle is at a place share at most what
+    follows in either, so the place bounds their similarity (and every similar pair meets at that shingle).
+    Of the nodes at a shingle, those of its most frequent part aren't compared with each other.
+    """
+    tally = posted.groupBy("shingle", "part").agg(F.count("*").alias("n"))
+    mixed = tally.groupBy("shingle").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    met = posted.join(mixed.select("shingle", "main"), "shingle")
+    x, y = met.where("part <> main").alias("x"), met.alias("y")
+    of = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+    (xs, ys), (xa, ya), (xp, yp), (xn, yn) = map(of, ("size", "at", "part", "node"))
+    shared = F.least(xs - xa, ys - ya)
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (xp != yp) & (F.least(xs, ys) >= similarity * F.greatest(xs, ys))
+    return x.join(y, on & ((1 + similarity) * shared + 1e-6 >= similarity * (xs + ys))).select(F.greatest(xn, yn).alias("a"), F.least(xn, yn).alias("b")).distinct()
+
+
 def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component_id)`` of texts linked by the Jaccard similarity of their sets of shingles.
 
@@ -235,7 +254,7 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     key are first all compared with the least of them, the hub: that links a crowd of copies by as
     many pairs as it has rows; at keys with more than ``FEW`` texts, ``HUBS`` more of them are hubs.  What that leaves apart at a key is then decided: every pair, where
     at most ``FEW`` are left; texts of fuller keys meet anew, and exactly, on the seldom shingles of
-    their prefixes, so that a passage which many share makes no pairs.
+    their prefixes, so that a passage which many share makes no pairs (``pairs_of_prefixes``).
     Distances of several independent fingerprints (a table: each text's distance to its hubs, then
     the pair's) only discard pairs, four standard deviations beyond the similarity; the sets of
     shingles (as 64-bit hashes) of the others are compared, and nothing is linked on an estimate.
@@ -303,12 +322,9 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
     left = materialize(known.join(split, "key").join(tables.select(F.col("a").alias("node"), F.col("b").alias("hub"), "bits"), ["node", "hub"], "left").select("key", "node", "part", F.coalesce("bits", F.lit(0)).alias("bits"), "n"), "left")
 
-    def pairs_at(table: DataFrame, key: str, more: Column) -> DataFrame:
-        x, y = table.alias("x"), table.alias("y")
-        on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & more
-        return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-    others = pairs_at(left.where(F.col("n") <= FEW), "key", F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
+    x, y = left.where(F.col("n") <= FEW).alias("x"), left.where(F.col("n") <= FEW).alias("y")
+    apart_at_key = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
+    others = x.join(y, (F.col("x.key") == F.col("y.key")) & apart_at_key).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     crowd = materialize(left.where(F.col("n") > FEW).select("node", "part").distinct(), "crowd")
     if not crowd.isEmpty():
         few = sets.join(crowd.select("node"), "node", "left_semi")
@@ -318,11 +334,12 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
 
         def prefixes(rows: Iterator[tuple]) -> Iterator[tuple]:
             for node, shingles in rows:
-                for x in prefix(np.array(shingles, dtype=np.int64).view(np.uint64), similarity, shared.value).view(np.int64).tolist():
-                    yield node, x
+                found = prefix(np.array(shingles, dtype=np.int64).view(np.uint64), similarity, shared.value)
+                for at, x in enumerate(found.view(np.int64).tolist()):
+                    yield node, x, at, len(shingles)
 
-        posted = materialize(map_rows(few.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint").join(crowd, "node"), "posted")
-        others = others.unionByName(pairs_at(posted, "shingle", F.lit(True))).distinct()
+        posted = materialize(map_rows(few.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint, at int, size int").join(crowd, "node"), "posted")
+        others = others.unionByName(pairs_of_prefixes(posted, similarity)).distinct()
     others = measured(others).where("near").select("a", "b")
     links = links.unionByName(alike(materialize(others, "others")))
     labels = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

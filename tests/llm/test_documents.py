@@ -509,3 +509,19 @@ def test_secrets_of_any_length(spark):
     for text in ("a" * 10**6, "a1" * 10**6, "A1" * 10**6, "x_" * 10**6 + "=", "abc_" + "a" * 10**6 + "_"):
         pii.candidates("1 " + text, [])
     assert time.process_time() - began < 20
+
+
+def test_prefix_pairs_by_place(spark):
+    """No similar pair of different parts is lost, and few others are made of half-alike sets."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(1, 1 << 62, 100)
+    sets = {n: np.unique(np.concatenate([rng.permutation(base)[: 100 - cut], rng.integers(1, 1 << 62, cut)])).view(np.uint64) for n, cut in enumerate(rng.integers(0, 25, 80).tolist())}
+    common = np.sort(base).view(np.uint64)
+    part = {n: n % 5 and n for n in sets}
+    rows = [(n, part[n], x, at, len(h)) for n, h in sets.items() for at, x in enumerate(simhash.prefix(h, 0.8, common).view(np.int64).tolist())]
+    posted = spark.createDataFrame(rows, "node bigint, part bigint, shingle bigint, at int, size int")
+    found = {(r.a, r.b) for r in simhash.pairs_of_prefixes(posted, 0.8).collect()}
+    likeness = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in sets for b in sets if a > b and part[a] != part[b]}
+    similar = {pair for pair, x in likeness.items() if x >= 0.8}
+    assert similar and similar <= found <= set(likeness)
+    assert min(likeness[pair] for pair in found) >= 0.6
