@@ -126,3 +126,26 @@ def version_parts(text: Column, pad: int = 4) -> Column:
     found = F.regexp_extract(text, r"(?<![0-9.])([0-9]+(?:\.[0-9]+){1,3})(?![0-9.])", 1)
     parts = F.transform(F.split(found, r"\."), lambda p: p.try_cast("bigint"))
     return F.when(found != "", F.transform(F.sequence(F.lit(0), F.lit(pad - 1)), lambda i: F.coalesce(F.get(parts, i), F.lit(0).cast("bigint"))))
+
+
+#: A token of a version and the character after it; versions with a release or build part, or a full stop at the end.
+_TOKEN = r"[\p{L}\p{N}_.+-]+[^\p{L}\p{N}_.+-]?"
+_RELEASE = r"(?s)^([vV]?)([0-9]+(?:\.[0-9]+)+)(?:-{i}(?:\+{i})?|\+{i})?(?:[^\p{L}\p{N}_.+-]|\.[\s)\]}>'\"`]?)?$".replace("{i}", r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*")
+
+
+def release_versions(text: Column) -> Column:
+    """Versions that a release may have, each once, as numbers joined by dots.
+
+    A ``v`` may stand before, a pre-release or build part after (left out).  Years first, dates of three parts
+    and numbers over 32 bits are none; four parts of at most 255 are one only after a ``v``.  Null text: null.
+    """
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(_RELEASE))
+    found = F.transform(tokens, lambda t: F.struct((F.regexp_extract(t, _RELEASE, 1) != "").alias("v"), F.transform(F.split(F.regexp_extract(t, _RELEASE, 2), r"\."), lambda p: p.try_cast("bigint")).alias("n")))
+
+    def kept(x: Column) -> Column:
+        n, part = x.n, lambda i: F.get(x.n, F.lit(i))
+        date = (F.size(n) == 3) & part(2).between(1900, 2100) & part(0).between(1, 31) & part(1).between(1, 31) & ((part(0) <= 12) | (part(1) <= 12))
+        address = (F.size(n) == 4) & F.forall(n, lambda p: p <= 255) & ~x.v
+        return F.forall(n, lambda p: F.coalesce(p < 1 << 32, F.lit(False))) & ~part(0).between(1900, 2100) & ~date & ~address
+
+    return F.array_distinct(F.transform(F.filter(found, kept), lambda x: F.array_join(x.n.cast("array<string>"), ".")))

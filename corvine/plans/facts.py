@@ -74,3 +74,12 @@ def f14(part: DataFrame) -> DataFrame:
     text = F.concat(F.lit("release v"), (F.col("p_size") % 9).cast("string"), F.lit("."), (F.col("p_partkey") % 20).cast("string"), F.lit(" of 2024"))
     parts = fn.version_parts(text)
     return part.select("p_partkey", F.get(parts, F.lit(0)).alias("major"), F.get(parts, F.lit(1)).alias("minor"))
+
+
+@query("f14_release_versions", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+[^\p{L}\p{N}_.+-]?')) AS t FROM {documents}),
+   m AS (SELECT doc_id, lower(left(t, 1)) = 'v' AS v, list_transform(string_split(regexp_extract(t, '^[vV]?([0-9]+(?:\.[0-9]+)+)', 1), '.'), lambda x: TRY_CAST(x AS BIGINT)) AS n FROM t
+     WHERE regexp_matches(t, '^[vV]?[0-9]+(?:\.[0-9]+)+(?:-[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*(?:\+[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*)?|\+[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*)?(?:[^\p{L}\p{N}_.+-]|\.[\s)\]}>''"`]?)?$', 's'))
+   SELECT DISTINCT doc_id, array_to_string(n, '.') AS version FROM m WHERE len(list_filter(n, lambda x: x < 4294967296)) = len(n) AND n[1] NOT BETWEEN 1900 AND 2100
+     AND NOT (len(n) = 3 AND n[3] BETWEEN 1900 AND 2100 AND n[1] BETWEEN 1 AND 31 AND n[2] BETWEEN 1 AND 31 AND least(n[1], n[2]) <= 12) AND NOT (len(n) = 4 AND list_max(n) <= 255 AND NOT v)""", "documents")
+def f14_releases(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.explode(fn.release_versions(F.col("text"))).alias("version"))

@@ -142,3 +142,15 @@ def test_hybrid_search_takes_whole_questions(spark, tmp_path):
     spark.createDataFrame([(60, "one two three four five six zebra")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {(r.query_id, r.doc_id): r.lanes for r in registry.QUERIES["r02_hybrid_document_search"](spark, str(tmp_path)).collect()}
     assert found == {(60, 5): 2, (60, 60): 1}
+
+
+def test_release_versions(spark):
+    from corvine.functions import text as fn
+
+    cases = {
+        "release v1.2.3": ["1.2.3"], "from 1.10.0-rc.1+b7, 2.0.": ["1.10.0", "2.0"], "v10.0.0.1 but not 10.0.0.2": ["10.0.0.1"], "31.12.2024 and 2024.1": [],
+        "x1.2 1.2x 1..2 1.2- 1.2-a..b": [], "(1.2) 1.2": ["1.2"], "300.1.1.1": ["300.1.1.1"], "1.99999999999": [], "7": [], "": [], "2.5.": ["2.5"], "2.5.,": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string")
+    found = {r.t: r.v for r in df.select("t", fn.release_versions(F.col("t")).alias("v")).collect()}
+    assert found == cases | {None: None}
