@@ -45,8 +45,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Write ``df`` in buckets of ``keys`` into the shared folder and read it by name.
+
+    There are as many buckets as a shuffle has partitions, so a join on ``keys`` moves the other side only.
+    ``df`` should be dealt out by ``keys`` already: then each task writes its own bucket alone.
+    """
+    spark = df.sparkSession
+    app, name = spark.sparkContext.applicationId, f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/corvine/{app}/{name}").option("compression", "zstd")
+    writer.format("parquet").saveAsTable(name)
+    NAMED.setdefault(app, []).append(name)
+    return spark.table(name)
+
+
+#: Names of the tables that an application wrote with ``bucketed``.
+NAMED: dict[str, list[str]] = {}
+
+
 def cleanup(spark: SparkSession) -> None:
-    """Remove every table that ``materialize`` wrote for this application."""
+    """Remove every table that ``materialize`` and ``bucketed`` wrote for this application."""
+    for name in NAMED.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
         f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}"
     )

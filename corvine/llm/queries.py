@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, licenses, packing, pii, simhash, tokens, topk, toxicity, warc
+from . import clusters, dedup, lexical, licenses, packing, pii, repeats, simhash, tokens, topk, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind, spans: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     counts = [number(kind, "base" if kind in pii.BASE else "spans") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query("op11_ranked_lexical_search", lexical.ORACLE)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op12_repeated_passages", repeats.ORACLE)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+@query("op13_centroid_clusters", clusters.ORACLE)
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
