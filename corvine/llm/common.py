@@ -83,6 +83,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker process keeps for the next task of the function it serves (see ``kept``), and that function.
+_KEPT: dict[object, object] = {}
+_SERVED: list[str] = [""]
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """``make()`` once per worker process, for as long as it serves tasks of one function.
+
+    Spark gives a worker to later stages too; ``map_rows`` then lets go of what those don't need.
+    """
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 #: Bytes of values after which a task hands a batch of results back to Spark.
 BATCH_BYTES = 4 << 20
 #: Rows of an Arrow batch that become Python objects at a time.
@@ -96,9 +111,13 @@ def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]
     by one input batch and one output batch, whatever a partition holds.
     """
     kinds = T._parse_datatype_string(schema)
+    name = f"{rows_fn.__module__}.{rows_fn.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kinds)
+        if _SERVED[0] != name:
+            _SERVED[0] = name
+            _KEPT.clear()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:

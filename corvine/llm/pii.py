@@ -46,6 +46,8 @@ LOOSE = [
     ("number", re.compile(r"(?<![\w+.-])(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])")),
     ("number", re.compile(r"(?<![\w+.-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])")),
     ("number", re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b")),
+    # plain dates, versions and numbered words: what the labelers say of them shows how often they are wrong
+    ("secret", re.compile(r"(?<![\w.@/-])([0-9]++(?:[.,:/-][0-9]++)++|[A-Za-z]{2,}+[0-9]{1,4})(?![\w@])")),
 ]
 
 #: Gazetteers: names of secrets, and words that announce personal numbers. Fixed values.
@@ -53,7 +55,12 @@ SECRET_NAMES = frozenset("token password passwd pwd secret key apikey api_key ac
 NUMBER_NAMES = frozenset("phone tel telephone mobile cell call fax ssn iban account passport insurance id telefon telefono móvil téléphone konto".split())
 
 #: Names of usual settings, whose values are no secrets. Fixed values.
-SETTING_NAMES = frozenset("color colour width height size version date time name class style lang language type mode path file url port host rate count level title src href alt rel content charset order item page sku build release".split())
+SETTING_NAMES = frozenset("color colour width height size version date time name class style lang language type mode path file url port host rate count level title src href alt rel content charset order item page sku build release file filename dir directory folder".split())
+#: Names of digests and identifiers that are public. Fixed values.
+DIGEST_NAMES = frozenset("commit checksum etag sha sha1 sha224 sha256 sha384 sha512 md5 crc crc32 hash digest uuid guid rev revision fingerprint tree blob parent head tag object oid".split())
+#: Forms of digests (hexadecimal digits of their usual numbers) and UUIDs, and of paths. Fixed values.
+DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
+PATH = re.compile(r"[.~]{0,2}/.*|[\w.-]+/[\w.-]+/.*|.*/[\w-]+\.[a-z]{1,5}")
 #: Values that say what they are: dates and times, dotted or plain numbers, lower-case words. Fixed values.
 PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?|[0-9]{1,2}:[0-9]{2}.*|v?[0-9]+(?:[._~/+-][0-9]+)*|[A-Za-z]+(?:[._~/+-][A-Za-z]+)*[0-9]?")
 
@@ -123,17 +130,23 @@ def _votes(kind: str, text: str, start: int, stop: int) -> str:
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
     say = lambda yes, no=False: "+" if yes else "-" if no else "0"
+    public = plain = path = False
     if kind == "secret":
-        form = re.fullmatch(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,}|[a-z]{2,4}[_-][A-Za-z0-9]{16,}", value) is not None
+        public = DIGEST.fullmatch(value) is not None and not near & names
+        plain, path = PLAIN.fullmatch(value), PATH.fullmatch(value)
+        form = not public and re.fullmatch(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,}|[a-z]{2,4}[_-][A-Za-z0-9]{16,}", value) is not None
         mixed = say(digits >= 3 and letters >= 3, digits == 0 or letters == 0)
     else:
         form = re.fullmatch(r"\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}.*", value) is not None
         mixed = say(False, len(set(value) - set(" .-()")) < 3)
+    name = last[-1] if last else ""
     return "".join((
         say(form, not re.search(r"[0-9]", value)),  # regex: a usual form
-        say(False, kind == "secret" and PLAIN.fullmatch(value)),  # regex: a date, number, version or word
-        say(last[-1:] and last[-1] in names, last[-1:] and last[-1] in SETTING_NAMES),  # gazetteer: the word before
-        say(near & names),  # gazetteer: a word near by
+        say(False, plain),  # regex: a date, number, version or word
+        say(name in names, name in SETTING_NAMES or kind == "secret" and name in DIGEST_NAMES),  # gazetteer: the word before
+        say(near & names, kind == "secret" and near & DIGEST_NAMES),  # gazetteer: a word near by
+        say(False, public),  # regex: a digest or UUID that no secret's name is near to
+        say(False, path),  # regex: a path
         say(re.search(r"[=:]\s*[\"']?$", before)),  # context: it is assigned
         say(False, before[-1:] in tuple("/@#.\\") or after[:1] in tuple("@/(")),  # context: part of an address, path or call
         say(entropy(value) >= 2.8, entropy(value) < 2.2),  # context: variety of characters
@@ -142,7 +155,9 @@ def _votes(kind: str, text: str, start: int, stop: int) -> str:
     ))
 
 
-LABELERS = 9
+#: Votes that each labeler is taken to have cast before the data: right ones, wrong ones.
+PRIORS = np.array([(8, 2), (19, 1), (19, 1), (8, 2), (19, 1), (19, 1), (6, 4), (8, 2), (6, 4), (6, 4), (6, 4)], dtype=float)
+LABELERS = len(PRIORS)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
@@ -162,41 +177,34 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return sorted(out, key=lambda c: c[1])
 
 
-#: Votes that a labeler is taken to have cast before the data: right ones, wrong ones.
-PRIOR = (8.0, 2.0)
-#: Votes for, beyond those against, from which a candidate is first taken to be true.
-MARGIN = 2
-
-
 def reliabilities(patterns: dict[str, float], rounds: int = 100) -> tuple[float, np.ndarray, dict[str, float]]:
     """Expectation-maximisation over counted vote patterns.
 
     Gives the share of true candidates, per labeler how often its votes are right on true
     and on false candidates, and how likely each pattern is true.  A labeler that doesn't
-    vote says nothing.  It starts from the votes for beyond those against and ``MARGIN``.
+    vote says nothing.  It starts from ``PRIORS`` and even odds.
     """
     keys = sorted(patterns)
-    right = np.full((LABELERS, 2), PRIOR[0] / sum(PRIOR))
+    right = np.repeat((PRIORS[:, 0] / PRIORS.sum(axis=1))[:, None], 2, axis=1)
     if not keys:
         return 0.0, right, {}
     n = np.array([patterns[k] for k in keys], dtype=float)
     votes = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in k] for k in keys])
-    q = 1 / (1 + np.exp(MARGIN - 1.0 * votes.sum(axis=1)))
-    share = 0.5
+    share, q = 0.5, None
     for _ in range(rounds):
-        share = float(np.clip(((n * q).sum() + 1) / (n.sum() + 2), 0.05, 0.95))
-        for j in range(LABELERS):
-            for truth, weight in ((1, n * q), (0, n * (1 - q))):
-                good = weight[votes[:, j] == 2 * truth - 1].sum()
-                cast = weight[votes[:, j] != 0].sum()
-                right[j, truth] = (good + PRIOR[0]) / (cast + sum(PRIOR))
         plus = np.log(right[:, 1] / (1 - right[:, 0]))
         minus = np.log((1 - right[:, 1]) / right[:, 0])
         odds = math.log(share / (1 - share)) + (votes == 1) @ plus + (votes == -1) @ minus
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(new - q).max() < 1e-9:
+        if q is not None and np.abs(new - q).max() < 1e-9:
             break
         q = new
+        share = float(((n * q).sum() + 1) / (n.sum() + 2))
+        for j in range(LABELERS):
+            for truth, weight in ((1, n * q), (0, n * (1 - q))):
+                good = weight[votes[:, j] == 2 * truth - 1].sum()
+                cast = weight[votes[:, j] != 0].sum()
+                right[j, truth] = (good + PRIORS[j, 0]) / (cast + PRIORS[j].sum())
     return share, right, dict(zip(keys, map(float, q), strict=True))
 
 

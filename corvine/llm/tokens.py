@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_rows
-
-_ENCODERS: dict[str, bpe.Encoder] = {}
-_DECODERS: dict[str, bpe.Decoder] = {}
+from .common import kept, map_rows
 
 
 def share(df: DataFrame, path: str) -> Broadcast:
@@ -27,18 +24,14 @@ def share(df: DataFrame, path: str) -> Broadcast:
 
 
 def encoder(shared: Broadcast) -> bpe.Encoder:
-    """The worker process's encoder for a shared vocabulary, made once per process."""
+    """The worker process's encoder for a shared vocabulary."""
     key, vocabulary = shared.value
-    if key not in _ENCODERS:
-        _ENCODERS[key] = bpe.Encoder(vocabulary)
-    return _ENCODERS[key]
+    return kept(("encoder", key), lambda: bpe.Encoder(vocabulary))
 
 
 def decoder(shared: Broadcast) -> bpe.Decoder:
     key, vocabulary = shared.value
-    if key not in _DECODERS:
-        _DECODERS[key] = bpe.Decoder(vocabulary)
-    return _DECODERS[key]
+    return kept(("decoder", key), lambda: bpe.Decoder(vocabulary))
 
 
 def encode_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -153,6 +153,9 @@ def planted(rng, n):
     digits = lambda: "4" + some(dig, 15)
     yes = [lambda: f"token = \"{some('abcdef' + dig, 39)}a\"", lambda: f"password: {mixed(20)}", lambda: "key AKIA" + some(up + dig, 13) + some(dig, 3), lambda: f"secret={mixed(40)}", lambda: f"phone 503-555-{some(dig, 4)}", lambda: f"ssn {some('12345678', 3)}-45-{some(dig, 4)}"]
     no = [lambda: f"order {digits()}", lambda: "color: blueish", lambda: f"date=2024-0{rng.randint(1, 9)}-11", lambda: f"width: {some(dig[1:], 7)}", lambda: f"version=10.{rng.randint(10, 99)}.{rng.randint(10, 99)}", lambda: f"path: docs/{some(low, 8)}/index", lambda: f"title={some(low, 14)}"]
+    hexa = lambda k: some("abcdef" + dig, k)
+    no += [lambda: f"commit = {hexa(40)}", lambda: f"checksum: {hexa(32)}", lambda: f"etag = \"{hexa(rng.choice([16, 24, 32]))}\"", lambda: f"file = /usr/share/{some(low, 8)}/lib{some(dig, 2)}.so", lambda: f"sha256: {hexa(64)}"]
+    no += [lambda: f"uuid = {'-'.join(map(hexa, (8, 4, 4, 4, 12)))}", lambda: f"rev {hexa(40)}"]
     return [(i, f"Some words before, {make()} and some words after.", truth) for i in range(n) for truth in [i % 2] for make in [rng.choice(yes if truth else no)]]
 
 
