@@ -9,24 +9,27 @@ string, is extended by a byte at a time, which gives the common prefixes of neig
 suffixes by increasing value.  It stops at ``length``: suffixes whose common prefix has no value by
 then share a window.
 
-A name whose pieces exceed a block is split: its pieces are texts of their own, named by longer
+A name whose pieces exceed a few blocks is split: its pieces are texts of their own, named by longer
 anchors, up to whole windows.  Equal windows keep equal names at every step, so nothing is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucketed, map_rows, materialize
+from .common import SLICE_ROWS, bucketed, map_rows, materialize
 
-#: Bytes of a block (a name with more is split), and the most windows of a piece.
-BLOCK_BYTES, WINDOWS = 1 << 20, 512
+#: Bytes of a block, so many of which a name may have before it is split, and the most windows of a piece.
+BLOCK_BYTES, BLOCKS, WINDOWS = 1 << 18, 4, 512
 #: Anchors of the steps, as shares of the window's length; the last one is the window itself.
 ANCHORS = (0.32, 0.65, 0.85, 1.0)
 _BASE = 0x9E3779B97F4A7C15
@@ -76,23 +79,55 @@ class Anchors:
         """The name of each window: the least hash in it."""
         return slide(self.hashes(text), self.width, np.minimum)
 
-    def met(self, text: bytes) -> list[int]:
+    def met(self, text: bytes) -> np.ndarray:
         """The name at each place that names a window: one that comes twice may have equal windows, in one piece too."""
         if len(text) < self.length:
-            return []
+            return np.zeros(0, dtype=np.int64)
         h, none = self.hashes(text), np.zeros(self.width - 1, dtype=np.uint64)
         names = slide(h, self.width, np.minimum)
-        return h[slide(np.concatenate((none, names, none)), self.width, np.maximum) == h].view(np.int64).tolist()
+        return h[slide(np.concatenate((none, names, none)), self.width, np.maximum) == h].view(np.int64)
 
-    def pieces(self, text: bytes) -> Iterator[tuple[int, int, int]]:
-        """(name, first window, windows) of the runs of windows with one name, ``WINDOWS`` at most each."""
+    def pieces(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, first windows and numbers of windows of the runs of windows with one name, ``WINDOWS`` at most each."""
         if len(text) < self.length:
-            return
+            return (np.zeros(0, dtype=np.int64),) * 3
         names = self.names(text).view(np.int64)
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))), len(names))
-        for name, start, end in zip(names[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for at in range(start, end, WINDOWS):
-                yield name, at, min(WINDOWS, end - at)
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        size = np.diff(np.append(starts, len(names)))
+        parts = -(-size // WINDOWS)
+        at = np.repeat(starts, parts) + WINDOWS * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+        return names[at], at, np.minimum(WINDOWS, np.repeat(starts + size, parts) - at)
+
+
+#: Rows of an Arrow batch made of arrays.
+ARRAY_ROWS = 1 << 16
+
+
+def flat_arrays(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
+    """Rows made from each row of ``df``: ``fn`` gives a column each, an array first; numbers stand for equal values."""
+    kinds = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kinds)
+
+        def made(held: list[tuple]) -> pa.RecordBatch:
+            sizes = [len(h[0]) for h in held]
+            columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else np.repeat(np.array(c), sizes) for c in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        held, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                for row in zip(*(c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns), strict=True):
+                    held.append(fn(*row))
+                    size += len(held[-1][0])
+                    if size >= ARRAY_ROWS:
+                        yield made(held)
+                        held, size = [], 0
+        if size:
+            yield made(held)
+
+    return df.mapInArrow(run, kinds)
 
 
 def transform(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +138,14 @@ def transform(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]
     joined = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
     n = len(joined)
     ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
-    symbol = joined.astype(np.int64) + 1
+    symbol = joined.astype(np.uint16) + np.uint16(1)
     symbol[ends] = 0
     left = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)  # symbols before the separator
     key = np.zeros(n, dtype=np.int64)
     for i in range(7):  # 7 symbols of 9 bits
         key <<= 9
         if i < n:
-            key[: n - i] |= np.where(left[: n - i] >= i, symbol[i:], 0)
+            key[: n - i] |= np.where(left[: n - i] >= i, symbol[i:], 0).astype(np.int64)
     order = np.argsort(key, kind="stable")
     # suffixes that reach their separator differ from all others; equal keys stay in text order
     ranked = key[order]
@@ -145,27 +180,29 @@ def repeated_starts(pieces: list[bytes], counts: list[int], length: int) -> np.n
     A piece with a count stands for that many equal ones.
     """
     order, symbol = transform(pieces, length)
+    order = order.astype(np.int32)
     n, m = len(order), len(pieces)
     last = symbol[order - 1]  # the transform; the separator before the first symbol is the last one
     by_symbol = np.argsort(last, kind="stable")
-    mapped = np.empty(n, dtype=np.int64)  # where the suffix one symbol longer is
-    mapped[by_symbol] = np.arange(n)
-    earlier, later = np.full(n, -1), np.full(n, n)  # the neighbours in the transform with the same symbol
+    by_symbol = by_symbol.astype(np.int32)
+    mapped = np.empty(n, dtype=np.int32)  # where the suffix one symbol longer is
+    mapped[by_symbol] = np.arange(n, dtype=np.int32)
+    earlier, later = np.full(n, -1, dtype=np.int32), np.full(n, n, dtype=np.int32)  # the neighbours in the transform with the same symbol
     same = last[by_symbol[1:]] == last[by_symbol[:-1]]
     earlier[by_symbol[1:][same]], later[by_symbol[:-1][same]] = by_symbol[:-1][same], by_symbol[1:][same]
     known = np.zeros(n + 1, dtype=bool)
     known[[0, n]] = True
-    low, high = np.zeros(1, dtype=np.int64), np.full(1, n)
+    low, high = np.zeros(1, dtype=np.int32), np.full(1, n, dtype=np.int32)
     for _ in range(length):
         # all suffixes of the queue's intervals, and which interval each is in
         size = high - low
-        where = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+        where = np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(int(size.sum()), dtype=np.int32)
         first = where[earlier[where] < np.repeat(low, size)]
         final = where[later[where] >= np.repeat(high, size)]
         start, end = np.sort(mapped[first]), np.sort(mapped[final]) + 1
         # separators are different symbols that no string goes across; each is an interval at the very first step
         if not known[1]:
-            seps = np.arange(m)
+            seps = np.arange(m, dtype=np.int32)
             start, end = np.concatenate((seps, start[start >= m])), np.concatenate((seps + 1, end[start >= m]))
         fresh = ~known[end] & ((start >= m) | ~known[1])
         low, high = start[fresh], end[fresh]
@@ -223,17 +260,13 @@ def _spans(texts: DataFrame, length: int, step: int, block_bytes: int) -> DataFr
     """``(tid, check, spans)``: starts of repeated windows in ``texts`` (tid, check, body, copies), which are all different."""
     anchor = max(1, round(ANCHORS[step] * length))
 
-    def places(rows: Iterator[tuple]) -> Iterator[tuple]:
-        names = Anchors(length, anchor)
-        for tid, check, body, copies in rows:
-            for name, at, n in names.pieces(body):
-                yield name, tid, check, at, n, copies
+    anchors = Anchors(length, anchor)
+
+    def places(tid: int, check: int, body: bytes, copies: int) -> tuple:
+        return (*anchors.pieces(body), tid, check, copies)
 
-    def keys(rows: Iterator[tuple]) -> Iterator[tuple]:
-        names = Anchors(length, anchor)
-        for body, copies in rows:
-            for name in names.met(body):
-                yield name, copies
+    def keys(body: bytes, copies: int) -> tuple:
+        return anchors.met(body), copies
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         for tid, check, body, found in rows:
@@ -241,9 +274,9 @@ def _spans(texts: DataFrame, length: int, step: int, block_bytes: int) -> DataFr
                 piece = body[p["at"] : p["at"] + p["n"] + length - 1]
                 yield p["name"], hashlib.sha256(piece).digest()[:16], tid, check, p["at"], p["copies"], piece
 
-    counted = map_rows(texts.select("body", "copies"), keys, "name bigint, copies bigint")
+    counted = flat_arrays(texts.select("body", "copies"), keys, "name bigint, copies bigint")
     again = counted.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
-    met = map_rows(texts.select("tid", "check", "body", "copies"), places, "name bigint, tid bigint, check int, at int, n int, copies bigint")
+    met = flat_arrays(texts.select("tid", "check", "body", "copies"), places, "name bigint, at int, n int, tid bigint, check int, copies bigint")
     met = met.join(again, "name", "left_semi")
     # a text's places: bounded by its own length
     listed = met.groupBy("tid", "check").agg(F.collect_list(F.struct("name", "at", "n", "copies")).alias("found"))
@@ -257,8 +290,8 @@ def _spans(texts: DataFrame, length: int, step: int, block_bytes: int) -> DataFr
     total, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
     single = alike
     split = None
-    if step + 1 < len(ANCHORS) and (most or 0) > block_bytes:
-        large = materialize(sizes.where(F.col("bytes") > block_bytes).select("name"), "large")
+    if step + 1 < len(ANCHORS) and (most or 0) > BLOCKS * block_bytes:
+        large = materialize(sizes.where(F.col("bytes") > BLOCKS * block_bytes).select("name"), "large")
         single = alike.join(large, "name", "left_anti")
         inner = alike.join(large, "name").select("name", "digest", F.col("piece").alias("body"), "copies")
         # a piece is known by its name and digest; one and the same piece may have several names
@@ -266,7 +299,7 @@ def _spans(texts: DataFrame, length: int, step: int, block_bytes: int) -> DataFr
         inner = bucketed(inner.repartition("tid", "check"), "inner", "tid", "check")
         deeper = _spans(inner, length, step + 1, block_bytes)
         split = deeper.join(inner.select("tid", "check", "name", "digest"), ["tid", "check"]).select("name", "digest", "spans")
-    parts = max(1, -(-(total or 0) // (8 * block_bytes)))
+    parts = max(1, -(-(total or 0) // (16 * block_bytes)))
     ordered = single.select("name", "digest", "piece", "copies").repartition(parts, "name").sortWithinPartitions("name")
     marks = map_rows(ordered, _blocks(length, block_bytes), f"name bigint, digest binary, spans {SPANS}")
     marks = materialize(marks if split is None else marks.unionByName(split), "marks")

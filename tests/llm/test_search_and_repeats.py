@@ -130,7 +130,7 @@ def test_crowded_names_are_split(spark):
     rng = random.Random(3)
     core = "".join(rng.choice("abcdef ") for _ in range(36))
     texts = [f"{rng.random()}{core[:rng.randrange(20, 37)]}{rng.random()}" for _ in range(150)] + [f"{i % 9} and {core} or {i % 5}" for i in range(60)] + ["z" * 3000] * 2
-    check_repeats(spark, texts, length=30, block_bytes=500)
+    check_repeats(spark, texts, length=30, block_bytes=125)
 
 
 def test_repeats_of_a_long_text_and_none(spark):
