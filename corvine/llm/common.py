@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     app, name = spark.sparkContext.applicationId, f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/corvine/{app}/{name}").option("compression", "zstd")
+    writer = df.write.bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/corvine/{app}/{name}")
     writer.format("parquet").saveAsTable(name)
     NAMED.setdefault(app, []).append(name)
     return spark.table(name)
