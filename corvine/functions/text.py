@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,19 +70,30 @@ def slug(text: Column) -> Column:
 def simhash(df: DataFrame, keys: list[str], text: str, words: int = 3) -> DataFrame:
     """``keys`` and a 64-bit ``simhash`` over word shingles, for equality (not for distances).
 
-    Bits are voted in sums per key, which Spark adds up before it shuffles.
+    Shingles are hashed in the JVM and their bits voted in Arrow batches; rows stay where they are.
     """
-    parts = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    parts = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
     n = F.greatest(F.size("_w") - words + 1, F.lit(1))
-    rows = df.select(*keys, parts.alias("_w")).select(*keys, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("_w", i, F.lit(words)), " "))).alias("_s"))
-    votes = rows.select(*keys, F.xxhash64("_s").alias("_h")).groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"_b{b}") for b in range(64)]
-    )
-    bits = [F.when(2 * F.col(f"_b{b}") > F.col("_n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return votes.select(*keys, out.alias("simhash"))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(words)), " ")))
+    rows = df.select(*keys, parts.alias("_w")).select(*keys, hashes.alias("_h"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, VOTED_ROWS):
+                part = batch.slice(at, VOTED_ROWS)
+                lists = part.column(len(keys))
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                bits = np.unpackbits(flat.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+                votes = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+                found = np.packbits(2 * votes > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(found)], names=[*keys, "simhash"])
+
+    return rows.mapInArrow(vote, T.StructType([*df.select(*keys).schema.fields, T.StructField("simhash", T.LongType())]))
+
+
+#: Rows whose bits are counted at a time.
+VOTED_ROWS = 1024
 
 
 def near_duplicate_flag(fingerprint: Column, digest: Column, scope: list[str], order: str) -> Column:
@@ -100,6 +114,15 @@ LANGUAGES = [
 ]
 
 
+def guess_language(text: str, lines: int = 50) -> str:
+    """As ``code_language``, of one text."""
+    sample = "\n".join(text.split("\n")[:lines])
+    for name, groups, absent in LANGUAGES:
+        if all(any(t in sample for t in some) for some in groups) and not any(t in sample for t in absent) or (name == "json" and sample.startswith("{")):
+            return name
+    return ""
+
+
 def code_language(text: Column, lines: int = 50) -> Column:
     """The first language whose marks the text's first lines hold; empty if none."""
     sample = F.substring_index(text, "\n", lines)

@@ -13,14 +13,19 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quality import assess
+from ..functions.text import guess_language
 from ..rows import flat_map
+from .code import code_parts
+from .records import markdown_cells
 
-BLOCK = "kind string, text string, heading_trail array<string>, level int, is_boilerplate boolean"
+BLOCK = "kind string, text string, heading_trail array<string>, level int, is_boilerplate boolean, code_language string, normalized_text string"
 #: Kinds that stand alone in a window, and kinds that name a window, first one found first. Fixed values.
 STANDALONE = {"table_row", "source_profile", "source_unit"}
 DOMINANT = ["endpoint_block", "code_block", "table", "table_row", "source_profile", "source_unit"]
-_FENCE, _HEADING, _ITEM = re.compile(r"^\s*(```|~~~)"), re.compile(r"^(#{1,6})\s+(.*\S)\s*$"), re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+\S")
+_FENCE, _HEADING, _ITEM = re.compile(r"^\s*(?:```|~~~)\s*([\w+#-]*)"), re.compile(r"^(#{1,6})\s+(.*\S)\s*$"), re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+\S")
 _ENDPOINT = re.compile(r"^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/\S*")
+_RULE = re.compile(r"^\s*\|(?:\s*:?-+:?\s*\|)+\s*$")
 SEPARATORS = "|•>›"
 
 
@@ -49,41 +54,85 @@ def is_boilerplate(kind: str, text: str) -> bool:
     return any(len(p) >= 4 and all(0 < len(x) <= 40 for x in p) for p in pieces)
 
 
+def _table(lines: list[str], sheet: str) -> Iterator[tuple[str, str, str]]:
+    """Kind, text and normal text of a table and its rows; lines without a rule below the first are rows alone."""
+    if len(lines) < 3 or not _RULE.match(lines[1]):
+        yield from (("table_row", line.strip(), line.strip()) for line in lines)
+        return
+    whole = "\n".join(line.strip() for line in lines)
+    yield "table", whole, whole
+    headers = markdown_cells(lines[0])
+    for n, line in enumerate(lines[2:], 1):
+        cells = [f"{h}: {c}" for h, c in zip(headers, markdown_cells(line), strict=False) if c]
+        yield "table_row", line.strip(), " | ".join([*([f"Sheet: {sheet}"] if sheet else []), f"Row {n}", *cells])
+
+
 def prepare(text: str) -> list[tuple]:
-    """Blocks of a text: lines of one kind in a row are one block, headings and rows stand alone."""
+    """Blocks of a text, as in ``BLOCK``: lines of one kind in a row are one block; headings, items and endpoints stand alone.
+
+    Rows of a table with a header are blocks of their own after the table; their normal text names the columns.
+    A code block knows the language that its fence names.
+    """
     trail: list[tuple[int, str]] = []
     out: list[list] = []
+    rows: list[str] = []
     code: list[str] | None = None
-    last = ""
+    language = last = ""
+    titles = lambda: [t for _, t in trail]
+
+    def settle() -> None:
+        for kind, whole, normal in _table(rows, trail[-1][1] if trail else ""):
+            out.append([kind, whole, titles(), 0, None, normal])
+        rows.clear()
+
     for line in text.splitlines():
-        if _FENCE.match(line):
+        kind = "" if code is not None or not line.strip() else line_kind(line)
+        if rows and kind != "table_row":
+            settle()
+        if fence := _FENCE.match(line):
             if code is None:
-                code = []
+                code, language = [], fence[1].lower()
             else:
-                out.append(["code_block", "\n".join(code), [t for _, t in trail], 0])
+                out.append(["code_block", "\n".join(code), titles(), 0, language or None, None])
                 code = None
             last = ""
         elif code is not None:
             code.append(line)
-        elif not line.strip():
+        elif kind == "table_row":
+            rows.append(line)
+            last = ""
+        elif not kind:
             last = ""
         else:
-            kind = line_kind(line)
             if kind == "heading":
                 level, title = len(_HEADING.match(line)[1]), _HEADING.match(line)[2]
                 trail = [x for x in trail if x[0] < level] + [(level, title)]
-                out.append([kind, title, [t for _, t in trail], level])
+                out.append([kind, title, titles(), level, None, None])
             elif kind == last and kind in ("paragraph", "quote_block"):
                 out[-1][1] += "\n" + line
             else:
-                out.append([kind, line.strip() if kind != "code_block" else line, [t for _, t in trail], 0])
+                out.append([kind, line.strip(), titles(), 0, None, None])
             last = kind
+    settle()
     if code:
-        out.append(["code_block", "\n".join(code), [t for _, t in trail], 0])
+        out.append(["code_block", "\n".join(code), titles(), 0, language or None, None])
     flags = [is_boilerplate(b[0], b[1]) for b in out]
     if flags and all(flags):
         flags = [False] * len(flags)
-    return [(*b, f) for b, f in zip(out, flags, strict=True)]
+    return [(*b[:4], f, b[4], b[1] if b[5] is None else b[5]) for b, f in zip(out, flags, strict=True)]
+
+
+def split_code(rows: list[tuple], most: int) -> list[tuple]:
+    """Blocks with code over the budget cut at its definitions; a language that no fence names is guessed."""
+    out = []
+    for b in rows:
+        parts = code_parts(b[1], b[5] or guess_language(b[1]), most) if b[0] == "code_block" and len(b[1].strip()) > most else []
+        out += [(b[0], p, *b[2:6], p) for p in parts] if len(parts) > 1 else [b]
+    return out
+
+
+def _normal(block: tuple) -> str:
+    return (block[6] if len(block) > 6 else block[1]).strip()
 
 
 def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,10 +146,10 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def windows(rows: list[tuple], most: int = 2800, overlap: int = 280) -> list[list[tuple]]:
-    """Greedy windows over a document's blocks (kind, text, trail, level, boilerplate).
+    """Greedy windows over a document's blocks (see ``BLOCK``), by their normal texts.
 
-    A join costs two characters.  A kind that stands alone closes the window; a heading does
-    if a third is full.  The next window begins with the last whole blocks that fit the overlap.
+    Boilerplate is left out, and a table whose rows follow.  A join costs two characters.  A kind that stands alone
+    closes the window; a heading does if a third is full.  The next window begins with the last whole blocks that fit the overlap.
     """
     out: list[list[tuple]] = []
     now: list[tuple] = []
@@ -112,20 +161,23 @@ def windows(rows: list[tuple], most: int = 2800, overlap: int = 280) -> list[lis
             out.append(now)
         back, held = [], 0
         for b in reversed(now):
-            if b[0] in STANDALONE or held + len(b[1]) > overlap:
+            more = len(_normal(b)) + (2 if back else 0)
+            if b[0] in STANDALONE or held + more > overlap:
                 break
             back.insert(0, b)
-            held += len(b[1])
-        now, size, carried = back, sum(len(b[1]) for b in back) + 2 * max(0, len(back) - 1), len(back)
+            held += more
+        now, size, carried = back, held, len(back)
 
-    for b in (b for b in rows if not b[4] and b[1].strip()):
+    kept = [b for b, after in zip(rows, [*rows[1:], ("",)], strict=False) if not b[4] and not (b[0] == "table" and after[0] == "table_row")]
+    for b in (b for b in kept if _normal(b)):
         alone = b[0] in STANDALONE
-        cost = len(b[1]) + (2 if now else 0)
+        length = len(_normal(b))
+        cost = length + (2 if now else 0)
         if now and (alone or size + cost > most or (b[0] == "heading" and size >= most // 3)):
             close()
-            if alone or size + len(b[1]) + 2 > most:
+            if alone or size + length + 2 > most:
                 now, size, carried = [], 0, 0
-            cost = len(b[1]) + (2 if now else 0)
+            cost = length + (2 if now else 0)
         now.append(b)
         size += cost
         if alone:
@@ -140,21 +192,13 @@ def dominant_kind(kinds: list[str]) -> str:
     return next((k for k in DOMINANT if k in kinds), kinds[0])
 
 
-def quality(kinds: list[str], text: str, text_quality: float) -> float:
-    """Score of a window from its kinds, its size in bytes and how its words repeat."""
-    score = 1.0 + 0.1 * bool({"code_block", "endpoint_block"} & set(kinds)) + 0.1 * ("heading" in kinds) + 0.1 * bool({"table", "table_row"} & set(kinds))
-    score -= 0.2 * (len(text.encode()) < 100)
-    words = text.split()
-    score -= 0.1 * bool(words and len(set(words)) / len(words) < 0.3)
-    return max(0.0, min(1.0, score * text_quality))
-
-
-def legibility(text: str) -> float:
-    """Share of characters that are neither replacement nor control characters; 0.3 at most if 5 % are."""
-    if not text:
-        return 0.0
-    bad = sum(c == "�" or (ord(c) < 32 and c not in "\n\r\t") for c in text) / len(text)
-    return min(0.3, 1 - bad) if bad >= 0.05 else 1 - bad
+def quality(window: list[tuple]) -> float:
+    """Score of a window from its kinds, its size in bytes and how its words repeat; legibility is not in it."""
+    kinds, texts = {b[0] for b in window}, [(b[6] if len(b) > 6 else b[1]) for b in window]
+    score = 1.0 + 0.1 * bool({"code_block", "endpoint_block"} & kinds) + 0.1 * ("heading" in kinds) + 0.1 * bool({"table", "table_row"} & kinds)
+    score -= 0.2 * (sum(len(t.encode()) for t in texts) < 100)
+    words = [w for t in texts for w in t.split()]
+    return score - 0.1 * bool(words and len(set(words)) / len(words) < 0.3)
 
 
 def sentence_window(texts: list[str], at: int, sides: int = 2, most_words: int = 1500) -> str | None:
@@ -172,20 +216,26 @@ def sentence_window(texts: list[str], at: int, sides: int = 2, most_words: int =
 
 
 def chunks(df: DataFrame, most: int = 2800, overlap: int = 280, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of every text: a row per window, with digest, token count, quality and neighbours' sentences."""
+    """Chunks of every text: a row per window, with digest, token count, quality and neighbours' sentences.
+
+    Code over ``most`` characters is cut at its definitions first.  The quality is the window's score times the
+    legibility of its text (``functions.quality``), between 0 and 1; ``text_quality`` has the latter's figures.
+    """
 
     def run(key: object, text: str | None) -> Iterator[tuple]:
-        found = windows(prepare(text or ""), most, overlap)
-        texts = ["\n\n".join(b[1] for b in w) for w in found]
+        found = windows(split_code(prepare(text or ""), most), most, overlap)
+        texts = ["\n\n".join(map(_normal, w)) for w in found]
         for i, (w, t) in enumerate(zip(found, texts, strict=True)):
-            kinds = [b[0] for b in w]
             trail = next((b[2] for b in reversed(w) if b[2]), [])
             digest = "sha256:" + hashlib.sha256(t.encode()).hexdigest()
-            yield key, i, dominant_kind(kinds), t, digest, len(t.split()), trail, quality(kinds, t, legibility(t)), sentence_window(texts, i), len(w)
+            content = "\n\n".join(b[1].strip() for b in w)
+            yield key, i, dominant_kind([b[0] for b in w]), content, t, digest, len(t.split()), trail, quality(w), sentence_window(texts, i), len(w)
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, chunk_index int, chunk_kind string, content_text string, literal_digest string, token_count int, heading_trail array<string>, quality_score double, window_text string, n_blocks int"
-    return flat_map(df.select(id_col, text_col), run, schema)
+    schema = f"`{id_col}` {kind}, chunk_index int, chunk_kind string, content_text string, normalized_text string, literal_digest string, token_count int, heading_trail array<string>, score double, window_text string, n_blocks int"
+    found = flat_map(df.select(id_col, text_col), run, schema).withColumn("text_quality", assess(F.col("normalized_text")))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * F.col("text_quality.score")))
+    return found.withColumn("quality_score", score).drop("score")
 
 
 def line_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,22 +104,44 @@ def document_status(mutation: Column, job: Column, readable: Column) -> Column:
     )
 
 
-def infer_header(rows: list[list[str]]) -> tuple[list[str], int]:
-    """Column names and the number of rows before the data, from a table's first rows.
+def _is_data(cell: str) -> bool:
+    """Digits with signs of numbers, dates and times; addresses; truth values."""
+    low = cell.strip().lower()
+    return bool(low) and (all(c in "0123456789.,-+/:%" for c in low) or "@" in low or low.startswith(("http://", "https://")) or low in ("true", "false"))
 
-    One filled cell over a wider row is a title.  A row of distinct, filled texts without
-    numbers over others is the header; else columns are ``col_1`` and so on.
+
+def _is_label(cell: str) -> bool:
+    cell = cell.strip()
+    return 0 < len(cell.encode()) <= 48 and not _is_data(cell) and any(map(str.isalpha, cell))
+
+
+def _is_header(row: list[str], below: list[list[str]]) -> bool:
+    """Different filled cells, none of them data and half of them labels, over a row with something else."""
+    filled = [c.strip() for c in row if c.strip()]
+    if not filled or any(map(_is_data, filled)) or 2 * sum(map(_is_label, filled)) < len(filled) or len({c.lower() for c in filled}) < len(filled):
+        return False
+    return any(c.strip() and not _is_label(c) for r in below[:4] for c in r)
+
+
+def table_shape(rows: list[list[str]]) -> tuple[list[str], list[list[str]], str | None, str]:
+    """Headers, data rows filled up to the widest, caption and how the headers were found, from a table's rows.
+
+    A single label over a header is the caption.  Where no row is a header, columns are ``col_1`` and so on.
     """
     width = max(map(len, rows), default=0)
-    start = 0
-    filled = lambda r: [c for c in r if c.strip()]
-    if len(rows) > 1 and len(filled(rows[0])) == 1 and width > 1:
-        start = 1
-    if start < len(rows):
-        head = [c.strip() for c in rows[start]]
-        if len(head) == width and all(head) and len(set(head)) == width and not any(c.replace(".", "", 1).isdigit() for c in head) and len(rows) > start + 1:
-            return head, start + 1
-    return [f"col_{i + 1}" for i in range(width)], start
+    if not width:
+        return [], [], None, "empty_table"
+    rows = [r + [""] * (width - len(r)) for r in rows]
+    made = [f"col_{i + 1}" for i in range(width)]
+    named = lambda row: [c.strip() or m for c, m in zip(row, made, strict=True)]
+    if len(rows) == 1 or width == 1:
+        return made, rows, None, "synthetic_single_row" if len(rows) == 1 else "synthetic_single_column"
+    first = [c.strip() for c in rows[0] if c.strip()]
+    if len(rows) > 2 and len(first) == 1 and _is_label(first[0]) and _is_header(rows[1], rows[2:]):
+        return named(rows[1]), rows[2:], first[0], "inferred_title_then_header"
+    if _is_header(rows[0], rows[1:]):
+        return named(rows[0]), rows[1:], None, "inferred_first_row_header"
+    return made, rows, None, "synthetic_data_like_header"
 
 
 def markdown_cells(line: str) -> list[str]:

@@ -97,12 +97,13 @@ def _block_best(k: int, names: tuple[str, str]):
         for n in asked.keys() & held.keys():
             (at, left), (place, right) = asked[n], held[n]
             for i, scores in zip(at, left @ right.T, strict=True):
-                keep = np.arange(len(scores))
+                near = np.round(scores, 9)
+                keep = np.arange(len(near))
                 if len(keep) > k:
-                    keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-12)
-                best = keep[np.lexsort((ids[place[keep]], -scores[keep]))[: k + 16]]
-                found += [(names_[i], ids[place[j]], float(scores[j])) for j in best]
-        return pd.DataFrame(found, columns=list(names))
+                    keep = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])
+                best = keep[np.lexsort((ids[place[keep]], -near[keep]))[:k]]
+                found += [(names_[i], ids[place[j]], float(scores[j]), float(near[j])) for j in best]
+        return pd.DataFrame(found, columns=[*names, "near"])
 
     return run
 
@@ -120,8 +121,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
     run = _block_best(k, ("query_id", id_col, "score"))
     both = left.groupBy("group", "part").cogroup(right.groupBy("group", "part"))
-    scored = both.applyInPandas(run, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double")
-    return top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col(id_col)], k, rank="rank").select("query_id", id_col, "score", "rank")
+    scored = both.applyInPandas(run, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double, near double")
+    return top_per_group(scored, ["query_id"], [F.desc("near"), F.col(id_col)], k, rank="rank").select("query_id", id_col, "score", "rank")
 
 
 def reciprocal_rank_fusion(lanes: dict[str, DataFrame], key: str, group: Sequence[str] = ("query_id",), first: int = 1) -> DataFrame:

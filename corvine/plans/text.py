@@ -14,17 +14,6 @@ _LINES = """l AS (SELECT doc_id, i AS chunk_index, content_text FROM (SELECT doc
 _LOWER_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= {1})"
 
 
-@query("p14_structured_blocks", None, "documents")
-def p14(documents: DataFrame) -> DataFrame:
-    return blocks.blocks(documents)
-
-
-@query("p15_outline", None, "documents")
-def p15(documents: DataFrame) -> DataFrame:
-    heads = blocks.blocks(documents).where("kind = 'heading'")
-    return heads.select("doc_id", "ordinal", "level", F.array_join("heading_trail", " / ").alias("path"), F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")).alias("place"))
-
-
 @query("p13_repeated_boilerplate", f"""WITH {_LINES}, k AS (SELECT chunk_index % 6 AS page, doc_id, trim(regexp_replace(content_text, '[ \\t]+', ' ', 'g')) AS line FROM l),
    r AS (SELECT doc_id, line, count(DISTINCT page) AS pages, count(*) AS n FROM k WHERE length(line) BETWEEN 1 AND 160 GROUP BY 1, 2)
    SELECT doc_id, line, pages, n FROM r WHERE pages >= 5""", "documents")
@@ -42,11 +31,6 @@ def p17(documents: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.array_join(F.transform("x", lambda r: r["content_text"]), "\n").alias("summary"))
 
 
-@query("c01_chunk_windows", None, "documents")
-def c01(documents: DataFrame) -> DataFrame:
-    return blocks.chunks(documents)
-
-
 @query("c06_chunk_digest", f"""WITH {_LINES} SELECT doc_id, chunk_index, 'sha256:' || sha256(content_text) AS literal_digest, length(content_text) AS n_chars,
    len(list_filter(string_split(content_text, ' '), lambda w: w <> '')) AS token_count FROM l""", "documents")
 def c06(documents: DataFrame) -> DataFrame:
@@ -56,16 +40,6 @@ def c06(documents: DataFrame) -> DataFrame:
     )
 
 
-@query("c08_sentence_windows", None, "documents")
-def c08(documents: DataFrame) -> DataFrame:
-    return blocks.chunks(documents).select("doc_id", "chunk_index", "window_text")
-
-
-@query("c09_quality_gate", None, "documents")
-def c09(documents: DataFrame) -> DataFrame:
-    return blocks.chunks(documents).where(F.coalesce("quality_score", F.lit(1.0)) >= 0.35).select("doc_id", "chunk_index", "quality_score")
-
-
 @query("c09_quality_parts", f"""WITH {_LINES} SELECT doc_id, chunk_index, round(greatest(0, least(1, 1.0 - CASE WHEN octet_length(encode(content_text)) < 100 THEN 0.2 ELSE 0 END
    - CASE WHEN len(list_distinct(w)) / len(w) < 0.3 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS quality FROM (SELECT *, list_filter(string_split(content_text, ' '), lambda x: x <> '') AS w FROM l)""", "documents")
 def c09_parts(documents: DataFrame) -> DataFrame:
@@ -82,8 +56,8 @@ def c10(documents: DataFrame) -> DataFrame:
 
 @query("c11_near_duplicate_flag", None, "documents")
 def c11(documents: DataFrame) -> DataFrame:
-    lines = blocks.line_chunks(documents)
-    rows = lines.select("doc_id", "chunk_index", F.sha2("content_text", 256).alias("d")).join(fn.simhash(lines, ["doc_id", "chunk_index"], "content_text"), ["doc_id", "chunk_index"])
+    lines = blocks.line_chunks(documents).withColumn("d", F.sha2("content_text", 256))
+    rows = fn.simhash(lines, ["doc_id", "chunk_index", "d"], "content_text")
     return rows.select("doc_id", "chunk_index", fn.near_duplicate_flag(F.col("simhash"), F.col("d"), ["doc_id"], "chunk_index").alias("is_near_duplicate"))
 
 

@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None, *names: str) -> Callable:
     return add
 
 
-for _module in ("relational", "aggregates", "text", "search", "graph", "records", "web", "facts", "ops", "sinks"):
+for _module in ("relational", "aggregates", "text", "preparation", "search", "graph", "records", "web", "facts", "ops", "sinks"):
     importlib.import_module(f"corvine.plans.{_module}")
 
 

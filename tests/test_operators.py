@@ -1,5 +1,6 @@
 """Operators on small inputs with known results."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,8 +44,8 @@ def test_sentence_window():
 
 def test_markdown_cells_and_headers():
     assert records.markdown_cells(r"| a | b \| c | |") == ["a", "b | c", ""]
-    assert records.infer_header([["Report", ""], ["name", "size"], ["a", "1"]]) == (["name", "size"], 2)
-    assert records.infer_header([["1", "2"], ["3", "4"]]) == (["col_1", "col_2"], 0)
+    assert records.table_shape([["Report", ""], ["name", "size"], ["a", "1"]])[0] == ["name", "size"]
+    assert records.table_shape([["1", "2"], ["3", "4"]])[::3] == (["col_1", "col_2"], "synthetic_data_like_header")
 
 
 def test_urls():
@@ -154,3 +155,18 @@ def test_release_versions(spark):
     df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string")
     found = {r.t: r.v for r in df.select("t", fn.release_versions(F.col("t")).alias("v")).collect()}
     assert found == cases | {None: None}
+
+
+def test_nearest_decides_ties(spark, monkeypatch):
+    """Scaled copies of one vector tie, whatever their last bits; zero, null and shorter vectors score nothing."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(search, "VECTORS", 90)
+    base = rng.normal(size=16)
+    rows = [(int(i), (base * s).astype(np.float32).astype(float).tolist()) for i, s in zip(rng.permutation(300), rng.uniform(0.1, 9, 300), strict=True)]
+    rows += [(400 + i, rng.normal(size=16).tolist()) for i in range(200)] + [(900, [0.0] * 16), (901, None), (902, [1.0, 2.0]), (903, base.tolist()), (904, base.tolist())]
+    asked = [(1, base.tolist()), (2, rng.normal(size=16).tolist()), (3, [0.0] * 16), (4, rows[310][1])]
+    found = search.nearest(spark.createDataFrame(rows, "id bigint, v array<double>"), spark.createDataFrame(asked, "query_id bigint, q array<double>"), "id", "v", 10).collect()
+    cos = lambda a, b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+    for q, vector in asked:
+        best = sorted((-cos(vector, v), i) for i, v in rows if v and len(v) == 16 and any(v)) if any(vector) else []
+        assert [r.id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in best[:10]]
