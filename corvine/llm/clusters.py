@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, shared_dir
+from .common import bucketed, shared_dir, small_batches
 from .topk import quantise
 
 #: Numbers of all centroids together, which the driver and every task hold.
@@ -108,6 +108,7 @@ def cluster_vectors(
     if k * width > CENTROID_NUMBERS:
         raise ValueError(f"k * width must be at most {CENTROID_NUMBERS}: every task holds the centroids")
     shared_dir(spark)
+    small_batches(spark)
     fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     vector = F.col(vector_col)
     fitting = F.when(vector.isNotNull() & (F.size(vector) == width), F.forall(vector, fit)).otherwise(False)

@@ -104,6 +104,11 @@ BATCH_BYTES = 4 << 20
 SLICE_ROWS = 256
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that Spark hands to Python are cut by bytes: texts may be long, and both sides hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Apply ``rows_fn`` (an iterator of row tuples to another) to every partition.
 
@@ -111,6 +116,7 @@ def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]
     by one input batch and one output batch, whatever a partition holds.
     """
     kinds = T._parse_datatype_string(schema)
+    small_batches(df.sparkSession)
     name = f"{rows_fn.__module__}.{rows_fn.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, bucketed, map_rows, materialize
+from .common import SLICE_ROWS, bucketed, map_rows, materialize, small_batches
 
 #: Bytes of a block, so many of which a name may have before it is split, and the most windows of a piece.
 BLOCK_BYTES, BLOCKS, WINDOWS = 1 << 18, 4, 512
@@ -126,7 +126,9 @@ def flat_arrays(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFra
                         held, size = [], 0
         if size:
             yield made(held)
+        pa.default_memory_pool().release_unused()  # the process serves further tasks
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, kinds)
 
 
