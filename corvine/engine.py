@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import blocks, facts, graph, ranking, search
+from .operators import blocks, claims, facts, graph, ranking, search
 
 #: Modes of retrieval. Fixed values.
 MODES = ("document", "local", "global", "hybrid", "mix")
@@ -102,7 +102,13 @@ class Engine:
     def communities(self) -> DataFrame:
         return graph.label_propagation(self.edges)
 
-    def verify(self, question: Question, evidence: DataFrame) -> DataFrame:
-        """State of an answer whose literals must occur in ``evidence`` (doc_id, text)."""
-        literals = self.documents.sparkSession.createDataFrame([(0, x) for x in question.literals], "query_id int, literal string")
-        return search.verification_state(search.grounded(literals, evidence.select(F.lit(0).alias("query_id"), F.col("text").alias("evidence"))))
+    def verify(self, answer: str, evidence: DataFrame, literals: Sequence[str] = ()) -> DataFrame:
+        """``(literals, supported, state)`` of an answer: its claims and ``literals`` must occur in ``evidence`` (doc_id, text)."""
+        spark = self.documents.sparkSession
+        told = spark.createDataFrame([(0, answer)], "query_id int, text string")
+        given = spark.createDataFrame([(0, x) for x in literals], "query_id int, literal string")
+        texts = evidence.select(F.lit(0).alias("query_id"), F.col("text").alias("evidence"))
+        every = claims.claims(told, "query_id", "text").select("query_id", "literal").unionByName(given).distinct()
+        verbatim = search.grounded(told.select("query_id", F.trim("text").alias("literal")).where("literal <> ''"), texts).where("supported")
+        states = claims.verification_states(told, search.grounded(every, texts), verbatim, told.limit(0))
+        return states.select("literals", "supported", "state")

@@ -129,18 +129,25 @@ def personalised_pagerank(edges: DataFrame, seeds: Sequence[str], rounds: int =
     seeds as well.
     """
     spark = edges.sparkSession
-    links = neighbours(edges)
-    degree = links.groupBy("a").agg(F.count("*").alias("d"))
+    links = cut(neighbours(edges))
+    degree = cut(links.groupBy("a").agg(F.count("*").alias("d")))
     weighted = cut(links.join(degree, "a").select("a", "b", (1.0 / F.col("d")).alias("w")))
     total = sum(1 + 1 / (r + 1) for r in range(len(seeds)))
-    home = F.broadcast(spark.createDataFrame([(s, (1 + 1 / (r + 1)) / total) for r, s in enumerate(seeds)], "node_id string, t double"))
-    nodes = degree.select(F.col("a").alias("node_id")).unionByName(home.select("node_id")).distinct().join(home, "node_id", "left").na.fill(0.0, ["t"])
-    ranks = cut(nodes.select("node_id", "t", F.col("t").alias("score")))
+    home = spark.createDataFrame([(s, (1 + 1 / (r + 1)) / total) for r, s in enumerate(seeds)], "node_id string, t double")
+    # neighbours go both ways, so only a seed without edges is dangling
+    loose = home.join(degree.select(F.col("a").alias("node_id")), "node_id", "left_anti").select("node_id", "t")
+    nodes = degree.select(F.col("a").alias("node_id")).join(F.broadcast(home), "node_id", "left").na.fill(0.0, ["t"]).withColumn("dangling", F.lit(False))
+    ranks = cut(nodes.unionByName(loose.withColumn("dangling", F.lit(True))).withColumn("score", F.col("t")))
+    dangling = not loose.isEmpty()
     for _ in range(rounds):
         moved = weighted.join(ranks.select(F.col("node_id").alias("a"), "score"), "a").groupBy(F.col("b").alias("node_id")).agg(F.sum(F.col("w") * F.col("score")).alias("m"))
-        held = F.broadcast(ranks.join(degree.select(F.col("a").alias("node_id")), "node_id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose")))
-        walk = damping * (F.coalesce("m", F.lit(0.0)) + F.col("loose") * F.col("t")) + (1 - damping) * F.col("t")
-        ranks = cut(ranks.select("node_id", "t").join(moved, "node_id", "left").join(held).select("node_id", "t", walk.alias("score")))
+        after = ranks.select("node_id", "t", "dangling").join(moved, "node_id", "left")
+        back = F.lit(0.0)
+        if dangling:
+            after = after.join(F.broadcast(ranks.where("dangling").agg(F.sum("score").alias("loose"))))
+            back = F.col("loose") * F.col("t")
+        walk = damping * (F.coalesce("m", F.lit(0.0)) + back) + (1 - damping) * F.col("t")
+        ranks = cut(after.select("node_id", "t", "dangling", walk.alias("score")))
     return ranks.select("node_id", "score")
 
 

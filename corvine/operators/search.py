@@ -21,32 +21,49 @@ RRF_K, IDENTITY_SCORE = 60, 100_000.0
 
 
 def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(id, at, token)``: every token of every text and its place; lanes join terms before anything is grouped."""
+    """``(id, at, token)``: every token of every text and its place."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return df.select(id_col, F.posexplode(words).alias("at", "token"))
 
 
-def lexical_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
+def prefix_key(token: Column, cut: int = 5) -> Column:
+    """Tokens of four characters or more cut to a prefix; shorter ones whole."""
+    return F.when(F.length(token) >= 4, F.substring(token, 1, cut)).otherwise(token)
+
+
+def term_hits(postings_: DataFrame, terms: DataFrame, id_col: str, prefixes: bool = False) -> DataFrame:
+    """``(id, token, tf, first_at)`` of the tokens that some term equals, or with ``prefixes`` has the prefix of.
+
+    Occurrences are counted before questions are joined, so what is shuffled doesn't grow with these.
+    """
+    key = prefix_key(F.col("token")) if prefixes else F.col("token")
+    met = postings_.withColumn("_key", key).join(terms.select(key.alias("_key")).distinct(), "_key", "left_semi")
+    return met.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+
+
+def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
     """``(query_id, id, matched, score)`` by token equality.
 
-    ``terms``: (query_id, token).  ``all`` keeps rows that hold every term (AND), ``any`` those
-    with one.  The score is the share of terms matched, times what their nearness adds: one over
-    one plus the span between the first places of the terms, in words of 100.  Only hits are shuffled.
+    ``found``: postings, or hits that ``term_hits`` counted for these terms.  ``terms``: (query_id, token).  ``all`` keeps
+    rows that hold every term (AND), ``any`` those with one.  The score is the share of terms matched, times what their nearness
+    adds: one over one plus the span between the first places of the terms, in words of 100.
     """
+    hits = found if "tf" in found.columns else term_hits(found, terms, id_col)
     wanted = terms.distinct().withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    each = postings_.join(wanted, "token").groupBy("query_id", id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"), F.max("_n").alias("_n"))
-    hits = each.groupBy("query_id", id_col).agg(
+    each = hits.join(wanted, "token").groupBy("query_id", id_col).agg(
         F.count("*").alias("matched"), F.max("_n").alias("_n"), (F.max("first_at") - F.min("first_at")).alias("_span"), F.sum("tf").alias("_tf")
     )
     score = F.col("matched") / F.col("_n") * (1 + 1 / (1 + F.col("_span") / 100.0)) * F.log1p("_tf")
-    hits = hits.where(F.col("matched") == F.col("_n")) if mode == "all" else hits
-    return hits.select("query_id", id_col, "matched", score.alias("score"))
+    each = each.where(F.col("matched") == F.col("_n")) if mode == "all" else each
+    return each.select("query_id", id_col, "matched", score.alias("score"))
 
 
-def prefix_lane(postings_: DataFrame, terms: DataFrame, id_col: str, mode: str = "all", cut: int = 5) -> DataFrame:
-    """As ``lexical_lane`` with terms of four characters or more cut to a prefix; shorter ones exact."""
-    key = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, cut)).otherwise(F.col(c))
-    return lexical_lane(postings_.withColumn("token", key("token")), terms.withColumn("token", key("token")), id_col, mode)
+def prefix_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
+    """As ``lexical_lane`` with terms of four characters or more cut to a prefix (``prefix_key``); shorter ones exact."""
+    hits = found if "tf" in found.columns else term_hits(found, terms, id_col, prefixes=True)
+    key = prefix_key(F.col("token")).alias("token")
+    cut = hits.select(id_col, key, "tf", "first_at").groupBy(id_col, "token").agg(F.sum("tf").alias("tf"), F.min("first_at").alias("first_at"))
+    return lexical_lane(cut, terms.select("query_id", key), id_col, mode)
 
 
 def ladder(passes: Sequence[DataFrame], id_col: str, enough: int = 8) -> DataFrame:
@@ -174,14 +191,19 @@ def within_budget(df: DataFrame, line: Column, order: Sequence[str], budget: int
     return df.withColumn("used", F.sum(F.octet_length(line) + extra).over(w)).where(F.col("used") <= budget)
 
 
-def grounded(literals: DataFrame, corpus: DataFrame) -> DataFrame:
-    """For each (query_id, literal) whether any evidence text of the query holds it."""
-    found = literals.join(corpus, "query_id", "left").groupBy("query_id", "literal")
-    return found.agg(F.coalesce(F.bool_or(F.contains(F.lower("evidence"), F.lower("literal"))), F.lit(False)).alias("supported"))
+#: Bytes of literals that every task may hold.
+LITERAL_BYTES = 32 << 20
 
 
-def verification_state(checked: DataFrame) -> DataFrame:
-    """State per query: no evidence, nothing to check, all, some or none of the literals supported."""
-    n, ok = F.count("*"), F.count_if("supported")
-    state = F.when(n == 0, "not_run").when(ok == n, "verified").when(ok > 0, "partially_supported").otherwise("insufficient_evidence")
-    return checked.groupBy("query_id").agg(n.alias("literals"), ok.alias("supported"), state.alias("state"))
+def grounded(literals: DataFrame, corpus: DataFrame) -> DataFrame:
+    """For each (query_id, literal) whether any evidence text of the query holds it.
+
+    A text is tested where it lies against its query's literals, which are broadcast up to ``LITERAL_BYTES`` in all and
+    joined beyond; only the literals found are shuffled, combined per task first.
+    """
+    asked = literals.groupBy("query_id").agg(F.collect_set("literal").alias("_all"))
+    size = literals.agg(F.coalesce(F.sum(F.octet_length("literal") + 16), F.lit(0))).first()[0]
+    held = corpus.join(F.broadcast(asked) if size <= LITERAL_BYTES else asked, "query_id").select("query_id", "_all", F.lower("evidence").alias("_text"))
+    found = held.select("query_id", F.explode(F.filter("_all", lambda x: F.contains(F.col("_text"), F.lower(x)))).alias("literal")).distinct()
+    known = literals.join(found.withColumn("supported", F.lit(True)), ["query_id", "literal"], "left")
+    return known.select("query_id", "literal", F.coalesce("supported", F.lit(False)).alias("supported")).distinct()

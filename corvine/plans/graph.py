@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..functions.ids import uuid5_sql
+from ..operators import graph, merge
 from ..registry import query
 
 _NB = "nb AS (SELECT from_node_id AS a, to_node_id AS b FROM {edge} UNION SELECT to_node_id, from_node_id FROM {edge})"
@@ -57,9 +58,13 @@ def g08(node: DataFrame, edge: DataFrame) -> DataFrame:
     return node.select("node_id").join(counts, "node_id")
 
 
-@query("g09_unsupported_nodes", "SELECT node_id FROM {node} WHERE NOT EXISTS (SELECT 1 FROM {edge} WHERE from_node_id = node_id OR to_node_id = node_id)", "node", "edge")
+#: Edges whose evidence is an active document: those of the others' persons are gone.
+_ACTIVE = "CAST(split_part(from_node_id, ':', 2) AS BIGINT) % 11 <> 0"
+
+
+@query("g09_unsupported_nodes", f"WITH e AS (SELECT * FROM {{edge}} WHERE {_ACTIVE}) SELECT node_id FROM {{node}} WHERE NOT EXISTS (SELECT 1 FROM e WHERE from_node_id = node_id OR to_node_id = node_id)", "node", "edge")
 def g09(node: DataFrame, edge: DataFrame) -> DataFrame:
-    return node.join(graph.endpoints(edge), "node_id", "left_anti").select("node_id")
+    return node.join(graph.endpoints(edge.where(_ACTIVE)), "node_id", "left_anti").select("node_id")
 
 
 @query("g10_traversal", f"""WITH {_NB}, d0 AS (SELECT 'person:3' AS node_id), d1 AS (SELECT DISTINCT b AS node_id FROM nb JOIN d0 ON a = node_id), d2 AS (SELECT DISTINCT b AS node_id FROM nb JOIN d1 ON a = node_id)
@@ -117,9 +122,9 @@ def g18(node: DataFrame) -> DataFrame:
     return graph.sense_dominance(node, ["node_type"], floor=2).select("node_id")
 
 
-@query("g24_missing_nodes", "SELECT d.document_id FROM {document} d WHERE NOT EXISTS (SELECT 1 FROM {node} n WHERE n.node_id = 'person:' || d.document_id) AND d.document_state = 'active'", "document", "node")
+@query("g24_missing_nodes", "SELECT d.document_id FROM {document} d WHERE NOT EXISTS (SELECT 1 FROM {node} n WHERE n.node_id = 'person:' || d.document_id AND n.support_count > 0) AND d.document_state = 'active'", "document", "node")
 def g24(document: DataFrame, node: DataFrame) -> DataFrame:
-    known = node.select(F.expr("try_cast(split_part(node_id, ':', 2) AS bigint)").alias("document_id"), "node_type").where("node_type = 'person'")
+    known = node.select(F.expr("try_cast(split_part(node_id, ':', 2) AS bigint)").alias("document_id"), "node_type", "support_count").where("node_type = 'person' AND support_count > 0")
     return document.where("document_state = 'active'").join(known, "document_id", "left_anti").select("document_id")
 
 
@@ -145,3 +150,70 @@ def g13(customer: DataFrame) -> DataFrame:
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     top = customer.withColumn("r", F.row_number().over(w)).where("r <= 3")
     return top.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c_name"))), lambda x: x["c_name"]), ", ").alias("summary"))
+
+
+# ---- candidates merged, and acronyms
+
+_KEY = "trim(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_')".format
+_MERGE = f"""f AS (SELECT chunk_id, document_id, trim(label) AS label, {_KEY('label')} AS k, node_type, alias, summary FROM {{entity_candidate}}),
+   t AS (SELECT chunk_id, k, arg_min(node_type, (CASE node_type WHEN 'document' THEN 2 WHEN 'concept' THEN 1 ELSE 0 END, node_type)) AS type FROM f GROUP BY 1, 2),
+   n AS (SELECT f.*, type || ':' || k AS key FROM f JOIN t USING (chunk_id, k)),
+   g AS (SELECT r.*, coalesce(a.type, 'concept') || ':' || {_KEY('source_label')} AS source_key, coalesce(b.type, 'concept') || ':' || {_KEY('target_label')} AS target_key,
+     CASE WHEN regexp_matches(trim(relation_type), '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') THEN trim(relation_type) ELSE '' END AS relation FROM {{relation_candidate}} r
+     LEFT JOIN t a ON a.chunk_id = r.chunk_id AND a.k = {_KEY('source_label')} LEFT JOIN t b ON b.chunk_id = r.chunk_id AND b.k = {_KEY('target_label')}),
+   ok AS (SELECT * FROM g WHERE relation <> '' AND source_key <> target_key),
+   rows_ AS (SELECT chunk_id, document_id, key, label, alias, summary, 0 AS last FROM n UNION ALL SELECT chunk_id, document_id, source_key, trim(source_label), NULL, NULL, 1 FROM ok
+     UNION ALL SELECT chunk_id, document_id, target_key, trim(target_label), NULL, NULL, 1 FROM ok UNION ALL SELECT chunk_id, document_id, 'document:' || document_id, document_id::VARCHAR, NULL, NULL, 0 FROM n),
+   each_ AS (SELECT chunk_id, document_id, 'document:' || document_id AS source_key, 'mentions' AS relation, key AS target_key, NULL AS summary FROM n UNION ALL SELECT chunk_id, document_id, source_key, relation, target_key, summary FROM ok)"""
+
+
+@query("g04_merged_nodes", f"""WITH {_MERGE}, a AS (SELECT key, string_agg(DISTINCT x, '|' ORDER BY x) AS aliases FROM (SELECT key, label AS x FROM rows_ UNION ALL SELECT key, alias FROM rows_) WHERE x <> '' GROUP BY 1)
+   SELECT {uuid5_sql("'node|' || key")} AS node_id, key AS canonical_key, arg_min(label, (last, chunk_id, label)) AS label, split_part(key, ':', 1) AS node_type, any_value(aliases) AS aliases,
+   arg_min(summary, (chunk_id, summary)) FILTER (WHERE summary IS NOT NULL) AS summary, count(DISTINCT chunk_id) AS support_count FROM rows_ JOIN a USING (key) GROUP BY key""", "entity_candidate", "relation_candidate")
+def g04_nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    nodes = merge.merge_candidates(entities, relations).nodes
+    return nodes.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("g04_merged_edges", f"""WITH {_MERGE}, k AS (SELECT *, source_key || '--' || relation || '--' || target_key AS key FROM each_)
+   SELECT {uuid5_sql("'edge|' || key")} AS edge_id, key AS canonical_key, {uuid5_sql("'node|' || source_key")} AS from_node_id, {uuid5_sql("'node|' || target_key")} AS to_node_id, relation AS relation_type,
+   arg_min(summary, (chunk_id, summary)) FILTER (WHERE summary IS NOT NULL) AS summary, count(DISTINCT chunk_id) AS support_count FROM k GROUP BY key, source_key, relation, target_key""", "entity_candidate", "relation_candidate")
+def g04_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    return merge.merge_candidates(entities, relations).edges
+
+
+@query("g04_rejected_relations", f"""WITH {_MERGE} SELECT chunk_id, document_id, source_key, target_key, relation_type AS raw_relation_type, CASE WHEN relation = '' THEN 'empty_relation' ELSE 'degenerate_self_loop' END AS reason,
+   {uuid5_sql("'rejected|' || chunk_id || '|' || source_key || '--' || relation_type || '--' || target_key")} AS rejected_id FROM g WHERE relation = '' OR source_key = target_key""", "entity_candidate", "relation_candidate")
+def g04_rejected(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    return merge.merge_candidates(entities, relations).rejected
+
+
+@query("g28_evidence_per_target", f"""WITH {_MERGE}, k AS (SELECT 'node' AS target_kind, key, chunk_id, document_id FROM rows_ UNION SELECT 'edge', source_key || '--' || relation || '--' || target_key, chunk_id, document_id FROM each_)
+   SELECT target_kind, {uuid5_sql("target_kind || '|' || key")} AS target_id, count(*) AS evidence, count(DISTINCT document_id) AS documents FROM k GROUP BY target_kind, key""", "entity_candidate", "relation_candidate")
+def g28(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    evidence = merge.merge_candidates(entities, relations).evidence
+    return evidence.groupBy("target_kind", "target_id").agg(F.count("*").alias("evidence"), F.count_distinct("document_id").alias("documents"))
+
+
+@query("g20_acronym_aliases", """SELECT 'artifact:' || p_partkey AS node_id, upper(substr(split_part(p_name, ' ', 1), 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS alias FROM {part} WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+$') AND p_partkey % 5 <> 0
+   UNION ALL SELECT 'short:' || p_partkey, p_name FROM {part} WHERE regexp_matches(p_name, '^[a-z]+ [a-z]+$') AND p_partkey % 5 <> 0""", "part")
+def g20(part: DataFrame) -> DataFrame:
+    """Parts and their short forms: a chunk of each part glosses its name, every fifth with other letters."""
+    named = part.where(F.col("p_name").rlike("^[a-z]+ [a-z]+$"))
+    short = F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1)))
+    told = F.when(F.col("p_partkey") % 5 == 0, F.lit("XQ")).otherwise(short)
+    chunks = named.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.lit("Of all (some) parts the "), F.col("p_name"), F.lit(" ( "), told, F.lit(" ) is of type "), F.col("p_type")).alias("text"))
+    of = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("p_partkey").cast("string")).alias("node_id")
+    nodes = named.select(of("artifact"), F.initcap("p_name").alias("label")).unionByName(named.select(of("short"), short.alias("label")))
+    evidence = named.select(of("artifact"), F.col("p_partkey").alias("chunk_id")).unionByName(named.select(of("short"), F.col("p_partkey").alias("chunk_id")))
+    return merge.acronym_aliases(merge.gloss_table(chunks), nodes, evidence)
+
+
+@query("g21_acronym_terms", """WITH w AS (SELECT p_partkey, string_split(lower(p_type) || ' ' || p_name, ' ') AS w FROM {part} WHERE regexp_matches(lower(p_type) || ' ' || p_name, '^[a-z]{2,}( [a-z]{2,})*$')), d AS (SELECT p_partkey, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM w),
+   t AS (SELECT p_partkey, unnest(range(1, len(w) + 1)) AS i, w FROM d), n AS (SELECT p_partkey, w, i, unnest([2, 3, 4]) AS n FROM t)
+   SELECT p_partkey, string_agg(DISTINCT a, ',' ORDER BY a) AS terms FROM (SELECT p_partkey, list_aggregate(list_transform(w[i:i + n - 1], lambda x: x[1]), 'string_agg', '') AS a FROM n WHERE i + n - 1 <= len(w)) GROUP BY 1""", "part")
+def g21(part: DataFrame) -> DataFrame:
+    label = F.concat_ws(" ", F.lower("p_type"), "p_name")
+    plain = part.where(label.rlike("^[a-z]{2,}( [a-z]{2,})*$"))
+    found = plain.select("p_partkey", F.array_join(merge.acronym_terms(label), ",").alias("terms"))
+    return found.where("terms <> ''")

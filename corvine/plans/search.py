@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins, ranking, search
+from ..operators import claims, filters, joins, ranking, search
 from ..registry import query
 from ..tables import load
 
@@ -59,7 +59,8 @@ def l02(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Exact terms, then prefixes of all terms of four characters or more, then of any."""
     post, terms = _postings(documents), _questions(benchmark)
     longer = terms.where(F.length("token") >= 4)
-    passes = [search.lexical_lane(post, terms, "doc_id"), *[search.prefix_lane(post, longer, "doc_id", m) for m in ("all", "any")]]
+    found = search.term_hits(post, terms, "doc_id", prefixes=True)
+    passes = [search.lexical_lane(found, terms, "doc_id"), *[search.prefix_lane(found, longer, "doc_id", m) for m in ("all", "any")]]
     return search.ladder([p.select("query_id", "doc_id") for p in passes], "doc_id").select("query_id", "doc_id", "pass")
 
 
@@ -220,14 +221,37 @@ def r25(customer: DataFrame) -> DataFrame:
 
 
 @query("r28_answer_verification", """WITH n AS (SELECT greatest(count(*), 1) AS n FROM {benchmark}), l AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS literal FROM {benchmark}),
-  e AS (SELECT doc_id % n AS query_id, text AS evidence FROM {documents}, n), c AS (SELECT l.query_id, literal, coalesce(bool_or(contains(lower(evidence), literal)), false) AS ok FROM l LEFT JOIN e USING (query_id) GROUP BY 1, 2)
-  SELECT query_id, count(*) AS literals, count(*) FILTER (WHERE ok) AS supported, CASE WHEN count(*) FILTER (WHERE ok) = count(*) THEN 'verified' WHEN count(*) FILTER (WHERE ok) > 0 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS state FROM c GROUP BY 1""", "benchmark", "documents")
-def r28(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
-    """All documents are evidence, dealt over all questions."""
-    literals = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("literal"))
+  e AS (SELECT doc_id % n AS query_id, doc_id, lower(text) AS evidence FROM {documents}, n), c AS (SELECT l.query_id, literal, coalesce(bool_or(contains(evidence, literal)), false) AS ok FROM l LEFT JOIN e USING (query_id) GROUP BY 1, 2),
+  v AS (SELECT DISTINCT item_id AS query_id FROM {benchmark} b JOIN e ON e.query_id = b.item_id AND contains(evidence, lower(b.text))), f AS (SELECT query_id FROM e JOIN {labels} USING (doc_id) GROUP BY 1 HAVING min(quality) < max(quality)),
+  k AS (SELECT query_id, count(literal) AS literals, count(*) FILTER (WHERE ok) AS supported FROM (SELECT DISTINCT item_id AS query_id FROM {benchmark}) LEFT JOIN c USING (query_id) GROUP BY 1)
+  SELECT query_id, literals, supported, CASE WHEN supported < literals THEN 'insufficient_evidence' WHEN query_id IN (SELECT query_id FROM f) THEN 'conflicting' WHEN query_id IN (SELECT query_id FROM v) THEN 'verified'
+   WHEN supported > 0 THEN 'partially_supported' ELSE 'not_run' END AS state FROM k""", "benchmark", "documents", "labels")
+def r28(benchmark: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """All documents are evidence, dealt over all questions; evidence whose labels disagree is conflicting."""
+    answers = benchmark.select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
+    literals = answers.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("literal"))
     number = benchmark.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    evidence = documents.join(number).select((F.col("doc_id") % F.col("n")).alias("query_id"), F.col("text").alias("evidence"))
-    return search.verification_state(search.grounded(literals, evidence))
+    evidence = documents.join(number).select("doc_id", (F.col("doc_id") % F.col("n")).alias("query_id"), F.col("text").alias("evidence"))
+    verbatim = search.grounded(answers.select("query_id", F.col("text").alias("literal")), evidence).where("supported")
+    opinions = evidence.join(labels.select("doc_id", "quality"), "doc_id").groupBy("query_id").agg(F.min("quality").alias("a"), F.max("quality").alias("b"))
+    return claims.verification_states(answers, search.grounded(literals, evidence), verbatim, opinions.where("a < b"))
+
+
+def answers(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: every document as an answer that states its facts in code, lists and numbers, before its own text."""
+    n = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    lines = [
+        F.concat(F.lit("1. Set `n_chars="), s(F.col("n_chars")), F.lit("` in `"), F.col("lang"), F.lit("` since 20"), F.lpad(s(n % 30), 2, "0"), F.lit("-"), F.lpad(s(n % 14), 2, "0"), F.lit("-11.")),
+        F.concat(F.lit("2) Version v"), s(n % 4), F.lit("."), s(n % 13), F.lit(".0-rc."), s(n % 3), F.lit(" or V"), s(n % 7), F.lit("; port:80"), s(n % 90 + 10), F.lit(", at 12:30, "), s(n % 100), F.lit("% of a"), s(n), F.lit(" x=-"), s(n % 9), F.lit("/")),
+        F.concat(F.lit("```sh\nrun --id "), s(n), F.lit("\n\n  stop\r\n```")),
+    ]
+    return documents.select("doc_id", F.concat_ws("\n", *lines, "text").alias("text"))
+
+
+@query("r29_answer_claims", None, "documents")
+def r29(documents: DataFrame) -> DataFrame:
+    return claims.claims(answers(documents), "doc_id", "text")
 
 
 @query("r32_best_score_per_chunk", "SELECT l_partkey, max(l_extendedprice) AS score, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS l_orderkey FROM {lineitem} GROUP BY 1", "lineitem")

@@ -66,6 +66,20 @@ CANONICAL = {
         SELECT DISTINCT concat('person:', CAST(o_custkey AS VARCHAR(20))) AS from_node_id, concat('artifact:', CAST(l_partkey AS VARCHAR(20))) AS to_node_id, 'bought' AS relation_type
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
         UNION ALL SELECT concat('person:', CAST(c_custkey AS VARCHAR(20))), concat('location:', CAST(c_nationkey AS VARCHAR(20))), 'lives_in' FROM {customer}""",
+    # what was found in chunks (orders) of documents (customers): entities, and relations between labels
+    "entity_candidate": """
+        SELECT o_orderkey AS chunk_id, o_custkey AS document_id, concat(' ', p_name) AS label, CASE WHEN l_linenumber % 3 = 0 THEN 'concept' ELSE 'artifact' END AS node_type,
+               CASE WHEN l_linenumber % 2 = 0 THEN p_brand ELSE NULL END AS alias, CASE WHEN l_linenumber % 4 = 1 THEN p_type ELSE NULL END AS summary
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey
+        UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE upper(c_name) END, 'person', CAST(NULL AS VARCHAR(20)), c_mktsegment
+        FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
+    "relation_candidate": """
+        SELECT o_orderkey AS chunk_id, o_custkey AS document_id, c_name AS source_label, p_name AS target_label,
+               CASE l_linenumber % 4 WHEN 0 THEN 'bought' WHEN 1 THEN ' received ' WHEN 2 THEN 'Has Bought' ELSE '' END AS relation_type,
+               CASE WHEN l_linenumber % 2 = 0 THEN concat('line ', CAST(l_linenumber AS VARCHAR(20))) ELSE NULL END AS summary
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey JOIN {customer} ON c_custkey = o_custkey
+        UNION ALL SELECT o_orderkey, o_custkey, c_name, concat(c_name, '!'), 'same_as', CAST(NULL AS VARCHAR(20)) FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+        UNION ALL SELECT o_orderkey, o_custkey, c_name, n_name, 'lives_in', 'home' FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey""",
     # queue of jobs: events as jobs, their users as workspaces
     "job": """
         SELECT event_id AS job_id, user_id % 20 AS workspace_id, user_id AS library_id, ts AS queued_at,

@@ -25,6 +25,14 @@ def test_engine_graph(spark):
     assert [r.node_id for r in engine.entities("be").collect()] == ["b"]
 
 
+def test_engine_verifies_answers(spark):
+    engine = Engine(spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
+    evidence = spark.createDataFrame([(1, "Set `port=8080` in version v1.2.0."), (2, "All of it holds.")], "doc_id int, text string")
+    state = lambda answer, *literals: engine.verify(answer, evidence, literals).first().state
+    assert state("all of it holds.") == "verified" and state("It is v1.2.0") == "partially_supported" and state("It is v1.3.0") == "insufficient_evidence"
+    assert state("Nothing to check") == "not_run" and state("Nothing to check", "holds") == "partially_supported" and state("Use `port=8080`", "absent") == "insufficient_evidence"
+
+
 def test_entry_points_need_no_session():
     import subprocess
     import sys
