@@ -102,11 +102,11 @@ class Engine:
     def communities(self) -> DataFrame:
         return graph.label_propagation(self.edges)
 
-    def verify(self, answer: str, evidence: DataFrame, literals: Sequence[str] = ()) -> DataFrame:
-        """``(literals, supported, state)`` of an answer: its claims and ``literals`` must occur in ``evidence`` (doc_id, text)."""
+    def verify(self, question: Question, evidence: DataFrame, answer: str = "") -> DataFrame:
+        """``(literals, supported, state)`` of an answer: its claims and the question's literals must occur in ``evidence`` (doc_id, text)."""
         spark = self.documents.sparkSession
         told = spark.createDataFrame([(0, answer)], "query_id int, text string")
-        given = spark.createDataFrame([(0, x) for x in literals], "query_id int, literal string")
+        given = spark.createDataFrame([(0, x) for x in question.literals], "query_id int, literal string")
         texts = evidence.select(F.lit(0).alias("query_id"), F.col("text").alias("evidence"))
         every = claims.claims(told, "query_id", "text").select("query_id", "literal").unionByName(given).distinct()
         verbatim = search.grounded(told.select("query_id", F.trim("text").alias("literal")).where("literal <> ''"), texts).where("supported")

@@ -7,13 +7,14 @@ meet all rows in one pass; the best rows are kept per task before anything is sh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rows import flat_map
 from .ranking import top_per_group
 
 #: Added to the rank in reciprocal rank fusion, and the score from which a hit is an identity. Fixed values.
@@ -185,6 +186,36 @@ def excerpt(text: Column, term: Column, before: int = 80, after: int = 200) -> C
     return F.substring(text, start, F.lit(before + after))
 
 
+def _cut(text: str, most: int) -> str:
+    return text if len(text) <= most else text[:most] + "..."
+
+
+def focused_lines(text: str, keywords: Sequence[str], most: int) -> str:
+    """The line with most characters of keywords and its neighbours, up to five or the budget; without a hit the text's start."""
+    lines = [x for x in map(str.strip, text.strip().splitlines()) if x]
+    wanted = [k.strip().lower() for k in keywords if len(k.strip()) >= 3]
+    score = [sum(min(24, len(k)) for k in wanted if k in x.lower()) for x in lines]
+    if not any(score):
+        return _cut(text.strip(), most) if lines else ""
+    at = score.index(max(score))
+    for radius in range(len(lines)):
+        shown = lines[max(0, at - radius) : at + radius + 1]
+        joined = " ".join(shown)
+        if len(joined) >= most or len(shown) >= 5 or len(shown) == len(lines):
+            break
+    return _cut(joined, most)
+
+
+def focused_excerpts(df: DataFrame, keywords: Column, most: int = 280, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, excerpt)`` of every text for the keywords in its row; null texts give an empty one."""
+
+    def run(key: object, text: str | None, wanted: list[str] | None) -> Iterator[tuple]:
+        yield key, focused_lines(text or "", wanted or [], most)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return flat_map(df.select(id_col, text_col, keywords.alias("keywords")), run, f"`{id_col}` {kind}, excerpt string")
+
+
 def within_budget(df: DataFrame, line: Column, order: Sequence[str], budget: int = 22_000, extra: int = 11, group: Sequence[str] = ()) -> DataFrame:
     """Lines in order until the first one that would overflow; each costs its bytes and ``extra``."""
     w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, ranking
+from ..operators import aggregates, ranking, records, summaries
 from ..registry import query
 
 
@@ -358,3 +358,32 @@ def k04(part: DataFrame) -> DataFrame:
     seen = part.groupBy("p_brand", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_seen"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "name"))), lambda x: x["name"])
     return seen.groupBy("p_brand").agg(F.array_join(ordered, "|").alias("aliases"))
+
+
+_SUMMED = f"""l AS ({_LONG}), c AS (SELECT column_name, value, count(*) AS n, try_cast(replace(replace(value, ' ', ''), ',', '.') AS DOUBLE) AS x FROM l GROUP BY 1, 2),
+  s AS (SELECT column_name, sum(n)::BIGINT AS row_count, count(*) AS distinct_count, coalesce(sum(n) FILTER (WHERE x IS NOT NULL), 0)::BIGINT AS numeric_count, max(n) AS top, count(*) FILTER (WHERE NOT regexp_matches(value, ' ') AND regexp_matches(value, '[0-9]')) AS odd,
+    sum(n) FILTER (WHERE NOT contains(value, ' ') AND regexp_matches(value, '[0-9]')) AS ids, sum(n) FILTER (WHERE len(string_split(value, ' ')) >= 6 OR length(value) >= 48) AS long FROM c GROUP BY 1),
+  m AS (SELECT column_name, count(*) AS ties FROM c JOIN s USING (column_name) WHERE n = top GROUP BY 1),
+  p AS (SELECT column_name, row_count, distinct_count, top, ties, numeric_count >= 2 AND numeric_count >= 0.8 * row_count AS num, CASE WHEN coalesce(ids, 0) >= 0.6 * row_count THEN 'identifier' WHEN coalesce(long, 0) >= 0.6 * row_count THEN 'narrative' ELSE 'label' END AS shape FROM s JOIN m USING (column_name)),
+  f AS (SELECT *, CASE WHEN num THEN 3 WHEN shape = 'identifier' THEN 0 WHEN shape = 'narrative' THEN (top > 1 AND distinct_count < row_count)::INT WHEN top > 1 THEN 3 WHEN distinct_count = row_count THEN 2 ELSE 1 END AS priority FROM p)"""
+
+
+@query("a21_summary_round_trip", f"""WITH {_SUMMED} SELECT column_name, CASE WHEN num THEN 'numeric' ELSE 'categorical' END AS value_kind, shape, priority, row_count, distinct_count, CASE WHEN num THEN 0 ELSE top END AS mode_count, CASE WHEN num THEN 0 ELSE ties END AS mode_ties, 'part' AS sheet FROM f""", "part")
+def a21(part: DataFrame) -> DataFrame:
+    """Lines of text from the columns' summaries, read back."""
+    lines = summaries.summaries(part, _PROFILED, sheet="part").select(summaries.render().alias("line"))
+    return lines.select(summaries.parse(F.col("line")).alias("s")).select("s.column_name", "s.value_kind", "s.shape", "s.priority", "s.row_count", "s.distinct_count", "s.mode_count", "s.mode_ties", "s.sheet")
+
+
+@query("p12_graph_roles", f"""WITH {_SUMMED} SELECT replace(column_name, '_', ' ') AS key, NOT num AND shape = 'label' AND distinct_count * 5 >= row_count * 4 AS subject, NOT num AND shape <> 'identifier' AND top > 1 AS attribute FROM f""", "part")
+def p12(part: DataFrame) -> DataFrame:
+    return summaries.graph_roles(summaries.summaries(part, _PROFILED))
+
+
+@query("p12_graph_rows", f"""WITH {_SUMMED}, r AS (SELECT bool_or(column_name = 'p_name' AND NOT num AND shape <> 'identifier' AND top > 1) AS a, bool_or(column_name = 'p_brand' AND NOT num AND shape <> 'identifier' AND top > 1) AS b, bool_or(column_name = 'p_type' AND NOT num AND shape <> 'identifier' AND top > 1) AS c FROM f)
+  SELECT p_partkey, nullif(concat_ws(' | ', CASE WHEN a THEN 'p_name: ' || p_name END, CASE WHEN b THEN 'p_brand: ' || p_brand END, CASE WHEN c THEN 'p_type: ' || p_type END), '') AS text FROM {{part}}, r""", "part")
+def p12_rows(part: DataFrame) -> DataFrame:
+    """Rows as text; the roles of a table's columns are one small row beside each."""
+    roles = summaries.graph_roles(summaries.summaries(part, _PROFILED)).agg(F.array_sort(F.collect_list(F.struct("key", "subject", "attribute"))).alias("roles"))
+    rows = part.select("p_partkey", records.semantic_row("part", F.col("p_partkey"), _PROFILED).alias("row"))
+    return rows.join(F.broadcast(roles)).select("p_partkey", summaries.graph_row(F.col("row"), F.col("roles")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import claims, filters, joins, ranking, search
+from ..operators import blocks, claims, filters, joins, metadata, ranking, search
 from ..registry import query
 from ..tables import load
 
@@ -273,3 +273,60 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = terms.groupBy("query_id").agg(F.min("token").alias("term"))
     shown = best.join(documents.select("doc_id", "text"), "doc_id").join(first, "query_id", "left")
     return shown.select("query_id", "place", "doc_id", F.round("score", 9).alias("score"), "lanes", search.excerpt(F.col("text"), F.coalesce("term", F.lit(""))).alias("excerpt"))
+
+
+# ---- titles, versions, topics and excerpts
+
+_NAMED = """d AS (SELECT document_id, library_id, concat(title, CASE WHEN document_id % 3 = 0 THEN concat(' v', document_id % 4, '.', document_id % 7, '.', document_id % 2) ELSE '' END) AS title,
+  concat(lower(library_id), '/', lang, '-', document_id % 3, '.', document_id % 5, '.md') AS key FROM {document} WHERE document_state = 'active' AND readable_revision_id IS NOT NULL)"""
+_ASKED = """q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN concat('Doc web part ', item_id % 40) WHEN 1 THEN concat(' "part" ', item_id % 40, ', v', item_id % 3, '.', item_id % 5, ' doc') WHEN 2 THEN concat('1.', item_id % 7, '.0') ELSE '' END AS query FROM {benchmark})"""
+
+
+def _named(document: DataFrame) -> DataFrame:
+    return document.sparkSession.sql(f"WITH {_NAMED} SELECT * FROM d", document=document)
+
+
+@query("l11_metadata_search", rf"""WITH {_NAMED}, {_ASKED}, l AS (SELECT query_id, lower(trim(query)) AS low FROM q WHERE trim(query) <> ''),
+  w AS (SELECT query_id, low, list_filter(list_transform(regexp_split_to_array(low, '\s+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}._/-]+|[^\p{{L}}\p{{N}}._/-]+$', '', 'g')), lambda x: length(x) >= 2) AS words FROM l),
+  g AS (SELECT query_id, low, list_filter(list_prepend(low, words), lambda x, i: list_position(list_prepend(low, words), x) = i)[1:8] AS generic, list_distinct(regexp_extract_all(low, '[0-9]+(?:\.[0-9]+)+')) AS found FROM w),
+  t AS (SELECT query_id, generic, list_filter(found, lambda v: len(string_split(v, '.')) BETWEEN 2 AND 4 AND (len(string_split(v, '.')) > 2 OR len(list_filter(regexp_split_to_array(low, '[^\p{{L}}\p{{N}}_/-]+'), lambda x: length(x) >= 2 AND regexp_matches(x, '\p{{L}}'))) > 0)) AS version FROM g),
+  s AS (SELECT query_id, document_id, title, key, list_contains(generic, lower(title)) AS et, list_contains(generic, lower(key)) AS ek, len(list_filter(version, lambda v: contains(lower(title), v))) AS vt, len(list_filter(version, lambda v: contains(lower(key), v))) AS vk,
+    len(list_filter(generic, lambda v: contains(lower(title), v))) AS pt, len(list_filter(generic, lambda v: contains(lower(key), v))) AS pk, regexp_extract(title, '([0-9]+)\.([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?', ['a', 'b', 'c', 'e']) AS p FROM d, t),
+  r AS (SELECT query_id, document_id, CASE WHEN et THEN 1400 WHEN ek THEN 1380 WHEN vt > 0 THEN 1320 WHEN vk > 0 THEN 1280 WHEN pt > 0 THEN 70 + 80 * least(pt, 4) ELSE 65 + 75 * least(pk, 4) END::DOUBLE AS score,
+    CASE WHEN et THEN title WHEN ek THEN key WHEN vt > 0 THEN title WHEN vk > 0 THEN key WHEN pt > 0 THEN title ELSE key END AS matched, coalesce(try_cast(p.a AS BIGINT), -1) AS a, coalesce(try_cast(p.b AS BIGINT), -1) AS b, coalesce(try_cast(p.c AS BIGINT), -1) AS c, coalesce(try_cast(p.e AS BIGINT), -1) AS e
+    FROM s WHERE et OR ek OR vt + vk + pt + pk > 0)
+  SELECT query_id, document_id, score, matched, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, a DESC, b DESC, c DESC, e DESC, document_id DESC) AS rank FROM r) WHERE rank <= 20""", "document", "benchmark")
+def l11(document: DataFrame, benchmark: DataFrame) -> DataFrame:
+    questions = benchmark.sparkSession.sql(f"WITH {_ASKED} SELECT * FROM q", benchmark=benchmark)
+    return metadata.metadata_search(_named(document), questions)
+
+
+@query("r18_latest_versions", f"""WITH {_NAMED}, v AS (SELECT *, regexp_extract(title, ' v([0-9.]+)$', 1) AS version FROM d WHERE document_id % 3 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY split_part(version, '.', 1)::INT DESC, split_part(version, '.', 2)::INT DESC, split_part(version, '.', 3)::INT DESC, document_id) AS document_rank FROM v),
+  c AS (SELECT doc_id, i AS chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {{documents}}) WHERE trim(t, ' ') <> '')
+  SELECT library_id, document_id, version, document_rank::INTEGER AS document_rank, chunk_index, (100 + greatest(5 - r, 1) * 10 - (document_rank - 1))::DOUBLE AS score FROM k JOIN c ON doc_id = document_id WHERE document_rank <= 10 AND r <= 4""", "document", "documents")
+def r18(document: DataFrame, documents: DataFrame) -> DataFrame:
+    chunks = blocks.line_chunks(documents).select(F.col("doc_id").alias("document_id"), "chunk_index")
+    return metadata.latest_versions(_named(document), chunks, ["library_id"], count=10, floor=100.0)
+
+
+_TOPICS = """h AS (SELECT document_id % 50 AS query_id, document_id, concat(CASE document_id % 5 WHEN 0 THEN 'Workflow' WHEN 1 THEN 'workflows' WHEN 2 THEN 'Network' ELSE 'General' END, ' guide ', document_id % 50) AS title, CASE WHEN document_id % 17 = 0 THEN 0.95 ELSE 0.01 END::DOUBLE AS score FROM {document}),
+  q AS (SELECT document_id AS query_id, CASE document_id % 3 WHEN 0 THEN 'Which workflaw guide?' WHEN 1 THEN 'general networt guides' ELSE concat('guide ', document_id) END AS query FROM {document} WHERE document_id < 50)"""
+
+
+@query("r12_topic_pruning", f"""WITH {_TOPICS}, t AS (SELECT query_id, document_id, unnest(list_distinct(regexp_split_to_array(lower(title), '[^a-z0-9]+'))) AS w FROM h), a AS (SELECT query_id, unnest(list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+'))) AS q FROM q),
+  n AS (SELECT DISTINCT query_id, q, document_id FROM a JOIN t USING (query_id) WHERE length(q) >= 2 AND length(w) >= 2 AND (q = w OR (length(q) >= 5 AND length(w) >= 5 AND q[1] = w[1] AND levenshtein(q, w) <= 1))),
+  c AS (SELECT query_id, count(DISTINCT document_id) AS n FROM h GROUP BY 1), k AS (SELECT query_id, q FROM n GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) < (SELECT any_value(c.n) FROM c WHERE c.query_id = n.query_id) AND (SELECT any_value(c.n) FROM c WHERE c.query_id = n.query_id) >= 3)
+  SELECT query_id, document_id, title, score FROM h WHERE query_id NOT IN (SELECT query_id FROM k) OR score >= 0.9 OR EXISTS (SELECT 1 FROM n JOIN k USING (query_id, q) WHERE n.query_id = h.query_id AND n.document_id = h.document_id)""", "document")
+def r12(document: DataFrame) -> DataFrame:
+    hits, questions = (document.sparkSession.sql(f"WITH {_TOPICS} SELECT * FROM {t}".replace("0.95 ELSE 0.01 END::DOUBLE", "CAST(0.95 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END"), document=document) for t in "hq")
+    return metadata.prune_topic(hits, questions)
+
+
+@query("l19_focused_excerpt", None, "documents", "benchmark")
+def l19(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every document for the words of the question that it is dealt to."""
+    number = benchmark.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    words = benchmark.select(F.col("item_id").alias("q"), F.split("text", " ").alias("keywords"))
+    dealt = documents.join(number).withColumn("q", F.col("doc_id") % F.col("n")).join(words, "q", "left")
+    return search.focused_excerpts(dealt, F.col("keywords"), 280)

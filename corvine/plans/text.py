@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import blocks, records
+from ..operators import blocks, ranking, records
 from ..registry import query
 
 _LINES = """l AS (SELECT doc_id, i AS chunk_index, content_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {documents})
@@ -145,4 +145,5 @@ def f15(part: DataFrame) -> DataFrame:
     a, b, c = F.col("p_size") % 4, F.col("p_partkey") % 13, F.col("p_size") % 11
     v = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(".", s(a), s(b))).otherwise(F.concat_ws(".", s(a), s(b), s(c)))
     versions = part.select(v.alias("v")).distinct().withColumn("k", fn.version_parts(F.col("v")))
-    return versions.select("v", F.row_number().over(Window.orderBy(F.desc("k"), "v")).cast("bigint").alias("place"))
+    # the first number deals versions into ranges
+    return ranking.global_position(versions, [F.desc("k"), F.col("v")], -F.get("k", F.lit(0)), "place").select("v", "place")

@@ -12,7 +12,7 @@ def test_engine(spark):
     assert engine.search("nothing").collect()[0].doc_id in (1, 3)
     assert Engine(docs).search("...").count() == 0
     state = engine.verify(Question("q", literals=("apples", "kiwis")), docs).first()
-    assert (state.literals, state.supported, state.state) == (2, 1, "partially_supported")
+    assert (state.literals, state.supported, state.state) == (2, 1, "insufficient_evidence")
     assert Question("x", top_k=50).candidates() == 96 and Question("x", mode="local").candidates() == 10
 
 
@@ -28,7 +28,7 @@ def test_engine_graph(spark):
 def test_engine_verifies_answers(spark):
     engine = Engine(spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
     evidence = spark.createDataFrame([(1, "Set `port=8080` in version v1.2.0."), (2, "All of it holds.")], "doc_id int, text string")
-    state = lambda answer, *literals: engine.verify(answer, evidence, literals).first().state
+    state = lambda answer, *literals: engine.verify(Question("q", literals=literals), evidence, answer).first().state
     assert state("all of it holds.") == "verified" and state("It is v1.2.0") == "partially_supported" and state("It is v1.3.0") == "insufficient_evidence"
     assert state("Nothing to check") == "not_run" and state("Nothing to check", "holds") == "partially_supported" and state("Use `port=8080`", "absent") == "insufficient_evidence"
 
