@@ -173,6 +173,20 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Elements of an array that one fold's state gathers.
+FOLD = 256
+
+
+def _named(value: str, name: str, then: str) -> str:
+    """``then`` with ``value`` under a name, so that it is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _blocks(items: str) -> str:
+    """An array in blocks of ``FOLD``; an empty one has one empty block."""
+    return _named(items, "all_", f"transform(sequence(0, greatest(size(all_) - 1, 0) div {FOLD}), i_ -> slice(all_, CAST(i_ * {FOLD} + 1 AS INT), {FOLD}))")
+
+
 def _detections(text: str) -> Column:
     """Every match of every rule in a column of words joined by blanks, as places of characters."""
     table = ",".join(
@@ -181,8 +195,11 @@ def _detections(text: str) -> Column:
     # a match starts where the text between matches, and the matches, before it end: one running sum
     gaps, sizes = f"transform(split({text}, r.x, -1), g -> length(g))", f"transform(regexp_extract_all({text}, r.x, 0), m -> length(m))"
     cut = f"zip_with({gaps}, {sizes}, (g, n) -> named_struct('gap', g, 'n', n))"
-    # a fold's state is copied at each step, so it holds numbers only
-    starts = f"aggregate({cut}, named_struct('at', 0, 'all', CAST(array() AS array<int>)), (acc, e) -> named_struct('at', acc.at + e.gap + coalesce(e.n, 0), 'all', concat(acc.all, array(acc.at + e.gap))), acc -> acc.all)"
+    # a fold's state is copied at each step: it grows within a block only, and blocks begin where those before them end
+    sums = "transform(w, b -> aggregate(b, 0, (s, e) -> s + e.gap + coalesce(e.n, 0)))"
+    offsets = f"aggregate({sums}, named_struct('at', 0, 'all', CAST(array() AS array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'all', concat(acc.all, array(acc.at))), acc -> acc.all)"
+    inner = "aggregate(b, named_struct('at', o, 'all', CAST(array() AS array<int>)), (acc, e) -> named_struct('at', acc.at + e.gap + coalesce(e.n, 0), 'all', concat(acc.all, array(acc.at + e.gap))), acc -> acc.all)"
+    starts = _named(_blocks(cut), "w", f"flatten(zip_with(w, {offsets}, (b, o) -> {inner}))")
     placed = f"zip_with({starts}, {sizes}, (s, n) -> named_struct('start', s, 'n', n))"
     return F.expr(
         f"flatten(transform(filter(array({table}), r -> exists(r.k, k -> contains({text}, k)) AND {text} RLIKE r.x), r -> "
@@ -200,18 +217,20 @@ def _sorted(found: str) -> Column:
 def _settled(found: str) -> Column:
     """Suppress detections of a sorted list that lie within others or lose an overlap: one walk that compares with the last one kept.
 
-    The walk's state is the last one's place, end and priority, and the places of those before it that stay.
+    The walk's state is the last one's place, end and priority, and the places of those before it that stay, gathered block by block.
     """
     last = "named_struct('at', i.at, 'stop', i.stop, 'priority', i.priority, 'kept', {})"
-    return F.expr(
-        f"""transform(aggregate(transform({found}, (d, at) -> named_struct('at', at, 'start', d.start, 'stop', d.stop, 'priority', d.priority)),
-          named_struct('at', -1, 'stop', 0, 'priority', 0, 'kept', CAST(array() AS array<int>)),
+    walk = f"""aggregate(b, named_struct('at', acc.at, 'stop', acc.stop, 'priority', acc.priority, 'kept', CAST(array() AS array<int>)),
           (acc, i) -> CASE
             WHEN acc.at < 0 THEN {last.format('acc.kept')}
             WHEN i.start >= acc.stop THEN {last.format('concat(acc.kept, array(acc.at))')}
             WHEN i.stop <= acc.stop OR acc.priority < i.priority THEN acc
-            ELSE {last.format('acc.kept')} END,
-          acc -> CASE WHEN acc.at < 0 THEN acc.kept ELSE concat(acc.kept, array(acc.at)) END), at -> element_at({found}, at + 1))"""
+            ELSE {last.format('acc.kept')} END)"""
+    step = _named(walk, "r", "named_struct('at', r.at, 'stop', r.stop, 'priority', r.priority, 'kept', concat(acc.kept, array(r.kept)))")
+    items = f"transform({found}, (d, at) -> named_struct('at', at, 'start', d.start, 'stop', d.stop, 'priority', d.priority))"
+    return F.expr(
+        f"""transform(aggregate({_blocks(items)}, named_struct('at', -1, 'stop', 0, 'priority', 0, 'kept', CAST(array() AS array<array<int>>)), (acc, b) -> {step},
+          acc -> CASE WHEN acc.at < 0 THEN flatten(acc.kept) ELSE concat(flatten(acc.kept), array(acc.at)) END), at -> element_at({found}, at + 1))"""
     ).cast(_FOUND)
 
 

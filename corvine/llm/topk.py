@@ -7,7 +7,8 @@ score, and the score is the sum over the slices.
    the ``k``-th best of these, ``t``, is a safe cutoff: the true ``k``-th score is no less.
 2. ``t / slices`` goes to every slice.  A candidate of score ``t`` or more has a local score
    of at least that in some slice, so all candidates at or over it suffice.
-3. The full scores of those candidates are resolved exactly, and the ``k`` best stay.
+3. The full scores of those candidates are resolved exactly where the block lies, which gives its ``k`` best; the best of all
+   blocks stay.
 
 Queries are a stated part of the rows.  They meet the candidates in blocks: a grid of
 query groups and candidate groups, each of bounded size, dealt out by a hash.
@@ -50,36 +51,57 @@ def _matrix(rows: pd.Series, width: int, dtype: type = np.int64) -> np.ndarray:
     return out
 
 
-def _local(slices: int, k: int | None):
-    """Local scores of one block of queries with one block of candidates in one slice.
+def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    # the product of doubles is exact while sums stay below 2**53
+    exact = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * max(1, left.shape[1]) < 2.0**53
+    return (left.astype(float) @ right.T.astype(float)).astype(np.int64) if exact else left @ right.T
+
+
+def _best(scores: np.ndarray, allowed: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, candidate) of the ``k`` best allowed scores of each row, ties to the smaller id."""
+    q, c = [], []
+    for i in range(len(scores)):
+        keep = np.flatnonzero(allowed[i])
+        if len(keep) > k:
+            least = np.partition(scores[i, keep], len(keep) - k)[len(keep) - k]
+            keep = keep[scores[i, keep] >= least]
+        best = keep[np.lexsort((own[keep], ids[keep], -scores[i, keep]))[:k]]
+        q += [i] * len(best)
+        c += best.tolist()
+    return np.array(q, dtype=int), np.array(c, dtype=int)
 
-    With ``k`` the best ``k`` per query (ties to the smaller id), else all at or over the cutoff.
-    """
+
+def _listed(k: int):
+    """Phase 1 of one block of queries, one of candidates and one slice: the ``k`` best local scores of each query."""
 
     def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"query": [], "candidate": [], "slice": [], "part": []})
         width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])), 1)
+        scores = _scores(_matrix(queries["v"], width), _matrix(candidates["v"], width))
+        asks, own = queries["row"].to_numpy(), candidates["row"].to_numpy()
+        q, c = _best(scores, asks[:, None] != own[None, :], k, candidates["id"].to_numpy(), own)
+        return pd.DataFrame({"query": asks[q], "candidate": own[c], "slice": key[0], "part": scores[q, c]})
+
+    return run
+
+
+def _sufficient(k: int, slices: int, step: int):
+    """Phases 2 and 3 of a block: candidates with a local score of the cutoff's share in some slice, resolved; the ``k`` best of each query."""
+
+    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(candidates):
+            return pd.DataFrame({"query_id": [], "query": [], "id": [], "candidate": [], "score": []})
+        width = slices * step
         left, right = _matrix(queries["v"], width), _matrix(candidates["v"], width)
-        # the product of doubles is exact while sums stay below 2**53
-        exact = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * width < 2.0**53
-        scores = (left.astype(float) @ right.T.astype(float)).astype(np.int64) if exact else left @ right.T
-        ids, own = candidates["id"].to_numpy(), candidates["row"].to_numpy()
-        scores_of_self = queries["row"].to_numpy()[:, None] == own[None, :]
-        if k is None:
-            q, c = np.nonzero((scores * slices >= queries["cutoff"].to_numpy()[:, None]) & ~scores_of_self)
-        else:
-            q, c = [], []
-            for i in range(len(scores)):
-                keep = np.flatnonzero(~scores_of_self[i])
-                if len(keep) > k:
-                    least = np.partition(scores[i, keep], len(keep) - k)[len(keep) - k]
-                    keep = keep[scores[i, keep] >= least]
-                best = keep[np.lexsort((own[keep], ids[keep], -scores[i, keep]))[:k]]
-                q += [i] * len(best)
-                c += best.tolist()
-            q, c = np.array(q, dtype=int), np.array(c, dtype=int)
-        return pd.DataFrame({"query": queries["row"].to_numpy()[q], "candidate": own[c], "slice": key[0], "part": scores[q, c]})
+        asks, own, ids = queries["row"].to_numpy(), candidates["row"].to_numpy(), candidates["id"].to_numpy()
+        total, enough = np.zeros((len(left), len(right)), dtype=np.int64), np.zeros((len(left), len(right)), dtype=bool)
+        for s in range(slices):
+            part = _scores(left[:, s * step : (s + 1) * step], right[:, s * step : (s + 1) * step])
+            enough |= part * slices >= queries["cutoff"].to_numpy()[:, None]
+            total += part
+        q, c = _best(total, enough & (asks[:, None] != own[None, :]), k, ids, own)
+        return pd.DataFrame({"query_id": queries["id"].to_numpy()[q], "query": asks[q], "id": ids[c], "candidate": own[c], "score": total[q, c]})
 
     return run
 
@@ -103,38 +125,35 @@ def top_k(
     n, asking, width = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
     parts, groups = max(1, -(-n // CANDIDATES)), max(1, -(-asking // QUERIES))
     step = max(1, -(-(width or 0) // slices))
-    pick = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.struct(s.alias("slice"), F.slice("v", s * step + 1, F.lit(step)).alias("v")))
-    sliced = rows.select("id", "row", "asks", F.explode(pick).alias("s")).select("id", "row", "asks", "s.*")
-    candidates = sliced.select("slice", "id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")).withColumn(
-        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
-    asked = sliced.where("asks").select("slice", "row", "v", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
-    keys = ["slice", "group", "part"]
-    # both sides come from one table: new column identities keep them apart in the cogroup
-    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    schema = "query bigint, candidate bigint, slice int, part bigint"
-    vectors = rows.select(F.col("row").alias("candidate"), F.col("id"), F.col("v").alias("cv"))
-    asks = rows.where("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
+    candidates = rows.select("id", "row", "v", dealt(parts).alias("part")).withColumn("group", every(groups))
+    asked = rows.where("asks").select("id", "row", "v", dealt(groups).alias("group")).withColumn("part", every(parts))
 
-    def resolved(pairs: DataFrame) -> DataFrame:
-        return pairs.select("query", "candidate").distinct().join(vectors, "candidate").join(asks, "query").withColumn("score", _inner("qv", "cv"))
+    def sliced(df: DataFrame) -> DataFrame:
+        pick = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.struct(s.alias("slice"), F.slice("v", s * step + 1, F.lit(step)).alias("v")))
+        return fresh(df.select("id", "row", "group", "part", F.explode(pick).alias("s")).select("id", "row", "group", "part", "s.*"))
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "candidate")
-    # phase 1
-    listed = asked.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInPandas(_local(slices, k), schema)
+    # both sides come from one table: new column identities keep them apart in the cogroup
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    vectors = rows.select(F.col("row").alias("candidate"), F.col("id"), F.col("v").alias("cv"))
+    asks = rows.where("asks").select(F.col("row").alias("query"), F.col("v").alias("qv"))
+    # phase 1: as many pairs as lists are long
+    keys = ["slice", "group", "part"]
+    listed = sliced(asked).groupBy(keys).cogroup(sliced(candidates).groupBy(keys)).applyInPandas(_listed(k), "query bigint, candidate bigint, slice int, part bigint")
     top = Window.partitionBy("query", "slice").orderBy(F.desc("part"), "candidate")
-    listed = listed.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
-    first = resolved(listed).withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
+    listed = listed.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("query", "candidate").distinct()
+    first = listed.join(vectors, "candidate").join(asks, "query").withColumn("score", _inner("qv", "cv"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "candidate")
+    first = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
     cutoff = materialize(first.select(F.col("query").alias("row"), F.col("score").alias("cutoff")), "cutoffs")
-    # phase 2: without k candidates there is no cutoff, and all rows suffice
-    lowest = F.lit(-(1 << 62)).cast("bigint")
-    told = asked.join(cutoff, "row", "left").withColumn("cutoff", F.coalesce("cutoff", lowest))
-    enough = told.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInPandas(_local(slices, None), schema)
-    # phase 3
-    ranked = resolved(enough).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # phases 2 and 3: without k candidates there is no cutoff, and all rows suffice
+    told = asked.join(cutoff, "row", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(1 << 62)).cast("bigint")))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, query bigint, id {kind}, candidate bigint, score bigint"
+    keys = ["group", "part"]
+    resolved = fresh(told).groupBy(keys).cogroup(fresh(candidates).groupBy(keys)).applyInPandas(_sufficient(k, slices, step), schema)
+    ranked = resolved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import NAMED, shared_dir
 
 #: RFC 4648 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -74,6 +74,7 @@ def write_archive(pages: DataFrame, path: str, *, least_bytes: int = 0, id_col:
         .agg(F.max("payload").alias("payload"), F.max("record_id").alias("response_id"))
         .write.bucketBy(buckets, "digest").option("path", f"{path}/payloads").format("parquet").saveAsTable(name)
     )
+    NAMED.setdefault(pages.sparkSession.sparkContext.applicationId, []).append(name)  # for ``cleanup``
     stored = Archive(path).unbucketed(pages.sparkSession).select(
         "digest", "response_id", F.octet_length("payload").cast("bigint").alias("size"), base32_sha1(F.col("payload")).alias("sha1")
     )

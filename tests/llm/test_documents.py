@@ -528,3 +528,46 @@ def test_prefix_pairs_by_place(spark):
     similar = {pair for pair, x in likeness.items() if x >= 0.8}
     assert similar and similar <= found <= set(likeness)
     assert min(likeness[pair] for pair in found) >= 0.6
+
+
+def test_many_detections_in_one_text(spark):
+    """The folds over a text's matches are linear: 100,000 of them take seconds."""
+    n = 100_000
+    began = time.time()
+    row = licenses.scan_licenses(spark.createDataFrame([(1, "under the mit license and gpl " * n)], "doc_id int, text string")).select("n_base", F.size("detections").alias("n")).first()
+    assert (row.n_base, row.n) == (n, n) and time.time() - began < 60
+
+
+def test_cleanup_drops_named_tables(spark):
+    from corvine.llm import common
+
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, None, None), (2, "v", "b" * 3_000_000)], "page_id bigint, url string, html string")
+    archive = warc.write_archive(pages, warc.new_archive_path(spark))
+    found = warc.read_records(spark, archive).select("record_id", "record_type", "payload_bytes").collect()
+    assert sorted((r.record_id or 0, r.record_type, r.payload_bytes) for r in found) == [(0, "response", 0), (1, "response", 1), (1, "response", 1), (2, "response", 3_000_000)]
+    assert spark.catalog.tableExists(archive.bucketed)
+    common.cleanup(spark)
+    assert not spark.catalog.tableExists(archive.bucketed)
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Rows that repeat an id and a vector are candidates of their own, also of one another."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (50, [0.5, 0.5]), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("row", F.lit("clash")).withColumn("score", F.lit(1))
+    found = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, queries=F.col("vec_id") % 50 == 0, k=2).orderBy("query_id", "rank").collect()]
+    assert sorted(found) == sorted([(0, 1, 0, 65536), (0, 2, 1, 65536)] * 2 + [(50, 1, 0, 32768), (50, 2, 0, 32768)])
+
+
+def test_trained_tagger_on_hard_texts(spark, sf):
+    """A tagger trained on real labels scores nulls, blanks, repeated rows, null ids and very long texts; other columns may clash."""
+    documents = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    toxic = labels.where("toxic = 1").join(documents, "doc_id").orderBy("doc_id").first()
+    hard = [(-1, None), (-2, ""), (-3, "  \n"), (-4, "plain words " * 100_000), (None, toxic.text), (None, toxic.text), (-5, toxic.text), (-5, toxic.text)]
+    both = documents.unionByName(spark.createDataFrame(hard, "doc_id bigint, text string"))
+    both = both.withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash")).withColumn("toxic", F.lit(5))
+    found = toxicity.tag_documents(both, labels.withColumn("text", F.lit("clash")), threshold=0.3).where("doc_id IS NULL OR doc_id < 0").collect()
+    assert len(found) == len(hard) and all(0 <= r.score <= 1 for r in found)
+    assert all(r.predicted == 0 for r in found if r.doc_id in (-1, -2, -3))
+    assert all(r.predicted == 1 for r in found if r.doc_id in (None, -5))
+    assert len({r.score for r in found if r.doc_id in (None, -5)}) == 1
