@@ -17,18 +17,21 @@ CHROME = {"nav", "footer", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LINE_ENDS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "main"}
 LINKS, RESOURCES = 512, 128
+#: Roots of content in the order that decides between equal scores, and what a heading (first three levels), a link and a picture in one count. Fixed values.
+ROOTS, WEIGHTS = {"main": 0, "article": 1, "role": 2}, (120, 18, 24)
 
 
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []
-        self.title, self.canonical = "", ""
+        self.title, self.canonical, self.order = "", "", 0
         self.links: list[str] = []
         self.images: list[str] = []
         self.parts: list[str] = []
-        self.roots: list[tuple[int, int, int, int]] = []  # score's start: text, headings, links, images
-        self.found: list[tuple[float, str]] = []
+        self.headings = self.pictures = self.targets = 0
+        self.roots: list[tuple] = []  # open roots: depth, sort, and where their text and counts begin
+        self.found: list[tuple[int, int, int, str]] = []  # score, sort and place (smaller first), text
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
@@ -39,8 +42,13 @@ class _Page(HTMLParser):
             self.images.append(best_source(a.get("srcset") or "") or a.get("src") or "")
         if tag == "link" and a.get("rel") == "canonical":
             self.canonical = a.get("href") or ""
-        if tag in ("main", "article"):
-            self.roots.append((len(self.stack), len(self.parts), len(self.links), len(self.images)))
+        self.headings += tag in ("h1", "h2", "h3")
+        self.targets += tag == "a" and "href" in a
+        self.pictures += tag == "img"
+        sort = ROOTS.get(tag, ROOTS["role"] if a.get("role") == "main" else None)
+        if sort is not None and tag not in VOID:
+            self.roots.append((len(self.stack), sort, self.order, len(self.parts), self._counts()))
+            self.order += 1
         if tag not in VOID:
             self.stack.append((tag, hidden))
         if tag in LINE_ENDS:
@@ -54,12 +62,28 @@ class _Page(HTMLParser):
             if top in LINE_ENDS:
                 self.parts.append("\n")
             if self.roots and self.roots[-1][0] == len(self.stack):
-                _, at, links, images = self.roots.pop()
-                text = tidy("".join(self.parts[at:]))
-                self.found.append((len(text) + 18 * (len(self.links) - links) + 24 * (len(self.images) - images), text))
+                self._close_root()
             if top == tag:
                 break
 
+    def _counts(self) -> tuple[int, int, int]:
+        return self.headings, self.targets, self.pictures
+
+    def _close_root(self) -> None:
+        """A root's score: characters of its text, and what its headings, links and pictures count."""
+        _, sort, order, at, before = self.roots.pop()
+        parts = self.parts[at:]
+        counts = [now - then for now, then in zip(self._counts(), before, strict=True)]
+        score = len(" ".join(" ".join(parts).split())) + sum(w * n for w, n in zip(WEIGHTS, counts, strict=True))
+        if score:
+            self.found.append((score, -sort, -order, tidy("".join(parts))))
+
+    def finish(self) -> str:
+        """The text of the best root, also of those that never closed; of all, without one."""
+        while self.roots:
+            self._close_root()
+        return max(self.found)[3] if self.found else tidy("".join(self.parts))
+
     def handle_data(self, data: str) -> None:
         if any(t == "title" for t, _ in self.stack):
             self.title += data
@@ -97,11 +121,11 @@ def normal_url(url: str, base: str = "") -> str:
 
 
 def read_page(html: str, url: str = "") -> tuple[str, str, str, list[str], list[str]]:
-    """(title, text, canonical URL, links, images); the text is of the best ``main`` or ``article``, else of all."""
+    """(title, text, canonical URL, links, images); the text is of the best ``main``, ``article`` or element of that role, else of all."""
     page = _Page()
     page.feed(html)
     page.close()
-    text = max(page.found, key=lambda f: f[0], default=(0, ""))[1] or tidy("".join(page.parts))
+    text = page.finish()
     links = list(dict.fromkeys(x for x in (normal_url(h, url) for h in page.links) if x))[:LINKS]
     images = list(dict.fromkeys(x for x in (normal_url(h, url) for h in page.images) if x))[:RESOURCES]
     return " ".join(page.title.split()), text, normal_url(page.canonical, url) if page.canonical else normal_url(url), links, images

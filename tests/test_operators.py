@@ -61,6 +61,16 @@ def test_page_without_chrome():
     assert (title, text, canonical, links) == ("T", "Hello there", "http://e.org/a", ["http://e.org/n"])
 
 
+def test_content_roots():
+    text = lambda page: html.read_page(page)[1]
+    assert text("<article>short</article><article>a longer one</article>") == "a longer one"
+    assert text("<article>" + "x" * 100 + "</article><main><h2>T</h2></main>") == "T"  # a heading counts 120
+    assert text("<article>same</article><main>same</main>") == "same" and text("<article>first</article><article>again</article>") == "first"
+    assert text("<div>outer<div role='main'>inner <a href='/x'>link</a></div></div>") == "inner link"
+    assert text("<main></main><p>all of it</p>") == "all of it" and text("<main>open <p>end") == "open\nend"
+    assert text("<article>" + "y" * 30 + "</article><main>ab<img><img></main>") == "ab"
+
+
 def test_global_position_equals_a_sort(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("v"))
     found = {r.id: r.position for r in ranking.global_position(df, [F.desc("v"), F.col("id")], -F.floor(F.col("v") / 10)).collect()}
