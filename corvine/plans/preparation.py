@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quality import assess
 from ..operators import blocks, code, layout, records
 from ..registry import query
-from ..sources import delimited, streams
+from ..sources import delimited, files, streams
 
 # ---- pages as texts of headings, tables, lists, paragraphs and code
 
@@ -198,3 +198,27 @@ def p08(customer: DataFrame) -> DataFrame:
     """The segment's field and its neighbours, where they fit."""
     units = _units(customer).where(F.length(F.concat("header", F.lit("fields: "), F.concat_ws("; ", "f2", "f3", "f4"))) <= 90)
     return streams.focused_excerpts(units, F.array(F.lit("segment=")), 90, "c_custkey", "text")
+
+
+# ---- kinds of files, and lines with hints
+
+_UPLOAD = """f AS (SELECT page_id, concat('/in/', CASE page_id % 9 WHEN 0 THEN 'Report.PDF' WHEN 1 THEN 'a.b/noext' WHEN 2 THEN 'x.tar.gz' WHEN 3 THEN 'table.TSV' WHEN 4 THEN 'main.rs' WHEN 5 THEN '.env.backup.2' WHEN 6 THEN 'photo.jpeg' WHEN 7 THEN 'notes.docx' ELSE 'page.htm' END) AS name,
+  CASE page_id % 7 WHEN 0 THEN ' Text/HTML; charset=utf-8' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'video/mp4' WHEN 3 THEN '' WHEN 4 THEN 'image/png' ELSE NULL END AS media, CASE WHEN page_id % 5 = 0 THEN concat(chr(1), chr(2), 'ab') ELSE html END AS body FROM {pages})"""
+
+
+@query("s01_declared_kind", f"""WITH {_UPLOAD} SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'pdf' WHEN page_id % 7 = 4 OR page_id % 9 = 6 THEN 'image' WHEN page_id % 9 = 7 THEN 'docx' WHEN page_id % 9 = 3 THEN 'spreadsheet' WHEN page_id % 7 = 0 OR page_id % 9 IN (4, 8) THEN 'text_like' END AS kind FROM f""", "pages")
+def s01(pages: DataFrame) -> DataFrame:
+    uploads = pages.sparkSession.sql(f"WITH {_UPLOAD} SELECT * FROM f", pages=pages)
+    return uploads.select("page_id", files.declared_kind(F.col("name"), F.col("media")).alias("kind"))
+
+
+@query("s02_sniffed_kind", f"""WITH {_UPLOAD} SELECT page_id, coalesce(CASE WHEN page_id % 9 = 0 THEN 'pdf' WHEN page_id % 7 = 4 OR page_id % 9 = 6 THEN 'image' WHEN page_id % 9 = 7 THEN 'docx' WHEN page_id % 9 = 3 THEN 'spreadsheet' WHEN page_id % 7 = 0 OR page_id % 9 IN (4, 8) THEN 'text_like' END,
+  CASE WHEN page_id % 7 = 2 OR page_id % 5 = 0 THEN 'binary' ELSE 'text_like' END) AS kind FROM f""", "pages")
+def s02(pages: DataFrame) -> DataFrame:
+    uploads = pages.sparkSession.sql(f"WITH {_UPLOAD} SELECT * FROM f", pages=pages)
+    return uploads.select("page_id", files.file_kind(F.col("name"), F.col("media"), F.encode("body", "UTF-8")).alias("kind"))
+
+
+@query("s03_text_lines", None, "pages")
+def s03(pages: DataFrame) -> DataFrame:
+    return files.text_lines(outlines(pages), "page_id")

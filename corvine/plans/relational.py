@@ -49,13 +49,13 @@ def x04(documents: DataFrame) -> DataFrame:
     return documents.where(filters.any_term(F.col("text"), ["license", "token"])).select("doc_id")
 
 
-_TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''),
+TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
 
 @query(
     "x05_trigram_similarity",
-    f"""WITH p AS (SELECT p_partkey, {_TRIGRAMS.format("p_name")} AS x, {_TRIGRAMS.format("'blue ring'")} AS y FROM {{part}})
+    f"""WITH p AS (SELECT p_partkey, {TRIGRAMS.format("p_name")} AS x, {TRIGRAMS.format("'blue ring'")} AS y FROM {{part}})
     SELECT p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM p
     WHERE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.2""",
     "part",

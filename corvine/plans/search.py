@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, claims, filters, joins, metadata, ranking, search
+from ..operators import blocks, claims, filters, joins, lanes, metadata, ranking, search
 from ..registry import query
 from ..tables import load
+from .relational import TRIGRAMS as _TRIGRAMS
 
 _W = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 _POST = f"""p AS (SELECT doc_id, token, count(*) AS tf, min(i) AS first_at FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i
@@ -330,3 +331,102 @@ def l19(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = benchmark.select(F.col("item_id").alias("q"), F.split("text", " ").alias("keywords"))
     dealt = documents.join(number).withColumn("q", F.col("doc_id") % F.col("n")).join(words, "q", "left")
     return search.focused_excerpts(dealt, F.col("keywords"), 280)
+
+
+# ---- lanes of chunks, blocks, entities and relations, and their fusion
+
+_SIMILARITY = f"(len(list_intersect({_TRIGRAMS.format('{0}')}, {_TRIGRAMS.format('{1}')})) / greatest(len(list_distinct(list_concat({_TRIGRAMS.format('{0}')}, {_TRIGRAMS.format('{1}')}))), 1))"
+
+_LINED = """c AS (SELECT doc_id * 1000000 + i AS chunk_id, doc_id AS document_id, i AS chunk_index, t AS text, lang AS heading, source AS section, 0.5 + (doc_id % 5) / 10.0 AS quality
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {documents}) WHERE trim(t, ' ') <> '')"""
+_FILED = "d AS (SELECT document_id, title, concat(lower(library_id), '-', document_id % 90, '.md') AS file_name FROM {document} WHERE document_state = 'active' AND readable_revision_id IS NOT NULL)"
+_POSED = """q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN concat('Doc part ', item_id % 30 + 10) WHEN 1 THEN concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) WHEN 2 THEN concat(split_part(text, ' ', 3), ' web part') ELSE 'webmaster documents' END AS query FROM {benchmark})"""
+_WORDS = """t AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_/]+'), lambda x: length(x) >= 3) AS w, list_filter(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}._/-]+'), lambda x: length(x) >= 2 AND regexp_matches(x, '[0-9]')) AS n FROM q),
+  u AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS terms, list_filter(n, lambda x, i: list_position(n, x) = i) AS numbers FROM t),
+  v AS (SELECT *, list_transform(list_sort(list_transform(list_filter(terms, lambda x: length(x) >= 8), lambda x: {'n': -length(x), 't': x})), lambda y: y.t)[1:4] AS longest, CASE WHEN len(numbers) > 0 THEN numbers WHEN len(terms) <= 6 THEN terms ELSE [] END AS names FROM u)"""
+
+
+def _posed(benchmark: DataFrame) -> DataFrame:
+    return benchmark.sparkSession.sql(f"WITH {_POSED} SELECT * FROM q", benchmark=benchmark)
+
+
+@query("l03_question_terms", f"WITH {_POSED}, {_WORDS} SELECT query_id, array_to_string(terms, ' ') AS terms, array_to_string(longest, ' ') AS longest, array_to_string(names, ' ') AS name FROM v", "benchmark")
+def l03(benchmark: DataFrame) -> DataFrame:
+    t = lanes.question_terms(F.col("query"))
+    return _posed(benchmark).select("query_id", *[F.array_join(t[c], " ").alias(c) for c in ("terms", "longest", "name")])
+
+
+_HIT = """k AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(array_to_string(terms, ' '), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM v), m AS (SELECT query_id, count(*) AS n FROM k GROUP BY 1),
+  x AS (SELECT id, token, count(*) AS tf, min(i) AS first_at FROM (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda y: y <> '') AS w FROM rows_)) WHERE token IN (SELECT token FROM k) GROUP BY 1, 2),
+  s AS (SELECT query_id, id, (1 + 1 / (1 + (max(first_at) - min(first_at)) / 100.0)) * ln(1 + sum(tf)) AS score FROM x JOIN k USING (token) JOIN m USING (query_id) GROUP BY query_id, id HAVING count(*) = max(n))"""
+_BEST = "SELECT query_id, id AS {0}, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 50"
+
+
+@query("l01_chunk_lane", f"""WITH {_LINED}, {_FILED}, {_POSED}, {_WORDS}, rows_ AS (SELECT chunk_id AS id, text FROM c), {_HIT},
+  f AS (SELECT *, lower(title || ' ' || file_name) AS name FROM d), b AS (SELECT query_id, document_id, CASE WHEN len(names) > 0 AND len(list_filter(names, lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN contains(' ' || name || ' ', ' ' || y || ' ') ELSE contains(name, y) END)) = len(names) THEN 'named'
+     WHEN len(list_filter(terms, lambda y: contains(name, y))) > 0 OR len(list_filter(longest, lambda y: greatest({_SIMILARITY.format("title", "y")}, {_SIMILARITY.format("file_name", "y")}) >= 0.3)) > 0 THEN 'nearly' END AS kind, len(terms) AS k FROM v, f),
+  l AS (SELECT s.query_id, c.chunk_id, c.document_id, score * CASE WHEN kind = 'named' THEN 8 WHEN kind = 'nearly' THEN 2 WHEN len(list_filter(terms, lambda y: contains(lower(heading), y))) > 0 THEN 3 ELSE 1 END * CASE WHEN len(list_filter(terms, lambda y: contains(lower(section), y))) > 0 THEN 1.5 ELSE 1 END * quality AS score
+     FROM s JOIN c ON c.chunk_id = s.id JOIN v USING (query_id) LEFT JOIN b ON b.query_id = s.query_id AND b.document_id = c.document_id),
+  g AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY (1000000 - chunk_index) * quality DESC, chunk_index) AS r, row_number() OVER (PARTITION BY document_id ORDER BY (50 - 0.001 * chunk_index) * quality DESC, chunk_index) AS r2 FROM c),
+  a AS (SELECT * FROM l UNION ALL SELECT query_id, chunk_id, document_id, (1000000 - chunk_index) * quality FROM b JOIN g USING (document_id) WHERE kind = 'named' AND r <= 2
+     UNION ALL SELECT query_id, chunk_id, document_id, (50 - 0.001 * chunk_index) * quality FROM b JOIN g USING (document_id) WHERE kind = 'nearly' AND k <= 6 AND r2 <= 2),
+  e AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS r FROM a), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM e WHERE r <= 2)
+  SELECT query_id, chunk_id, document_id, round(score, 6)::DOUBLE AS score, rank::INTEGER AS rank FROM z WHERE rank <= 50""", "documents", "document", "benchmark")
+def l01_chunks(documents: DataFrame, document: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Lines as chunks, languages as headings, sources as sections."""
+    lines = blocks.line_chunks(documents).join(documents.select("doc_id", "lang", "source"), "doc_id")
+    chunks = lines.select(
+        (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", F.col("content_text").alias("text"), F.col("lang").alias("heading"), F.col("source").alias("section"),
+        (0.5 + (F.col("doc_id") % 5) / 10.0).alias("quality"),
+    )
+    filed = document.sparkSession.sql(f"WITH {_FILED} SELECT * FROM d", document=document)
+    found = lanes.chunk_lane(chunks, filed, _posed(benchmark))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("l05_block_lane", f"WITH {_LINED}, {_POSED}, {_WORDS}, rows_ AS (SELECT chunk_id AS id, text FROM c), {_HIT} {_BEST.format('block_id')}", "documents", "benchmark")
+def l05(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    rows = blocks.line_chunks(documents).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("block_id"), "content_text")
+    return lanes.text_lane(rows, _posed(benchmark), "block_id", F.col("content_text")).withColumn("score", F.round("score", 6))
+
+
+_SOUGHT = "q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN concat('Customer ', lpad(CAST(item_id AS VARCHAR(20)), 9, '0')) ELSE 'person bought' END AS query FROM {benchmark})"
+
+
+@query("l07_entity_lane", f"WITH {_SOUGHT}, {_WORDS}, rows_ AS (SELECT node_id AS id, label || ' ' || node_type AS text FROM {{node}}), {_HIT} {_BEST.format('node_id')}", "node", "benchmark")
+def l07(node: DataFrame, benchmark: DataFrame) -> DataFrame:
+    asked = benchmark.sparkSession.sql(f"WITH {_SOUGHT} SELECT * FROM q", benchmark=benchmark)
+    return lanes.text_lane(node, asked, "node_id", F.concat_ws(" ", "label", "node_type")).withColumn("score", F.round("score", 6))
+
+
+@query("l08_relation_lane", f"WITH {_SOUGHT}, {_WORDS}, rows_ AS (SELECT from_node_id || '--' || relation_type || '--' || to_node_id AS id, replace(from_node_id || ' ' || relation_type || ' ' || to_node_id, '_', ' ') AS text FROM {{edge}}), {_HIT} {_BEST.format('edge_key')}", "edge", "benchmark")
+def l08(edge: DataFrame, benchmark: DataFrame) -> DataFrame:
+    asked = benchmark.sparkSession.sql(f"WITH {_SOUGHT} SELECT * FROM q", benchmark=benchmark)
+    rows = edge.select(F.concat_ws("--", "from_node_id", "relation_type", "to_node_id").alias("edge_key"), F.replace(F.concat_ws(" ", "from_node_id", "relation_type", "to_node_id"), F.lit("_"), F.lit(" ")).alias("text"))
+    return lanes.text_lane(rows, asked, "edge_key", F.col("text")).withColumn("score", F.round("score", 6))
+
+
+_TYPED = """e AS (SELECT event_id AS id, user_id % 20 AS query_id, user_id, value, event_type FROM {events}),
+  a AS (SELECT id, query_id, CASE WHEN id % 97 = 0 THEN 200000 + value ELSE value END AS score, CASE WHEN id % 31 = 0 THEN 'query_ir_focus' ELSE 'relevance' END AS kind, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, id) AS rank FROM e WHERE event_type <> 'view'),
+  b AS (SELECT id, query_id, value * 3 AS score, CASE WHEN id % 41 = 0 THEN 'content_anchor' ELSE 'relevance' END AS kind, row_number() OVER (PARTITION BY query_id ORDER BY user_id, id) AS rank FROM e WHERE event_type <> 'click')"""
+
+
+@query("r01_typed_fusion", f"""WITH {_TYPED}, u AS (SELECT *, 0 AS lane, 'relevance' AS own FROM a UNION ALL SELECT *, 1, 'graph_evidence' FROM b), k AS (SELECT *, CASE WHEN kind <> 'relevance' THEN kind WHEN score >= 100000 THEN 'document_identity' ELSE own END AS k FROM u),
+  p AS (SELECT *, CASE k WHEN 'relevance' THEN 0 WHEN 'graph_evidence' THEN 1 WHEN 'query_ir_focus' THEN 2 WHEN 'document_identity' THEN 3 ELSE 4 END AS p FROM k),
+  f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS best, arg_min(k, (-p, lane, rank)) AS kind, max(p) AS p FROM p GROUP BY 1, 2), s AS (SELECT query_id, id, kind, p, CASE WHEN kind = 'relevance' THEN rrf ELSE best END AS score FROM f)
+  SELECT query_id, id, kind, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, score DESC, id)::INTEGER AS place FROM s""", "events")
+def r01_typed(events: DataFrame) -> DataFrame:
+    a, b = (events.sparkSession.sql(f"WITH {_TYPED} SELECT * FROM {t}", events=events) for t in "ab")
+    return lanes.fuse_typed(a, b, "graph_evidence").withColumn("score", F.round("score", 9))
+
+
+@query("r03_entity_fusion", """WITH n AS (SELECT node_id, node_type, label, support_count, length(label) % 7 AS query_id FROM {node}), a AS (SELECT *, support_count / 10.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY support_count DESC, node_id) AS rank FROM n WHERE node_type <> 'location'),
+  b AS (SELECT *, 1.0 * support_count AS score, row_number() OVER (PARTITION BY query_id ORDER BY label, node_id) AS rank FROM n WHERE node_type <> 'person'), u AS (SELECT *, 0 AS lane FROM a UNION ALL SELECT *, 1 FROM b),
+  f AS (SELECT query_id, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score, max(lane) AS lane, max(score) AS raw, any_value(node_type) AS node_type, any_value(label) AS label FROM u GROUP BY 1, 2)
+  SELECT query_id, node_id, round(score, 9) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, lane DESC, raw DESC, node_type, label, node_id) AS place FROM f) WHERE place <= 40""", "node")
+def r03(node: DataFrame) -> DataFrame:
+    n = node.withColumn("query_id", F.length("label") % 7)
+    ranked = lambda df, score, order: df.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    vector = ranked(n.where("node_type <> 'location'"), F.col("support_count") / 10.0, [F.desc("support_count"), F.col("node_id")])
+    lexical = ranked(n.where("node_type <> 'person'"), F.col("support_count") * 1.0, [F.col("label"), F.col("node_id")])
+    return lanes.fuse_entities(vector, lexical, 40).withColumn("score", F.round("score", 9))
