@@ -110,6 +110,45 @@ def text_lane(rows: DataFrame, questions: DataFrame, id_col: str, text: Column,
     return top_per_group(found.select("query_id", id_col, "score"), ["query_id"], [F.desc("score"), F.col(id_col)], limit, rank="rank")
 
 
+_QUOTED = r"""\"([^\"]*)\"|'([^']*)'|`([^`]*)`|\u00ab([^\u00bb]*)\u00bb|\u201c([^\u201d]*)\u201d|\u2018([^\u2019]*)\u2019"""
+
+
+def quoted_sequences(questions: DataFrame) -> DataFrame:
+    """``(query_id, phrase, place, token, n)``: the tokens of every quotation of two or more, in order; ``phrase`` is their text."""
+    quoted = F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(_QUOTED), F.lit(0))
+    tokens = F.transform(quoted, lambda q: F.filter(F.split(F.lower(q), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    each = questions.select("query_id", F.explode(F.array_distinct(F.filter(tokens, lambda t: F.size(t) >= 2))).alias("t"))
+    return each.select("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
+
+
+def sequence_hits(postings_: DataFrame, sequences: DataFrame, id_col: str) -> DataFrame:
+    """``(query_id, phrase, id)``: rows in which the tokens of a sequence stand one after the other.
+
+    Rows that hold all tokens are found from counts first; only their occurrences are put beside the sequences' places, and a
+    sequence stands where all its tokens have one and the same start.
+    """
+    met = postings_.join(sequences.select("token").distinct(), "token", "left_semi")
+    distinct = sequences.select("query_id", "phrase", "token", F.size(F.array_distinct(F.split("phrase", " "))).alias("k")).distinct()
+    holds = met.select(id_col, "token").distinct().join(distinct, "token").groupBy("query_id", "phrase", id_col).agg(F.count("*").alias("m"), F.max("k").alias("k")).where("m = k")
+    wanted = holds.select("query_id", "phrase", id_col).join(sequences, ["query_id", "phrase"])
+    starts = wanted.join(met, [id_col, "token"]).groupBy("query_id", "phrase", id_col, (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    return starts.where("m = n").select("query_id", "phrase", id_col).distinct()
+
+
+def content_anchors(rows: DataFrame, questions: DataFrame, id_col: str, text: Column, overlap: int = 2, limit: int = 50) -> DataFrame:
+    """``(query_id, id, quoted, matched, rank)``: rows that hold a quotation of the question, or ``overlap`` or more of its terms; the best ``limit``.
+
+    Rows with more quotations come first, then those with more terms, then the smaller id.
+    """
+    every = postings(rows, id_col, text)
+    tokens = questions.select("query_id", F.explode(question_terms(F.col("query"))["terms"]).alias("term"))
+    tokens = tokens.select("query_id", F.explode(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token")).distinct()
+    some = lexical_lane(every, tokens, id_col, "any").where(F.col("matched") >= overlap).select("query_id", id_col, "matched")
+    quoted = sequence_hits(every, quoted_sequences(questions), id_col).groupBy("query_id", id_col).agg(F.count("*").alias("quoted"))
+    both = some.join(quoted, ["query_id", id_col], "full").select("query_id", id_col, F.coalesce("quoted", F.lit(0)).alias("quoted"), F.coalesce("matched", F.lit(0)).alias("matched"))
+    return top_per_group(both, ["query_id"], [F.desc("quoted"), F.desc("matched"), F.col(id_col)], limit, rank="rank")
+
+
 def fuse_typed(left: DataFrame, right: DataFrame, right_kind: str = "relevance", key: str = "id", tie: Sequence[str] = ()) -> DataFrame:
     """``(query_id, key, score, kind, place)`` of two lanes, typed reciprocal rank fusion.
 

@@ -430,3 +430,17 @@ def r03(node: DataFrame) -> DataFrame:
     vector = ranked(n.where("node_type <> 'location'"), F.col("support_count") / 10.0, [F.desc("support_count"), F.col("node_id")])
     lexical = ranked(n.where("node_type <> 'person'"), F.col("support_count") * 1.0, [F.col("label"), F.col("node_id")])
     return lanes.fuse_entities(vector, lexical, 40).withColumn("score", F.round("score", 9))
+
+
+_CITED = """q AS (SELECT item_id AS query_id, concat('find "', split_part(text, ' ', 4), ' ', split_part(text, ' ', 5), '; ', split_part(text, ' ', 6), '" or ', chr(39), split_part(text, ' ', 2), ' the', chr(39), ' x') AS query FROM {benchmark})"""
+
+
+@query("r23_content_anchors", f"""WITH {_CITED}, {_WORDS}, rows_ AS (SELECT doc_id AS id, text FROM {{documents}}), k AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(array_to_string(terms, ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM v),
+  w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '') AS w FROM rows_), x AS (SELECT DISTINCT id, unnest(w) AS token FROM w), m AS (SELECT query_id, id, count(*) AS matched FROM x JOIN k USING (token) GROUP BY 1, 2 HAVING count(*) >= 2),
+  f AS (SELECT query_id, unnest([regexp_extract(query, '"([^"]*)"', 1), regexp_extract(query, chr(39) || '([^' || chr(39) || ']*)' || chr(39), 1)]) AS s FROM q), g AS (SELECT DISTINCT query_id, list_filter(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '') AS p FROM f),
+  j AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM w), c AS (SELECT query_id, id, count(*) AS quoted FROM g JOIN j ON len(p) >= 2 AND contains(line, ' ' || array_to_string(p, ' ') || ' ') GROUP BY 1, 2),
+  z AS (SELECT query_id, id, coalesce(quoted, 0) AS quoted, coalesce(matched, 0) AS matched FROM m FULL JOIN c USING (query_id, id))
+  SELECT query_id, id AS doc_id, quoted, matched, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quoted DESC, matched DESC, id) AS rank FROM z) WHERE rank <= 50""", "documents", "benchmark")
+def r23(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    asked = benchmark.sparkSession.sql(f"WITH {_CITED} SELECT * FROM q", benchmark=benchmark)
+    return lanes.content_anchors(documents.select("doc_id", "text"), asked, "doc_id", F.col("text"))

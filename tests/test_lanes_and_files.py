@@ -70,6 +70,17 @@ def test_chunk_lane(spark, monkeypatch):
     assert best[30] > 4 * best[31] and all(sum(c // 10 == d for c in row) <= 2 for row in ids.values() for d in (1, 2, 3, 4))
 
 
+def test_quotations_stand_in_order(spark):
+    rows = spark.createDataFrame([(1, "The Red-Fox jumps; the red fox sleeps"), (2, "fox red and red, then fox"), (3, "a a b a a a c"), (4, None), (5, "RED fox")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, 'who is "red fox"?'), (2, "say 'a a a c' now"), (3, '"single" and «the red fox»'), (4, "no quotes red"), (5, None), (6, '"fox \u201cred')], "query_id int, query string")
+    phrases = {(r.query_id, r.phrase) for r in lanes.quoted_sequences(asked).collect()}
+    assert phrases == {(1, "red fox"), (2, "a a a c"), (3, "the red fox")}
+    found = lanes.sequence_hits(lanes.postings(rows, "doc_id", F.col("text")), lanes.quoted_sequences(asked), "doc_id")
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(1, 1), (1, 5), (2, 3), (3, 1)]
+    ranked = [(r.query_id, r.doc_id, r.quoted) for r in lanes.content_anchors(rows, asked, "doc_id", F.col("text")).orderBy("query_id", "rank").collect()]
+    assert [x for x in ranked if x[0] == 1] == [(1, 1, 1), (1, 5, 1), (1, 2, 0)] and not [x for x in ranked if x[0] in (4, 5)]
+
+
 def test_kinds(spark):
     rows = [
         ("a.PDF", None, b"x", "pdf"), ("x", "application/pdf; q=1", b"x", "pdf"), ("a.html", "image/PNG", b"x", "image"), ("q.csv", None, b"a,b", "spreadsheet"), ("Dockerfile", None, b"FROM x", "text_like"), (".env", None, b"A=1", "text_like"),
