@@ -142,12 +142,16 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Documents without words share fingerprint zero and are linked like any others.  Ids
     must be whole numbers; a row with a null id is kept with what its text gives and counts
     for no component's id unless no other row has its fingerprint.  Repeated rows give
-    repeated results.
+    repeated results; rows that repeat an id with another text go by their own text, and don't
+    tie its component to the other's.
     """
     done = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle), "fingerprints")
-    nodes = materialize(done.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    found = components(link(nodes.where(F.col("node").isNotNull())))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # fingerprints are the nodes, so that an id that repeats doesn't tie two of them
+    nodes = materialize(done.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    found = components(link(nodes.where(F.col("least").isNotNull()).select(F.col("fp").alias("node"), "fp")))
+    parts = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    parts = materialize(parts, "parts")
+    labels = parts.join(parts.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "component_id")
     return done.join(labels, "fp").select(id_col, "fp", "component_id")
 
 

@@ -571,3 +571,11 @@ def test_trained_tagger_on_hard_texts(spark, sf):
     assert all(r.predicted == 0 for r in found if r.doc_id in (-1, -2, -3))
     assert all(r.predicted == 1 for r in found if r.doc_id in (None, -5))
     assert len({r.score for r in found if r.doc_id in (None, -5)}) == 1
+
+
+def test_repeated_ids_tie_no_components(spark):
+    """Rows of one id and different texts are each with their own text's copies."""
+    one, two = "alpha beta gamma delta epsilon zeta", "quite other words are said in this one"
+    rows = [(1, one), (5, one), (5, two), (7, two), (5, one), (None, two)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 5), (1, 1), (5, 1), (5, 1), (5, 5), (7, 5)]
