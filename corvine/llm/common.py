@@ -83,13 +83,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What a worker process keeps for the next task of the function it serves (see ``kept``), and that function.
+#: What a worker process keeps for the next task of the operator it serves (see ``kept``), and that operator.
 _KEPT: dict[object, object] = {}
 _SERVED: list[str] = [""]
 
 
 def kept(key: object, make: Callable[[], object]) -> object:
-    """``make()`` once per worker process, for as long as it serves tasks of one function.
+    """``make()`` once per worker process, for as long as it serves tasks of one operator.
 
     Spark gives a worker to later stages too; ``map_rows`` then lets go of what those don't need.
     """
@@ -117,7 +117,7 @@ def map_rows(df: DataFrame, rows_fn: Callable[[Iterator[tuple]], Iterator[tuple]
     """
     kinds = T._parse_datatype_string(schema)
     small_batches(df.sparkSession)
-    name = f"{rows_fn.__module__}.{rows_fn.__qualname__}"
+    name = f"{rows_fn.__module__}.{rows_fn.__qualname__.split('.<locals>')[0]}"  # the operator that the function is a step of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kinds)

@@ -50,30 +50,31 @@ class Capacity:
 
 def fill(lengths: list[int], capacity: Capacity) -> list[list[int]]:
     """Assign pieces to sequences, long ones first; gives the pieces' numbers per sequence."""
-    limit = np.array([capacity.tokens, capacity.documents, capacity.cost], dtype=float)
+    limit = np.array([[capacity.tokens], [capacity.documents], [capacity.cost]], dtype=float)
     weights = np.array(capacity.weights)
-    free = np.empty((max(16, len(lengths)), 3))
+    needs = np.array([lengths, np.ones(len(lengths)), np.square(lengths, dtype=float)]) / limit
+    free = np.empty((3, max(16, len(lengths))))
     bins: list[list[int]] = []
     closed = 0  # sequences before this one have no room for any piece that is left
     least = min(lengths, default=0)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        need = np.array([lengths[i], 1.0, float(lengths[i]) ** 2]) / limit
-        while closed < len(bins) and free[closed, 0] * limit[0] < least - 0.5:
+        need = needs[:, i : i + 1]
+        while closed < len(bins) and free[0, closed] * capacity.tokens < least - 0.5:
             closed += 1
-        rest = free[closed : len(bins)]
+        rest = free[:, closed : len(bins)]
         after = rest - need
-        room = (after >= -1e-12).all(axis=1)
-        if room.any():
+        full = after.min(axis=0, initial=np.inf) < -1e-12
+        if not full.all():
             if capacity.fit == "norm":
-                cost = (weights * after**2).sum(axis=1)
+                cost = weights @ (after * after)
             else:
-                cost = -(rest * need) @ weights / np.sqrt((weights * rest**2).sum(axis=1) + 1e-30)
-            cost[~room] = np.inf
+                cost = -(weights @ (rest * need)) / np.sqrt(weights @ (rest * rest) + 1e-30)
+            cost[full] = np.inf
             at = closed + int(cost.argmin())
             bins[at].append(i)
-            free[at] -= need
+            free[:, at] -= need[:, 0]
         else:
-            free[len(bins)] = 1.0 - need
+            free[:, len(bins)] = 1.0 - need[:, 0]
             bins.append([i])
     return bins
 
