@@ -86,3 +86,9 @@ def rank_metrics(first_hits: DataFrame, rank: str = "rank") -> DataFrame:
 def nearest_rank(df: DataFrame, group: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
     """Nearest-rank percentiles: values that occur, no interpolation."""
     return df.groupBy(*group).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents])
+
+
+def coverage(facts: Column, blocks: Column) -> Column:
+    """Facts per block, between 0 and 1; 0 without blocks, null where the facts aren't known."""
+    share = F.least(F.greatest(facts.cast("double") / F.nullif(blocks, F.lit(0)), F.lit(0.0)), F.lit(1.0))
+    return F.when(facts.isNotNull(), F.coalesce(share, F.lit(0.0)))

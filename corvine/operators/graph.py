@@ -8,12 +8,14 @@ costs one round.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import near_token
 from .ranking import first_per_group, top_per_group
 
 RELATION = r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$"
@@ -180,3 +182,23 @@ def sense_dominance(hits: DataFrame, group: Sequence[str], floor: int = 150) ->
     """Hits whose support reaches a share of the best one's."""
     most = F.max("support_count").over(Window.partitionBy(*group))
     return hits.withColumn("_most", most).where(F.col("support_count") >= F.greatest(F.floor(F.col("_most") / floor), F.lit(1))).drop("_most")
+
+
+#: What a near word adds to an edge's text, how many count, and the weights of the smaller end, the text and the support. Fixed values.
+WORD, WORDS, SMALLER, TEXT, SUPPORT = 0.015, 8, 0.5, 16.0, 0.015
+
+
+def edge_relevance(edges: DataFrame, nodes: DataFrame, keywords: Sequence[str] = ()) -> DataFrame:
+    """Edges with their ``relevance`` for a question's keywords.
+
+    The better supported end, half of the other, the near words (``filters.near_token``) of the relation and both ends' labels and types, and the support's logarithm.
+    """
+    end = lambda s: nodes.select(F.col("node_id").alias(f"{s}_node_id"), F.col("support_count").alias(f"_{s}"), F.concat_ws(" ", "label", "node_type").alias(f"_{s}_text"))
+    both = edges.join(end("from"), "from_node_id").join(end("to"), "to_node_id")
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "relation_type", "_from_text", "_to_text")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
+    near = F.lit(0)
+    for k in keywords:
+        near = near + F.exists(words, functools.partial(near_token, F.lit(k.lower()))).cast("int")
+    a, b = F.col("_from"), F.col("_to")
+    score = F.greatest(a, b) + SMALLER * F.least(a, b) + TEXT * WORD * F.least(near, F.lit(WORDS)) + SUPPORT * F.log1p(F.greatest(a, b, F.lit(1)))
+    return both.withColumn("relevance", score).drop("_from", "_to", "_from_text", "_to_text")

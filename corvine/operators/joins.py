@@ -87,6 +87,16 @@ def price_as_of(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return best.select(*calls.columns, F.col("p_price_id").alias("price_id"), F.col("p_scope").alias("price_scope"), F.col("p_cents_per_1000").alias("cents_per_1000"))
 
 
+def charges(calls: DataFrame, prices: DataFrame, tokens: str = "input_tokens") -> DataFrame:
+    """Every call with the ``price_id`` in force and its ``charge``: the unit price times the tokens, by the million.
+
+    A call without a price keeps its usage and has neither.
+    """
+    priced = price_as_of(calls, prices).select("call_id", "price_id", "cents_per_1000")
+    charge = (F.col("cents_per_1000").cast("decimal(18,6)") * F.col(tokens) / 1_000_000).cast("decimal(30,6)")
+    return calls.join(priced, "call_id", "left").withColumn("charge", charge).drop("cents_per_1000")
+
+
 def inherit(keys: Sequence[str], scopes: dict[str, DataFrame]) -> DataFrame:
     """Of each key the row of the nearest scope; ``scopes`` go from near to far."""
     rows = None

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import math
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +62,64 @@ def timestamp_by_shape(value: Column) -> Column:
     )
 
 
+def _times(value: object, depth: int, items: int) -> Iterator[int]:
+    """Whole seconds of every value that looks like a time, at any key."""
+    if isinstance(value, dict) and depth >= 0:
+        for v in value.values():
+            yield from _times(v, depth - 1, items)
+    elif isinstance(value, list) and depth >= 0:
+        for v in value[:items]:
+            yield from _times(v, depth - 1, items)
+    elif isinstance(value, (str, int, float)) and not isinstance(value, bool):
+        text = str(value)
+        if re.fullmatch(r"[0-9]{10}|[0-9]{13}", text):
+            yield int(text[:10])
+        elif isinstance(value, str) and re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})", text):
+            try:
+                yield math.floor(datetime.datetime.fromisoformat(text).timestamp())
+            except ValueError:
+                return
+
+
+def record_times(df: DataFrame, id_col: str, json_col: str, depth: int = 10, items: int = 8) -> DataFrame:
+    """``(id, occurred_at)``: the earliest time that any value of a record looks like (RFC 3339, or 10 or 13 digits), in whole seconds; null without one."""
+
+    def run(key: object, text: str | None) -> Iterator[tuple]:
+        try:
+            value = json.loads(text) if text else None
+        except ValueError:
+            value = None
+        yield key, min(_times(value, depth, items), default=None)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = flat_map(df.select(id_col, json_col), run, f"`{id_col}` {kind}, seconds bigint")
+    return found.select(id_col, F.timestamp_seconds("seconds").alias("occurred_at"))
+
+
+#: Links that make a line one of links, pieces between separators that make it a menu, their length, and pages and characters of a repeated line. Fixed values.
+LINKS, PIECES, PIECE, PAGES, LINE = 3, 4, 40, 5, 160
+
+
+def boilerplate(lines: DataFrame, document: str, line: str, page: str) -> DataFrame:
+    """``lines`` with ``is_boilerplate``: many links, a menu, or a short line of many pages of its document; none where all of a document would be.
+
+    Links are half of the words; a menu's pieces are short and stand between one of the separators ``| • > ›``.
+    """
+    text = F.trim(F.col(line))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    links = F.size(F.filter(words, lambda w: F.contains(w, F.lit("://"))))
+    menu = F.lit(False)
+    for mark in "|•>›":
+        pieces = F.transform(F.split(text, rf"\Q{mark}\E"), lambda p: F.trim(p))
+        menu = menu | ((F.size(pieces) >= PIECES) & F.forall(pieces, lambda p: F.length(p).between(1, PIECE)))
+    often = repeated_lines(lines.withColumn("_line", text), [document], "_line", page, PAGES, LINE).select(document, "_line", F.lit(True).alias("_often"))
+    marked = lines.withColumn("_line", text).join(often, [document, "_line"], "left")
+    flag = ((links >= LINKS) & (2 * links >= F.size(words))) | menu | F.coalesce("_often", F.lit(False))
+    marked = marked.withColumn("_flag", flag).drop("_line", "_often")
+    kept = marked.groupBy(document).agg(F.bool_or(~F.col("_flag")).alias("_some"))
+    return marked.join(kept, document).withColumn("is_boilerplate", F.col("_flag") & F.col("_some")).drop("_flag", "_some")
+
+
 def record_line(ordinal: Column, at: Column, fields: Column) -> Column:
     """A record as one line: its number, its time if known, and its fields."""
     time = F.when(at.isNotNull(), F.concat(F.lit(" occurred_at="), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise(F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, ranking, records, summaries
+from ..operators import aggregates, blocks, joins, ranking, records, summaries
 from ..registry import query
 
 
@@ -265,16 +265,16 @@ def a24(document: DataFrame, revision: DataFrame) -> DataFrame:
 
 @query(
     "a27_charges",
-    """SELECT c.call_id, CAST(CAST(p.cents AS DECIMAL(18,6)) * c.input_tokens / 1000000 AS DECIMAL(30,6))::DOUBLE AS charge FROM {provider_call} c
-       LEFT JOIN (SELECT provider_id, max(cents_per_1000) AS cents FROM {price} WHERE scope = 'workspace' GROUP BY 1) p ON p.provider_id = c.provider_id""",
+    """SELECT c.call_id, CAST(CAST(p.cents_per_1000 AS DECIMAL(18,6)) * c.input_tokens / 1000000 AS DECIMAL(30,6))::DOUBLE AS charge, price_id FROM {provider_call} c LEFT JOIN (SELECT call_id, price_id, cents_per_1000 FROM (
+         SELECT c.call_id, p.price_id, p.cents_per_1000, row_number() OVER (PARTITION BY c.call_id ORDER BY (p.scope = 'workspace') DESC, (p.tokens_from IS NOT NULL) DESC, p.tokens_from DESC, p.effective_from DESC, p.price_id) AS r
+         FROM {provider_call} c JOIN {price} p ON p.provider_id = c.provider_id AND p.provider_id % 4 <> 1 AND p.effective_from <= c.called_at AND (p.effective_to IS NULL OR p.effective_to > c.called_at)
+           AND (p.tokens_from IS NULL OR c.input_tokens >= p.tokens_from)) WHERE r = 1) p USING (call_id)""",
     "provider_call",
     "price",
 )
 def a27(provider_call: DataFrame, price: DataFrame) -> DataFrame:
-    # a call without a price keeps its usage and has no charge
-    unit = price.where("scope = 'workspace'").groupBy("provider_id").agg(F.max("cents_per_1000").cast("decimal(18,6)").alias("cents"))
-    charge = (F.col("cents") * F.col("input_tokens") / 1_000_000).cast("decimal(30,6)").cast("double")
-    return provider_call.join(unit, "provider_id", "left").select("call_id", charge.alias("charge"))
+    """Some providers have no prices."""
+    return joins.charges(provider_call, price.where("provider_id % 4 <> 1")).select("call_id", F.col("charge").cast("double").alias("charge"), "price_id")
 
 
 @query(
@@ -289,15 +289,19 @@ def a29(job: DataFrame, execution: DataFrame) -> DataFrame:
 
 @query(
     "a30_fact_coverage",
-    """SELECT document_id, CASE WHEN parent_document_id IS NULL THEN NULL WHEN byte_size = 0 THEN 0.0 ELSE least(greatest(parent_document_id * 100.0 / byte_size, 0.0), 1.0) END AS coverage FROM {document}""".replace(
-        "parent_document_id * 100.0 / byte_size", "CAST(parent_document_id AS DOUBLE) / byte_size"
-    ),
-    "document",
+    """WITH l AS (SELECT doc_id, count(*) AS blocks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM {documents}) WHERE trim(t, ' ') <> '' GROUP BY 1),
+       f AS (SELECT doc_id, count(DISTINCT lower(v)) AS facts FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_]+) ?= ?["]', 1)) AS v FROM {documents}) GROUP BY 1)
+       SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 3 THEN NULL WHEN coalesce(blocks, 0) = 0 THEN 0.0 ELSE least(coalesce(facts, 0)::DOUBLE / blocks, 1.0) END AS coverage FROM {documents} d LEFT JOIN l USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "documents",
 )
-def a30(document: DataFrame) -> DataFrame:
-    facts, blocks = F.col("parent_document_id"), F.col("byte_size")
-    ratio = F.least(F.greatest(facts.cast("double") / blocks, F.lit(0.0)), F.lit(1.0))
-    return document.select("document_id", F.when(facts.isNull(), F.lit(None).cast("double")).when(blocks == 0, 0.0).otherwise(ratio).alias("coverage"))
+def a30(documents: DataFrame) -> DataFrame:
+    """Assigned keys as facts, lines as blocks; every seventh document has not been scanned."""
+    keys = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r'([A-Za-z_]+) ?= ?["]'), F.lit(1))).alias("v"))
+    facts = keys.groupBy("doc_id").agg(F.count_distinct(F.lower("v")).alias("facts"))
+    lines = blocks.line_chunks(documents).groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    known = documents.select("doc_id").join(facts, "doc_id", "left").join(lines, "doc_id", "left").na.fill(0, ["facts", "blocks"])
+    scanned = F.when(F.col("doc_id") % 7 != 3, F.col("facts"))
+    return known.select("doc_id", aggregates.coverage(scanned, F.col("blocks")).alias("coverage"))
 
 
 @query(

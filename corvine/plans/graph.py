@@ -108,13 +108,13 @@ def g15(edge: DataFrame) -> DataFrame:
     return ranks.select("node_id", F.round("score", 8).alias("score"))
 
 
-@query("g16_edge_relevance", """SELECT from_node_id, to_node_id, round(greatest(a.support_count, b.support_count) + 0.5 * least(a.support_count, b.support_count) + 0.015 * ln(1 + greatest(a.support_count, 1)), 9)::DOUBLE AS relevance FROM {edge} JOIN {node} a ON a.node_id = from_node_id JOIN {node} b ON b.node_id = to_node_id""", "edge", "node")
+_NEAR = "(SELECT count(*) FROM (SELECT unnest(['wideget', 'person', 'bough']) AS k) WHERE len(list_filter(regexp_split_to_array(lower(relation_type || ' ' || a.label || ' ' || a.node_type || ' ' || b.label || ' ' || b.node_type), '[^a-z0-9]+'), lambda w: w = k OR (length(w) >= 5 AND length(k) >= 5 AND w[1] = k[1] AND levenshtein(w, k) <= 1))) > 0)"
+
+
+@query("g16_edge_relevance", f"""SELECT from_node_id, to_node_id, round(greatest(a.support_count, b.support_count) + 0.5 * least(a.support_count, b.support_count) + 0.24 * {_NEAR} + 0.015 * ln(1 + greatest(a.support_count, b.support_count, 1)), 6)::DOUBLE AS relevance FROM {{edge}} JOIN {{node}} a ON a.node_id = from_node_id JOIN {{node}} b ON b.node_id = to_node_id""", "edge", "node")
 def g16(edge: DataFrame, node: DataFrame) -> DataFrame:
-    side = lambda s: node.select(F.col("node_id").alias(f"{s}_node_id"), F.col("support_count").alias(s))
-    both = edge.join(side("from"), "from_node_id").join(side("to"), "to_node_id")
-    a, b = F.col("from"), F.col("to")
-    score = F.greatest(a, b) + 0.5 * F.least(a, b) + 0.015 * F.log1p(F.greatest(a, F.lit(1)))
-    return both.select("from_node_id", "to_node_id", F.round(score, 9).alias("relevance"))
+    found = graph.edge_relevance(edge, node, ["wideget", "person", "bough"])
+    return found.select("from_node_id", "to_node_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query("g18_sense_dominance", "SELECT node_id FROM (SELECT *, max(support_count) OVER (PARTITION BY node_type) AS m FROM {node}) WHERE support_count >= greatest(m // 2, 1)", "node")

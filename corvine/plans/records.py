@@ -29,6 +29,30 @@ def p02(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.unix_timestamp(records.timestamp_by_shape(text)).alias("seconds"))
 
 
+@query("p02_earliest_time", """SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN epoch(date_trunc('second', ts))::BIGINT - CASE event_id % 4 WHEN 1 THEN 90 WHEN 2 THEN 60 ELSE 0 END END AS seconds FROM {events}""", "events")
+def p02_earliest(events: DataFrame) -> DataFrame:
+    """Times under any key, at any depth, as text, seconds and milliseconds; every fourth record has none."""
+    ts, i = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    seconds, shown = F.unix_timestamp(ts), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = F.concat(F.lit('{"x": {"made": "'), shown, F.lit('", "n": 12}, "list": [{"at": '), (seconds - F.when(i == 1, 90).otherwise(-5)).cast("string"), F.lit("}, "), ((seconds - F.when(i == 2, 60).otherwise(-7)) * 1000 + 999).cast("string"), F.lit("]}"))
+    body = F.when(i == 3, F.concat(F.lit('{"when": "'), F.date_format(ts, "dd.MM.yyyy"), F.lit('", "no": "12345"}'))).otherwise(one)
+    return records.record_times(events.select("event_id", body.alias("j")), "event_id", "j").select("event_id", F.unix_timestamp("occurred_at").alias("seconds"))
+
+
+_MENUS = """l AS (SELECT page_id // 30 AS doc, page_id % 30 AS page, k, CASE k WHEN 0 THEN concat('Page ', page_id, ' tells of its own things') WHEN 1 THEN 'Home | About | News | Contact us' WHEN 2 THEN concat(url, ' ', url, ' ', url, ' see') WHEN 3 THEN ' The same footer everywhere '
+   WHEN 4 THEN concat('a > b > c ', page_id) WHEN 5 THEN 'a › b › › d' ELSE concat('short line ', page_id % 12) END AS line FROM {pages}, (SELECT unnest(sequence(0, 6)) AS k) WHERE page_id // 30 % 3 <> 2 OR k IN (1, 3))"""
+
+
+@query("p13_boilerplate_rules", f"""WITH {_MENUS.replace('sequence', 'generate_series')}, r AS (SELECT doc, trim(line) AS t FROM l WHERE length(trim(line)) BETWEEN 1 AND 160 GROUP BY 1, 2 HAVING count(DISTINCT page) >= 5),
+   f AS (SELECT doc, page, k, line, k = 1 OR k = 2 OR EXISTS (SELECT 1 FROM r WHERE r.doc = l.doc AND r.t = trim(l.line)) AS f FROM l), s AS (SELECT doc, bool_or(NOT f) AS other FROM f GROUP BY 1)
+   SELECT doc, page, k, f AND other AS is_boilerplate FROM f JOIN s USING (doc)""", "pages")
+def p13_rules(pages: DataFrame) -> DataFrame:
+    """Seven lines a page, thirty pages a document; every third document has menus and footers only."""
+    spark = pages.sparkSession
+    lines = spark.sql(f"WITH {_MENUS.replace('//', 'DIV').replace('SELECT unnest(sequence(0, 6)) AS k', 'SELECT explode(sequence(0, 6)) AS k')} SELECT * FROM l", pages=pages)
+    return records.boilerplate(lines, "doc", "line", "page").select("doc", "page", "k", "is_boilerplate")
+
+
 @query("p03_source_profile", """SELECT 'k' AS path, count(*) FILTER (WHERE props ->> '$.k' IS NOT NULL) AS present, count(*) AS records, min(ts) AS first_at, max(ts) AS last_at FROM {events}""", "events")
 def p03(events: DataFrame) -> DataFrame:
     return records.source_profile(records.flatten_json(events, "event_id", "props"), events, "ts")

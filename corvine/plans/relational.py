@@ -475,9 +475,9 @@ def u03(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return customer.select(F.col("c_nationkey").alias("k")).subtract(supplier.where("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("u04_intersect", "SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 48 INTERSECT SELECT p_partkey FROM {part} WHERE p_size < 5", "lineitem", "part")
-def u04(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    return lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("k")).intersect(part.where("p_size < 5").select("p_partkey"))
+@query("u04_intersect", "SELECT l_partkey AS k FROM {lineitem} INTERSECT SELECT o_custkey FROM {orders}", "lineitem", "orders")
+def u04(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    return lineitem.select(F.col("l_partkey").alias("k")).intersect(orders.select("o_custkey"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import crawl, filters
@@ -80,5 +80,4 @@ def q03(events: DataFrame) -> DataFrame:
 
 @query("q04_first_of_canonical", f"WITH {_URL} SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM u) WHERE r = 1", "pages")
 def q04_first(pages: DataFrame) -> DataFrame:
-    w = Window.partitionBy(html.url_host(F.col("url"))).orderBy("page_id")
-    return pages.select("page_id", F.row_number().over(w).alias("r")).where("r = 1").select("page_id")
+    return pages.groupBy(html.url_host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id")).select("page_id")

@@ -180,3 +180,43 @@ def test_nearest_decides_ties(spark, monkeypatch):
     for q, vector in asked:
         best = sorted((-cos(vector, v), i) for i, v in rows if v and len(v) == 16 and any(v)) if any(vector) else []
         assert [r.id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in best[:10]]
+
+
+def test_boilerplate_rules(spark):
+    url = "http://a.b/c"
+    rows = [(1, p, line) for p in range(5) for line in (f"own line {p}", "Footer", f"{url} {url} {url}", f"{url} {url} and many more words than links {p}", f"One | Two | Three | {p}", f"One | Two | {p}", "x" * 161)]
+    rows += [(2, p, "Footer") for p in range(6)] + [(3, 0, "Footer"), (3, 0, None), (3, 1, "Home › A › B › C")]
+    found = {(r.d, r.p, r.t): r.is_boilerplate for r in records.boilerplate(spark.createDataFrame(rows, "d int, p int, t string"), "d", "t", "p").collect()}
+    first = {t: found[1, 0, t] for d, p, t in rows if d == 1 and p == 0}
+    assert list(first.values()) == [False, True, True, False, True, False, False]
+    assert not any(v for (d, _, _), v in found.items() if d == 2)  # all of it would be
+    assert found[3, 1, "Home › A › B › C"] and not found[3, 0, "Footer"]
+
+
+def test_earliest_times(spark):
+    cases = {
+        '{"a": "2024-05-01T10:00:00Z", "b": {"c": 1714550400}}': 1714550400, '{"a": ["2024-05-01T10:00:00+02:00", 1714999999]}': 1714550400, '[{"x": 1714550400123}, {"y": 1714550399999}]': 1714550399,
+        '{"a": "2024-05-01", "n": 12345, "t": true}': None, '{"bad"': None, "": None, '{"a": "2024-13-01T00:00:00Z"}': None, '{"a": "1714550400"}': 1714550400, '{"f": 1714550400.5}': None,
+    }
+    df = spark.createDataFrame(list(enumerate([*cases, None])), "i int, j string")
+    found = {r.i: r.s for r in records.record_times(df, "i", "j").select("i", F.unix_timestamp("occurred_at").alias("s")).collect()}
+    assert [found[i] for i in range(len(cases) + 1)] == [*cases.values(), None]
+
+
+def test_charges_and_coverage(spark):
+    calls = spark.createDataFrame([(1, 7, 2_000_000, "2024-01-01"), (2, 8, 5, "2024-01-01"), (3, 7, None, "2024-01-01")], "call_id int, provider_id int, input_tokens bigint, d string").withColumn("called_at", F.to_timestamp("d"))
+    prices = spark.createDataFrame([(1, 7, "system", "2020-01-01", None, None, 3)], "price_id int, provider_id int, scope string, a string, b string, tokens_from bigint, cents_per_1000 bigint")
+    prices = prices.withColumn("effective_from", F.to_timestamp("a")).withColumn("effective_to", F.to_timestamp("b"))
+    found = {r.call_id: (r.price_id, None if r.charge is None else float(r.charge)) for r in joins.charges(calls, prices).collect()}
+    assert found == {1: (1, 6.0), 2: (None, None), 3: (1, None)}
+    from corvine.operators import aggregates
+
+    rows = spark.createDataFrame([(1, 2), (5, 2), (0, 0), (None, 3), (3, 0)], "f int, b int")
+    assert [r.c for r in rows.select(aggregates.coverage(F.col("f"), F.col("b")).alias("c")).collect()] == [0.5, 1.0, 0.0, None, 0.0]
+
+
+def test_edges_near_the_keywords(spark):
+    nodes = spark.createDataFrame([("a", "Payment Gateway", "system", 3), ("b", "Ledger", "store", 1)], "node_id string, label string, node_type string, support_count int")
+    edges = spark.createDataFrame([("a", "b", "writes_to")], "from_node_id string, to_node_id string, relation_type string")
+    plain, near = (graph.edge_relevance(edges, nodes, k).first().relevance for k in ((), ("gatewey", "ledger", "absent", "writes")))
+    assert abs(near - plain - 3 * 0.24) < 1e-9 and abs(plain - (3 + 0.5 + 0.015 * np.log(4))) < 1e-9
