@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import blocks, claims, facts, graph, ranking, search
+from .operators import blocks, claims, facts, graph, lanes, metadata, ranking, search
+from .sources import snapshot
 
 #: Modes of retrieval. Fixed values.
 MODES = ("document", "local", "global", "hybrid", "mix")
@@ -89,6 +90,42 @@ class Engine:
             "doc_id", "score", "lanes", search.excerpt(F.col("text"), F.lit(terms[0] if terms else "")).alias("excerpt")
         ).orderBy(F.desc("score"), "doc_id")
 
+    def page(self, after: object = None, size: int = 50, id_col: str = "doc_id") -> DataFrame:
+        """A page of documents, the largest ids first, and one row more if another page follows."""
+        return ranking.keyset_page(self.documents, [id_col], None if after is None else [after], size)
+
+    def titles(self, query: str, limit: int = 20) -> DataFrame:
+        """Documents (with the columns title and key) whose title or key holds terms of a query, best first."""
+        asked = self.documents.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+        return metadata.metadata_search(self.documents.select("doc_id", "title", "key"), asked, limit, "doc_id").drop("query_id")
+
+    def find_entities(self, query: str, limit: int = 50) -> DataFrame:
+        """Nodes whose label and type hold all terms of a query, best first."""
+        asked = self.nodes.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+        return lanes.text_lane(self.nodes, asked, "node_id", F.concat_ws(" ", "label", "node_type"), limit).drop("query_id")
+
+    def find_relations(self, query: str, limit: int = 50) -> DataFrame:
+        """Relations whose ends' labels and type hold all terms of a query, best first: ``(edge_key, score, rank)``."""
+        label = lambda s: self.nodes.select(F.col("node_id").alias(f"{s}_node_id"), F.col("label").alias(f"{s}_label"))
+        named = self.edges.join(label("from"), "from_node_id").join(label("to"), "to_node_id")
+        named = named.withColumn("edge_key", graph.edge_key(F.col("from_node_id"), F.col("relation_type"), F.col("to_node_id")))
+        asked = self.edges.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+        text = F.replace(F.concat_ws(" ", "from_label", "relation_type", "to_label"), F.lit("_"), F.lit(" "))
+        return lanes.text_lane(named, asked, "edge_key", text, limit).drop("query_id")
+
+    def _tables(self) -> dict[str, DataFrame]:
+        known = {"documents": self.documents, "vectors": self.vectors, "nodes": self.nodes, "edges": self.edges}
+        return {name: df for name, df in known.items() if df is not None}
+
+    def export(self, path: str) -> None:
+        """A snapshot of all tables."""
+        snapshot.export(self._tables(), path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, embed: Callable[[str], Sequence[float]] | None = None) -> Engine:
+        """The engine over a snapshot."""
+        return cls(**snapshot.import_(spark, path), embed=embed)
+
     def entities(self, prefix: str = "", limit: int = 50) -> DataFrame:
         return self.nodes.where(F.startswith(F.lower("label"), F.lit(prefix.lower()))).orderBy(F.desc("support_count"), "label", "node_id").limit(limit)
 

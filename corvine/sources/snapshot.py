@@ -41,6 +41,27 @@ def import_(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def restore(spark: SparkSession, path: str, target: str, overwrite: str = "reject") -> dict[str, str]:
+    """Publish every table of a snapshot under ``target``; gives the versions by table.
+
+    ``reject`` is an error if any of the tables is there already, before anything is written; ``replace`` makes the snapshot's rows
+    their current version, and the old versions stay until they are removed.
+    """
+    if overwrite not in ("reject", "replace"):
+        raise ValueError(f"unknown mode {overwrite}")
+    tables = import_(spark, path)
+    if overwrite == "reject":
+        here = [name for name in tables if _exists(spark, f"{target}/{name}/current")]
+        if here:
+            raise ValueError(f"tables are there already: {', '.join(sorted(here))}")
+    return {name: publish(df, f"{target}/{name}") for name, df in tables.items()}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """``current`` with rows of ``changes`` put in place of those with equal keys.
 

@@ -25,6 +25,37 @@ def test_engine_graph(spark):
     assert [r.node_id for r in engine.entities("be").collect()] == ["b"]
 
 
+def test_engine_lists_finds_and_travels(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", f"Guide {i % 3}", f"g-{i}.md") for i in range(7)], "doc_id bigint, text string, title string, key string")
+    nodes = spark.createDataFrame([("a", "Alpha Store", "system", 3), ("b", "Beta Store", "system", 5), ("c", "Gamma", "person", 1)], "node_id string, label string, node_type string, support_count int")
+    edges = spark.createDataFrame([("a", "b", "writes_to"), ("c", "a", "owns")], "from_node_id string, to_node_id string, relation_type string")
+    Engine(docs, nodes=nodes, edges=edges).export(f"file://{tmp_path}/snapshot")
+    engine = Engine.load(spark, f"file://{tmp_path}/snapshot")
+    assert [r.doc_id for r in engine.page(size=3).collect()] == [6, 5, 4, 3] and [r.doc_id for r in engine.page(2, 3).collect()] == [1, 0]
+    assert [r.doc_id for r in engine.titles("guide 1", 2).orderBy("rank").collect()] == [4, 1] and engine.vectors is None
+    assert {r.node_id for r in engine.find_entities("store system").collect()} == {"a", "b"} and engine.find_entities("nothing").count() == 0
+    assert [r.edge_key for r in engine.find_relations("gamma owns").collect()] == ["c--owns--a"] and [r.edge_key for r in engine.find_relations("alpha writes").collect()] == ["a--writes_to--b"]
+
+
+def test_snapshots_are_restored(spark, tmp_path):
+    import pytest
+
+    from corvine.sources import snapshot
+
+    one, two = (spark.createDataFrame([(i, x) for i in range(3)], "i int, x string") for x in "ab")
+    snapshot.export({"t": one}, f"file://{tmp_path}/one")
+    snapshot.export({"t": two, "u": two}, f"file://{tmp_path}/two")
+    target = f"file://{tmp_path}/target"
+    snapshot.restore(spark, f"file://{tmp_path}/one", target)
+    with pytest.raises(ValueError, match="there already: t"):
+        snapshot.restore(spark, f"file://{tmp_path}/two", target)
+    assert {r.x for r in snapshot.current(spark, f"{target}/t").collect()} == {"a"}
+    assert snapshot.restore(spark, f"file://{tmp_path}/two", target, overwrite="replace").keys() == {"t", "u"}
+    assert {r.x for r in snapshot.current(spark, f"{target}/t").collect()} == {"b"} and snapshot.current(spark, f"{target}/u").count() == 3
+    with pytest.raises(ValueError, match="unknown mode"):
+        snapshot.restore(spark, f"file://{tmp_path}/two", target, overwrite="merge")
+
+
 def test_engine_verifies_answers(spark):
     engine = Engine(spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
     evidence = spark.createDataFrame([(1, "Set `port=8080` in version v1.2.0."), (2, "All of it holds.")], "doc_id int, text string")
