@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks, claims, filters, joins, lanes, metadata, ranking, search
 from ..registry import query
-from ..tables import load
 from .relational import TRIGRAMS as _TRIGRAMS
 
 _W = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
@@ -260,12 +259,17 @@ def r32(lineitem: DataFrame) -> DataFrame:
     return lineitem.groupBy("l_partkey").agg(F.max("l_extendedprice").alias("score"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("l_orderkey"))
 
 
-@query("r02_hybrid_document_search")
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("r02_hybrid_document_search", f"""WITH {_POST}, q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}'))) AS token FROM {{benchmark}}), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+  h AS (SELECT query_id, doc_id, round(count(*) / max(n.n) * (1 + 1 / (1 + (max(first_at) - min(first_at)) / 100.0)) * ln(1 + sum(tf)), 9) AS score FROM p JOIN q USING (token) JOIN n USING (query_id) GROUP BY 1, 2),
+  s AS (SELECT b.vec_id AS query_id, v.vec_id AS doc_id, {_COS.format('b.embedding', 'v.embedding').replace(', 6)', ', 9)')} AS score FROM {{embeddings}} b JOIN {{embeddings}} v ON b.vec_id IN (SELECT item_id FROM {{benchmark}})),
+  l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM s),
+  f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, count(*) AS lanes FROM l WHERE rank <= 96 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f),
+  t AS (SELECT query_id, min(token) AS term FROM q GROUP BY 1)
+  SELECT query_id, place::INTEGER AS place, doc_id, round(score, 9) AS score, lanes, substr(text, greatest(greatest(instr(lower(text), coalesce(term, '')), 1) - 80, 1), 280) AS excerpt FROM b JOIN {{documents}} USING (doc_id) LEFT JOIN t USING (query_id) WHERE place <= 10""", "documents", "embeddings", "benchmark")
+def hybrid(documents: DataFrame, embeddings: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Lexical and vector lanes over all documents, fused, cut to ten documents per question with excerpts."""
-    documents, embeddings, benchmark = (load(spark, sf_dir, n) for n in ("documents", "embeddings", "benchmark"))
     terms = benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("token"))
-    lexical = search.lexical_lane(_postings(documents), terms, "doc_id", "any")
+    lexical = search.lexical_lane(_postings(documents), terms, "doc_id", "any").withColumn("score", F.round("score", 9))
     lexical = ranking.top_per_group(lexical, ["query_id"], [F.desc("score"), F.col("doc_id")], 96, rank="rank")
     asked = embeddings.join(benchmark.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     vector = search.nearest(embeddings, asked, "vec_id", "embedding", 96).withColumnRenamed("vec_id", "doc_id")
