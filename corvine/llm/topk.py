@@ -16,8 +16,6 @@ query groups and candidate groups, each of bounded size, dealt out by a hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
