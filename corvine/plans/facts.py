@@ -83,3 +83,20 @@ def f14(part: DataFrame) -> DataFrame:
      AND NOT (len(n) = 3 AND n[3] BETWEEN 1900 AND 2100 AND n[1] BETWEEN 1 AND 31 AND n[2] BETWEEN 1 AND 31 AND least(n[1], n[2]) <= 12) AND NOT (len(n) = 4 AND list_max(n) <= 255 AND NOT v)""", "documents")
 def f14_releases(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(fn.release_versions(F.col("text"))).alias("version"))
+
+
+_FOUND = """CASE page_id % 6 WHEN 0 THEN [['url', url, NULL], ['http_method', 'GET', NULL], ['endpoint_path', '/api/v1/items', 'GET'], ['endpoint_path', '/b/' || chr(123) || 'id', 'GET'], ['protocol', split_part(url, ':', 1), NULL]]
+  WHEN 1 THEN [['url', 'https://u:p@h.example:8443/p/q?k=2#f', NULL], ['url', 'http://[::1]:99999/x', NULL], ['http_method', 'PUT', NULL], ['http_method', 'POST', NULL], ['endpoint_path', '/p/q', NULL], ['endpoint_path', '/x', NULL], ['port', '8443', NULL], ['protocol', 'https', NULL], ['protocol', 'http', NULL]]
+  WHEN 2 THEN [['status_code', '404', NULL], ['status_code', '200', NULL]] WHEN 3 THEN [['auth_rule', 'bearer_token', NULL]] WHEN 4 THEN [['protocol', 'tcp', NULL], ['protocol', 'udp', NULL], ['protocol', 'grpc', NULL], ['protocol', 'wss', NULL], ['protocol', 'http', NULL]] ELSE [] END"""
+
+
+@query("f06_line_facts", f"""WITH f AS (SELECT page_id, unnest({_FOUND}) AS f, url FROM {{pages}}), p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM {{pages}} WHERE page_id % 6 = 0)
+  SELECT DISTINCT page_id, f[1] AS fact_kind, f[2] AS value, f[3] AS method FROM f UNION SELECT page_id, 'endpoint_path', path, 'GET' FROM p WHERE length(path) >= 2 AND regexp_matches(path, '^[A-Za-z0-9/_.{{}}-]*$')""".replace("{{}}", "{" + "}"), "pages")
+def f06(pages: DataFrame) -> DataFrame:
+    """A line of its own sort for every page."""
+    i = F.col("page_id") % 6
+    line = (
+        F.when(i == 0, F.concat(F.lit("get /api/v1/items?x=1 or (/b/{id}), see "), "url", F.lit(";"))).when(i == 1, F.lit('put "https://u:p@h.example:8443/p/q?k=2#f" then POST /odd$path http://[::1]:99999/x'))
+        .when(i == 2, F.lit("HTTP/1.1 404 Not; http/1.1 500, HTTP/2 200 HTTP/2 999 HTTP/1.1 404")).when(i == 3, F.lit(" Authorization : Bearer abc")).when(i == 4, F.lit("uses tcp, UDP; (gRPC) and wss HTTP")).otherwise("authorization: digest x")
+    )
+    return facts.line_facts(pages.select("page_id", line.alias("line")), ["page_id"], "line")

@@ -220,3 +220,20 @@ def test_edges_near_the_keywords(spark):
     edges = spark.createDataFrame([("a", "b", "writes_to")], "from_node_id string, to_node_id string, relation_type string")
     plain, near = (graph.edge_relevance(edges, nodes, k).first().relevance for k in ((), ("gatewey", "ledger", "absent", "writes")))
     assert abs(near - plain - 3 * 0.24) < 1e-9 and abs(plain - (3 + 0.5 + 0.015 * np.log(4))) < 1e-9
+
+
+def test_facts_of_lines(spark):
+    lines = {
+        "See <http://a.b/c>, (https://a.b:8080/v1/x?q=1).": {("url", "https://a.b:8080/v1/x?q=1)."), ("endpoint_path", "/v1/x"), ("protocol", "https")},
+        "| GET | /users/{id} | list |": {("http_method", "GET"), ("endpoint_path", "/users/{id")}, "connect to ws now": {("http_method", "CONNECT"), ("protocol", "ws")}, "POST GET /a/b": {("http_method", "POST"), ("http_method", "GET"), ("endpoint_path", "/a/b")},
+        "http://h:0/ http://h:65535 http://h:70000/": {("url", "http://h:0/"), ("url", "http://h:65535"), ("url", "http://h:70000/"), ("port", "65535"), ("protocol", "http")}, "status 404, HTTP/1.1 99 HTTP/x 200": set(), "AUTHORIZATION:  basic dXNlcg==": {("auth_rule", "basic_auth")}, "": set(), None: set(),
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    found = {}
+    for r in facts.line_facts(df, ["i"], "t").collect():
+        found.setdefault(r.i, set()).add((r.fact_kind, r.value))
+        assert r.method == ("GET" if r.i == 1 and r.fact_kind == "endpoint_path" else None)
+    found = {i: {(k, v) for k, v in x} for i, x in found.items()}
+    got = [found.get(i, set()) for i in range(len(lines))]
+    assert got[1:] == list(lines.values())[1:]
+    assert ("endpoint_path", "/v1/x") in got[0] and ("protocol", "https") in got[0]
