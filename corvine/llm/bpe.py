@@ -111,10 +111,13 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int], seen: list
 
 
 class Encoder:
-    """Encodes texts with one vocabulary; one instance per worker process."""
+    """Encodes texts with one vocabulary; one instance per worker process.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    ``merge`` gives a pre-token's ids from its byte symbols, in place of the backtracking of this module.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, merge: Callable[[str], list[int]] | None = None):
+        self.vocabulary, self._merge = vocabulary, merge
         self._bytes = byte_symbols()
         self._table = dict(enumerate(self._bytes))
         suffix = vocabulary.suffix
@@ -216,6 +219,8 @@ class Encoder:
 
     def word_ids(self, word: str) -> list[int]:
         """Tokens of one non-empty pre-token."""
+        if self._merge is not None:
+            return self._merge(word if word.isascii() and word.isalpha() else word.encode("utf-8").decode("latin-1").translate(self._table))
         text = self.symbols(word)
         if text in self.whole:
             return [self._id[text]]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
-from .tokens import encoder, share
+from .tokens import library_encoder, share_library
 
 
 @dataclass(frozen=True)
@@ -98,18 +98,18 @@ def pack_documents(
 ) -> DataFrame:
     """Pack all texts of ``df`` into sequences; a row per piece.
 
-    A document is its text's ids and ``end_id``; those longer than ``capacity.tokens`` are
+    A document is its text's ids, merged by the tokenizers library, and ``end_id``; those longer than ``capacity.tokens`` are
     cut into pieces of that length, the last one shorter.  Result: id, ``piece`` (from 0),
     ``start`` (ids of the document before it), ``length``, ``ids_crc32`` (of the
     little-endian 32-bit ids), ``sequence_id``, ``offset`` (gapless from 0 within the
     sequence), and with ``with_ids`` the piece's ``ids`` as binary.  Null texts count as
     empty and give a piece of ``end_id`` alone; rows with equal or null ids are packed each.
     """
-    shared, end = share(df, path), end_id.to_bytes(4, "little")
+    shared, end = share_library(df, path), end_id.to_bytes(4, "little")
     size = capacity.tokens
 
     def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encode = encoder(shared).encode
+        encode = library_encoder(shared).encode
         for key, text in rows:
             ids = encode(text or "") + end
             for k, at in enumerate(range(0, len(ids), 4 * size)):

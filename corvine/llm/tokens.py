@@ -7,7 +7,9 @@ read by the driver and broadcast; its size is fixed by the tokenizer, not by the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
+import tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def share(df: DataFrame, path: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast((path, vocabulary))
 
 
+def share_library(df: DataFrame, path: str) -> Broadcast:
+    """Broadcast the vocabulary at ``path`` and its file's text, from which a worker makes the library's model."""
+    return df.sparkSession.sparkContext.broadcast((path, bpe.Vocabulary.load(path), Path(path).read_text(encoding="utf-8")))
+
+
+def library_encoder(shared: Broadcast) -> bpe.Encoder:
+    """The worker process's encoder whose pre-tokens the tokenizers library merges; texts are cut and words kept as by ``encoder``."""
+    key, vocabulary, text = shared.value
+
+    def make() -> bpe.Encoder:
+        merge = tokenizers.Tokenizer.from_str(text).model.tokenize
+        return bpe.Encoder(vocabulary, lambda symbols: [t.id for t in merge(symbols)])
+
+    return kept(("library", key), make)
+
+
 def encoder(shared: Broadcast) -> bpe.Encoder:
     """The worker process's encoder for a shared vocabulary."""
     key, vocabulary = shared.value
