@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import near_token
-from .ranking import first_per_group
+from .ranking import first_per_group, global_position
 
 
 def request_list(df: DataFrame, key: str, wanted: Sequence) -> DataFrame:
@@ -97,6 +97,20 @@ def charges(calls: DataFrame, prices: DataFrame, tokens: str = "input_tokens") -
     return calls.join(priced, "call_id", "left").withColumn("charge", charge).drop("cents_per_1000")
 
 
+def overflow(conversations: DataFrame, executions: DataFrame, replays: DataFrame, most: int, before: Column, bucket: Column) -> DataFrame:
+    """Conversations that go so that ``most`` stay: the oldest of those that may.
+
+    ``conversations``: (id, created_at); ``executions``: (id, completed_at; null: it runs); ``replays``: (source_id, id).  One may go if all its executions have
+    ended, or without any if it was made ``before``; not if another conversation replays one of its.  ``bucket`` splits the order of creation into ranges.
+    """
+    state = executions.groupBy("id").agg(F.bool_or(F.col("completed_at").isNull()).alias("_runs"))
+    elsewhere = replays.where(F.col("source_id") != F.col("id")).select(F.col("source_id").alias("id")).distinct()
+    free = conversations.join(state, "id", "left").where(F.coalesce(~F.col("_runs"), F.col("created_at") < before)).join(elsewhere, "id", "left_anti")
+    extra = conversations.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("_extra"))
+    aged = global_position(free.drop("_runs"), [F.col("created_at"), F.col("id")], bucket, "age")
+    return aged.join(F.broadcast(extra)).where("age <= _extra").drop("_extra")
+
+
 def inherit(keys: Sequence[str], scopes: dict[str, DataFrame]) -> DataFrame:
     """Of each key the row of the nearest scope; ``scopes`` go from near to far."""
     rows = None

@@ -307,18 +307,24 @@ def j17(customer: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
+_TALKS = """c AS (SELECT user_id AS id, min(ts) AS created_at FROM {events} GROUP BY user_id), x AS (SELECT user_id AS id, CASE WHEN event_type = 'signup' AND value > 9 THEN NULL ELSE ts END AS completed_at FROM {events} WHERE event_type IN ('purchase', 'signup') AND event_id % 3 = 0),
+  r AS (SELECT user_id AS source_id, user_id + event_id % 2 AS id FROM {events} WHERE event_type = 'error' AND event_id % 7 = 0)"""
+
+
 @query(
     "j18_overflow_retention",
-    """WITH c AS (SELECT conv_id, count(*) AS turns, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS answered FROM {conversations} GROUP BY conv_id),
-       o AS (SELECT *, row_number() OVER (ORDER BY conv_id) AS age, count(*) OVER () AS n FROM c)
-       SELECT conv_id FROM o WHERE age <= greatest(n - 50, 0) AND answered = 1 AND turns % 3 <> 0""",
-    "conversations",
-)
-def j18(conversations: DataFrame) -> DataFrame:
-    known = conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.when(F.col("role") == "assistant", 1).otherwise(0)).alias("answered"))
-    aged = ranking.global_position(known, [F.col("conv_id")], F.floor(F.col("conv_id") / 10_000), "age")
-    total = F.broadcast(known.agg(F.count("*").alias("n")))
-    return aged.join(total).where("age <= greatest(n - 50, 0) AND answered = 1 AND turns % 3 <> 0").select("conv_id")
+    f"""WITH {_TALKS}, f AS (SELECT id, created_at FROM c WHERE CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.id = c.id) THEN NOT EXISTS (SELECT 1 FROM x WHERE x.id = c.id AND completed_at IS NULL) ELSE created_at < (SELECT max(created_at) FROM c) END
+         AND NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = c.id AND r.id <> c.id))
+       SELECT id, age FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS age FROM f) WHERE age <= (SELECT greatest(count(*) - 50, 0) FROM c)""",
+    "events",
+)
+def j18(events: DataFrame) -> DataFrame:
+    """Users as conversations, purchases and signups as executions, errors as replays."""
+    talks, runs, replays = (events.sparkSession.sql(f"WITH {_TALKS} SELECT * FROM {t}", events=events) for t in "cxr")
+    last = talks.agg(F.max("created_at").alias("last"))
+    before = talks.join(F.broadcast(last))
+    gone = joins.overflow(before, runs, replays, 50, F.col("last"), F.unix_timestamp(F.date_trunc("hour", F.col("created_at").cast("timestamp"))))
+    return gone.select("id", "age")
 
 
 @query(

@@ -237,3 +237,11 @@ def test_facts_of_lines(spark):
     got = [found.get(i, set()) for i in range(len(lines))]
     assert got[1:] == list(lines.values())[1:]
     assert ("endpoint_path", "/v1/x") in got[0] and ("protocol", "https") in got[0]
+
+
+def test_overflow_spares_what_runs_or_is_replayed(spark):
+    talks = spark.createDataFrame([(i, i) for i in range(8)], "id int, created_at int")
+    runs = spark.createDataFrame([(0, 1), (1, 1), (1, None), (2, 1), (4, 1)], "id int, completed_at int")
+    replays = spark.createDataFrame([(2, 9), (4, 4)], "source_id int, id int")
+    gone = lambda most: [r.id for r in joins.overflow(talks, runs, replays, most, F.lit(6), F.floor(F.col("created_at") / 2)).orderBy("age").collect()]
+    assert gone(5) == [0, 3, 4] and gone(0) == [0, 3, 4, 5] and gone(8) == [] and gone(20) == [] and gone(7) == [0]
