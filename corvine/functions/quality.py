@@ -5,6 +5,8 @@ All of it is expressions over the array of a text's tokens, so it runs inside th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CASE_TURN = f"(?<={_LOW})(?={_UP})|(?<={_UP})(?={_LOW})"
 DIGIT_TURN = f"(?<=[0-9])(?={_ALPHA})|(?<={_ALPHA})(?=[0-9])"
 _others = lambda r: f"(?<=[{_ALPHA}&&[{r}]])(?=[{_ALPHA}&&[^{r}]])"
 SCRIPT_TURN = "|".join([*map(_others, _SCRIPTS), f"(?<=[{_ALPHA}&&[^{''.join(_SCRIPTS)}]])(?=[{_ALPHA}&&[{''.join(_SCRIPTS)}]])"])
+#: What an unstable or noisy token must have, whatever else.
+_ODD = rf"[0-9]|{_UP}.*{_UP}|[^\x{{0000}}-\x{{024F}}]"
 #: Tokens of code: with these marks, or with signs of angle or an inner dot.
 _STRONG = r"://|/|_|::|->|=>|=|[(){}\[\]]"
 _WEAK = rf"{_STRONG}|[<>]|[{_ALPHA}\p{{N}}_]\.[{_ALPHA}\p{{N}}_]"
@@ -61,19 +65,33 @@ def assess(text: Column) -> Column:
     dominates.  A text of low confidence scores 0.3 at most.  Null texts count as empty.
     """
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    good = _result(F.lit(1.0), F.lit(False), F.lit(0.0), F.lit(0), F.lit(0), F.array().cast("array<string>"))
+    return _once(body, lambda b: F.when(F.length(b) < 24, good).otherwise(_once(_lists(b), lambda x: _once(_counted(x), _judge))))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once: a lambda's variable has it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _lists(body: Column) -> Column:
+    """The text, its tokens between white space, and those without marks at their ends."""
     raw = F.filter(F.split(body, r"\s+"), lambda t: t != "")
-    tokens = F.filter(F.transform(raw, clean_token), lambda t: t.rlike(rf"[{_ALPHA}\p{{N}}]"))
-    bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^[,;:.?!]+|[,;:.?!]+$", ""))
-    n = F.size(tokens)
-    # each step is an array of one element, so that a transform names it and it is evaluated once
-    counts = F.struct(
+    return _once(raw, lambda r: F.struct(
+        body.alias("body"), F.filter(F.transform(r, clean_token), lambda t: t.rlike(rf"[{_ALPHA}\p{{N}}]")).alias("tokens"),
+        F.filter(F.transform(r, lambda t: F.regexp_replace(t, r"^[,;:.?!]+|[,;:.?!]+$", "")), lambda t: t.rlike(_WEAK)).alias("marked"),
+    ))
+
+
+def _counted(x: Column) -> Column:
+    body, tokens = x["body"], x["tokens"]
+    # most tokens are plain words: only those with digits, two capitals or other writing systems can be unstable or noise
+    odd = F.filter(tokens, lambda t: t.rlike(_ODD))
+    return F.struct(
         F.greatest(F.length(body), F.lit(1)).alias("chars"), _count(body, "�").alias("replaced"), _count(body, r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]").alias("control"),
-        n.alias("n"), F.size(F.filter(tokens, is_unstable)).alias("unstable"), F.size(F.filter(tokens, is_noise)).alias("noise"),
-        F.size(F.filter(bare, lambda t: t.rlike(_STRONG))).alias("strong"), F.size(F.filter(bare, lambda t: t.rlike(_WEAK))).alias("marked"),
+        F.size(tokens).alias("n"), F.size(F.filter(odd, is_unstable)).alias("unstable"), F.size(F.filter(odd, is_noise)).alias("noise"),
+        F.size(F.filter(x["marked"], lambda t: t.rlike(_STRONG))).alias("strong"), F.size(x["marked"]).alias("marked"),
     )
-    return F.when(F.length(body) < 24, _result(F.lit(1.0), F.lit(False), F.lit(0.0), F.lit(0), F.lit(0), F.array().cast("array<string>"))).otherwise(
-        F.element_at(F.transform(F.array(counts), _judge), 1)
-    )
 
 
 def _result(score: Column, low: Column, share: Column, unstable: Column, tokens: Column, reasons: Column) -> Column:

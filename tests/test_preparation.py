@@ -336,3 +336,13 @@ def test_focused_excerpts():
     assert streams.focused_excerpt(unit, ["invoice"], 60) == "[unit_ordinal=3] fields: late=Invoice total 42"
     assert streams.focused_excerpt(unit, ["absent"], 90) is None and streams.focused_excerpt(unit, ["x"], 90) is None and streams.focused_excerpt(unit, ["invoice"], 20) is None
     assert streams.focused_excerpt(" short ", [], 90) == "short" and streams.focused_excerpt("", ["a"], 9) is None
+
+
+def test_odd_tokens_are_all_that_can_be_unstable(spark):
+    """The cheap test before the others leaves out no token that they would find."""
+    from corvine.functions import quality
+
+    documents = duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    words = sorted({w for (t,) in documents for w in (t or "").split()})[::3] + NOISE.split() + ["αaβbγ", "АbВc", "ÀbÉc", "ABc1", "a1b2", "getUserById", "plain"]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select(clean_token(F.col("t")).alias("t"))
+    assert rows.where((is_unstable(F.col("t")) | is_noise(F.col("t"))) & ~F.col("t").rlike(quality._ODD)).count() == 0
