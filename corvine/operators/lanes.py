@@ -103,11 +103,17 @@ def chunk_lane(chunks: DataFrame, documents: DataFrame, questions: DataFrame, li
 
 
 def text_lane(rows: DataFrame, questions: DataFrame, id_col: str, text: Column, limit: int = 50) -> DataFrame:
-    """``(query_id, id, score, rank)``: rows (blocks, entities, relations) whose text holds all terms of a question, best first; ties to the smaller id."""
+    """``(query_id, id, score, rank)``: rows (blocks, entities, relations) whose text holds all terms of a question, best first; ties to the smaller id.
+
+    Questions of the same tokens find the same rows: one of them is searched for, and its best rows are given to all.
+    """
     tokens = questions.select("query_id", F.explode(question_terms(F.col("query"))["terms"]).alias("term"))
     tokens = tokens.select("query_id", F.explode(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token")).distinct()
-    found = lexical_lane(postings(rows, id_col, text), tokens, id_col)
-    return top_per_group(found.select("query_id", id_col, "score"), ["query_id"], [F.desc("score"), F.col(id_col)], limit, rank="rank")
+    alike = tokens.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("all")).groupBy("all").agg(F.min("query_id").alias("one"), F.collect_list("query_id").alias("ids"))
+    asked = alike.select(F.col("one").alias("query_id"), F.explode("all").alias("token"))
+    found = lexical_lane(postings(rows, id_col, text), asked, id_col)
+    best = top_per_group(found.select(F.col("query_id").alias("one"), id_col, "score"), ["one"], [F.desc("score"), F.col(id_col)], limit, rank="rank")
+    return best.join(alike.select("one", F.explode("ids").alias("query_id")), "one").select("query_id", id_col, "score", "rank")
 
 
 _QUOTED = r"""\"([^\"]*)\"|'([^']*)'|`([^`]*)`|\u00ab([^\u00bb]*)\u00bb|\u201c([^\u201d]*)\u201d|\u2018([^\u2019]*)\u2019"""

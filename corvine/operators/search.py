@@ -35,11 +35,41 @@ def prefix_key(token: Column, cut: int = 5) -> Column:
 def term_hits(postings_: DataFrame, terms: DataFrame, id_col: str, prefixes: bool = False) -> DataFrame:
     """``(id, token, tf, first_at)`` of the tokens that some term equals, or with ``prefixes`` has the prefix of.
 
-    Occurrences are counted before questions are joined, so what is shuffled doesn't grow with these.
+    Occurrences go to their row's task once, so that whatever is counted per row and question needs no further shuffle.
     """
     key = prefix_key(F.col("token")) if prefixes else F.col("token")
-    met = postings_.withColumn("_key", key).join(terms.select(key.alias("_key")).distinct(), "_key", "left_semi")
-    return met.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+    keys = terms.select(key.alias("_key")).distinct()
+    met = postings_.withColumn("_key", key).join(F.broadcast(keys) if fits(terms) else keys, "_key", "left_semi")
+    return met.repartition(id_col).groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+
+
+def fits(terms: DataFrame) -> bool:
+    """Whether the terms of questions may be held by every task."""
+    return terms.agg(F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0))).first()[0] <= LITERAL_BYTES
+
+
+def _score(matched: Column, n: Column, span: Column, tf: Column) -> Column:
+    return matched / n * (1 + 1 / (1 + span / 100.0)) * F.log1p(tf)
+
+
+def _all_terms(postings_: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """As ``lexical_lane`` of mode ``all``: a row meets only the questions whose seldomest term it holds, and is tested for the others where it lies."""
+    known, few = terms.select("token").distinct(), fits(terms)
+    met = postings_.join(F.broadcast(known) if few else known, "token", "left_semi")
+    often = met.groupBy("token").agg(F.count("*").alias("_often"))
+    asked = terms.distinct().join(often, "token", "left").groupBy("query_id").agg(
+        F.collect_list("token").alias("_all"), F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "token")).alias("_least")
+    )
+    # a question with a term that no row holds finds nothing
+    asked = asked.where("_least.n > 0").select("query_id", "_all", F.col("_least.token").alias("_key"))
+    asked = F.broadcast(asked) if few else asked
+    held = met.repartition(id_col).groupBy(id_col).agg(F.collect_list(F.struct("token", "at")).alias("_h"))
+    pairs = held.withColumn("_key", F.explode(F.array_distinct(F.col("_h.token")))).join(asked, "_key").where(F.size(F.array_except("_all", F.col("_h.token"))) == 0)
+    own = F.filter("_h", lambda x: F.array_contains("_all", x["token"]))
+    firsts = F.transform("_all", lambda t: F.array_min(F.transform(F.filter("_o", lambda x: x["token"] == t), lambda x: x["at"])))
+    each = pairs.select("query_id", id_col, "_all", own.alias("_o")).select("query_id", id_col, F.size("_all").cast("bigint").alias("matched"), F.size("_o").alias("_tf"), firsts.alias("_f"))
+    score = _score(F.col("matched"), F.col("matched"), F.array_max("_f") - F.array_min("_f"), F.col("_tf"))
+    return each.select("query_id", id_col, "matched", score.alias("score"))
 
 
 def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
@@ -49,22 +79,25 @@ def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "a
     rows that hold every term (AND), ``any`` those with one.  The score is the share of terms matched, times what their nearness
     adds: one over one plus the span between the first places of the terms, in words of 100.
     """
+    if mode == "all" and "tf" not in found.columns:
+        return _all_terms(found, terms, id_col)
     hits = found if "tf" in found.columns else term_hits(found, terms, id_col)
     wanted = terms.distinct().withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    each = hits.join(wanted, "token").groupBy("query_id", id_col).agg(
+    each = hits.join(F.broadcast(wanted) if fits(terms) else wanted, "token").groupBy("query_id", id_col).agg(
         F.count("*").alias("matched"), F.max("_n").alias("_n"), (F.max("first_at") - F.min("first_at")).alias("_span"), F.sum("tf").alias("_tf")
     )
-    score = F.col("matched") / F.col("_n") * (1 + 1 / (1 + F.col("_span") / 100.0)) * F.log1p("_tf")
     each = each.where(F.col("matched") == F.col("_n")) if mode == "all" else each
-    return each.select("query_id", id_col, "matched", score.alias("score"))
+    return each.select("query_id", id_col, "matched", _score(F.col("matched"), F.col("_n"), F.col("_span"), F.col("_tf")).alias("score"))
 
 
 def prefix_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
     """As ``lexical_lane`` with terms of four characters or more cut to a prefix (``prefix_key``); shorter ones exact."""
-    hits = found if "tf" in found.columns else term_hits(found, terms, id_col, prefixes=True)
     key = prefix_key(F.col("token")).alias("token")
-    cut = hits.select(id_col, key, "tf", "first_at").groupBy(id_col, "token").agg(F.sum("tf").alias("tf"), F.min("first_at").alias("first_at"))
-    return lexical_lane(cut, terms.select("query_id", key), id_col, mode)
+    cut = terms.select("query_id", key).distinct()
+    if "tf" not in found.columns:
+        return lexical_lane(found.select(id_col, "at", key), cut, id_col, mode)
+    hits = found.select(id_col, key, "tf", "first_at").groupBy(id_col, "token").agg(F.sum("tf").alias("tf"), F.min("first_at").alias("first_at"))
+    return lexical_lane(hits, cut, id_col, mode)
 
 
 def ladder(passes: Sequence[DataFrame], id_col: str, enough: int = 8) -> DataFrame:
