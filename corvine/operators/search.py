@@ -40,7 +40,12 @@ def term_hits(postings_: DataFrame, terms: DataFrame, id_col: str, prefixes: boo
     key = prefix_key(F.col("token")) if prefixes else F.col("token")
     keys = terms.select(key.alias("_key")).distinct()
     met = postings_.withColumn("_key", key).join(F.broadcast(keys) if fits(terms) else keys, "_key", "left_semi")
-    return met.repartition(id_col).groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+    return met.repartition(_parts(met), id_col).groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
+
+
+def _parts(df: DataFrame) -> int:
+    """Tasks whose rows become many more, one for each question: as many as are set, not put together by their small input."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def fits(terms: DataFrame) -> bool:
@@ -117,6 +122,31 @@ def ladder(passes: Sequence[DataFrame], id_col: str, enough: int = 8) -> DataFra
     return first.join(used, ["query_id", "pass"])
 
 
+def relaxation(postings_: DataFrame, terms: DataFrame, id_col: str, enough: int = 8) -> DataFrame:
+    """``(query_id, id, pass)`` of exact terms (0), prefixes of all terms of four characters or more (1) and of any (2), as ``ladder`` has them.
+
+    How many rows the first two passes give is counted by themselves; all three are then decided together, where a row's tokens lie.
+    """
+    longer = terms.where(F.length("token") >= 4)
+    strict = [lane(postings_, t, id_col).select("query_id", id_col, F.lit(i).alias("pass")) for i, (lane, t) in enumerate([(lexical_lane, terms), (prefix_lane, longer)])]
+    first = strict[0].unionByName(strict[1]).groupBy("query_id", id_col).agg(F.min("pass").alias("pass"))
+    counts = first.groupBy("query_id").agg(F.count_if(F.col("pass") == 0).alias("_exact"), F.count("*").alias("_both"))
+    word = lambda kind, token: F.struct(F.lit(kind).alias("kind"), token.alias("word"))
+    of = lambda df, kind, token: df.select("query_id", word(kind, token).alias("w")).distinct().withColumn("_k", F.count("*").over(Window.partitionBy("query_id")))
+    wanted = of(terms, 0, F.col("token")).unionByName(of(longer, 1, prefix_key(F.col("token")))).join(counts, "query_id", "left")
+    wanted = wanted.select("query_id", "w", "_k", F.coalesce("_exact", F.lit(0)).alias("_exact"), F.coalesce("_both", F.lit(0)).alias("_both"))
+    tokens = term_hits(postings_, terms, id_col, prefixes=True)
+    words = tokens.select(id_col, F.explode(F.array(word(0, F.col("token")), word(1, prefix_key(F.col("token"))))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("_n"))
+    of_kind = lambda kind: F.count_if(F.col("w.kind") == kind)
+    size = lambda kind: F.max(F.when(F.col("w.kind") == kind, F.col("_k")))
+    each = words.join(F.broadcast(wanted) if fits(terms) else wanted, "w").groupBy("query_id", id_col).agg(
+        of_kind(0).alias("_e"), of_kind(1).alias("_p"), size(0).alias("_ne"), size(1).alias("_np"), F.first("_exact").alias("_exact"), F.first("_both").alias("_both")
+    )
+    stage = F.when(F.col("_e") == F.col("_ne"), 0).when(F.col("_p") == F.col("_np"), 1).when(F.col("_p") > 0, 2)
+    before = F.when(F.col("pass") == 0, 0).when(F.col("pass") == 1, F.col("_exact")).otherwise(F.col("_both"))
+    return each.withColumn("pass", stage).where(F.col("pass").isNotNull() & (before < enough)).select("query_id", id_col, "pass")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null for empty or unequal lengths or a zero norm."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -57,11 +57,7 @@ def x07(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
   SELECT query_id, doc_id, pass FROM f JOIN b USING (query_id, pass) WHERE prior < 8""", "documents", "benchmark")
 def l02(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Exact terms, then prefixes of all terms of four characters or more, then of any."""
-    post, terms = _postings(documents), _questions(benchmark)
-    longer = terms.where(F.length("token") >= 4)
-    found = search.term_hits(post, terms, "doc_id", prefixes=True)
-    passes = [search.lexical_lane(found, terms, "doc_id"), *[search.prefix_lane(found, longer, "doc_id", m) for m in ("all", "any")]]
-    return search.ladder([p.select("query_id", "doc_id") for p in passes], "doc_id").select("query_id", "doc_id", "pass")
+    return search.relaxation(_postings(documents), _questions(benchmark), "doc_id")
 
 
 @query("l06_exact_fact_boost", """SELECT p_partkey, CASE WHEN p_name = 'red widget' THEN 1000000.0 ELSE 0 END + (CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'widget') THEN 1 ELSE 0 END)::DOUBLE AS score
