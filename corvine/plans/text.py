@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import blocks, ranking, records
 from ..registry import query
+from ..rows import small_batches
 
 _LINES = """l AS (SELECT doc_id, i AS chunk_index, content_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {documents})
   WHERE trim(content_text, ' ') <> '')"""
@@ -104,12 +105,14 @@ def sf_slug(documents: DataFrame) -> DataFrame:
 
 @query("sf_unaccent", "SELECT doc_id, strip_accents(text) = text AS plain, md5(strip_accents(text)) AS digest FROM {documents}", "documents")
 def sf_unaccent(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
     flat = documents.select("doc_id", "text", fn.unaccent(F.col("text")).alias("u"))
     return flat.select("doc_id", (F.col("u") == F.col("text")).alias("plain"), F.md5("u").alias("digest"))
 
 
 @query("p22_mojibake_repair", "SELECT doc_id, md5(text) AS digest FROM {documents}", "documents")
 def p22(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
     # what was damaged by reading UTF-8 as Latin-1 comes back as it was
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return documents.select("doc_id", F.md5(fn.repair_mojibake(broken)).alias("digest"))

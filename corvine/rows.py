@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch that Spark hands to Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that Spark hands to Python are cut by bytes: texts may be long, and a worker holds a batch with what it makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def flat_map(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
