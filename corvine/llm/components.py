@@ -44,3 +44,12 @@ def components(links: DataFrame) -> DataFrame:
             )
         before = state
         now = materialize(_star(_star(now, True), False), "links")
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``known`` and of more ``links`` (a, b): only parts that these join are contracted anew."""
+    part = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))
+    ends = links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    found = materialize(components(ends), "merged")
+    moved = known.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(found.join(known, "node", "left_anti").select("node", "component"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
-from .components import components
+from .components import components, merged
 
 SEED = 42
 #: Bits in which linked fingerprints may differ; bands and balls below are made for it.
@@ -157,8 +157,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 # ---- near copies of lower similarity: several fingerprints of one text
 
-#: Fingerprints of a text.
-SKETCHES = 8
+#: Fingerprints of a text, and of one at a fuller key.
+SKETCHES, FINE = 8, 32
 #: Keys that texts meet on, and least hashes (MinHash) that a key is made of.  A key is equal for
 #: texts of similarity s with probability s**6: of pairs at 0.8 all 24 differ in 7 of 10,000.
 KEYS, LEAST = 24, 6
@@ -170,7 +170,7 @@ HUBS = 8
 COMMON = 1 << 16
 #: Constants that make fingerprints from one hash (splitmix64), and orders of hashes. Fixed values.
 _STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
-_STEPS = np.array([[_STEP * k & (1 << 64) - 1] for k in range(SKETCHES)], dtype=np.uint64)
+_STEPS = np.array([[_STEP * k & (1 << 64) - 1] for k in range(FINE)], dtype=np.uint64)
 _ORDERS = np.array([[xxhash.xxh64_intdigest(b"order %d" % i, SEED), xxhash.xxh64_intdigest(b"factor %d" % i, SEED) | 1] for i in range(KEYS * LEAST)], dtype=np.uint64)
 
 
@@ -186,14 +186,15 @@ def shingle_hashes(text: str, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(data[s : e - 1], SEED) for s, e in zip(first, first[span:])], dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """``SKETCHES`` independent 64-bit SimHashes of distinct shingles, signed; zeros without any."""
-    votes = np.zeros((SKETCHES, 64), dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        z = hashes[None, at : at + BLOCK] + _STEPS
+def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> list[int]:
+    """So many independent 64-bit SimHashes of distinct shingles (up to ``FINE``), signed; zeros without any."""
+    votes = np.zeros((sketches, 64), dtype=np.int64)
+    block = BLOCK * SKETCHES // sketches
+    for at in range(0, len(hashes), block):
+        z = hashes[None, at : at + block] + _STEPS[:sketches]
         for shift, factor in _MIX:
             z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
-        for k in range(SKETCHES):
+        for k in range(sketches):
             votes[k] += np.unpackbits(z[k].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * votes > len(hashes), axis=1).view(">i8").ravel().astype(np.int64).tolist()
 
@@ -232,11 +233,16 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
     return hashes[np.argsort(rank, kind="stable")[:n]]
 
 
+def _apart(one: str, two: str, sketches: int) -> Column:
+    """Bits in which two columns of so many fingerprints differ."""
+    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(sketches)), F.lit(0))
+
+
 def pairs_of_prefixes(posted: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: nodes of different parts that a shingle of both prefixes allows the similarity.
 
     ``posted``: (node, part, shingle, at, size), a row per shingle of a prefix, ``at`` its place in the order
-    of the set and ``size`` that of the set.  Sets whose first common shingle is at a place share at most what
+    of the set, ``size`` that of the set; and maybe ``fine``, its fingerprints, whose distance is then tested where a pair meets.  Sets whose first common shingle is at a place share at most what
     follows in either, so the place bounds their similarity (and every similar pair meets at that shingle).
     Of the nodes at a shingle, those of its most frequent part aren't compared with each other.
     """
@@ -248,7 +254,8 @@ def pairs_of_prefixes(posted: DataFrame, similarity: float) -> DataFrame:
     (xs, ys), (xa, ya), (xp, yp), (xn, yn) = map(of, ("size", "at", "part", "node"))
     shared = F.least(xs - xa, ys - ya)
     on = (F.col("x.shingle") == F.col("y.shingle")) & (xp != yp) & (F.least(xs, ys) >= similarity * F.greatest(xs, ys))
-    return x.join(y, on & ((1 + similarity) * shared + 1e-6 >= similarity * (xs + ys))).select(F.greatest(xn, yn).alias("a"), F.least(xn, yn).alias("b")).distinct()
+    near = _apart("x.fine", "y.fine", FINE) <= most_bits(similarity, FINE) if "fine" in posted.columns else F.lit(True)
+    return x.join(y, on & ((1 + similarity) * shared + 1e-6 >= similarity * (xs + ys)) & near).select(F.greatest(xn, yn).alias("a"), F.least(xn, yn).alias("b")).distinct()
 
 
 def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +265,8 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     key are first all compared with the least of them, the hub: that links a crowd of copies by as
     many pairs as it has rows; at keys with more than ``FEW`` texts, ``HUBS`` more of them are hubs.  What that leaves apart at a key is then decided: every pair, where
     at most ``FEW`` are left; texts of fuller keys meet anew, and exactly, on the seldom shingles of
-    their prefixes, so that a passage which many share makes no pairs (``pairs_of_prefixes``).
+    their prefixes, so that a passage which many share makes no pairs (``pairs_of_prefixes``); more fingerprints of
+    these are compared at the shingle where two meet, so that near misses aren't carried further.
     Distances of several independent fingerprints (a table: each text's distance to its hubs, then
     the pair's) only discard pairs, four standard deviations beyond the similarity; the sets of
     shingles (as 64-bit hashes) of the others are compared, and nothing is linked on an estimate.
@@ -279,13 +287,12 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     nodes = materialize(done.groupBy("digest").agg(F.min(id_col).alias("node"), *[F.first(c).alias(c) for c in ("size", "fps", "keys")]), "nodes")
     keyed = nodes.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
     a, b = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"f{n}"), F.col("size").alias(f"n{n}")) for n in "ab")
-    apart = sum((F.bit_count(F.get("fa", F.lit(k)).bitwiseXOR(F.get("fb", F.lit(k)))) for k in range(SKETCHES)), F.lit(0))
     reach = most_bits(similarity)
 
     def measured(pairs: DataFrame) -> DataFrame:
         """Their distances, and whether these and the sizes of the sets allow the similarity."""
         near = (F.col("bits") <= reach) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        return pairs.join(a, "a").join(b, "b").withColumn("bits", apart).select("a", "b", "bits", near.alias("near"))
+        return pairs.join(a, "a").join(b, "b").withColumn("bits", _apart("fa", "fb", SKETCHES)).select("a", "b", "bits", near.alias("near"))
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(node, shingles) of nodes, from their texts; other texts that repeat a node's id are left out."""
@@ -313,22 +320,23 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
     tables = materialize(measured(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "tables")
     # texts that meet no other need no set; the texts are read and moved once
     sets = materialize(sets_of(tables.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
-    links = alike(tables.where("near").select("a", "b"))
+    found = materialize(components(alike(tables.where("near").select("a", "b"))), "found")
     # fuller keys: so many hubs more, each compared with all that links don't connect to it yet
-    parts = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    parts = met.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     chosen = [F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in range(HUBS)]
     full = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), *chosen).where((F.col("n") > FEW) & (F.col("least") < F.col("most")))
     asked = parts.join(full.select("key", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")), "key").where("part <> h.part")
     again = measured(asked.select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b")).distinct())
-    links = materialize(links.unionByName(alike(materialize(again.where("near").select("a", "b"), "again"))), "links")
+    found = materialize(merged(found, alike(materialize(again.where("near").select("a", "b"), "again"))), "found")
     # what the hubs left apart: pairs at a key that no links connect
-    known = met.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    known = met.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     split = known.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
     left = materialize(known.join(split, "key").join(tables.select(F.col("a").alias("node"), F.col("b").alias("hub"), "bits"), ["node", "hub"], "left").select("key", "node", "part", F.coalesce("bits", F.lit(0)).alias("bits"), "n"), "left")
 
     x, y = left.where(F.col("n") <= FEW).alias("x"), left.where(F.col("n") <= FEW).alias("y")
     apart_at_key = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (F.abs(F.col("x.bits") - F.col("y.bits")) <= reach)
     others = x.join(y, (F.col("x.key") == F.col("y.key")) & apart_at_key).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    others = measured(others).where("near").select("a", "b")
     crowd = materialize(left.where(F.col("n") > FEW).select("node", "part").distinct(), "crowd")
     if not crowd.isEmpty():
         few = sets.join(crowd.select("node"), "node", "left_semi")
@@ -338,13 +346,13 @@ def near_copies(df: DataFrame, *, similarity: float = 0.8, words_per_shingle: in
 
         def prefixes(rows: Iterator[tuple]) -> Iterator[tuple]:
             for node, shingles in rows:
-                found = prefix(np.array(shingles, dtype=np.int64).view(np.uint64), similarity, shared.value)
-                for at, x in enumerate(found.view(np.int64).tolist()):
-                    yield node, x, at, len(shingles)
+                hashes = np.array(shingles, dtype=np.int64).view(np.uint64)
+                fine = sketch(hashes, FINE)
+                for at, x in enumerate(prefix(hashes, similarity, shared.value).view(np.int64).tolist()):
+                    yield node, x, at, len(shingles), fine
 
-        posted = materialize(map_rows(few.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint, at int, size int").join(crowd, "node"), "posted")
+        posted = materialize(map_rows(few.select("node", "shingles"), prefixes, f"node {kind}, shingle bigint, at int, size int, fine array<bigint>").join(crowd, "node"), "posted")
         others = others.unionByName(pairs_of_prefixes(posted, similarity)).distinct()
-    others = measured(others).where("near").select("a", "b")
-    links = links.unionByName(alike(materialize(others, "others")))
-    labels = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    found = merged(found, alike(materialize(others, "others")))
+    labels = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return done.join(labels, "digest").select(id_col, "component_id")
