@@ -7,28 +7,116 @@ name-based UUIDs of those keys, so a second run over the same candidates gives t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
 from ..rows import flat_map
-from .graph import RELATION, edge_key, label_key
+from .graph import RELATION, cut, edge_key, label_key
 
 #: The relation of a document to what it names, the type of a label that no entity has, and the most aliases that a chunk gives a label. Fixed values.
 MENTIONS, UNKNOWN_TYPE, ALIASES = "mentions", "concept", 4
 
 
-@dataclass(frozen=True)
 class Merged:
-    """``nodes``, ``edges``, ``evidence`` (one row per target and chunk) and ``rejected`` relations."""
+    """``nodes``, ``edges``, ``evidence`` (one row per target and chunk), its counts per target (``targets``) and ``rejected`` relations.
 
-    nodes: DataFrame
-    edges: DataFrame
-    evidence: DataFrame
-    rejected: DataFrame
+    What several of them are made of is written once, when the first of these is asked for.
+    """
+
+    def __init__(self, keyed: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> None:
+        self._keyed, self._judge = keyed, judge
+
+    @cached_property
+    def _known(self) -> DataFrame:
+        return cut(self._keyed)
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self._judge(self._known).where("reason IS NOT NULL").select(
+            "chunk_id", "document_id", "source_key", "target_key", F.col("relation_type").alias("raw_relation_type"), "reason",
+            uuid5(F.concat_ws("|", F.lit("rejected"), F.col("chunk_id").cast("string"), edge_key(F.col("source_key"), F.coalesce("relation_type", F.lit("")), F.col("target_key")))).alias("rejected_id"),
+        )
+
+    @cached_property
+    def _admitted(self) -> DataFrame:
+        return cut(self._judge(self._known).where("reason IS NULL").select("chunk_id", "document_id", "source_key", "target_key", "source_label", "target_label", "relation", "summary"))
+
+    @cached_property
+    def _papers(self) -> DataFrame:
+        """A row per chunk and document."""
+        return self._known.select("chunk_id", "document_id").distinct().select("chunk_id", "document_id", _document_key().alias("key"), F.col("document_id").cast("string").alias("label"))
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        """What names a node; a label that stands for an entity comes before one of an end of a relation."""
+        none = F.lit(None).cast("string")
+        ends = self._admitted.select("chunk_id", "document_id", F.explode(F.array(*[F.struct(F.col(f"{s}_key").alias("key"), _named(f"{s}_label").alias("label")) for s in ("source", "target")])).alias("e"))
+        ends = ends.select("chunk_id", "document_id", "e.key", "e.label", none.alias("alias"), none.alias("summary"), F.lit(1).alias("end"))
+        known = self._known.select("chunk_id", "document_id", "key", "label", "alias", "summary", F.lit(0).alias("end"))
+        papers = self._papers.select("*", none.alias("alias"), none.alias("summary"), F.lit(0).alias("end"))
+        return known.unionByName(ends).unionByName(papers)
+
+    @cached_property
+    def _each(self) -> DataFrame:
+        """What names an edge."""
+        mention = self._known.select("chunk_id", "document_id", _document_key().alias("source_key"), F.lit(MENTIONS).alias("relation"), F.col("key").alias("target_key"), F.lit(None).cast("string").alias("summary"))
+        return mention.unionByName(self._admitted.select(*mention.columns))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        rows = self._rows
+        aliases = rows.select("key", F.explode(F.array("label", "alias")).alias("alias")).where("alias <> ''").distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+        told = rows.groupBy("key").agg(F.min(F.struct("end", "chunk_id", "label")).alias("first"), F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told"))
+        return told.join(_support(rows, ["key"]), "key").join(aliases, "key").select(
+            uuid5(F.concat_ws("|", F.lit("node"), "key")).alias("node_id"), F.col("key").alias("canonical_key"), F.col("first.label").alias("label"), F.split_part("key", F.lit(":"), F.lit(1)).alias("node_type"), "aliases", F.col("told.summary").alias("summary"), "support_count"
+        )
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        ends, each = ["source_key", "relation", "target_key"], self._each
+        told = self._admitted.where("summary IS NOT NULL").groupBy(*ends).agg(F.min(F.struct("chunk_id", "summary")).alias("told"))
+        key = edge_key(F.col("source_key"), F.col("relation"), F.col("target_key"))
+        node_id = lambda c: uuid5(F.concat_ws("|", F.lit("node"), c))
+        return _support(each, ends).join(told, ends, "left").select(
+            uuid5(F.concat_ws("|", F.lit("edge"), key)).alias("edge_id"), key.alias("canonical_key"), node_id("source_key").alias("from_node_id"), node_id("target_key").alias("to_node_id"), F.col("relation").alias("relation_type"), F.col("told.summary").alias("summary"), "support_count"
+        )
+
+    @cached_property
+    def _proofs(self) -> DataFrame:
+        edge = self._each.withColumn("key", edge_key(F.col("source_key"), F.col("relation"), F.col("target_key")))
+        of = lambda df, kind: df.select(F.lit(kind).alias("target_kind"), "key", "chunk_id", "document_id").distinct()
+        return of(self._rows, "node").unionByName(of(edge, "edge"))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return self._proofs.select("target_kind", _target_id(), "chunk_id", "document_id")
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """``(target_kind, target_id, evidence, documents)``: counted by keys, so that an id is made once for each target."""
+        of = self._proofs.groupBy("target_kind", "key", "document_id").agg(F.count("*").alias("n"))
+        return of.groupBy("target_kind", "key").agg(F.sum("n").alias("evidence"), F.count("document_id").alias("documents")).select("target_kind", _target_id(), "evidence", "documents")
+
+
+def _named(column: str) -> Column:
+    return F.trim(F.coalesce(F.col(column), F.lit("")))
+
+
+def _document_key() -> Column:
+    return F.concat_ws(":", F.lit("document"), F.col("document_id").cast("string"))
+
+
+def _target_id() -> Column:
+    return uuid5(F.concat_ws("|", "target_kind", "key")).alias("target_id")
+
+
+def _support(df: DataFrame, key: list[str]) -> DataFrame:
+    """How many chunks name each key."""
+    return df.select(*key, "chunk_id").distinct().groupBy(*key).agg(F.count("*").alias("support_count"))
 
 
 def _relation(raw: Column) -> Column:
@@ -47,55 +135,25 @@ def merge_candidates(entities: DataFrame, relations: DataFrame) -> Merged:
     nodes are made where entities don't have them.  A node's and an edge's support is the number of chunks that are evidence of it;
     label and summary are those of the smallest chunk that has one.  Blank labels and null chunks are left out.
     """
-    named = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    found = entities.where((named("label") != "") & F.col("chunk_id").isNotNull()).select(
-        "chunk_id", "document_id", named("label").alias("label"), label_key(named("label")).alias("label_key"), "node_type", named("alias").alias("alias"), "summary"
+    found = entities.where((_named("label") != "") & F.col("chunk_id").isNotNull()).select(
+        "chunk_id", "document_id", _named("label").alias("label"), label_key(_named("label")).alias("label_key"), "node_type", _named("alias").alias("alias"), "summary"
     )
     rank = F.when(F.col("node_type") == "document", 2).when(F.col("node_type") == "concept", 1).otherwise(0)
-    types = found.groupBy("chunk_id", "label_key").agg(F.min(F.struct(rank.alias("r"), "node_type")).alias("t")).select("chunk_id", "label_key", F.col("t.node_type").alias("type"))
-    keyed = found.join(types, ["chunk_id", "label_key"]).withColumn("key", F.concat_ws(":", "type", "label_key"))
-
-    given = relations.where((named("source_label") != "") & (named("target_label") != "") & F.col("chunk_id").isNotNull())
-    for side in ("source", "target"):
-        own = types.select("chunk_id", F.col("label_key").alias(f"{side}_label_key"), F.col("type").alias(f"{side}_type"))
-        given = given.withColumn(f"{side}_label_key", label_key(named(f"{side}_label"))).join(own, ["chunk_id", f"{side}_label_key"], "left")
-        given = given.withColumn(f"{side}_key", F.concat_ws(":", F.coalesce(f"{side}_type", F.lit(UNKNOWN_TYPE)), f"{side}_label_key"))
-    relation = _relation(F.col("relation_type"))
-    reason = F.when(relation == "", "empty_relation").when(F.col("source_key") == F.col("target_key"), "degenerate_self_loop")
-    judged = given.withColumns({"relation": relation, "reason": reason})
-    admitted = judged.where("reason IS NULL")
-    rejected = judged.where("reason IS NOT NULL").select(
-        "chunk_id", "document_id", "source_key", "target_key", F.col("relation_type").alias("raw_relation_type"), "reason",
-        uuid5(F.concat_ws("|", F.lit("rejected"), F.col("chunk_id").cast("string"), edge_key(F.col("source_key"), F.coalesce("relation_type", F.lit("")), F.col("target_key")))).alias("rejected_id"),
-    )
-
-    # ends of relations are nodes too; a label that stands for an entity comes before one of an end
-    ends = admitted.select("chunk_id", "document_id", F.explode(F.array(*[F.struct(F.col(f"{s}_key").alias("key"), named(f"{s}_label").alias("label")) for s in ("source", "target")])).alias("e"))
-    ends = ends.select("chunk_id", "document_id", "e.key", "e.label", F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("summary"), F.lit(1).alias("end"))
-    known = keyed.select("chunk_id", "document_id", "key", "label", "alias", "summary", F.lit(0).alias("end"))
-    document_key = F.concat_ws(":", F.lit("document"), F.col("document_id").cast("string"))
-    papers = known.select("chunk_id", "document_id", document_key.alias("key"), F.col("document_id").cast("string").alias("label"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("summary"), F.lit(0).alias("end"))
-    rows = known.unionByName(ends).unionByName(papers)
-    aliases = rows.select("key", F.explode(F.array("label", "alias")).alias("alias")).where("alias <> ''").distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-    nodes = rows.groupBy("key").agg(
-        F.min(F.struct("end", "chunk_id", "label")).alias("first"), F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told"), F.count_distinct("chunk_id").alias("support_count")
-    )
-    nodes = nodes.join(aliases, "key").select(
-        uuid5(F.concat_ws("|", F.lit("node"), "key")).alias("node_id"), F.col("key").alias("canonical_key"), F.col("first.label").alias("label"), F.split_part("key", F.lit(":"), F.lit(1)).alias("node_type"), "aliases", F.col("told.summary").alias("summary"), "support_count"
-    )
-
-    mention = known.select("chunk_id", "document_id", document_key.alias("source_key"), F.lit(MENTIONS).alias("relation"), F.col("key").alias("target_key"), F.lit(None).cast("string").alias("summary"))
-    each = mention.unionByName(admitted.select("chunk_id", "document_id", "source_key", "relation", "target_key", "summary"))
-    each = each.withColumn("key", edge_key(F.col("source_key"), F.col("relation"), F.col("target_key")))
-    edges = each.groupBy("key", "source_key", "relation", "target_key").agg(
-        F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told"), F.count_distinct("chunk_id").alias("support_count")
-    )
-    node_id = lambda c: uuid5(F.concat_ws("|", F.lit("node"), c))
-    edges = edges.select(
-        uuid5(F.concat_ws("|", F.lit("edge"), "key")).alias("edge_id"), F.col("key").alias("canonical_key"), node_id("source_key").alias("from_node_id"), node_id("target_key").alias("to_node_id"), F.col("relation").alias("relation_type"), F.col("told.summary").alias("summary"), "support_count"
-    )
-    proof = lambda df, kind: df.select(F.lit(kind).alias("target_kind"), uuid5(F.concat_ws("|", F.lit(kind), "key")).alias("target_id"), "chunk_id", "document_id").distinct()
-    return Merged(nodes, edges, proof(rows, "node").unionByName(proof(each, "edge")), rejected)
+    least = F.min(F.struct(rank.alias("r"), "node_type")).over(Window.partitionBy("chunk_id", "label_key"))
+    keyed = found.withColumn("type", least["node_type"]).withColumn("key", F.concat_ws(":", "type", "label_key")).drop("node_type")
+
+    def judge(known: DataFrame) -> DataFrame:
+        types = known.select("chunk_id", "label_key", "type").distinct()
+        given = relations.where((_named("source_label") != "") & (_named("target_label") != "") & F.col("chunk_id").isNotNull())
+        for side in ("source", "target"):
+            own = types.select("chunk_id", F.col("label_key").alias(f"{side}_label_key"), F.col("type").alias(f"{side}_type"))
+            given = given.withColumn(f"{side}_label_key", label_key(_named(f"{side}_label"))).join(own, ["chunk_id", f"{side}_label_key"], "left")
+            given = given.withColumn(f"{side}_key", F.concat_ws(":", F.coalesce(f"{side}_type", F.lit(UNKNOWN_TYPE)), f"{side}_label_key"))
+        relation = _relation(F.col("relation_type"))
+        reason = F.when(relation == "", "empty_relation").when(F.col("source_key") == F.col("target_key"), "degenerate_self_loop")
+        return given.withColumns({"relation": relation, "reason": reason})
+
+    return Merged(keyed, judge)
 
 
 # ---- acronyms
