@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .filters import trigram_similarity
 from .metadata import TERM_BYTES
 from .ranking import top_per_group
-from .search import IDENTITY_SCORE, RRF_K, lexical_lane, postings
+from .search import IDENTITY_SCORE, RRF_K, lexical_lane, postings, words
 
 #: Longest terms that titles are compared with, and their least length; the most terms that name a title. Fixed values.
 NGRAMS, NGRAM_LENGTH, IDENTITY_TERMS = 4, 8, 6
@@ -102,16 +102,17 @@ def chunk_lane(chunks: DataFrame, documents: DataFrame, questions: DataFrame, li
     return top_per_group(top_per_group(every, ["query_id", "document_id"], order, PER_DOCUMENT), ["query_id"], order, limit, rank="rank")
 
 
-def text_lane(rows: DataFrame, questions: DataFrame, id_col: str, text: Column, limit: int = 50) -> DataFrame:
+def text_lane(rows: DataFrame, questions: DataFrame, id_col: str, text: Column, limit: int = 50, own: bool = False) -> DataFrame:
     """``(query_id, id, score, rank)``: rows (blocks, entities, relations) whose text holds all terms of a question, best first; ties to the smaller id.
 
     Questions of the same tokens find the same rows: one of them is searched for, and its best rows are given to all.
+    ``own``: rows are known to have their ids to themselves, so that this need not be found out.
     """
     tokens = questions.select("query_id", F.explode(question_terms(F.col("query"))["terms"]).alias("term"))
     tokens = tokens.select("query_id", F.explode(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token")).distinct()
     alike = tokens.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("all")).groupBy("all").agg(F.min("query_id").alias("one"), F.collect_list("query_id").alias("ids"))
     asked = alike.select(F.col("one").alias("query_id"), F.explode("all").alias("token"))
-    found = lexical_lane(postings(rows, id_col, text), asked, id_col)
+    found = lexical_lane(words(rows, id_col, text), asked, id_col, "all", own)
     best = top_per_group(found.select(F.col("query_id").alias("one"), id_col, "score"), ["one"], [F.desc("score"), F.col(id_col)], limit, rank="rank")
     return best.join(alike.select("one", F.explode("ids").alias("query_id")), "one").select("query_id", id_col, "score", "rank")
 

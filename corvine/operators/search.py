@@ -11,10 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..rows import flat_map
+from ..rows import flat_map, small_batches
 from .ranking import top_per_group
 
 #: Added to the rank in reciprocal rank fusion, and the score from which a hit is an identity. Fixed values.
@@ -27,6 +29,31 @@ def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(id_col, F.posexplode(words).alias("at", "token"))
 
 
+def words(df: DataFrame, id_col: str, text: Column, *carry: str) -> DataFrame:
+    """``(id, words)``: the tokens of every text in order, a row per text; null texts have none."""
+    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return df.select(id_col, *carry, F.coalesce(found, F.array().cast("array<string>")).alias("words"))
+
+
+def _occurrences(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(id_col, F.posexplode("words").alias("at", "token"))
+
+
+def repeated(rows: DataFrame, id_col: str) -> DataFrame | None:
+    """Ids that several rows have, and null; none if every row has its own id."""
+    again = rows.groupBy(id_col).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).select(F.col(id_col).alias("_again"))
+    return None if again.isEmpty() else again
+
+
+def apart(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that have their ids to themselves, and those that share one (none, if there are no such)."""
+    again = repeated(rows, id_col)
+    if again is None:
+        return rows, None
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
 def prefix_key(token: Column, cut: int = 5) -> Column:
     """Tokens of four characters or more cut to a prefix; shorter ones whole."""
     return F.when(F.length(token) >= 4, F.substring(token, 1, cut)).otherwise(token)
@@ -53,6 +80,14 @@ def fits(terms: DataFrame) -> bool:
     return terms.agg(F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0))).first()[0] <= LITERAL_BYTES
 
 
+#: Questions whose seldomest terms are looked up in every row; more meet rows by a join.
+LOOKED_UP = 4096
+
+
+def _questions(terms: DataFrame) -> int:
+    return terms.select("query_id").distinct().count()
+
+
 def _score(matched: Column, n: Column, span: Column, tf: Column) -> Column:
     return matched / n * (1 + 1 / (1 + span / 100.0)) * F.log1p(tf)
 
@@ -77,13 +112,40 @@ def _all_terms(postings_: DataFrame, terms: DataFrame, id_col: str) -> DataFrame
     return each.select("query_id", id_col, "matched", score.alias("score"))
 
 
-def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
+def _all_words(rows: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """As ``_all_terms`` for ``words`` of rows with ids of their own: no row is moved, and what it holds is tested where it lies.
+
+    Other columns of ``rows`` are kept.  The questions' seldomest terms that rows hold, one for each, are looked up in every row.
+    """
+    known = terms.select("token").distinct()
+    often = rows.select(F.explode(F.array_distinct("words")).alias("token")).join(F.broadcast(known), "token").groupBy("token").agg(F.count("*").alias("_often"))
+    asked = terms.distinct().join(often, "token", "left").groupBy("query_id").agg(
+        F.collect_list("token").alias("_all"), F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "token")).alias("_least")
+    )
+    asked = asked.where("_least.n > 0").select("query_id", "_all", F.col("_least.token").alias("_key"))
+    keys = asked.agg(F.collect_set("_key").alias("_keys"))
+    own = [c for c in rows.columns if c != "words"]
+    held = rows.crossJoin(F.broadcast(keys)).select(*own, "words", F.explode(F.array_intersect("words", "_keys")).alias("_key"))
+    pairs = held.join(F.broadcast(asked), "_key").where(F.size(F.array_except("_all", "words")) == 0)
+    tf = F.size(F.filter("words", lambda w: F.array_contains("_all", w)))
+    firsts = F.transform("_all", lambda t: F.array_position("words", t))
+    each = pairs.select("query_id", *own, F.size("_all").cast("bigint").alias("matched"), tf.alias("_tf"), firsts.alias("_f"))
+    score = _score(F.col("matched"), F.col("matched"), F.array_max("_f") - F.array_min("_f"), F.col("_tf"))
+    return each.select("query_id", *own, "matched", score.alias("score"))
+
+
+def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all", own_ids: bool = False) -> DataFrame:
     """``(query_id, id, matched, score)`` by token equality.
 
-    ``found``: postings, or hits that ``term_hits`` counted for these terms.  ``terms``: (query_id, token).  ``all`` keeps
-    rows that hold every term (AND), ``any`` those with one.  The score is the share of terms matched, times what their nearness
+    ``found``: postings, hits that ``term_hits`` counted for these terms, or ``words``, by which rows with an id of their own
+    aren't moved (``own_ids``: all are known to have one).  ``terms``: (query_id, token).  ``all`` keeps rows that hold every term (AND), ``any`` those with one.  The score is the share of terms matched, times what their nearness
     adds: one over one plus the span between the first places of the terms, in words of 100.
     """
+    if "words" in found.columns:
+        own, shared = (None, found) if mode != "all" or not fits(terms) or _questions(terms) > LOOKED_UP else (found, None) if own_ids else apart(found, id_col)
+        parts = [lexical_lane(_occurrences(shared, id_col), terms, id_col, mode)] if shared is not None else []
+        parts += [_all_words(own.select(id_col, "words"), terms, id_col)] if own is not None else []
+        return parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0]
     if mode == "all" and "tf" not in found.columns:
         return _all_terms(found, terms, id_col)
     hits = found if "tf" in found.columns else term_hits(found, terms, id_col)
@@ -99,6 +161,8 @@ def prefix_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "al
     """As ``lexical_lane`` with terms of four characters or more cut to a prefix (``prefix_key``); shorter ones exact."""
     key = prefix_key(F.col("token")).alias("token")
     cut = terms.select("query_id", key).distinct()
+    if "words" in found.columns:
+        return lexical_lane(found.withColumn("words", F.transform("words", lambda w: prefix_key(w))), cut, id_col, mode)
     if "tf" not in found.columns:
         return lexical_lane(found.select(id_col, "at", key), cut, id_col, mode)
     hits = found.select(id_col, key, "tf", "first_at").groupBy(id_col, "token").agg(F.sum("tf").alias("tf"), F.min("first_at").alias("first_at"))
