@@ -22,6 +22,10 @@ def _postings(documents: DataFrame) -> DataFrame:
     return search.postings(documents, "doc_id", F.col("text"))
 
 
+def _words(documents: DataFrame) -> DataFrame:
+    return search.words(documents, "doc_id", F.col("text"))
+
+
 def _questions(benchmark: DataFrame) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 3))
     own = benchmark.select(F.col("item_id").alias("query_id"), F.explode(words).alias("token"))
@@ -31,13 +35,13 @@ def _questions(benchmark: DataFrame) -> DataFrame:
 
 @query("l01_lexical_lane", f"WITH {_HITS} SELECT query_id, doc_id, matched, round(matched / n * (1 + 1 / (1 + span / 100.0)) * ln(1 + tf), 6) AS score FROM h WHERE matched = n", "documents", "benchmark")
 def l01(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    hits = search.lexical_lane(_postings(documents), _questions(benchmark), "doc_id")
+    hits = search.lexical_lane(_words(documents), _questions(benchmark), "doc_id")
     return hits.select("query_id", "doc_id", "matched", F.round("score", 6).alias("score"))
 
 
 @query("x06_token_match", f"WITH {_HITS} SELECT query_id, doc_id FROM h WHERE matched = n", "documents", "benchmark")
 def x06(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return search.lexical_lane(_postings(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
+    return search.lexical_lane(_words(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
 
 
 _CUT = "CASE WHEN length({0}) >= 4 THEN substr({0}, 1, 5) ELSE {0} END"
