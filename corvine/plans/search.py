@@ -50,7 +50,7 @@ _CUT = "CASE WHEN length({0}) >= 4 THEN substr({0}, 1, 5) ELSE {0} END"
 @query("x07_prefix_match", f"""WITH {_POST}, {_TERMS}, c AS (SELECT DISTINCT query_id, {_CUT.format('token')} AS token FROM q), n AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
   d AS (SELECT DISTINCT doc_id, {_CUT.format('token')} AS token FROM p) SELECT query_id, doc_id FROM d JOIN c USING (token) JOIN n USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = max(n)""", "documents", "benchmark")
 def x07(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return search.prefix_lane(_postings(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
+    return search.prefix_lane(_words(documents), _questions(benchmark), "doc_id").select("query_id", "doc_id")
 
 
 @query("l02_relaxation_ladder", f"""WITH {_HITS}, c AS (SELECT DISTINCT query_id, substr(token, 1, 5) AS token FROM q WHERE length(token) >= 4), m AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
