@@ -157,6 +157,137 @@ def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "a
     return each.select("query_id", id_col, "matched", _score(F.col("matched"), F.col("_n"), F.col("_span"), F.col("_tf")).alias("score"))
 
 
+#: Scores closer than this may be put in another order by rounding; ids of a task's best rows are kept for each of them.
+CLOSE = 2e-9
+#: Cells of a block of rows and terms.
+CELLS = 1 << 21
+
+
+class _Best:
+    """A question's best ``k`` rows of a task, and those whose value is within ``close`` of the last of them.
+
+    Of rows of one value the ``k`` smallest ids suffice, however many there are.
+    """
+
+    def __init__(self, k: int, close: float):
+        self.k, self.close, self.least, self.parts, self.n = k, close, -np.inf, [], 0
+
+    def add(self, value: np.ndarray, ids: np.ndarray, *fields: np.ndarray) -> None:
+        keep = np.flatnonzero(value >= self.least - self.close)
+        if len(keep):
+            self.parts.append([x[keep] for x in (value, ids, *fields)])
+            self.n += len(keep)
+            if self.n > 8 * self.k + 256:
+                self.cut()
+
+    def cut(self) -> list[np.ndarray]:
+        all_ = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        order = np.argsort(all_[1], kind="stable")
+        order = order[np.argsort(-all_[0][order], kind="stable")]
+        value = all_[0][order]
+        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        place = np.arange(len(value)) - np.repeat(start, np.diff(np.r_[start, len(value)]))
+        order, value = order[place < self.k], value[place < self.k]
+        if len(value) >= self.k:
+            self.least = value[self.k - 1]
+            order = order[value >= self.least - self.close]
+        self.parts, self.n = [[x[order] for x in all_]], len(order)
+        return self.parts[0]
+
+
+def _quoted(token: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Rows in which the tokens of a phrase stand one after the other."""
+    n = len(phrase)
+    at = np.flatnonzero(token[: len(token) - n + 1] == phrase[0]) if len(token) >= n else np.empty(0, dtype=int)
+    for i in range(1, n):
+        at = at[token[at + i] == phrase[i]]
+    return np.unique(row[at[row[at] == row[at + n - 1]]])
+
+
+def best_where_they_lie(rows: DataFrame, terms: DataFrame, id_col: str, k: int, phrases: DataFrame | None = None, overlap: int = 1) -> DataFrame:
+    """``(query_id, id, matched, quoted, _n, _span, _tf)``: for each question a superset of its best ``k`` rows, of which each task gives few.
+
+    ``rows``: ``words`` of rows with ids of their own; ``terms``: (query_id, token), held by every task; ``phrases``: (query_id, phrase, place,
+    token).  Best are rows of the highest score of ``lexical_lane`` in mode ``any``, or with ``phrases`` those that hold most phrases, then
+    most terms, ``overlap`` at least if none; of equal ones those of smaller ids.
+    """
+    of = terms.distinct().groupBy("query_id").agg(F.collect_list("token").alias("all"))
+    if phrases is not None:
+        told = phrases.groupBy("query_id", "phrase").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "token"))), lambda x: x["token"]).alias("p"))
+        of = of.join(told.groupBy("query_id").agg(F.collect_list("p").alias("phrases")), "query_id", "full")
+    asked = [(r["query_id"], r["all"] or [], (r["phrases"] or []) if phrases is not None else []) for r in of.collect()]
+    vocabulary = sorted({t for _, all_, told in asked for x in (all_, *told) for t in x})
+    shared = rows.sparkSession.sparkContext.broadcast((asked, vocabulary))
+    close, by_phrase = (0.0, True) if phrases is not None else (CLOSE, False)
+    kinds = terms.schema["query_id"].dataType.simpleString(), rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, vocabulary = shared.value
+        number, values = {t: i for i, t in enumerate(vocabulary)}, pa.array(vocabulary, pa.string())
+        wanted = [np.array([number[t] for t in all_], dtype=np.int64) for _, all_, _ in asked]
+        phrases = [[np.array([number[t] for t in p], dtype=np.int64) for p in told] for _, _, told in asked]
+        best, kind = [_Best(k, close) for _ in asked], None
+        step = max(1, CELLS // max(len(vocabulary), 1))
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                ids, lists, n = part.column(0).to_numpy(zero_copy_only=False), part.column(1), part.num_rows
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                token = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(n), sizes)
+                at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                known = np.flatnonzero(token >= 0)
+                columns, c = np.unique(token[known], return_inverse=True)
+                place = np.full(len(vocabulary), -1)
+                place[columns] = np.arange(len(columns))
+                cell = c * n + row[known]
+                tf = np.bincount(cell, minlength=n * len(columns)).reshape(len(columns), n)
+                first = np.full(n * len(columns), 1 << 40)
+                np.minimum.at(first, cell, at[known])
+                first = first.reshape(len(columns), n)
+                for q, own in enumerate(wanted):
+                    held = place[own]
+                    held = held[held >= 0]
+                    where = first[held]
+                    matched = (tf[held] > 0).sum(axis=0)
+                    quoted = np.zeros(n, dtype=np.int64)
+                    for p in phrases[q]:
+                        if (place[p] >= 0).all():
+                            quoted[_quoted(token, row, p)] += 1
+                    keep = np.flatnonzero((matched >= overlap) | (quoted > 0))
+                    if not len(keep):
+                        continue
+                    where, times, m = where[:, keep], tf[held][:, keep].sum(axis=0), matched[keep]
+                    span = np.where(where < 1 << 40, where, -1).max(axis=0, initial=-1) - where.min(axis=0, initial=1 << 40)
+                    span = np.where(m > 0, span, 0)
+                    value = quoted[keep] * float(1 << 20) + np.where(m >= overlap, m, 0) if by_phrase else m / max(len(own), 1) * (1 + 1 / (1 + span / 100.0)) * np.log1p(times)
+                    best[q].add(value, ids[keep], m, quoted[keep], span, times)
+        for (query, all_, _), b in zip(asked, best, strict=True):
+            if b.n:
+                _, ids, m, quoted, span, times = b.cut()
+                columns = [pa.array([query] * len(ids)), pa.array(ids, kind), m, quoted, np.full(len(ids), len(all_)), span, times]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], names=["query_id", id_col, "matched", "quoted", "_n", "_span", "_tf"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(id_col, "words").mapInArrow(run, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, matched bigint, quoted bigint, _n bigint, _span bigint, _tf bigint")
+
+
+def best_of_any(rows: DataFrame, terms: DataFrame, id_col: str, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: the best ``k`` rows by ``lexical_lane`` in mode ``any``, scores rounded to nine places; ties to the smaller id.
+
+    ``rows``: ``words``.  Where every task can hold the questions, rows with an id of their own aren't moved, and a task gives its best rows only.
+    """
+    own, shared = apart(rows, id_col) if fits(terms) else (None, rows)
+    found = [lexical_lane(shared, terms, id_col, "any").select("query_id", id_col, "score")] if shared is not None else []
+    if own is not None:
+        score = _score(F.col("matched"), F.col("_n"), F.col("_span"), F.col("_tf"))
+        found.append(best_where_they_lie(own, terms, id_col, k).select("query_id", id_col, score.alias("score")))
+    every = found[0].unionByName(found[-1]) if len(found) > 1 else found[0]
+    every = every.withColumn("score", F.round("score", 9))
+    return top_per_group(every, ["query_id"], [F.desc("score"), F.col(id_col)], k, rank="rank")
+
+
 def prefix_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all") -> DataFrame:
     """As ``lexical_lane`` with terms of four characters or more cut to a prefix (``prefix_key``); shorter ones exact."""
     key = prefix_key(F.col("token")).alias("token")
