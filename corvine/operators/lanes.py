@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .filters import trigram_similarity
 from .metadata import TERM_BYTES
 from .ranking import top_per_group
-from .search import IDENTITY_SCORE, RRF_K, lexical_lane, postings, words
+from .search import IDENTITY_SCORE, RRF_K, apart, best_where_they_lie, fits, lexical_lane, postings, words
 
 #: Longest terms that titles are compared with, and their least length; the most terms that name a title. Fixed values.
 NGRAMS, NGRAM_LENGTH, IDENTITY_TERMS = 4, 8, 6
@@ -147,12 +147,23 @@ def content_anchors(rows: DataFrame, questions: DataFrame, id_col: str, text: Co
 
     Rows with more quotations come first, then those with more terms, then the smaller id.
     """
-    every = postings(rows, id_col, text)
     tokens = questions.select("query_id", F.explode(question_terms(F.col("query"))["terms"]).alias("term"))
     tokens = tokens.select("query_id", F.explode(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token")).distinct()
-    some = lexical_lane(every, tokens, id_col, "any").where(F.col("matched") >= overlap).select("query_id", id_col, "matched")
-    quoted = sequence_hits(every, quoted_sequences(questions), id_col).groupBy("query_id", id_col).agg(F.count("*").alias("quoted"))
-    both = some.join(quoted, ["query_id", id_col], "full").select("query_id", id_col, F.coalesce("quoted", F.lit(0)).alias("quoted"), F.coalesce("matched", F.lit(0)).alias("matched"))
+    sequences = quoted_sequences(questions)
+    every = words(rows, id_col, text)
+    own, shared = apart(every, id_col) if fits(tokens) and fits(sequences) else (None, every)
+    found = []
+    if shared is not None:
+        post = shared.select(id_col, F.posexplode("words").alias("at", "token"))
+        some = lexical_lane(post, tokens, id_col, "any").where(F.col("matched") >= overlap).select("query_id", id_col, "matched")
+        quoted = sequence_hits(post, sequences, id_col).groupBy("query_id", id_col).agg(F.count("*").alias("quoted"))
+        both = some.join(quoted, ["query_id", id_col], "full")
+        found.append(both.select("query_id", id_col, F.coalesce("quoted", F.lit(0)).alias("quoted"), F.coalesce("matched", F.lit(0)).alias("matched")))
+    if own is not None:
+        best = best_where_they_lie(own, tokens, id_col, limit, sequences, overlap)
+        # fewer terms than asked for count as none
+        found.append(best.select("query_id", id_col, "quoted", F.when(F.col("matched") >= overlap, F.col("matched")).otherwise(0).alias("matched")))
+    both = found[0].unionByName(found[-1]) if len(found) > 1 else found[0]
     return top_per_group(both, ["query_id"], [F.desc("quoted"), F.desc("matched"), F.col(id_col)], limit, rank="rank")
 
 
