@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..rows import flat_map, small_batches
 from .ranking import top_per_group
@@ -218,8 +220,9 @@ def best_where_they_lie(rows: DataFrame, terms: DataFrame, id_col: str, k: int,
     asked = [(r["query_id"], r["all"] or [], (r["phrases"] or []) if phrases is not None else []) for r in of.collect()]
     vocabulary = sorted({t for _, all_, told in asked for x in (all_, *told) for t in x})
     shared = rows.sparkSession.sparkContext.broadcast((asked, vocabulary))
-    close, by_phrase = (0.0, True) if phrases is not None else (CLOSE, False)
     kinds = terms.schema["query_id"].dataType.simpleString(), rows.schema[id_col].dataType.simpleString()
+    made = T._parse_datatype_string(f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, matched bigint, quoted bigint, _n bigint, _span bigint, _tf bigint")
+    close, by_phrase = (0.0, True) if phrases is not None else (CLOSE, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, vocabulary = shared.value
@@ -267,10 +270,11 @@ def best_where_they_lie(rows: DataFrame, terms: DataFrame, id_col: str, k: int,
             if b.n:
                 _, ids, m, quoted, span, times = b.cut()
                 columns = [pa.array([query] * len(ids)), pa.array(ids, kind), m, quoted, np.full(len(ids), len(all_)), span, times]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], names=["query_id", id_col, "matched", "quoted", "_n", "_span", "_tf"])
+                arrow = to_arrow_schema(made)
+                yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     small_batches(rows.sparkSession)
-    return rows.select(id_col, "words").mapInArrow(run, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, matched bigint, quoted bigint, _n bigint, _span bigint, _tf bigint")
+    return rows.select(id_col, "words").mapInArrow(run, made)
 
 
 def best_of_any(rows: DataFrame, terms: DataFrame, id_col: str, k: int) -> DataFrame:
