@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .filters import trigram_similarity
 from .metadata import TERM_BYTES
 from .ranking import top_per_group
-from .search import IDENTITY_SCORE, RRF_K, apart, best_where_they_lie, fits, lexical_lane, postings, words
+from .search import IDENTITY_SCORE, RRF_K, all_terms, apart, best_where_they_lie, fits, lexical_lane, words
 
 #: Longest terms that titles are compared with, and their least length; the most terms that name a title. Fixed values.
 NGRAMS, NGRAM_LENGTH, IDENTITY_TERMS = 4, 8, 6
@@ -65,9 +65,11 @@ def chunk_lane(chunks: DataFrame, documents: DataFrame, questions: DataFrame, li
     ``chunks``: (chunk_id, document_id, chunk_index, text, heading, section, quality); ``documents``: (document_id, title, file_name);
     ``questions``: (query_id, query).  Chunks that hold all terms have their lexical score times boosts and quality.  The first
     chunks of documents that all naming terms name come before all, those of nearly named ones with a small score (for short questions).  A document has at most
-    ``PER_DOCUMENT`` chunks; ties go to the smaller id.
+    ``PER_DOCUMENT`` chunks; ties go to the smaller id.  Questions of the same terms find the same chunks: one of them is searched for.
     """
-    asked = questions.select("query_id", question_terms(F.col("query")).alias("t")).select("query_id", "t.*")
+    each = questions.select("query_id", question_terms(F.col("query")).alias("t"))
+    same = each.groupBy("t").agg(F.min("query_id").alias("one"), F.collect_list("query_id").alias("ids"))
+    asked = same.select(F.col("one").alias("query_id"), "t.*")
     of = lambda field: asked.select("query_id", F.explode(field).alias("term"))
     name = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("file_name", F.lit(""))))
     named = documents.select("document_id", name.alias("name"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "file_name")])
@@ -80,26 +82,33 @@ def chunk_lane(chunks: DataFrame, documents: DataFrame, questions: DataFrame, li
     near = near.join(of("longest"), "term").join(alike, "part").select("query_id", "name")
     soft = inside.unionByName(near).distinct().join(identity, ["query_id", "name"], "left_anti")
     kinds = identity.withColumn("kind", F.lit("named")).unionByName(soft.withColumn("kind", F.lit("nearly")))
-    titled = kinds.join(named.select("document_id", "name"), "name").select("query_id", "document_id", "kind")
-
     tokens = asked.select("query_id", F.explode("terms").alias("term")).select("query_id", F.explode(F.filter(F.split("term", r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("token")).distinct()
-    found = lexical_lane(postings(chunks, "chunk_id", F.col("text")), tokens, "chunk_id").select("query_id", "chunk_id", "score")
-    found = found.join(chunks.select("chunk_id", "document_id", "heading", "section", "quality"), "chunk_id").join(asked.select("query_id", "terms"), "query_id").join(titled, ["query_id", "document_id"], "left")
+    few = fits(tokens)
+    found = all_terms(words(chunks, "chunk_id", F.col("text"), "document_id", "heading", "section", "quality"), tokens, "chunk_id")
+    said = asked.select("query_id", "terms")
     holds = lambda c: F.exists("terms", lambda t: F.contains(F.lower(F.coalesce(c, F.lit(""))), t))
-    boost = F.when(F.col("kind") == "named", NAMED).when(F.col("kind") == "nearly", NEARLY).when(holds("heading"), HEADING).otherwise(1.0)
-    score = F.col("score") * boost * F.when(holds("section"), SECTION).otherwise(1.0) * F.coalesce("quality", F.lit(1.0))
+    found = found.join(F.broadcast(said) if few else said, "query_id").select("query_id", "chunk_id", "document_id", "score", "quality", holds("heading").alias("_heading"), holds("section").alias("_section"))
+    found = found.join(named.select("document_id", "name"), "document_id", "left").join(kinds, ["query_id", "name"], "left")
+    boost = F.when(F.col("kind") == "named", NAMED).when(F.col("kind") == "nearly", NEARLY).when(F.col("_heading"), HEADING).otherwise(1.0)
+    score = F.col("score") * boost * F.when(F.col("_section"), SECTION).otherwise(1.0) * F.coalesce("quality", F.lit(1.0))
     text = found.select("query_id", "chunk_id", "document_id", score.alias("score"))
 
+    order = [F.desc("score"), F.col("chunk_id")]
+    # a row that as many first chunks precede as fill the answer can't be in it: as many documents as ids have rows share two places
+    most = limit * (documents.groupBy("document_id").count().agg(F.max("count")).first()[0] or 1)
+
     def first(kind: str, best: tuple[float, float], wanted: DataFrame) -> DataFrame:
-        """A document's first chunks don't depend on the question: they are found once."""
+        """A document's first chunks don't depend on the question, and those of a name are one list: questions meet the best names only, by the heads of their lists."""
         score = (best[0] - best[1] * F.col("chunk_index")) * F.coalesce("quality", F.lit(1.0))
-        few = top_per_group(chunks.select("chunk_id", "document_id", "chunk_index", score.alias("score")), ["document_id"], [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")], PER_DOCUMENT)
-        return wanted.where(F.col("kind") == kind).join(few, "document_id").select("query_id", "chunk_id", "document_id", "score")
-
-    short = titled.join(asked.where(F.size("terms") <= IDENTITY_TERMS).select("query_id"), "query_id", "left_semi")
-    every = text.unionByName(first("named", NAMED_FIRST, titled)).unionByName(first("nearly", NEARLY_FIRST, short))
-    order = [F.desc("score"), F.col("chunk_id")]
-    return top_per_group(top_per_group(every, ["query_id", "document_id"], order, PER_DOCUMENT), ["query_id"], order, limit, rank="rank")
+        own = top_per_group(chunks.select("chunk_id", "document_id", "chunk_index", score.alias("score")), ["document_id"], [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")], PER_DOCUMENT)
+        listed = top_per_group(own.join(named.select("document_id", "name"), "document_id"), ["name"], order, most, rank="_place").select("name", "chunk_id", "document_id", "score", "_place")
+        heads = wanted.where(F.col("kind") == kind).join(listed.where("_place = 1"), "name").select("query_id", "name", "score", "chunk_id")
+        return top_per_group(heads, ["query_id"], order, most).select("query_id", "name").join(listed, "name").select("query_id", "chunk_id", "document_id", "score")
+
+    short = kinds.join(asked.where(F.size("terms") <= IDENTITY_TERMS).select("query_id"), "query_id", "left_semi")
+    every = text.unionByName(first("named", NAMED_FIRST, kinds)).unionByName(first("nearly", NEARLY_FIRST, short))
+    best = top_per_group(top_per_group(every, ["query_id", "document_id"], order, PER_DOCUMENT), ["query_id"], order, limit, rank="rank").withColumnRenamed("query_id", "one")
+    return best.join(same.select("one", F.explode("ids").alias("query_id")), "one").select("query_id", "chunk_id", "document_id", "score", "rank")
 
 
 def text_lane(rows: DataFrame, questions: DataFrame, id_col: str, text: Column, limit: int = 50, own: bool = False) -> DataFrame:

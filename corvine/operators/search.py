@@ -136,6 +136,18 @@ def _all_words(rows: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     return each.select("query_id", *own, "matched", score.alias("score"))
 
 
+def all_terms(rows: DataFrame, terms: DataFrame, id_col: str, own_ids: bool = False) -> DataFrame:
+    """As ``lexical_lane`` of mode ``all`` for ``words``, with the other columns of ``rows``: those with an id of their own aren't moved."""
+    held = fits(terms) and _questions(terms) <= LOOKED_UP
+    own, shared = (None, rows) if not held else (rows, None) if own_ids else apart(rows, id_col)
+    parts = [_all_words(own, terms, id_col)] if own is not None else []
+    if shared is not None:
+        carried = shared.drop("words")
+        found = _all_terms(_occurrences(shared, id_col), terms, id_col)
+        parts.append(found.join(carried, id_col) if len(carried.columns) > 1 else found)
+    return parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0]
+
+
 def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "all", own_ids: bool = False) -> DataFrame:
     """``(query_id, id, matched, score)`` by token equality.
 
@@ -144,10 +156,7 @@ def lexical_lane(found: DataFrame, terms: DataFrame, id_col: str, mode: str = "a
     adds: one over one plus the span between the first places of the terms, in words of 100.
     """
     if "words" in found.columns:
-        own, shared = (None, found) if mode != "all" or not fits(terms) or _questions(terms) > LOOKED_UP else (found, None) if own_ids else apart(found, id_col)
-        parts = [lexical_lane(_occurrences(shared, id_col), terms, id_col, mode)] if shared is not None else []
-        parts += [_all_words(own.select(id_col, "words"), terms, id_col)] if own is not None else []
-        return parts[0].unionByName(parts[-1]) if len(parts) > 1 else parts[0]
+        return all_terms(found.select(id_col, "words"), terms, id_col, own_ids) if mode == "all" else lexical_lane(_occurrences(found, id_col), terms, id_col, mode)
     if mode == "all" and "tf" not in found.columns:
         return _all_terms(found, terms, id_col)
     hits = found if "tf" in found.columns else term_hits(found, terms, id_col)

@@ -379,7 +379,7 @@ _BEST = "SELECT query_id, id AS {0}, round(score, 6) AS score, rank::INTEGER AS
   SELECT query_id, chunk_id, document_id, round(score, 6)::DOUBLE AS score, rank::INTEGER AS rank FROM z WHERE rank <= 50""", "documents", "document", "benchmark")
 def l01_chunks(documents: DataFrame, document: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Lines as chunks, languages as headings, sources as sections."""
-    lines = blocks.line_chunks(documents).join(documents.select("doc_id", "lang", "source"), "doc_id")
+    lines = blocks.line_chunks(documents, carry=["lang", "source"])
     chunks = lines.select(
         (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", F.col("content_text").alias("text"), F.col("lang").alias("heading"), F.col("source").alias("section"),
         (0.5 + (F.col("doc_id") % 5) / 10.0).alias("quality"),
