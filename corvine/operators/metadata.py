@@ -46,18 +46,21 @@ def metadata_search(documents: DataFrame, questions: DataFrame, limit: int = 20,
     """``(query_id, id, score, matched, rank)``: documents whose title or key holds terms of each question, best first.
 
     ``documents``: (id, title, key); ``questions``: (query_id, query).  Ties go to the higher version in the title, then the larger id.
-    Different names are tested once each, against blocks of all questions' terms of bounded size; questions meet hits by equality of the term.
+    Different names are tested once each, against blocks of all questions' terms of bounded size; questions meet hits by equality of the term, and
+    those of the same terms find the same documents, so one of them is searched for.  A score is one of names: a question meets its best names, then their last documents.
     """
-    named = documents.select(id_col, F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("key", F.lit(""))).alias("_k"), "title", "key")
+    lowered = [F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in (("title", "_t"), ("key", "_k"))]
     said = questions.select("query_id", metadata_terms(F.col("query")).alias("m"))
-    kinds = [said.select("query_id", F.lit(kind).alias("kind"), F.explode(f"m.{kind}").alias("term")) for kind in ("generic", "version")]
+    same = said.groupBy("m").agg(F.min("query_id").alias("one"), F.collect_list("query_id").alias("ids"))
+    kinds = [same.select("one", F.lit(kind).alias("kind"), F.explode(f"m.{kind}").alias("term")) for kind in ("generic", "version")]
     terms = kinds[0].unionByName(kinds[1])
     distinct = terms.select("term").distinct()
     blocks = max(1, -(-(distinct.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) // TERM_BYTES))
     held = distinct.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("term").alias("all"))
-    names = named.select("_t", "_k").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    heads = documents.groupBy("title", "key").agg(F.max(id_col).alias("_head")).select("title", "key", "_head", *lowered)
+    names = heads.select("_t", "_k").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     hits = names.join(held, "block").select("_t", "_k", F.explode(F.filter("all", lambda x: F.contains(F.col("_t"), x) | F.contains(F.col("_k"), x))).alias("term"))
-    each = hits.join(terms, "term").groupBy("query_id", "_t", "_k")
+    each = hits.join(terms, "term").groupBy("one", "_t", "_k")
     generic, version = F.col("kind") == "generic", F.col("kind") == "version"
     inside = lambda name: F.contains(F.col(name), F.col("term"))
     of = lambda name: {"exact": F.bool_or(generic & (F.col(name) == F.col("term"))), "version": F.bool_or(version & inside(name)), "parts": F.count_if(generic & inside(name))}
@@ -69,8 +72,15 @@ def metadata_search(documents: DataFrame, questions: DataFrame, limit: int = 20,
             given = value[0] + value[1] * F.least(col, F.lit(4)) if kind == "parts" else F.lit(value)
             score = score.when(col > 0 if kind == "parts" else col, given)
             matched = matched.when(col > 0 if kind == "parts" else col, F.col(shown))
-    scored = found.join(named, ["_t", "_k"]).select("query_id", id_col, score.alias("score"), F.coalesce(matched, "key").alias("matched"), title_version(F.coalesce("title", "key")).alias("v"))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.desc("v"), F.desc(id_col)], limit, rank="rank").drop("v")
+    versioned = heads.withColumn("v", title_version(F.coalesce("title", "key")))
+    scored = found.join(versioned, ["_t", "_k"]).select("one", "title", "key", "_head", score.alias("score"), F.coalesce(matched, "key").alias("matched"), "v")
+    # a name behind as many whose last documents come first gives no row of the answer, nor does a document behind as many of its name
+    best = top_per_group(scored, ["one"], [F.desc("score"), F.desc("v"), F.desc("_head")], limit)
+    wanted = best.select("title", "key").distinct().withColumnsRenamed({"title": "_title", "key": "_key"})
+    alike = F.col("title").eqNullSafe(F.col("_title")) & F.col("key").eqNullSafe(F.col("_key"))
+    last = top_per_group(documents.select(id_col, "title", "key").join(wanted, alike, "left_semi"), ["title", "key"], [F.desc(id_col)], limit).withColumnsRenamed({"title": "_title", "key": "_key"})
+    every = top_per_group(best.join(last, alike).select("one", id_col, "score", "matched", "v"), ["one"], [F.desc("score"), F.desc("v"), F.desc(id_col)], limit, rank="rank").drop("v")
+    return every.join(same.select("one", F.explode("ids").alias("query_id")), "one").select("query_id", id_col, "score", "matched", "rank")
 
 
 def latest_versions(documents: DataFrame, chunks: DataFrame, group: Sequence[str], count: int = VERSIONS, floor: float = 0.0, id_col: str = "document_id") -> DataFrame:
