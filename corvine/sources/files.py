@@ -63,14 +63,19 @@ def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
     fence = lambda x: x.rlike(r"^\s*(```|~~~)")
-    parts = F.split(clean, "\n")
-    # places of the lines that open or close a fence; an odd number of them before a line leaves it inside
-    fences = F.filter(F.transform(parts, lambda x, i: F.when(fence(x), i)), lambda i: i.isNotNull())
-    lines = df.select(id_col, fences.alias("_f"), F.posexplode(parts).alias("line", "text"))
-    before = F.size(F.filter("_f", lambda i: i < F.col("line")))
+    # pieces that begin with a line that opens or closes a fence; the first one is before all of them, and every second one within
+    def pieces(lines: Column) -> Column:
+        fences = F.filter(F.transform(lines, lambda x, i: F.when(fence(x), i)), lambda i: i.isNotNull())
+        both = F.arrays_zip(F.concat(F.array(F.lit(0)), fences).alias("start"), F.concat(fences, F.array(F.size(lines))).alias("end"))
+        return F.transform(both, lambda x: F.struct(x["start"].alias("start"), F.slice(lines, x["start"] + 1, x["end"] - x["start"]).alias("lines")))
+
+    # a text is cut once, before its lines become rows: what stands beside a generator is found for each of its rows
+    cut = df.select(id_col, F.posexplode(F.element_at(F.transform(F.array(F.split(clean, "\n")), pieces), 1)).alias("_piece", "_p"))
+    lines = cut.select(id_col, "_piece", F.col("_p.start").alias("_start"), F.col("_p.lines").alias("_lines"))
+    lines = lines.select(id_col, "_piece", "_start", F.posexplode("_lines").alias("_at", "text")).withColumn("line", F.col("_start") + F.col("_at"))
     text = F.col("text")
     hint = (
-        F.when(fence(text), "code_fence").when(before % 2 == 1, "code_line").when(F.trim(text) == "", "blank").when(text.rlike(r"^#{1,6}\s+\S"), "heading")
+        F.when(fence(text), "code_fence").when(F.col("_piece") % 2 == 1, "code_line").when(F.trim(text) == "", "blank").when(text.rlike(r"^#{1,6}\s+\S"), "heading")
         .when(text.rlike(r"^\s*\|.*\|.*\|\s*$"), "table_row").when(text.rlike(r"^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/\S*"), "endpoint").when(text.rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S"), "list_item").otherwise("paragraph")
     )
     return lines.select(id_col, "line", "text", hint.alias("hint"))
