@@ -219,11 +219,12 @@ def acronym_terms(label: Column, most: int = 4) -> Column:
     plain = F.filter(F.split(F.lower(label), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     turns = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
     parts = F.filter(F.split(F.lower(F.regexp_replace(label, turns, " ")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-    words = F.array_distinct(F.concat(plain, parts))
+    letters = F.transform(F.array_distinct(F.concat(plain, parts)), lambda w: F.when(w.rlike(r"^\p{L}+$"), F.substring(w, 1, 1)))
 
-    def windows(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        whole = F.filter(F.transform(starts, lambda i: F.slice(words, i, F.lit(n))), lambda w: F.forall(w, lambda x: x.rlike(r"^\p{L}+$")))
-        return F.transform(whole, lambda w: F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""))
+    def windows(x: Column, n: int) -> Column:
+        starts = F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - n + 1)).otherwise(F.array().cast("array<int>"))
+        whole = F.filter(F.transform(starts, lambda i: F.slice(x, i, F.lit(n))), lambda w: F.forall(w, lambda c: c.isNotNull()))
+        return F.transform(whole, lambda w: F.array_join(w, ""))
 
-    return F.array_sort(F.array_distinct(F.concat(*[windows(n) for n in range(2, most + 1)])))
+    # the words are found once: a lambda's variable has their letters
+    return F.element_at(F.transform(F.array(letters), lambda x: F.array_sort(F.array_distinct(F.concat(*[windows(x, n) for n in range(2, most + 1)])))), 1)
