@@ -7,7 +7,7 @@ name-based UUIDs of those keys, so a second run over the same candidates gives t
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,72 +24,69 @@ MENTIONS, UNKNOWN_TYPE, ALIASES = "mentions", "concept", 4
 class Merged:
     """``nodes``, ``edges``, ``evidence`` (one row per target and chunk), its counts per target (``targets``) and ``rejected`` relations.
 
-    What several of them are made of is written once, when the first of these is asked for.
+    A chunk's candidates meet in one task, so what is said within a chunk is decided there; each result moves the columns that it
+    needs, and is counted from what was written of it, a row per chunk.
     """
 
-    def __init__(self, keyed: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> None:
-        self._keyed, self._judge = keyed, judge
-
-    @cached_property
-    def _known(self) -> DataFrame:
-        return cut(self._keyed)
+    def __init__(self, entities: DataFrame, admitted: DataFrame, refused: DataFrame) -> None:
+        self._entities, self._admitted, self._refused = entities, admitted, refused
+
+    def _keyed(self, relations: DataFrame, *more: str) -> DataFrame:
+        """Entities and relations with the keys of both ends; the source of an entity (without ``to_label_key``) is its document."""
+        rows = self._entities.unionByName(relations, allowMissingColumns=True).select("chunk_id", "document_id", "node_type", "label_key", "to_label_key", *more).repartition("chunk_id")
+        entity = F.col("to_label_key").isNull()
+        rank = F.when(F.col("node_type") == "document", 2).when(F.col("node_type") == "concept", 1).otherwise(0)
+        least = lambda c: F.min(F.when(entity, F.struct(rank.alias("r"), "node_type"))).over(Window.partitionBy("chunk_id", c))["node_type"]
+        rows = rows.withColumn("own", F.coalesce("to_label_key", "label_key")).withColumn("source_type", least("label_key")).withColumn("target_type", least("own"))
+        kind = lambda c: F.when(entity | F.col(c).isNotNull(), F.col(c)).otherwise(UNKNOWN_TYPE)
+        return rows.select(
+            "chunk_id", "document_id", entity.alias("entity"), *more,
+            F.when(entity, _document_key()).otherwise(F.concat_ws(":", kind("source_type"), "label_key")).alias("source_key"), F.concat_ws(":", kind("target_type"), "own").alias("target_key"),
+        )
 
     @cached_property
     def rejected(self) -> DataFrame:
-        return self._judge(self._known).where("reason IS NOT NULL").select(
+        return self._keyed(self._refused, "relation_type", "reason").where("NOT entity").select(
             "chunk_id", "document_id", "source_key", "target_key", F.col("relation_type").alias("raw_relation_type"), "reason",
             uuid5(F.concat_ws("|", F.lit("rejected"), F.col("chunk_id").cast("string"), edge_key(F.col("source_key"), F.coalesce("relation_type", F.lit("")), F.col("target_key")))).alias("rejected_id"),
         )
 
-    @cached_property
-    def _admitted(self) -> DataFrame:
-        return cut(self._judge(self._known).where("reason IS NULL").select("chunk_id", "document_id", "source_key", "target_key", "source_label", "target_label", "relation", "summary"))
-
-    @cached_property
-    def _papers(self) -> DataFrame:
-        """A row per chunk and document."""
-        return self._known.select("chunk_id", "document_id").distinct().select("chunk_id", "document_id", _document_key().alias("key"), F.col("document_id").cast("string").alias("label"))
-
-    @cached_property
-    def _rows(self) -> DataFrame:
-        """What names a node; a label that stands for an entity comes before one of an end of a relation."""
-        none = F.lit(None).cast("string")
-        ends = self._admitted.select("chunk_id", "document_id", F.explode(F.array(*[F.struct(F.col(f"{s}_key").alias("key"), _named(f"{s}_label").alias("label")) for s in ("source", "target")])).alias("e"))
-        ends = ends.select("chunk_id", "document_id", "e.key", "e.label", none.alias("alias"), none.alias("summary"), F.lit(1).alias("end"))
-        known = self._known.select("chunk_id", "document_id", "key", "label", "alias", "summary", F.lit(0).alias("end"))
-        papers = self._papers.select("*", none.alias("alias"), none.alias("summary"), F.lit(0).alias("end"))
-        return known.unionByName(ends).unionByName(papers)
-
-    @cached_property
-    def _each(self) -> DataFrame:
-        """What names an edge."""
-        mention = self._known.select("chunk_id", "document_id", _document_key().alias("source_key"), F.lit(MENTIONS).alias("relation"), F.col("key").alias("target_key"), F.lit(None).cast("string").alias("summary"))
-        return mention.unionByName(self._admitted.select(*mention.columns))
-
     @cached_property
     def nodes(self) -> DataFrame:
-        rows = self._rows
-        aliases = rows.select("key", F.explode(F.array("label", "alias")).alias("alias")).where("alias <> ''").distinct().groupBy("key").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-        told = rows.groupBy("key").agg(F.min(F.struct("end", "chunk_id", "label")).alias("first"), F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told"))
-        return told.join(_support(rows, ["key"]), "key").join(aliases, "key").select(
-            uuid5(F.concat_ws("|", F.lit("node"), "key")).alias("node_id"), F.col("key").alias("canonical_key"), F.col("first.label").alias("label"), F.split_part("key", F.lit(":"), F.lit(1)).alias("node_type"), "aliases", F.col("told.summary").alias("summary"), "support_count"
+        """A label that stands for an entity comes before one of an end of a relation."""
+        both = self._keyed(self._admitted.drop("summary"), "label", "to_label", "alias", "summary")
+        none, later = F.lit(None).cast("string"), F.expr("NOT entity").alias("later")
+        source = F.struct(F.col("source_key").alias("key"), F.when(F.col("entity"), F.col("document_id").cast("string")).otherwise(F.col("label")).alias("label"), none.alias("alias"), none.alias("summary"), later)
+        target = F.struct(F.col("target_key").alias("key"), F.coalesce("to_label", "label").alias("label"), "alias", "summary", later)
+        rows = both.select("chunk_id", F.inline(F.array(source, target))).groupBy("chunk_id", "key", "label", "alias").agg(F.min("later").alias("later"), F.min("summary").alias("summary"))
+        first = F.row_number().over(Window.partitionBy("chunk_id", "key").orderBy("label", "alias")) == 1
+        known = cut(rows.withColumn("first", first)).groupBy("key").agg(
+            F.min(F.struct("later", "chunk_id", "label")).alias("named"), F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told"),
+            F.count_if("first").alias("support_count"), F.collect_set("label").alias("labels"), F.collect_set("alias").alias("aliases"),
+        )
+        named = F.exists(F.concat("labels", "aliases"), lambda x: x != "")
+        return known.where(named).select(
+            uuid5(F.concat_ws("|", F.lit("node"), "key")).alias("node_id"), F.col("key").alias("canonical_key"), F.col("named.label").alias("label"), F.split_part("key", F.lit(":"), F.lit(1)).alias("node_type"),
+            F.array_sort(F.array_remove(F.array_union("labels", "aliases"), "")).alias("aliases"), F.col("told.summary").alias("summary"), "support_count",
         )
 
     @cached_property
     def edges(self) -> DataFrame:
-        ends, each = ["source_key", "relation", "target_key"], self._each
-        told = self._admitted.where("summary IS NOT NULL").groupBy(*ends).agg(F.min(F.struct("chunk_id", "summary")).alias("told"))
+        ends = ["source_key", "relation", "target_key"]
+        each = self._keyed(self._admitted, "relation", "summary").withColumns({"relation": F.coalesce("relation", F.lit(MENTIONS)), "summary": F.expr("CASE WHEN NOT entity THEN summary END")})
+        known = cut(each.groupBy("chunk_id", *ends).agg(F.min("summary").alias("summary")))
         key = edge_key(F.col("source_key"), F.col("relation"), F.col("target_key"))
         node_id = lambda c: uuid5(F.concat_ws("|", F.lit("node"), c))
-        return _support(each, ends).join(told, ends, "left").select(
+        return known.groupBy(*ends).agg(F.count("*").alias("support_count"), F.min(F.when(F.col("summary").isNotNull(), F.struct("chunk_id", "summary"))).alias("told")).select(
             uuid5(F.concat_ws("|", F.lit("edge"), key)).alias("edge_id"), key.alias("canonical_key"), node_id("source_key").alias("from_node_id"), node_id("target_key").alias("to_node_id"), F.col("relation").alias("relation_type"), F.col("told.summary").alias("summary"), "support_count"
         )
 
     @cached_property
     def _proofs(self) -> DataFrame:
-        edge = self._each.withColumn("key", edge_key(F.col("source_key"), F.col("relation"), F.col("target_key")))
-        of = lambda df, kind: df.select(F.lit(kind).alias("target_kind"), "key", "chunk_id", "document_id").distinct()
-        return of(self._rows, "node").unionByName(of(edge, "edge"))
+        of = lambda kind, key: F.struct(F.lit(kind).alias("target_kind"), key.alias("key"))
+        source, target = F.col("source_key"), F.col("target_key")
+        found = F.array(of("node", source), of("node", target), of("edge", edge_key(source, F.coalesce("relation", F.lit(MENTIONS)), target)))
+        return cut(self._keyed(self._admitted, "relation").select("chunk_id", "document_id", F.inline(found)).distinct())
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -114,11 +111,6 @@ def _target_id() -> Column:
     return uuid5(F.concat_ws("|", "target_kind", "key")).alias("target_id")
 
 
-def _support(df: DataFrame, key: list[str]) -> DataFrame:
-    """How many chunks name each key."""
-    return df.select(*key, "chunk_id").distinct().groupBy(*key).agg(F.count("*").alias("support_count"))
-
-
 def _relation(raw: Column) -> Column:
     """The trimmed relation if it is well-formed, else empty."""
     name = F.trim(F.coalesce(raw, F.lit("")))
@@ -136,24 +128,17 @@ def merge_candidates(entities: DataFrame, relations: DataFrame) -> Merged:
     label and summary are those of the smallest chunk that has one.  Blank labels and null chunks are left out.
     """
     found = entities.where((_named("label") != "") & F.col("chunk_id").isNotNull()).select(
-        "chunk_id", "document_id", _named("label").alias("label"), label_key(_named("label")).alias("label_key"), "node_type", _named("alias").alias("alias"), "summary"
+        "chunk_id", "document_id", _named("label").alias("label"), label_key(_named("label")).alias("label_key"), F.lit(None).cast("string").alias("to_label_key"), "node_type", _named("alias").alias("alias"), "summary"
     )
-    rank = F.when(F.col("node_type") == "document", 2).when(F.col("node_type") == "concept", 1).otherwise(0)
-    least = F.min(F.struct(rank.alias("r"), "node_type")).over(Window.partitionBy("chunk_id", "label_key"))
-    keyed = found.withColumn("type", least["node_type"]).withColumn("key", F.concat_ws(":", "type", "label_key")).drop("node_type")
-
-    def judge(known: DataFrame) -> DataFrame:
-        types = known.select("chunk_id", "label_key", "type").distinct()
-        given = relations.where((_named("source_label") != "") & (_named("target_label") != "") & F.col("chunk_id").isNotNull())
-        for side in ("source", "target"):
-            own = types.select("chunk_id", F.col("label_key").alias(f"{side}_label_key"), F.col("type").alias(f"{side}_type"))
-            given = given.withColumn(f"{side}_label_key", label_key(_named(f"{side}_label"))).join(own, ["chunk_id", f"{side}_label_key"], "left")
-            given = given.withColumn(f"{side}_key", F.concat_ws(":", F.coalesce(f"{side}_type", F.lit(UNKNOWN_TYPE)), f"{side}_label_key"))
-        relation = _relation(F.col("relation_type"))
-        reason = F.when(relation == "", "empty_relation").when(F.col("source_key") == F.col("target_key"), "degenerate_self_loop")
-        return given.withColumns({"relation": relation, "reason": reason})
-
-    return Merged(keyed, judge)
+    given = relations.where((_named("source_label") != "") & (_named("target_label") != "") & F.col("chunk_id").isNotNull())
+    given = given.select("chunk_id", "document_id", _named("source_label").alias("label"), _named("target_label").alias("to_label"), "relation_type", _relation(F.col("relation_type")).alias("relation"), "summary")
+    keys = F.struct(label_key(F.col("label")).alias("label_key"), label_key(F.col("to_label")).alias("to_label_key"))
+    # a chunk gives a label one type, so ends are the same node if they have one label; what is left out isn't moved, and a filter of the keys would find them twice
+    keyed = lambda df, keep: df.select("*", F.inline(F.filter(F.array(keys), keep)))
+    admitted = keyed(given.where("relation <> ''"), lambda k: k["label_key"] != k["to_label_key"])
+    loops = keyed(given.where("relation <> ''"), lambda k: k["label_key"] == k["to_label_key"]).withColumn("reason", F.lit("degenerate_self_loop"))
+    refused = keyed(given.where("relation = ''"), lambda k: F.lit(True)).withColumn("reason", F.lit("empty_relation")).unionByName(loops)
+    return Merged(found, admitted, refused)
 
 
 # ---- acronyms
