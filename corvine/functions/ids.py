@@ -13,7 +13,7 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "corvine")
 
 def uuid5(name: Column, namespace: uuid.UUID = NAMESPACE) -> Column:
     """The name-based UUID (version 5) of a text; null for null."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), name.cast("binary")))
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
     # null for null without a condition, inside which the digest would be made anew for every part
     return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
